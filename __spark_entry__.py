@@ -40,8 +40,8 @@ def _ms(s: str) -> int:
 # Query parameters (what a client would pass)
 CLIENT = "client-1"
 RCPT = ("client-2", "user2-1@example.com")
-QUEUE = ("client-2", "Q000007W0002817")
-MSG = ("client-3", "msgId-15")
+QUEUE = ("client-2", "Q000007W0002818")
+MSG = ("client-1", "msgId-1037")
 RANGE = (_ms("2024-01-08 00:00"), _ms("2024-01-15 00:00"))
 SLICES = (_ms("2024-01-03 10:00"), _ms("2024-01-10 10:00"), 86_400_000)
 BUDGET_MB = 1.0

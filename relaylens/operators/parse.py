@@ -59,39 +59,38 @@ def parse_date_ms(date_text: Column, time_zone: str = "UTC") -> Column:
 def _recognise(raw: DataFrame) -> DataFrame:
     line = F.col("line")
     clean = ~line.contains(_SEP)
+    # 1) one regex evaluation per kind whose substrings are present.  The
+    #    results come out of a generator, so the later filter on ``kind``
+    #    cannot be pushed below them and re-run the regexes.
+    rewrites = F.struct(*[
+        F.when(_prefilter(line, needles, suffix) & clean,
+               F.regexp_replace(line, rx, _template(n))).alias(f"_r{kind}")
+        for kind, rx, n, needles, suffix in _KINDS
+    ])
+    staged = raw.select(*raw.columns, F.inline(F.array(rewrites)))
+    # 2) match flags and capture-group arrays from the rewrites (cheap); the
+    #    exact regexp path only for lines containing the separator
     cols = [F.col(c) for c in raw.columns]
-    # one regex evaluation per kind whose substrings are present
     for kind, rx, n, needles, suffix in _KINDS:
-        cols.append(
-            F.when(_prefilter(line, needles, suffix) & clean,
-                   F.regexp_replace(line, rx, _template(n))).alias(f"_r{kind}")
-        )
-    staged = raw.select(*cols)
-
-    def matched(kind, rx, needles, suffix):
-        fast = F.col(f"_r{kind}").startswith(_SEP)
-        slow = _prefilter(line, needles, suffix) & line.rlike(rx)
-        return F.when(clean, F.coalesce(fast, F.lit(False))).otherwise(slow)
-
+        r = F.col(f"_r{kind}")
+        matched = F.when(clean, F.coalesce(r.startswith(_SEP), F.lit(False))).otherwise(
+            _prefilter(line, needles, suffix) & line.rlike(rx))
+        groups = F.when(clean, F.split(r, _SEP, -1)).otherwise(
+            F.array(F.lit(""), *[F.regexp_extract(line, rx, i) for i in range(1, n + 1)]))
+        cols += [matched.alias(f"_m{kind}"), F.when(matched, groups).alias(f"_g{kind}")]
+    flagged = staged.select(*cols)
     kind_col = None
-    for kind, rx, n, needles, suffix in _KINDS:
-        cond = matched(kind, rx, needles, suffix)
+    for kind, *_ in _KINDS:
+        cond = F.col(f"_m{kind}")
         kind_col = F.when(cond, F.lit(kind)) if kind_col is None else kind_col.when(cond, F.lit(kind))
-    return staged.withColumn("kind", kind_col).where(F.col("kind").isNotNull())
-
-
-def _group(kind: str, rx: str, i: int) -> Column:
-    line = F.col("line")
-    fast = F.split(F.col(f"_r{kind}"), _SEP, -1).getItem(i)
-    return F.when(~line.contains(_SEP), fast).otherwise(F.regexp_extract(line, rx, i))
+    return flagged.withColumn("kind", kind_col).where(F.col("kind").isNotNull())
 
 
 def _field(spec: dict[str, int]) -> Column:
     """Pick capture group ``spec[kind]`` of the row's kind (NULL if absent)."""
-    regex = {k: rx for k, rx, *_ in _KINDS}
     out = None
     for kind, i in spec.items():
-        g = _group(kind, regex[kind], i)
+        g = F.col(f"_g{kind}").getItem(i)
         out = F.when(F.col("kind") == kind, g) if out is None else out.when(F.col("kind") == kind, g)
     return out
 

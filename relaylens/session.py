@@ -36,11 +36,12 @@ def get_spark(app: str = "relaylens", master: str | None = None, shuffle_partiti
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local tests) a scratch folder
-    is created and registered."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    A cluster names it (it is a static setting); only when it is unset --
+    local tests -- a scratch folder is created and registered."""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="relaylens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d

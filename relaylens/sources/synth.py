@@ -132,7 +132,13 @@ def raw_lines_from_events(events: DataFrame) -> DataFrame:
 
 
 def synthetic_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_lines_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A small table arrives as one split; spread it over the cores (order is
+    # carried by columns, never by partitions).  Large inputs are left as read.
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:
+        events = events.repartition(cores)
+    return raw_lines_from_events(events)
 
 
 def _sql_lit(s: str) -> str:
