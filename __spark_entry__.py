@@ -28,6 +28,7 @@ from relaylens.operators import status as ST  # noqa: E402
 from relaylens.operators.parse import parse_lines  # noqa: E402
 from relaylens.plans.pipeline import build_deliveries  # noqa: E402
 from relaylens.plans.sink import to_json_rows  # noqa: E402
+from relaylens.session import checkpoint_dir  # noqa: E402
 from relaylens.sources import logfiles as LF  # noqa: E402
 from relaylens.sources.rules import default_rules  # noqa: E402
 from relaylens.sources.synth import synthetic_raw_lines  # noqa: E402
@@ -55,7 +56,10 @@ def _raw(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return build_deliveries(_raw(spark, sf_dir), default_rules(spark))
+    # the index job's plan: windowed lines checkpointed once, read by both
+    # the split summaries and the per-line evaluation
+    checkpoint_dir(spark)
+    return build_deliveries(_raw(spark, sf_dir), default_rules(spark), materialize="checkpoint")
 
 
 def _deliveries(spark, sf_dir) -> DataFrame:
@@ -63,7 +67,8 @@ def _deliveries(spark, sf_dir) -> DataFrame:
 
 
 def _traced(spark, sf_dir) -> DataFrame:
-    return LC.correlate(parse_lines(_raw(spark, sf_dir))).traced
+    checkpoint_dir(spark)
+    return LC.correlate(parse_lines(_raw(spark, sf_dir)), materialize="checkpoint").traced
 
 
 def _files(spark, sf_dir) -> DataFrame:

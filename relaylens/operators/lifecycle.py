@@ -224,9 +224,28 @@ class Correlation(NamedTuple):
     traced: DataFrame       # per-line state (diagnostics, counters)
 
 
-def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None) -> Correlation:
-    """LIFE-1 and LIFE-3: follow every queue; optionally continue from a seed."""
-    rows = _row_windows(parsed)
+def _materialize(rows: DataFrame, how: str | None) -> DataFrame:
+    if how is None:
+        return rows
+    if how == "checkpoint":
+        return rows.checkpoint(eager=True)
+    if how == "persist":
+        from pyspark import StorageLevel
+
+        return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    raise ValueError("materialize must be None, 'checkpoint' or 'persist'")
+
+
+def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
+              materialize: str | None = None) -> Correlation:
+    """LIFE-1 and LIFE-3: follow every queue; optionally continue from a seed.
+
+    The windowed rows feed two consumers (the split summaries and the final
+    per-line evaluation).  ``materialize='checkpoint'`` writes them once to
+    the shared checkpoint folder (lineage cut, keeps their partitioning, so
+    neither consumer shuffles them again); ``'persist'`` caches them; ``None``
+    leaves one lazy plan in which Spark recomputes the shared part."""
+    rows = _materialize(_row_windows(parsed), materialize)
     summ = _chunk_summaries(rows)
     if open_queues_seed is not None:
         summ = summ.unionByName(_seed_summaries(open_queues_seed))

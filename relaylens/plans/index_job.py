@@ -3,8 +3,9 @@
 select files by budget -> skip files already ingested (first-line digest) ->
 read lines -> parse -> correlate, continuing the open queues of the last run
 -> classify -> append to the index; then store the new open-queue generation,
-the ledger rows and the run counters.  Parsed lines are checkpointed to the
-shared checkpoint folder so the three outputs do not re-read the logs.
+the ledger rows and the run counters.  The windowed lines are checkpointed to
+the shared checkpoint folder, so the outputs never re-read or re-parse the
+logs and a lost executor does not send the job back to the raw files.
 """
 
 from __future__ import annotations
@@ -55,13 +56,13 @@ def run_index(spark: SparkSession, log_dir: str, index_dir: str, rules_path: str
     if not picked:
         return RunResult([], None)
     raw = read_mail_logs(spark, [r.path for r in picked], pattern, live_file)
-    parsed = parse_lines(raw, time_zone).checkpoint()
-    corr = correlate(parsed, read_open_queues(spark, f"{index_dir}/open_queues"))
+    parsed = parse_lines(raw, time_zone)
+    corr = correlate(parsed, read_open_queues(spark, f"{index_dir}/open_queues"), materialize="checkpoint")
     deliveries = distinct_records(to_delivery_rows(classify(corr.records, rules)))
     write_deliveries(deliveries, f"{index_dir}/deliveries")
     write_open_queues(corr.open_queues, f"{index_dir}/open_queues")
     stats = ingest_stats(corr.traced)
-    per_file = parsed.groupBy("file").agg(F.count("*").alias("rows"))
+    per_file = corr.traced.groupBy("file").agg(F.count("*").alias("rows"))
     ledger_rows = spark.createDataFrame([(r.file, r.digest) for r in picked], "file string, digest string")
     (ledger_rows.join(per_file, "file", "left")
         .select("file", "digest", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),

@@ -44,9 +44,10 @@ def distinct_records(deliveries: DataFrame) -> DataFrame:
 
 
 def build_deliveries(raw_lines: DataFrame, rules: DataFrame, open_queues_seed: DataFrame | None = None,
-                     time_zone: str = "UTC", hits: DataFrame | None = None, dedup: bool = True) -> Index:
+                     time_zone: str = "UTC", hits: DataFrame | None = None, dedup: bool = True,
+                     materialize: str | None = None) -> Index:
     parsed = parse_lines(raw_lines, time_zone)
-    corr = correlate(parsed, open_queues_seed)
+    corr = correlate(parsed, open_queues_seed, materialize)
     deliveries = to_delivery_rows(classify(corr.records, rules, hits))
     if dedup:
         deliveries = distinct_records(deliveries)
