@@ -86,7 +86,7 @@ def _first_line(path: str) -> str | None:
 
     p = _local(path)
     fs, inner = pafs.FileSystem.from_uri(p if "://" in p else "file://" + p)
-    with fs.open_input_stream(inner) as raw:
+    with fs.open_input_stream(inner, compression=None) as raw:
         stream = gzip.GzipFile(fileobj=raw) if p.endswith(".gz") else raw
         buf = b""
         while True:
