@@ -59,7 +59,7 @@ def _index(spark, sf_dir):
     # the index job's plan: windowed lines checkpointed once, read by both
     # the split summaries and the per-line evaluation
     checkpoint_dir(spark)
-    return build_deliveries(_raw(spark, sf_dir), default_rules(spark), materialize="checkpoint")
+    return build_deliveries(_raw(spark, sf_dir), default_rules(spark), materialize="table")
 
 
 def _deliveries(spark, sf_dir) -> DataFrame:
@@ -68,7 +68,7 @@ def _deliveries(spark, sf_dir) -> DataFrame:
 
 def _traced(spark, sf_dir) -> DataFrame:
     checkpoint_dir(spark)
-    return LC.correlate(parse_lines(_raw(spark, sf_dir)), materialize="checkpoint").traced
+    return LC.correlate(parse_lines(_raw(spark, sf_dir)), materialize="table").traced
 
 
 def _files(spark, sf_dir) -> DataFrame:

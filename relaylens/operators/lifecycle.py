@@ -45,12 +45,16 @@ def _first_by_seq(value: Column, cond: Column) -> Column:
     return F.min(F.when(cond & value.isNotNull(), F.struct(F.col("line_seq").alias("s"), value.alias("v")))).getField("v")
 
 
-def _row_windows(parsed: DataFrame) -> DataFrame:
+def _row_windows(parsed: DataFrame, partitions: int | None = None) -> DataFrame:
     k = F.col("kind")
+    n = partitions or int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # explicit hash layout on the split key with a fixed partition count: the
+    # windows, the split summaries and the carry join all use it, and it
+    # survives a checkpoint (AQE does not re-coalesce a user repartition)
     rows = parsed.select(
         "queue_id", "file", "rotation", "block_start", "line_seq", "kind", "event_ms",
         "rcpt_email", "sender_email", "status", "info", "msg_id", "client_id",
-    ).where(F.col("queue_id").isNotNull())
+    ).where(F.col("queue_id").isNotNull()).repartition(n, *_CHUNK)
     rows = rows.select(
         "*",
         (k == "M").alias("is_m"),
@@ -65,6 +69,7 @@ def _row_windows(parsed: DataFrame) -> DataFrame:
         "*",
         F.sum(F.col("is_m").cast("int")).over(w_chunk.rowsBetween(_UNB, 0)).alias("local_life"),
         F.sum(F.col("is_m").cast("int")).over(w_chunk.rowsBetween(_UNB, _UNF)).alias("chunk_m"),
+        F.first("is_m").over(w_chunk.rowsBetween(_UNB, _UNF)).alias("starts_with_m"),
     )
     w_seg = Window.partitionBy(*_CHUNK, "local_life").orderBy("line_seq")
     before = w_seg.rowsBetween(_UNB, -1)
@@ -90,6 +95,7 @@ def _chunk_summaries(rows: DataFrame) -> DataFrame:
     summ = last.groupBy(*_CHUNK).agg(
         F.first("rotation").alias("rotation"),
         F.max("chunk_m").alias("chunk_m"),
+        F.min("starts_with_m").alias("starts_with_m"),
         _first_by_seq(F.col("msg_id"), F.col("is_m")).alias("s_msg_id"),
         _first_by_seq(F.col("cid_val"), F.lit(True)).alias("s_cid"),
         F.min(F.when(F.col("cid_val").isNotNull(), seq)).alias("s_cid_seq"),
@@ -102,7 +108,7 @@ def _chunk_summaries(rows: DataFrame) -> DataFrame:
         F.col("s_cid_seq").isNull() | (F.col("s_ae_seq") < F.col("s_cid_seq")))
     return summ.select(
         *_CHUNK, (-F.col("rotation").cast("long")).alias("neg_rot"),
-        (F.col("chunk_m") > 0).alias("has_m"),
+        (F.col("chunk_m") > 0).alias("has_m"), "starts_with_m",
         "s_msg_id", "s_cid", "s_def", "s_drcpt", "s_any_r", ae_first.alias("s_ae_first"),
     )
 
@@ -115,7 +121,7 @@ def _seed_summaries(open_queues: DataFrame) -> DataFrame:
         F.col("msg_id").alias("s_msg_id"), F.col("client_id").alias("s_cid"),
         F.coalesce(F.col("has_been_deferred"), F.lit(False)).alias("s_def"),
         F.col("rcpt_email").alias("s_drcpt"), F.lit(False).alias("s_any_r"),
-        F.lit(False).alias("s_ae_first"),
+        F.lit(False).alias("s_ae_first"), F.lit(True).alias("starts_with_m"),
     )
 
 
@@ -142,7 +148,10 @@ def _fold_summaries(summ: DataFrame) -> DataFrame:
 
 
 def _traced(rows: DataFrame, folded: DataFrame) -> DataFrame:
-    carry = folded.where(F.col("block_start") >= 0).select(*_CHUNK, *[f"c_{c}" for c in _CARRY])
+    # only splits whose first line of the queue is not a message-id line have
+    # rows that need a carried state, and only if an entry was open before
+    carry = folded.where((F.col("block_start") >= 0) & ~F.col("starts_with_m") & F.col("c_exists")).select(
+        *_CHUNK, *[f"c_{c}" for c in _CARRY])
     t = rows.join(carry, on=_CHUNK, how="left")
     loc0 = F.col("local_life") == 0
     c_exists = F.coalesce(F.col("c_exists"), F.lit(False))
@@ -224,16 +233,35 @@ class Correlation(NamedTuple):
     traced: DataFrame       # per-line state (diagnostics, counters)
 
 
+def _bucketed_table(rows: DataFrame) -> DataFrame:
+    """Write rows as a Parquet table bucketed on the split key, in the shared
+    checkpoint folder; its scan reports the hash layout, so neither consumer
+    shuffles the rows again, and the lineage is cut."""
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"relaylens_rows_{uuid.uuid4().hex[:16]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    (rows.write.format("parquet").bucketBy(n, *_CHUNK).option("path", path)
+        .mode("overwrite").saveAsTable(name))
+    return spark.table(name)
+
+
 def _materialize(rows: DataFrame, how: str | None) -> DataFrame:
     if how is None:
         return rows
+    if how == "table":
+        return _bucketed_table(rows)
     if how == "checkpoint":
         return rows.checkpoint(eager=True)
     if how == "persist":
         from pyspark import StorageLevel
 
         return rows.persist(StorageLevel.MEMORY_AND_DISK)
-    raise ValueError("materialize must be None, 'checkpoint' or 'persist'")
+    raise ValueError("materialize must be None, 'table', 'checkpoint' or 'persist'")
 
 
 def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
@@ -241,10 +269,12 @@ def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
     """LIFE-1 and LIFE-3: follow every queue; optionally continue from a seed.
 
     The windowed rows feed two consumers (the split summaries and the final
-    per-line evaluation).  ``materialize='checkpoint'`` writes them once to
-    the shared checkpoint folder (lineage cut, keeps their partitioning, so
-    neither consumer shuffles them again); ``'persist'`` caches them; ``None``
-    leaves one lazy plan in which Spark recomputes the shared part."""
+    per-line evaluation).  ``materialize='table'`` writes them once as a
+    Parquet table bucketed on the split key in the shared checkpoint folder
+    (lineage cut, hash layout kept, so neither consumer shuffles them again);
+    ``'checkpoint'`` cuts lineage but loses the layout; ``'persist'`` caches
+    them; ``None`` leaves one lazy plan in which Spark recomputes the shared
+    part."""
     rows = _materialize(_row_windows(parsed), materialize)
     summ = _chunk_summaries(rows)
     if open_queues_seed is not None:

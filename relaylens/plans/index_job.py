@@ -3,8 +3,8 @@
 select files by budget -> skip files already ingested (first-line digest) ->
 read lines -> parse -> correlate, continuing the open queues of the last run
 -> classify -> append to the index; then store the new open-queue generation,
-the ledger rows and the run counters.  The windowed lines are checkpointed to
-the shared checkpoint folder, so the outputs never re-read or re-parse the
+the ledger rows and the run counters.  The windowed lines are written once as a
+bucketed table in the shared checkpoint folder, so the outputs never re-read or re-parse the
 logs and a lost executor does not send the job back to the raw files.
 """
 
@@ -23,7 +23,7 @@ from ..schema import INGESTED_FILES
 from ..session import checkpoint_dir
 from ..sources.logfiles import file_digests, list_log_files, read_mail_logs, select_log_files, skip_ingested
 from ..sources.rules import default_rules, load_bounce_rules
-from .pipeline import distinct_records, to_delivery_rows
+from .pipeline import to_delivery_rows
 from .sink import read_open_queues, write_deliveries, write_open_queues
 
 
@@ -57,8 +57,8 @@ def run_index(spark: SparkSession, log_dir: str, index_dir: str, rules_path: str
         return RunResult([], None)
     raw = read_mail_logs(spark, [r.path for r in picked], pattern, live_file)
     parsed = parse_lines(raw, time_zone)
-    corr = correlate(parsed, read_open_queues(spark, f"{index_dir}/open_queues"), materialize="checkpoint")
-    deliveries = distinct_records(to_delivery_rows(classify(corr.records, rules)))
+    corr = correlate(parsed, read_open_queues(spark, f"{index_dir}/open_queues"), materialize="table")
+    deliveries = to_delivery_rows(classify(corr.records, rules))
     write_deliveries(deliveries, f"{index_dir}/deliveries")
     write_open_queues(corr.open_queues, f"{index_dir}/open_queues")
     stats = ingest_stats(corr.traced)

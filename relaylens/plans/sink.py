@@ -26,22 +26,36 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None = None) -> None:
-    """SNK-1: add records to the index at ``path`` with set semantics."""
+def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None = None) -> int:
+    """SNK-1: add records to the index at ``path`` with set semantics.
+
+    The batch is staged once in the shared checkpoint folder (so its day range
+    and its rows come from one evaluation); records already stored are
+    anti-joined away, null-safe, reading only the days the batch touches; the
+    range exchange on (client_id, date_ms) both lays the files out and
+    clusters duplicates, so de-duplication needs no shuffle of its own.
+    Returns the number of staged rows."""
+    from ..session import checkpoint_dir
+
     spark = deliveries.sparkSession
-    new = deliveries.dropDuplicates(RECORD_KEY)
+    checkpoint_dir(spark)
+    staged = deliveries.checkpoint(eager=True)
+    span = staged.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count("*").alias("n")).first()
+    if not span.n:
+        return 0
+    new = staged
     if _exists(spark, path):
-        days = new.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
-        if days is None or days.lo is None:
-            return
         stored = (spark.read.parquet(path)
-                  .where(F.col("day").between(F.lit(days.lo), F.lit(days.hi)))
+                  .where(F.col("day").between(F.lit(span.lo), F.lit(span.hi)))
                   .select(*RECORD_KEY))
-        new = new.join(stored, RECORD_KEY, "left_anti")
+        cond = [new[c].eqNullSafe(stored[c]) for c in RECORD_KEY]
+        new = new.join(stored, cond, "left_anti")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (new.repartitionByRange(n, "client_id", "day", "date_ms")
+    (new.repartitionByRange(n, "client_id", "date_ms")
+        .dropDuplicates(RECORD_KEY)
         .sortWithinPartitions("client_id", "day", "date_ms")
         .write.mode("append").partitionBy("client_id", "day").parquet(path))
+    return span.n
 
 
 def read_deliveries(spark: SparkSession, path: str) -> DataFrame:

@@ -90,7 +90,7 @@ def test_random_traces_match_sequential_automaton(spark, seed):
     rng = random.Random(seed)
     rows = _random_trace(rng)
     expected, still_open = automaton.run(rows)
-    corr = correlate(_to_df(spark, rows), materialize="checkpoint" if seed % 2 else None)
+    corr = correlate(_to_df(spark, rows), materialize=[None, "table", "checkpoint", "persist"][seed % 4])
     got = _records(corr.records)
     assert got == sorted(expected)
     opened = {o.queue_id: (o.msg_id, o.client_id, o.rcpt_email, o.has_been_deferred)
