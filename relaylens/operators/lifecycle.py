@@ -69,7 +69,6 @@ def _row_windows(parsed: DataFrame, partitions: int | None = None) -> DataFrame:
         "*",
         F.sum(F.col("is_m").cast("int")).over(w_chunk.rowsBetween(_UNB, 0)).alias("local_life"),
         F.sum(F.col("is_m").cast("int")).over(w_chunk.rowsBetween(_UNB, _UNF)).alias("chunk_m"),
-        F.first("is_m").over(w_chunk.rowsBetween(_UNB, _UNF)).alias("starts_with_m"),
     )
     w_seg = Window.partitionBy(*_CHUNK, "local_life").orderBy("line_seq")
     before = w_seg.rowsBetween(_UNB, -1)
@@ -95,7 +94,6 @@ def _chunk_summaries(rows: DataFrame) -> DataFrame:
     summ = last.groupBy(*_CHUNK).agg(
         F.first("rotation").alias("rotation"),
         F.max("chunk_m").alias("chunk_m"),
-        F.min("starts_with_m").alias("starts_with_m"),
         _first_by_seq(F.col("msg_id"), F.col("is_m")).alias("s_msg_id"),
         _first_by_seq(F.col("cid_val"), F.lit(True)).alias("s_cid"),
         F.min(F.when(F.col("cid_val").isNotNull(), seq)).alias("s_cid_seq"),
@@ -108,7 +106,7 @@ def _chunk_summaries(rows: DataFrame) -> DataFrame:
         F.col("s_cid_seq").isNull() | (F.col("s_ae_seq") < F.col("s_cid_seq")))
     return summ.select(
         *_CHUNK, (-F.col("rotation").cast("long")).alias("neg_rot"),
-        (F.col("chunk_m") > 0).alias("has_m"), "starts_with_m",
+        (F.col("chunk_m") > 0).alias("has_m"),
         "s_msg_id", "s_cid", "s_def", "s_drcpt", "s_any_r", ae_first.alias("s_ae_first"),
     )
 
@@ -121,7 +119,7 @@ def _seed_summaries(open_queues: DataFrame) -> DataFrame:
         F.col("msg_id").alias("s_msg_id"), F.col("client_id").alias("s_cid"),
         F.coalesce(F.col("has_been_deferred"), F.lit(False)).alias("s_def"),
         F.col("rcpt_email").alias("s_drcpt"), F.lit(False).alias("s_any_r"),
-        F.lit(False).alias("s_ae_first"), F.lit(True).alias("starts_with_m"),
+        F.lit(False).alias("s_ae_first"),
     )
 
 
@@ -148,9 +146,8 @@ def _fold_summaries(summ: DataFrame) -> DataFrame:
 
 
 def _traced(rows: DataFrame, folded: DataFrame) -> DataFrame:
-    # only splits whose first line of the queue is not a message-id line have
-    # rows that need a carried state, and only if an entry was open before
-    carry = folded.where((F.col("block_start") >= 0) & ~F.col("starts_with_m") & F.col("c_exists")).select(
+    # only splits into which an entry was carried need the join
+    carry = folded.where((F.col("block_start") >= 0) & F.col("c_exists")).select(
         *_CHUNK, *[f"c_{c}" for c in _CARRY])
     t = rows.join(carry, on=_CHUNK, how="left")
     loc0 = F.col("local_life") == 0

@@ -2,6 +2,37 @@
 file order, exactly as the original agent's per-queue state machine."""
 
 
+def diagnostics(parsed_rows):
+    """(position, reason) for duplicate message-ids, client-ids without a
+    queue and expiries that were never deferred."""
+    q, out = {}, []
+    for i, r in enumerate(parsed_rows):
+        k, qid = r["kind"], r["queue_id"]
+        cur = q.get(qid)
+        if k == "M":
+            if cur is not None:
+                out.append((i, "duplicate message-id"))
+            q[qid] = [r["client_id"], False, None]
+        elif k == "C":
+            if cur is None:
+                out.append((i, "client-id without queue"))
+            elif cur[0] is None:
+                cur[0] = r["client_id"]
+        elif k in ("A", "E"):
+            if cur is None:
+                continue
+            if cur[0] is None:
+                del q[qid]
+                continue
+            if k == "A" and r["status"] == "deferred" and not cur[1]:
+                cur[1], cur[2] = True, r["rcpt_email"]
+            if k == "E" and not cur[1]:
+                out.append((i, "expired, never deferred"))
+        elif k == "R":
+            q.pop(qid, None)
+    return out
+
+
 def run(parsed_rows, seed=None):
     """parsed_rows: dicts with kind, queue_id, event_ms, rcpt_email, sender_email,
     status, info, msg_id, client_id, ordered by file position.

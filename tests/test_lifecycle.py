@@ -96,6 +96,11 @@ def test_random_traces_match_sequential_automaton(spark, seed):
     opened = {o.queue_id: (o.msg_id, o.client_id, o.rcpt_email, o.has_been_deferred)
               for o in corr.open_queues.collect()}
     assert opened == {k: tuple(v) for k, v in still_open.items()}
+    # diagnostics, located by (file, line) of the laid-out trace
+    df = _to_df(spark, rows)
+    pos = {(r.file, r.line_seq): i for i, r in enumerate(df.select("file", "line_seq").collect())}
+    diag = sorted((pos[(r.file, r.line_seq)], r.reason) for r in lifecycle_diagnostics(corr.traced).collect())
+    assert diag == sorted(automaton.diagnostics(rows))
 
 
 @pytest.mark.parametrize("seed", [11, 12, 13])
