@@ -32,6 +32,11 @@ def run_stream_over_table(spark: SparkSession, raw_lines: DataFrame, rules: Data
                           work_dir: str | None = None) -> DataFrame:
     base = work_dir or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     land_chunks(raw_lines, f"{base}/landing")
+    return run_landed_stream(spark, base, rules)
+
+
+def run_landed_stream(spark: SparkSession, base: str, rules: DataFrame) -> DataFrame:
+    """Run the stream over ``base/landing`` until no input is left."""
     out = stream_deliveries(stream_mail_logs(spark, f"{base}/landing"), rules)
     q = (out.writeStream.format("parquet")
          .option("checkpointLocation", f"{base}/checkpoint")

@@ -33,6 +33,7 @@ RECORD_SCHEMA = (
     "sender_email string, status string, info string, has_been_deferred boolean, source_file string"
 )
 STATE_SCHEMA = "msg_id string, client_id string, rcpt_email string, has_been_deferred boolean"
+_RECORD_NAMES = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
 
 
 def stream_mail_logs(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -66,20 +67,24 @@ def _automaton(ttl_ms: int | None):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["file", "line_seq"], kind="stable")
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if len(rows) > 1:
+            rows = rows.sort_values(["file", "line_seq"], kind="stable")
         qid = key[0]
         cur = state.get if state.exists else None  # (msg_id, client_id, rcpt, deferred)
         out = []
-        for r in rows.itertuples(index=False):
-            k = r.kind
+        cols = [rows[c].tolist() for c in ("kind", "event_ms", "rcpt_email", "sender_email", "status", "info",
+                                           "msg_id", "client_id", "file")]
+        for k, ms, rcpt_l, sender, status, info, msg_l, cid_l, file in zip(*cols):
             if k == "S":
-                cur = (r.msg_id, r.client_id, r.rcpt_email, r.status == "deferred")
+                cur = (msg_l, cid_l, rcpt_l, status == "deferred")
             elif k == "M":
-                cur = (r.msg_id, r.client_id if isinstance(r.client_id, str) else None, None, False)
+                cur = (msg_l, cid_l if isinstance(cid_l, str) else None, None, False)
             elif k == "C":
                 if cur is not None and cur[1] is None:
-                    cur = (cur[0], r.client_id, cur[2], cur[3])
-            elif k in ("A", "E"):
+                    cur = (cur[0], cid_l, cur[2], cur[3])
+            elif k == "A" or k == "E":
                 if cur is None:
                     continue
                 if cur[1] is None:
@@ -87,12 +92,11 @@ def _automaton(ttl_ms: int | None):
                     continue
                 msg, cid, rcpt, deferred = cur
                 if k == "A":
-                    if r.status == "deferred" and (rcpt is None or not deferred):
-                        cur = (msg, cid, r.rcpt_email, True)
-                    out.append((cid, r.event_ms, qid, msg, r.rcpt_email, P.SENDER_UNKNOWN, r.status, r.info,
-                                bool(deferred), r.file))
+                    if status == "deferred" and (rcpt is None or not deferred):
+                        cur = (msg, cid, rcpt_l, True)
+                    out.append((cid, int(ms), qid, msg, rcpt_l, P.SENDER_UNKNOWN, status, info, bool(deferred), file))
                 elif deferred and rcpt is not None:
-                    out.append((cid, r.event_ms, qid, msg, rcpt, r.sender_email, r.status, r.info, True, r.file))
+                    out.append((cid, int(ms), qid, msg, rcpt, sender, status, info, True, file))
             elif k == "R":
                 cur = None
         if cur is None:
@@ -103,7 +107,7 @@ def _automaton(ttl_ms: int | None):
             if ttl_ms:
                 state.setTimeoutDuration(ttl_ms)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")])
+            yield pd.DataFrame(out, columns=_RECORD_NAMES)
 
     return step
 
