@@ -251,7 +251,13 @@ def _materialize(rows: DataFrame, how: str | None) -> DataFrame:
     if how is None:
         return rows
     if how == "table":
-        return _bucketed_table(rows)
+        try:
+            return _bucketed_table(rows)
+        except Exception as exc:  # noqa: BLE001 - a session without a writable catalog
+            import warnings
+
+            warnings.warn(f"bucketed table unavailable ({exc.__class__.__name__}); using checkpoint()")
+            return rows.checkpoint(eager=True)
     if how == "checkpoint":
         return rows.checkpoint(eager=True)
     if how == "persist":

@@ -26,6 +26,7 @@ def test_single_client_fixture(spark, split_every):
     rows = idx.deliveries.collect()
     assert len(rows) == 16
     assert {r.client_id for r in rows} == {"test-mail-module"}
+    assert all(v is not None for r in rows for v in r)  # no null field in any record
     by_q = {}
     for r in rows:
         by_q.setdefault(r.queue_id, []).append(r)
