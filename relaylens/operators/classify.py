@@ -18,14 +18,16 @@ def rule_order(rules: DataFrame, hits: DataFrame | None = None) -> list[dict]:
     """CLS-3: soft rules before hard ones, then by hit count, then document order.
 
     ``hits`` (rule_id, hits) -- e.g. the previous run's :func:`bounce_rule_hits`
-    -- replaces the rule list's own counters."""
+    -- replaces the rule list's own counters.  Both are rule-sized tables
+    (configuration), so they are collected and ordered on the driver."""
+    rows = [r.asDict() for r in rules.select("rule_id", "type", "category", "regex", "hits",
+                                             "default_order").collect()]
     if hits is not None:
-        rules = rules.drop("hits").join(
-            hits.select("rule_id", F.col("hits").cast("long")), "rule_id", "left"
-        ).withColumn("hits", F.coalesce("hits", F.lit(0)))
-    ordered = rules.orderBy(F.col("type").desc(), F.col("hits").desc(), F.col("default_order").desc())
-    # the rule list is small configuration, never data
-    return [r.asDict() for r in ordered.select("rule_id", "type", "category", "regex").collect()]
+        counts = {r["rule_id"]: int(r["hits"] or 0) for r in hits.select("rule_id", "hits").collect()}
+        for r in rows:
+            r["hits"] = counts.get(r["rule_id"], 0)
+    rows.sort(key=lambda r: (r["type"], r["hits"] or 0, r["default_order"]), reverse=True)
+    return [{k: r[k] for k in ("rule_id", "type", "category", "regex")} for r in rows]
 
 
 def _rule_index(info_lc: Column, ordered: list[dict]) -> Column:
