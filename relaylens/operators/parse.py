@@ -102,7 +102,8 @@ def _typed(recognised: DataFrame, time_zone: str) -> DataFrame:
     out = recognised.select(
         "file", "rotation", "block_start", "line_seq", "kind",
         _field({"A": 2, "M": 1, "C": 1, "E": 2, "R": 1}).alias("queue_id"),
-        parse_date_ms(date_text, time_zone).alias("event_ms"),
+        # from a generator, so the date filter below cannot re-run the parse
+        F.inline(F.array(F.struct(parse_date_ms(date_text, time_zone).alias("event_ms")))),
         _field({"A": 3}).alias("rcpt_email"),
         _field({"E": 3}).alias("sender_email"),
         _field({"A": 4, "E": 4}).alias("status"),
