@@ -25,7 +25,7 @@ from relaylens.operators import classify as CL  # noqa: E402
 from relaylens.operators import lifecycle as LC  # noqa: E402
 from relaylens.operators import query as QY  # noqa: E402
 from relaylens.operators import status as ST  # noqa: E402
-from relaylens.operators.parse import parse_lines  # noqa: E402
+from relaylens.operators.parse import parse_lines, rejected_lines  # noqa: E402
 from relaylens.plans.pipeline import build_deliveries  # noqa: E402
 from relaylens.plans.sink import to_json_rows  # noqa: E402
 from relaylens.session import checkpoint_dir  # noqa: E402
@@ -94,6 +94,10 @@ def _q_parse_lines(spark, sf_dir):
         "msg_id_raw", "msg_id", "client_id")
 
 
+def _q_rejected(spark, sf_dir):
+    return rejected_lines(_raw(spark, sf_dir))
+
+
 def _q_correlate(spark, sf_dir):
     return LC.correlate(parse_lines(_raw(spark, sf_dir))).records.drop("source_file")
 
@@ -241,6 +245,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "parse_lines": _q_parse_lines,
+        "rejected_lines": _q_rejected,
         "correlate_records": _q_correlate,
         "open_queues": _q_open_queues,
         "lifecycle_diagnostics": _q_diagnostics,

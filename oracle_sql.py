@@ -80,7 +80,8 @@ fields AS (
     CASE kind WHEN 'A' THEN {_x(A, 4)} WHEN 'E' THEN {_x(E, 4)} END AS status,
     CASE kind WHEN 'A' THEN {_x(A, 5)} WHEN 'E' THEN {_x(E, 5)} END AS info,
     CASE WHEN kind = 'M' THEN {_x(M, 2)} END AS msg_id_raw,
-    CASE WHEN kind = 'C' THEN {_x(C, 2)} END AS cid_line
+    CASE WHEN kind = 'C' THEN {_x(C, 2)} END AS cid_line,
+    line
   FROM kinds WHERE kind IS NOT NULL),
 parsed AS (
   SELECT file, rotation, block_start, line_seq, kind, queue_id, event_ms, rcpt_email, sender_email, status, info,

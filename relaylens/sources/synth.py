@@ -19,6 +19,7 @@ Rendering (one or two lines per event, in event order):
 * ``error``    -> bounced attempt, plus a client-id line when event_id % 11 = 0,
   else an empty line when event_id % 13 = 0
 * line date = event time minus (event_id % 3) seconds, so time may go back;
+  every 97th event writes the month in full, which does not parse;
   one file per day ``mail.log.<days before 2025-01-01>``; a simulated input
   split every 2,000 events; ``line_seq = 2 * event_id + sub-line``.
 
@@ -56,6 +57,7 @@ REPLY_TEXTS = [
 ]
 N_TEXTS = len(REPLY_TEXTS)
 EVENTS_PER_SPLIT = 2000
+BAD_DATE_EVERY = 97  # full month name: the line still has its shape, its date does not parse
 
 
 def _s(c) -> Column:
@@ -74,8 +76,9 @@ def raw_lines_from_events(events: DataFrame) -> DataFrame:
     day = F.to_date("ts")
     week = F.floor(F.unix_date(day) / 7).cast("long")
     qid = _cat("Q", F.lpad(_s(uid), 6, "0"), "W", F.lpad(_s(week), 7, "0"))
-    stamp = F.date_format(F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (eid % 3).cast("decimal(8,6)")),
-                          "yyyy MMM d HH:mm:ss.SSS")
+    shifted = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (eid % 3).cast("decimal(8,6)"))
+    stamp = F.when(eid % BAD_DATE_EVERY == 0, F.date_format(shifted, "yyyy MMMM d HH:mm:ss.SSS")) \
+        .otherwise(F.date_format(shifted, "yyyy MMM d HH:mm:ss.SSS"))
     client = _cat("client-", _s(uid % 5))
     rcpt = _cat("user", _s(uid), "-", _s(eid % 3), "@example.com")
     compound = (uid % 3) == 0
@@ -154,7 +157,9 @@ raw_lines AS (
     SELECT event_id AS eid, user_id AS uid, event_type AS et, ts,
       'Q' || lpad(CAST(user_id AS VARCHAR), 6, '0') || 'W'
           || lpad(CAST(CAST(floor((CAST(ts AS DATE) - DATE '1970-01-01') / 7) AS BIGINT) AS VARCHAR), 7, '0') AS qid,
-      strftime(ts - to_seconds(CAST(event_id % 3 AS BIGINT)), '%Y %b %-d %H:%M:%S.%g') AS stamp,
+      CASE WHEN event_id % {BAD_DATE_EVERY} = 0
+           THEN strftime(ts - to_seconds(CAST(event_id % 3 AS BIGINT)), '%Y %B %-d %H:%M:%S.%g')
+           ELSE strftime(ts - to_seconds(CAST(event_id % 3 AS BIGINT)), '%Y %b %-d %H:%M:%S.%g') END AS stamp,
       'client-' || CAST(user_id % 5 AS VARCHAR) AS client,
       'user' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 3 AS VARCHAR) || '@example.com' AS rcpt,
       (user_id % 3 = 0) AS compound,
