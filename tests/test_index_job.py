@@ -57,3 +57,25 @@ def test_rotation_and_continuation_equal_one_run(spark, scratch):
     run_index(spark, os.path.join(one, "logs"), os.path.join(one, "index"))
     assert got == _records(spark, os.path.join(one, "index"))
     assert len(got) == 16
+
+
+def test_gzip_budget_and_live_file(spark, scratch):
+    import gzip
+
+    lines = fixture_log.lines()
+    logs, index = os.path.join(scratch, "logs"), os.path.join(scratch, "index")
+    os.makedirs(logs)
+    # oldest file is over budget and must be left out entirely
+    _write_lines(os.path.join(logs, "mail.log.3"), ["2013 Jun 01 00:00:00.000 h postfix/x[1]: filler " + "y" * 400] * 50)
+    with open(os.path.join(logs, "mail.log.2.gz"), "wb") as fh:
+        fh.write(gzip.compress(("\n".join(lines[:30]) + "\n").encode()))
+    _write_lines(os.path.join(logs, "mail.log.1"), lines[30:40])
+    _write_lines(os.path.join(logs, "mail.log"), lines[40:])
+    gz_size = os.path.getsize(os.path.join(logs, "mail.log.2.gz"))
+    live = os.path.getsize(os.path.join(logs, "mail.log"))
+    plain = os.path.getsize(os.path.join(logs, "mail.log.1"))
+    budget_mb = (live + plain + 10 * gz_size + 100) / 1024 / 1024
+    res = run_index(spark, logs, index, budget_mb=budget_mb, include_live=True)
+    assert sorted(res.files) == ["mail.log", "mail.log.1", "mail.log.2.gz"]
+    got = _records(spark, index)
+    assert len(got) == 16
