@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators.classify import classify
+from ..operators.classify import bounce_rule_hits, classify
 from ..operators.lifecycle import correlate, ingest_stats
 from ..operators.parse import parse_lines
 from ..schema import INGESTED_FILES
@@ -39,12 +39,26 @@ def read_ledger(spark: SparkSession, index_dir: str) -> DataFrame:
         return spark.createDataFrame([], INGESTED_FILES)
 
 
+def read_rule_hits(spark: SparkSession, index_dir: str) -> DataFrame | None:
+    """Hit counts of all earlier runs, per rule (CLS-3 feedback)."""
+    try:
+        hits = spark.read.parquet(f"{index_dir}/rule_hits")
+    except Exception:  # noqa: BLE001 - no run has recorded hits yet
+        return None
+    return hits.groupBy("rule_id").agg(F.sum("hits").alias("hits"))
+
+
 def run_index(spark: SparkSession, log_dir: str, index_dir: str, rules_path: str | None = None,
               budget_mb: float = P.MAX_MB_TO_INDEX, pattern: str = P.ROTATED_FILE_PATTERN,
               live_file: str = P.LIVE_FILE_NAME, time_zone: str = "UTC",
-              include_live: bool = False) -> RunResult:
+              include_live: bool = False, adaptive_rule_order: bool = False) -> RunResult:
+    """One indexing run.  With ``adaptive_rule_order`` the rules are tried in
+    the order of their hit counts over earlier runs (within soft, then hard),
+    like the original agent's self-prioritising list; by default the order is
+    the document order, which keeps results independent of history."""
     checkpoint_dir(spark)
     rules = load_bounce_rules(spark, rules_path) if rules_path else default_rules(spark)
+    hits = read_rule_hits(spark, index_dir) if adaptive_rule_order else None
     files = list_log_files(spark, log_dir, pattern, live_file)
     chosen = select_log_files(files, budget_mb).where("selected")
     if include_live:
@@ -58,8 +72,10 @@ def run_index(spark: SparkSession, log_dir: str, index_dir: str, rules_path: str
     raw = read_mail_logs(spark, [r.path for r in picked], pattern, live_file)
     parsed = parse_lines(raw, time_zone)
     corr = correlate(parsed, read_open_queues(spark, f"{index_dir}/open_queues"), materialize="table")
-    deliveries = to_delivery_rows(classify(corr.records, rules))
-    write_deliveries(deliveries, f"{index_dir}/deliveries")
+    classified = classify(corr.records, rules, hits, keep_rule_id=True)
+    write_deliveries(to_delivery_rows(classified), f"{index_dir}/deliveries")
+    (bounce_rule_hits(classified, rules).select("rule_id", "hits")
+        .write.mode("append").parquet(f"{index_dir}/rule_hits"))
     write_open_queues(corr.open_queues, f"{index_dir}/open_queues")
     stats = ingest_stats(corr.traced)
     per_file = corr.traced.groupBy("file").agg(F.count("*").alias("rows"))

@@ -79,3 +79,30 @@ def test_gzip_budget_and_live_file(spark, scratch):
     assert sorted(res.files) == ["mail.log", "mail.log.1", "mail.log.2.gz"]
     got = _records(spark, index)
     assert len(got) == 16
+
+
+def test_adaptive_rule_order_uses_earlier_hits(spark, scratch):
+    from relaylens.plans.index_job import read_rule_hits
+
+    logs, index = os.path.join(scratch, "logs"), os.path.join(scratch, "index")
+    os.makedirs(logs)
+    line = ("2013 Jun 16 16:05:07.123 h postfix/smtp[1]: {q}: to=<a@b.cz>, relay=none, dsn=4.4.3, "
+            "status=deferred (Host or domain name not found. Name service error for name=x type=MX)")
+
+    def queue(q, text_line):
+        return [f"2013 Jun 16 16:05:06.123 h postfix/cleanup[1]: {q}: message-id=<98494.1.2@cl>", text_line]
+
+    # run 1: one text only "dns problem" matches, so that rule collects hits
+    dns_only = "2013 Jun 16 16:05:07.123 h postfix/smtp[1]: {q}: to=<a@b.cz>, status=deferred (dns timeout)"
+    _write_lines(os.path.join(logs, "mail.log.1"),
+                 queue("AAAAAAAAAAAAAA1", dns_only.format(q="AAAAAAAAAAAAAA1"))
+                 + queue("AAAAAAAAAAAAAA2", dns_only.format(q="AAAAAAAAAAAAAA2")))
+    run_index(spark, logs, index, adaptive_rule_order=True)
+    hits = {r.rule_id: r.hits for r in read_rule_hits(spark, index).collect()}
+    assert hits[14] == 2
+    # run 2: a text matching both "host not found" (earlier in the list) and "dns problem"
+    os.rename(os.path.join(logs, "mail.log.1"), os.path.join(logs, "mail.log.2"))
+    _write_lines(os.path.join(logs, "mail.log.1"), queue("BBBBBBBBBBBBBB1", line.format(q="BBBBBBBBBBBBBB1")))
+    run_index(spark, logs, index, adaptive_rule_order=True)
+    d = spark.read.parquet(f"{index}/deliveries").where("queue_id = 'BBBBBBBBBBBBBB1'").first()
+    assert d.state_info == "dns problem"
