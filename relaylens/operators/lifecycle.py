@@ -172,20 +172,6 @@ def _traced(rows: DataFrame, folded: DataFrame) -> DataFrame:
     return t.withColumn("alive", alive).withColumn("emit", emit)
 
 
-def trace_queues(parsed: DataFrame, open_queues: DataFrame | None = None) -> DataFrame:
-    """Per recognised line: the queue state the automaton sees at that line."""
-    rows = _row_windows(parsed)
-    summ = _chunk_summaries(rows)
-    if open_queues is not None:
-        summ = summ.unionByName(_seed_summaries(open_queues))
-    return _traced(rows, _fold_summaries(summ))
-
-
-RECORD_COLUMNS = [
-    "client_id", "date_ms", "queue_id", "msg_id", "rcpt_email", "sender_email", "status", "info",
-]
-
-
 def emitted_records(traced: DataFrame) -> DataFrame:
     """Delivery records (before classification) from a traced frame."""
     is_e = F.col("kind") == "E"
@@ -203,9 +189,10 @@ def emitted_records(traced: DataFrame) -> DataFrame:
 
 
 def open_queues(parsed: DataFrame, seed: DataFrame | None = None) -> DataFrame:
-    """Queues still open after the last line (LIFE-2): the state to carry on."""
-    rows = _row_windows(parsed)
-    summ = _chunk_summaries(rows)
+    """Queues still open after the last line (LIFE-2): the state to carry on.
+
+    Needs only the split summaries, never the per-line evaluation."""
+    summ = _chunk_summaries(_row_windows(parsed))
     if seed is not None:
         summ = summ.unionByName(_seed_summaries(seed))
     return _open_from_folded(_fold_summaries(summ))
@@ -287,17 +274,20 @@ def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
     return Correlation(emitted_records(traced), _open_from_folded(folded), traced)
 
 
-def lifecycle_diagnostics(traced: DataFrame) -> DataFrame:
-    """LIFE-4: duplicate message-ids, client-ids without a queue, bad expiries."""
+def _entry_open_before() -> Column:
+    """Whether the queue had a live entry just before this line."""
     w = Window.partitionBy(*_CHUNK).orderBy("line_seq")
     dead_row = F.col("is_r") | (F.col("is_ae") & F.col("cid_at").isNull())
-    alive_after = F.col("alive") & ~dead_row
     carried_alive = F.coalesce(F.col("c_exists"), F.lit(False)) & ~F.coalesce(F.col("c_dead"), F.lit(False))
-    prev_alive = F.coalesce(F.lag(alive_after).over(w), carried_alive)
+    return F.coalesce(F.lag(F.col("alive") & ~dead_row).over(w), carried_alive)
+
+
+def lifecycle_diagnostics(traced: DataFrame) -> DataFrame:
+    """LIFE-4: duplicate message-ids, client-ids without a queue, bad expiries."""
     k = F.col("kind")
     cid_ok = F.col("alive") & F.col("cid_at").isNotNull()
     reason = (
-        F.when((k == "M") & prev_alive, F.lit("duplicate message-id"))
+        F.when((k == "M") & _entry_open_before(), F.lit("duplicate message-id"))
         .when((k == "C") & ~F.col("alive"), F.lit("client-id without queue"))
         .when((k == "E") & cid_ok & ~F.col("def_before"), F.lit("expired, never deferred"))
         .when((k == "E") & cid_ok & F.col("drcpt_before").isNull(), F.lit("expired without recipient"))
@@ -308,14 +298,10 @@ def lifecycle_diagnostics(traced: DataFrame) -> DataFrame:
 
 def ingest_stats(traced: DataFrame) -> DataFrame:
     """LIFE-5 / AGG-7: per-file counters of one ingest run."""
-    w = Window.partitionBy(*_CHUNK).orderBy("line_seq")
-    dead_row = F.col("is_r") | (F.col("is_ae") & F.col("cid_at").isNull())
-    carried_alive = F.coalesce(F.col("c_exists"), F.lit(False)) & ~F.coalesce(F.col("c_dead"), F.lit(False))
-    prev_alive = F.coalesce(F.lag(F.col("alive") & ~dead_row).over(w), carried_alive)
     k = F.col("kind")
     t = traced.select(
         "file", "event_ms", "kind", "emit",
-        ((k == "M") & ~prev_alive).alias("new_mid"),
+        ((k == "M") & ~_entry_open_before()).alias("new_mid"),
         ((k == "C") & F.col("alive") & F.col("cid_before").isNull()).alias("cid_set"),
     )
     return t.groupBy("file").agg(
