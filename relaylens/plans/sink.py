@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from ..schema import OPEN_QUEUES, RECORD_KEY
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the path
-        return True
-    except Exception:  # noqa: BLE001 - missing or empty path
+def _exists(path: str) -> bool:
+    """A file-system check (no Spark listing of a possibly huge index)."""
+    import pyarrow.fs as pafs
+
+    fs, root = _fs(path)
+    if fs.get_file_info(root).type != pafs.FileType.Directory:
         return False
+    return any(i.base_name.startswith("client_id=") for i in fs.get_file_info(pafs.FileSelector(root)))
 
 
 def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None = None) -> int:
@@ -44,7 +46,7 @@ def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None =
     if not span.n:
         return 0
     new = staged
-    if _exists(spark, path):
+    if _exists(path):
         stored = (spark.read.parquet(path)
                   .where(F.col("day").between(F.lit(span.lo), F.lit(span.hi)))
                   .select(*RECORD_KEY))
