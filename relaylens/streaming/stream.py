@@ -124,3 +124,22 @@ def stream_deliveries(lines: DataFrame, rules: DataFrame, seeds: DataFrame | Non
     records = parsed.groupBy("queue_id").applyInPandasWithState(
         _automaton(ttl_ms), RECORD_SCHEMA, STATE_SCHEMA, "append", timeout)
     return to_delivery_rows(classify(records, rules))
+
+
+def start_index_stream(lines: DataFrame, rules: DataFrame, index_dir: str, checkpoint_location: str,
+                       seeds: DataFrame | None = None, time_zone: str = "UTC", ttl_ms: int | None = None,
+                       trigger: dict | None = None):
+    """Run the live path into the same index the batch job writes.
+
+    Each micro-batch goes through :func:`write_deliveries` (``foreachBatch``):
+    its set semantics make a replayed batch a no-op, so the index stays exact
+    across restarts, and batch and stream share one table layout."""
+    from ..plans.sink import write_deliveries
+
+    def commit(batch: DataFrame, epoch_id: int) -> None:
+        write_deliveries(batch, f"{index_dir}/deliveries")
+
+    out = stream_deliveries(lines, rules, seeds, time_zone, ttl_ms)
+    writer = out.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint_location)
+    writer = writer.trigger(**(trigger or {"processingTime": "10 seconds"}))
+    return writer.start()
