@@ -18,7 +18,7 @@ from ..operators.classify import classify
 from ..operators.lifecycle import correlate
 from ..operators.parse import parse_lines
 from ..operators.query import DAY_MS
-from ..schema import RECORD_KEY
+from ..schema import DEDUP_ORDER
 
 
 class Index(NamedTuple):
@@ -39,8 +39,11 @@ def to_delivery_rows(classified: DataFrame) -> DataFrame:
 
 
 def distinct_records(deliveries: DataFrame) -> DataFrame:
-    """Set semantics of the index: one row per distinct record."""
-    return deliveries.dropDuplicates(RECORD_KEY)
+    """Set semantics of the index: one row per distinct record (the ten
+    record fields); other columns are taken from any one duplicate."""
+    others = [c for c in deliveries.columns if c not in DEDUP_ORDER]
+    return (deliveries.groupBy(*DEDUP_ORDER).agg(*[F.first(c).alias(c) for c in others])
+            .select(*deliveries.columns))
 
 
 def build_deliveries(raw_lines: DataFrame, rules: DataFrame, open_queues_seed: DataFrame | None = None,

@@ -38,6 +38,7 @@ def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None =
     clusters duplicates, so de-duplication needs no shuffle of its own.
     Returns the number of staged rows."""
     from ..session import checkpoint_dir
+    from .pipeline import distinct_records
 
     spark = deliveries.sparkSession
     checkpoint_dir(spark)
@@ -53,8 +54,7 @@ def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None =
         cond = [new[c].eqNullSafe(stored[c]) for c in RECORD_KEY]
         new = new.join(stored, cond, "left_anti")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (new.repartitionByRange(n, "client_id", "date_ms")
-        .dropDuplicates(RECORD_KEY)
+    (distinct_records(new.repartitionByRange(n, "client_id", "date_ms"))
         .sortWithinPartitions("client_id", "day", "date_ms")
         .write.mode("append").partitionBy("client_id", "day").parquet(path))
     return span.n

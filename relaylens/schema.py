@@ -25,6 +25,14 @@ RECORD_KEY = [
     "status", "info", "state", "state_info",
 ]
 
+# the same fields in the order used for de-duplication: a sort-based
+# aggregate compares an 8-byte prefix of the first key, which date_ms makes
+# nearly unique
+DEDUP_ORDER = [
+    "date_ms", "queue_id", "client_id", "rcpt_email", "msg_id", "status", "state", "info",
+    "sender_email", "state_info",
+]
+
 INGESTED_FILES = T.StructType([
     T.StructField("file", S), T.StructField("digest", S), T.StructField("rows", L),
     T.StructField("ingested_at", T.TimestampType()),
