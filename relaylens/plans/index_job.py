@@ -21,7 +21,8 @@ from ..operators.lifecycle import correlate, ingest_stats
 from ..operators.parse import parse_lines
 from ..schema import INGESTED_FILES
 from ..session import checkpoint_dir
-from ..sources.logfiles import file_digests, list_log_files, read_mail_logs, select_log_files, skip_ingested
+from ..sources.logfiles import (file_digests, list_log_files, one_file_per_digest, read_mail_logs,
+                                select_log_files, skip_ingested)
 from ..sources.rules import default_rules, load_bounce_rules
 from .pipeline import to_delivery_rows
 from .sink import read_open_queues, write_deliveries, write_open_queues
@@ -63,8 +64,8 @@ def run_index(spark: SparkSession, log_dir: str, index_dir: str, rules_path: str
     chosen = select_log_files(files, budget_mb).where("selected")
     if include_live:
         chosen = chosen.unionByName(files.where("is_live").withColumn("selected", F.lit(True)))
-    todo = skip_ingested(file_digests(chosen).join(chosen.select("path", "size_bytes"), "path"),
-                         read_ledger(spark, index_dir))
+    todo = one_file_per_digest(skip_ingested(
+        file_digests(chosen).join(chosen.select("path", "size_bytes"), "path"), read_ledger(spark, index_dir)))
     # the file list: one row per log file, never data
     picked = todo.select("path", "file", "digest").collect()
     if not picked:

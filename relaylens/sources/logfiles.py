@@ -131,6 +131,16 @@ def skip_ingested(files_with_digest: DataFrame, ledger: DataFrame) -> DataFrame:
     return files_with_digest.join(ledger.select("digest").distinct(), "digest", "left_anti")
 
 
+def one_file_per_digest(files_with_digest: DataFrame) -> DataFrame:
+    """Two names with the same first line (``mail.log.2`` next to
+    ``mail.log.2.gz``) are one file: keep the first name (a per-digest
+    aggregate over the file listing)."""
+    cols = files_with_digest.columns
+    picked = files_with_digest.groupBy("digest").agg(
+        F.min_by(F.struct(*[c for c in cols if c != "digest"]), F.col("file")).alias("_f"))
+    return picked.select("digest", "_f.*").select(*cols)
+
+
 def ingested_log_files(files_with_digest: DataFrame, ledger: DataFrame) -> DataFrame:
     """SRC-6: present files (>= 10 bytes) already ingested, sorted by name."""
     present = files_with_digest

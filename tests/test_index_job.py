@@ -106,3 +106,17 @@ def test_adaptive_rule_order_uses_earlier_hits(spark, scratch):
     run_index(spark, logs, index, adaptive_rule_order=True)
     d = spark.read.parquet(f"{index}/deliveries").where("queue_id = 'BBBBBBBBBBBBBB1'").first()
     assert d.state_info == "dns problem"
+
+
+def test_same_file_under_two_names_is_read_once(spark, scratch):
+    import gzip
+
+    lines = fixture_log.lines()
+    logs, index = os.path.join(scratch, "logs"), os.path.join(scratch, "index")
+    os.makedirs(logs)
+    _write_lines(os.path.join(logs, "mail.log.2"), lines)
+    with open(os.path.join(logs, "mail.log.2.gz"), "wb") as fh:
+        fh.write(gzip.compress(("\n".join(lines) + "\n").encode()))
+    res = run_index(spark, logs, index)
+    assert res.files == ["mail.log.2"]
+    assert len(_records(spark, index)) == 16
