@@ -24,8 +24,8 @@ def test_stream_equals_batch(spark, scratch):
     assert _rows(out) == _batch(spark)
 
 
-def _run(spark, landing, base, rules, seeds=None):
-    out = stream_deliveries(stream_mail_logs(spark, landing), rules, seeds)
+def _run(spark, landing, base, rules, seeds=None, max_files=None):
+    out = stream_deliveries(stream_mail_logs(spark, landing, max_files), rules, seeds)
     q = (out.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt")
          .option("path", f"{base}/out").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -80,3 +80,55 @@ def test_stream_into_index_is_exact_after_replay(spark, scratch):
     from relaylens.plans.sink import write_deliveries
     write_deliveries(spark.read.parquet(f"{scratch}/index/deliveries"), f"{scratch}/index/deliveries")
     assert _rows(spark.read.parquet(f"{scratch}/index/deliveries")) == first
+
+
+def _random_text_trace(seed, n_queues=10, n_lines=300):
+    import random
+
+    rng = random.Random(seed)
+    qids = [f"R{seed:02d}Q{i:011d}" for i in range(n_queues)]
+    out = []
+    for i in range(n_lines):
+        q = rng.choice(qids)
+        k = rng.choices("MCAER", weights=[2, 2, 6, 1, 1])[0]
+        stamp = f"2013 Jun {1 + i // 100} 10:{(i // 60) % 60:02d}:{i % 60:02d}.{i % 1000:03d}"
+        if k == "M":
+            mid = rng.choice([f"<98494.{i}.7@cl{rng.randint(1, 2)}>", f"msgId-{i}"])
+            out.append(f"{stamp} h postfix/cleanup[1]: {q}: message-id={mid}")
+        elif k == "C":
+            out.append(f"{stamp} h postfix/cleanup[1]: {q}: info: header client-id: cl{rng.randint(1, 3)} from x")
+        elif k == "A":
+            st = rng.choice(["deferred", "deferred", "sent", "bounced"])
+            out.append(f"{stamp} h postfix/smtp[1]: {q}: to=<r{rng.randint(0, 3)}@x.cz>, relay=none, "
+                       f"status={st} (try again later)")
+        elif k == "E":
+            out.append(f"{stamp} h postfix/qmgr[1]: {q}: from=<s@x.cz>, status=expired, returned to sender")
+        else:
+            out.append(f"{stamp} h postfix/qmgr[1]: {q}: removed")
+    return out
+
+
+def test_stream_state_machine_on_random_traces(spark, scratch):
+    from relaylens.operators.parse import parse_lines
+    from tests import automaton
+
+    rules = default_rules(spark)
+    for seed in (1, 2):
+        lines = _random_text_trace(seed)
+        landing = os.path.join(scratch, f"landing{seed}")
+        os.makedirs(landing)
+        for c in range(3):  # three chunks landed in order
+            path = os.path.join(landing, f"chunk-{c:06d}.log")
+            with open(path, "w") as fh:
+                fh.write("\n".join(lines[c * 100:(c + 1) * 100]) + "\n")
+            os.utime(path, (1_000_000 + c * 10, 1_000_000 + c * 10))
+        base = os.path.join(scratch, f"run{seed}")
+        # seed 2: one chunk per micro-batch, so queue state crosses batches
+        _run(spark, landing, base, rules, max_files=1 if seed == 2 else None)
+        got = sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").select(
+            "client_id", "date_ms", "queue_id", "msg_id", "rcpt_email", "sender_email", "status", "info").collect())
+        raw = spark.createDataFrame([("f", 1, 0, i, l) for i, l in enumerate(lines)],
+                                    "file string, rotation int, block_start long, line_seq long, line string")
+        parsed = [r.asDict() for r in parse_lines(raw).orderBy("line_seq").collect()]
+        expected, _ = automaton.run(parsed)
+        assert got == sorted(e[:8] for e in expected)
