@@ -107,3 +107,13 @@ def test_status_aggregates(idx):
     assert age.index_age_ms == age.oldest_ms == ms("2013 Jun 10 15:34:42.123")
     assert ST.records_by_client(idx).count() == 16
     assert [tuple(r) for r in ST.client_record_counts(idx).collect()] == [(C, 16)]
+
+
+def test_index_age_of_empty_index_is_now(spark, idx):
+    import time
+
+    empty = idx.where("1 = 0")
+    before = int(time.time() * 1000)
+    age = ST.index_age(empty).first()
+    assert age.index_age_ms >= before - 1000 and age.oldest_ms >= before - 1000
+    assert [tuple(r) for r in ST.recipient_counts(idx, approx=True).collect()] == [(C, 4)]
