@@ -73,8 +73,9 @@ def run_index(spark: SparkSession, log_dir: str, index_dir: str, rules_path: str
     raw = read_mail_logs(spark, [r.path for r in picked], pattern, live_file)
     parsed = parse_lines(raw, time_zone)
     corr = correlate(parsed, read_open_queues(spark, f"{index_dir}/open_queues"), materialize="table")
-    classified = classify(corr.records, rules, hits, keep_rule_id=True)
-    write_deliveries(to_delivery_rows(classified), f"{index_dir}/deliveries")
+    # staged once: the index append and the rule-hit counts both read it
+    classified = classify(corr.records, rules, hits, keep_rule_id=True).checkpoint(eager=True)
+    write_deliveries(to_delivery_rows(classified), f"{index_dir}/deliveries", staged=True)
     (bounce_rule_hits(classified, rules).select("rule_id", "hits")
         .write.mode("append").parquet(f"{index_dir}/rule_hits"))
     write_open_queues(corr.open_queues, f"{index_dir}/open_queues")

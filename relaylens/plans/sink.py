@@ -28,7 +28,8 @@ def _exists(path: str) -> bool:
     return any(i.base_name.startswith("client_id=") for i in fs.get_file_info(pafs.FileSelector(root)))
 
 
-def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None = None) -> int:
+def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None = None,
+                     staged: bool = False) -> int:
     """SNK-1: add records to the index at ``path`` with set semantics.
 
     The batch is staged once in the shared checkpoint folder (so its day range
@@ -36,17 +37,18 @@ def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None =
     anti-joined away, null-safe, reading only the days the batch touches; the
     range exchange on (client_id, date_ms) both lays the files out and
     clusters duplicates, so de-duplication needs no shuffle of its own.
-    Returns the number of staged rows."""
+    ``staged=True`` says the caller already materialized ``deliveries``.
+    Returns the number of rows offered."""
     from ..session import checkpoint_dir
     from .pipeline import distinct_records
 
     spark = deliveries.sparkSession
     checkpoint_dir(spark)
-    staged = deliveries.checkpoint(eager=True)
-    span = staged.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count("*").alias("n")).first()
+    batch = deliveries if staged else deliveries.checkpoint(eager=True)
+    span = batch.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count("*").alias("n")).first()
     if not span.n:
         return 0
-    new = staged
+    new = batch
     if _exists(path):
         stored = (spark.read.parquet(path)
                   .where(F.col("day").between(F.lit(span.lo), F.lit(span.hi)))
