@@ -28,7 +28,7 @@ from relaylens.operators import status as ST  # noqa: E402
 from relaylens.operators.parse import parse_lines, rejected_lines  # noqa: E402
 from relaylens.plans.pipeline import build_deliveries  # noqa: E402
 from relaylens.plans.sink import to_json_rows  # noqa: E402
-from relaylens.session import checkpoint_dir  # noqa: E402
+from relaylens.session import checkpoint_dir, ship_package  # noqa: E402
 from relaylens.sources import logfiles as LF  # noqa: E402
 from relaylens.sources.rules import default_rules  # noqa: E402
 from relaylens.sources.synth import synthetic_raw_lines  # noqa: E402
@@ -52,6 +52,7 @@ RECORD = QY.RECORD_FIELDS
 
 
 def _raw(spark, sf_dir):
+    ship_package(spark)  # Python tasks (streaming state) import the package
     return synthetic_raw_lines(spark, sf_dir)
 
 

@@ -45,16 +45,15 @@ def _first_by_seq(value: Column, cond: Column) -> Column:
     return F.min(F.when(cond & value.isNotNull(), F.struct(F.col("line_seq").alias("s"), value.alias("v")))).getField("v")
 
 
-def _row_windows(parsed: DataFrame, partitions: int | None = None) -> DataFrame:
+def _row_windows(parsed: DataFrame) -> DataFrame:
     k = F.col("kind")
-    n = partitions or int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # explicit hash layout on the split key with a fixed partition count: the
-    # windows, the split summaries and the carry join all use it, and it
-    # survives a checkpoint (AQE does not re-coalesce a user repartition)
+    # hash layout on the split key (spark.sql.shuffle.partitions buckets, which
+    # AQE may pack into fewer tasks for small inputs): the windows, the split
+    # summaries and the bucketed row table all follow it
     rows = parsed.select(
         "queue_id", "file", "rotation", "block_start", "line_seq", "kind", "event_ms",
         "rcpt_email", "sender_email", "status", "info", "msg_id", "client_id",
-    ).where(F.col("queue_id").isNotNull()).repartition(n, *_CHUNK)
+    ).where(F.col("queue_id").isNotNull()).repartition(*_CHUNK)
     rows = rows.select(
         "*",
         (k == "M").alias("is_m"),

@@ -8,6 +8,28 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``relaylens`` importable in Python workers (``addPyFile``).
+
+    Needed where Python runs in tasks (streaming state, first-line digests)
+    and the package is not installed on the executors.  Once per context."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="relaylens-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "relaylens"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="relaylens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def get_spark(app: str = "relaylens", master: str | None = None, shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
     """Session with the settings the plans are written for (AQE, skew joins,
@@ -33,6 +55,7 @@ def get_spark(app: str = "relaylens", master: str | None = None, shuffle_partiti
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
