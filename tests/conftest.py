@@ -21,6 +21,9 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(ckpt)
+    from relaylens.session import ship_package
+
+    ship_package(s)  # Python tasks import the package whatever the working directory
     yield s
 
 
