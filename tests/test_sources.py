@@ -64,3 +64,34 @@ def test_skip_and_list_ingested(spark, scratch):
     files = LF.list_log_files(spark, scratch)
     dig = LF.file_digests(files)
     assert [r.file for r in LF.skip_ingested(dig, ledger).collect()] == ["mail.log.1"]
+
+
+def _fold_budget(files, budget_bytes):
+    """Sequential walk newest -> oldest, as the original file arbiter does."""
+    remaining, picked = budget_bytes, set()
+    for name, rot, size in sorted(files, key=lambda f: (f[1], f[0])):
+        if size < 10 or remaining < 0:
+            continue
+        weighted = size * 10 if name.endswith("gz") or name.endswith("tar") else size
+        remaining -= weighted
+        if remaining > 0:
+            picked.add(name)
+    return picked
+
+
+def test_budget_matches_sequential_walk(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=25, deadline=None)
+    @given(st.lists(st.tuples(st.integers(1, 120), st.integers(0, 400), st.booleans()),
+                    min_size=1, max_size=8, unique_by=lambda t: t[0]),
+           st.integers(0, 2500), st.integers(0, 300))
+    def check(spec, budget, live):
+        files = [(f"mail.log.{r}" + (".gz" if gz else ""), r, size) for r, size, gz in spec]
+        df = spark.createDataFrame(files, "file string, rotation int, size_bytes long")
+        got = {r.file for r in LF.select_log_files(df, budget / 1024 / 1024, live_size_bytes=live).collect()
+               if r.selected}
+        assert got == _fold_budget(files, budget - live)
+
+    check()
