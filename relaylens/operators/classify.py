@@ -42,10 +42,11 @@ def classify(records: DataFrame, rules: DataFrame, hits: DataFrame | None = None
              keep_rule_id: bool = False) -> DataFrame:
     """CLS-1/2: add ``state`` and ``state_info`` (and optionally ``rule_id``)."""
     ordered = rule_order(rules, hits)
-    staged = records.withColumn(
+    # lower(info) once per row, not once per rule tried
+    staged = records.withColumn("_info_lc", F.lower(F.col("info"))).withColumn(
         "_rule_id",
-        F.when(~F.col("status").isin("sent", "expired"), _rule_index(F.lower(F.col("info")), ordered)),
-    )
+        F.when(~F.col("status").isin("sent", "expired"), _rule_index(F.col("_info_lc"), ordered)),
+    ).drop("_info_lc")
     # state/state_info read the rule id computed once above
     state, state_info = _classification_from_id(ordered)
     out = staged.withColumn("state", state).withColumn("state_info", state_info)
