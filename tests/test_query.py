@@ -117,3 +117,38 @@ def test_index_age_of_empty_index_is_now(spark, idx):
     age = ST.index_age(empty).first()
     assert age.index_age_ms >= before - 1000 and age.oldest_ms >= before - 1000
     assert [tuple(r) for r in ST.recipient_counts(idx, approx=True).collect()] == [(C, 4)]
+
+
+def test_slices_match_brute_force(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    schema = ("client_id string, date_ms long, queue_id string, msg_id string, rcpt_email string, "
+              "sender_email string, status string, info string, state int, state_info string")
+
+    @settings(max_examples=20, deadline=None)
+    @given(st.lists(st.integers(0, 1000), min_size=1, max_size=30), st.integers(0, 500), st.integers(1, 700),
+           st.integers(1, 300), st.sampled_from(["inclusive", "half_open"]))
+    def check(dates, frm, span, step, boundary):
+        to = frm + span
+        rows = [("c", d, f"q{i}", f"m{i}", "r", "s", "deferred", "x", 0, "t") for i, d in enumerate(dates)]
+        df = spark.createDataFrame(rows, schema)
+        out = QY.query_slices(df, "c", frm, to, step, boundary=boundary, sort=False).collect()
+        n = QY.slice_count(frm, to, step)
+        expected = {}
+        for k in range(n):
+            lo, hi = frm + k * step, min(frm + (k + 1) * step, to)
+            if boundary == "inclusive":
+                hit = [d for d in dates if lo <= d <= hi]
+            else:
+                hit = [d for d in dates if lo <= d < hi or (k == n - 1 and d == to)]
+            expected[k] = sorted(hit)
+        got = {k: [] for k in range(n)}
+        for r in out:
+            assert (r.slice_from, r.slice_to) == (frm + r.slice_id * step, min(frm + (r.slice_id + 1) * step, to))
+            if r.date_ms is not None:
+                got[r.slice_id].append(r.date_ms)
+        assert {k: sorted(v) for k, v in got.items()} == expected
+        assert {r.slice_id for r in out} == set(range(n))
+
+    check()
