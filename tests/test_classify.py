@@ -94,3 +94,11 @@ def test_xml_round_trip_and_validation(spark, scratch):
 
 def test_default_rules_module_is_document_order():
     assert DEFAULT_RULES[0][1] == "try again" and DEFAULT_RULES[-1][1] == "authentication required"
+
+
+def test_categories_with_quotes_survive(spark):
+    from relaylens.sources.rules import rules_from_list
+
+    rules = rules_from_list(spark, [("hard", "isn't \\\\ here", ["nope"]), ("soft", "it's 'quoted'", ["later"])])
+    got = _classify(spark, [(1, "deferred", "try later", False), (2, "bounced", "nope", False)], rules)
+    assert got == {1: (0, "it's 'quoted'"), 2: (1, "isn't \\\\ here")}
