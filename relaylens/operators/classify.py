@@ -30,12 +30,17 @@ def rule_order(rules: DataFrame, hits: DataFrame | None = None) -> list[dict]:
     return [{k: r[k] for k in ("rule_id", "type", "category", "regex")} for r in rows]
 
 
-def _rule_index(info_lc: Column, ordered: list[dict]) -> Column:
-    out = None
-    for r in ordered:
-        cond = info_lc.rlike(r["regex"])
-        out = F.when(cond, F.lit(r["rule_id"])) if out is None else out.when(cond, F.lit(r["rule_id"]))
-    return out if out is not None else F.lit(None).cast("int")
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _rule_index(info_lc: str, ordered: list[dict]):
+    """Id of the first rule (in priority order) whose regex is found in the
+    lower-cased text -- one SQL CASE (regexes as escaped literals)."""
+    if not ordered:
+        return F.lit(None).cast("int")
+    whens = " ".join(f"WHEN {info_lc} RLIKE {_sql_str(r['regex'])} THEN {int(r['rule_id'])}" for r in ordered)
+    return F.expr(f"CASE {whens} END")
 
 
 def classify(records: DataFrame, rules: DataFrame, hits: DataFrame | None = None,
@@ -45,7 +50,7 @@ def classify(records: DataFrame, rules: DataFrame, hits: DataFrame | None = None
     # lower(info) once per row, not once per rule tried
     staged = records.withColumn("_info_lc", F.lower(F.col("info"))).withColumn(
         "_rule_id",
-        F.when(~F.col("status").isin("sent", "expired"), _rule_index(F.col("_info_lc"), ordered)),
+        F.when(~F.col("status").isin("sent", "expired"), _rule_index("_info_lc", ordered)),
     ).drop("_info_lc")
     # state/state_info read the rule id computed once above
     state, state_info = _classification_from_id(ordered)
@@ -55,10 +60,6 @@ def classify(records: DataFrame, rules: DataFrame, hits: DataFrame | None = None
     return out.drop("_rule_id")
 
 
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _classification_from_id(ordered: list[dict]):
     """state / state_info from status, the deferral flag and the rule id.
 

@@ -102,3 +102,12 @@ def test_categories_with_quotes_survive(spark):
     rules = rules_from_list(spark, [("hard", "isn't \\\\ here", ["nope"]), ("soft", "it's 'quoted'", ["later"])])
     got = _classify(spark, [(1, "deferred", "try later", False), (2, "bounced", "nope", False)], rules)
     assert got == {1: (0, "it's 'quoted'"), 2: (1, "isn't \\\\ here")}
+
+
+def test_rule_regex_with_escapes(spark):
+    from relaylens.sources.rules import rules_from_list
+
+    rules = rules_from_list(spark, [("soft", "three digits", [r"\d{3} blocked"]), ("hard", "dot", [r"a\.b"])])
+    got = _classify(spark, [(1, "deferred", "421 blocked", False), (2, "bounced", "axb", False),
+                            (3, "bounced", "a.b", False)], rules)
+    assert got == {1: (0, "three digits"), 2: (2, "unable to decide on type of bounce"), 3: (1, "dot")}
