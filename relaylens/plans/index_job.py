@@ -3,7 +3,8 @@
 select files by budget -> skip files already ingested (first-line digest) ->
 read lines -> parse -> correlate, continuing the open queues of the last run
 -> classify -> append to the index; then store the new open-queue generation,
-the ledger rows and the run counters.  The windowed lines are written once as a
+the rule hits, the lifecycle diagnostics, the per-file counters and the ledger
+rows.  The windowed lines are written once as a
 bucketed table in the shared checkpoint folder, so the outputs never re-read or re-parse the
 logs and a lost executor does not send the job back to the raw files.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators.classify import bounce_rule_hits, classify
-from ..operators.lifecycle import correlate, ingest_stats
+from ..operators.lifecycle import correlate, ingest_stats, lifecycle_diagnostics
 from ..operators.parse import parse_lines
 from ..schema import INGESTED_FILES
 from ..session import checkpoint_dir
@@ -79,7 +80,12 @@ def run_index(spark: SparkSession, log_dir: str, index_dir: str, rules_path: str
     (bounce_rule_hits(classified, rules).select("rule_id", "hits")
         .write.mode("append").parquet(f"{index_dir}/rule_hits"))
     write_open_queues(corr.open_queues, f"{index_dir}/open_queues")
+    # what the agent logged or mailed per run: diagnostics and counters
+    run_at = F.current_timestamp().alias("run_at")
+    lifecycle_diagnostics(corr.traced).select("*", run_at).write.mode("append").parquet(
+        f"{index_dir}/diagnostics")
     stats = ingest_stats(corr.traced)
+    stats.select("*", run_at).write.mode("append").parquet(f"{index_dir}/ingest_stats")
     per_file = corr.traced.groupBy("file").agg(F.count("*").alias("rows"))
     ledger_rows = spark.createDataFrame([(r.file, r.digest) for r in picked], "file string, digest string")
     (ledger_rows.join(per_file, "file", "left")

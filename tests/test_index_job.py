@@ -28,6 +28,9 @@ def test_index_run_is_idempotent(spark, scratch):
     assert len(first) == 16
     assert [r.queue_id for r in read_open_queues(spark, f"{index}/open_queues").collect()] == ["3bYsfs23wBzs7Dv"]
     assert read_ledger(spark, index).count() == 1
+    st = spark.read.parquet(f"{index}/ingest_stats").collect()
+    assert [(r.file, r.message_id_lines, r.attempts, r.removed_lines) for r in st] == [("mail.log.1", 4, 16, 3)]
+    assert spark.read.parquet(f"{index}/diagnostics").count() == 0
     again = run_index(spark, logs, index)
     assert again.files == [] and _records(spark, index) == first
     # partition layout: client and day folders
