@@ -5,7 +5,8 @@
                              [--from-ms N] [--to-ms N] [--last | --first] [--group-by msgId]
                              [--slice-ms N] [--include-ok] [--out path]
   python -m relaylens status --index-dir /data/mailidx recipient-counts|recipients|unknown-bounces|
-                             index-age|client-ids|client-record-counts [--out path]
+                             index-age|client-ids|client-record-counts|
+                             diagnostics|ingest-stats|rule-hits|ingested-files [--out path]
 
 Results are JSON objects, one per row: written by Spark to ``--out`` or
 streamed to stdout partition by partition (``toLocalIterator``).
@@ -31,6 +32,11 @@ STATUS = {
 }
 
 
+# tables the index job appends per run
+RUN_TABLES = {"diagnostics": "diagnostics", "ingest-stats": "ingest_stats", "rule-hits": "rule_hits",
+              "ingested-files": "ingested_files"}
+
+
 def _emit(df, out: str | None) -> None:
     rows = to_json_rows(df)
     if out:
@@ -72,7 +78,7 @@ def main(argv=None) -> int:
 
     st = sub.add_parser("status", help="aggregates over all clients")
     st.add_argument("--index-dir", required=True)
-    st.add_argument("what", choices=sorted(STATUS))
+    st.add_argument("what", choices=sorted(STATUS) + sorted(RUN_TABLES))
     st.add_argument("--out")
 
     a = ap.parse_args(argv)
@@ -86,6 +92,9 @@ def main(argv=None) -> int:
                         include_live=a.include_live, adaptive_rule_order=a.adaptive_rule_order)
         sys.stdout.write(json.dumps({"indexed_files": res.files}) + "\n")
         return 0
+    if a.cmd == "status" and a.what in RUN_TABLES:
+        _emit(spark.read.parquet(f"{a.index_dir}/{RUN_TABLES[a.what]}"), a.out)
+        return 0
     idx = spark.read.parquet(f"{a.index_dir}/deliveries")
     if a.cmd == "status":
         _emit(STATUS[a.what](idx), a.out)

@@ -23,6 +23,10 @@ def test_cli_index_query_status(spark, scratch, capsys):
     slices = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert sorted({r["slice_id"] for r in slices}) == list(range(7))
 
+    main(["status", "--index-dir", index, "ingest-stats"])
+    stats = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(r["file"], r["attempts"]) for r in stats] == [("mail.log.1", 16)]
+
     out = os.path.join(scratch, "ids")
     main(["status", "--index-dir", index, "client-ids", "--out", out])
     assert [json.loads(r.value)["client_id"] for r in spark.read.text(out).collect()] == ["test-mail-module"]
