@@ -34,6 +34,12 @@ from relaylens.sources.rules import default_rules  # noqa: E402
 from relaylens.sources.synth import synthetic_raw_lines  # noqa: E402
 
 
+try:  # the training-data operators are a subpackage of their own that may be absent
+    from relaylens.llm import queries as LLM
+except ImportError:
+    LLM = None
+
+
 def _ms(s: str) -> int:
     return int(datetime.strptime(s, "%Y-%m-%d %H:%M").replace(tzinfo=timezone.utc).timestamp() * 1000)
 
@@ -279,10 +285,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingested_log_files": _q_ingested,
         "json_rows": _q_json,
         "stream_deliveries": _q_stream,
-    }
+    } | (LLM.QUERIES if LLM else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_entries import oracle_queries
 
-    return oracle_queries()
+    return oracle_queries() | (LLM.oracle_sql() if LLM else {})
