@@ -17,6 +17,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
+def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    prepare(spark)
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    prepare(spark)
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import score
+
+    prepare(spark)
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    prepare(spark)
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -32,11 +60,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_rules, op9_mix_sources, op10_license_scan)
+    f.__name__: f for f in (op4_quality_rules, op5_top_k_search, op6_best_fit_packing, op7_quality_classifier, op8_warc_round_trip, op9_mix_sources, op10_license_scan)
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses
+    from . import licenses, topk, warc
 
-    return {"op10_license_scan": licenses.oracle_sql()}
+    return {"op5_top_k_search": topk.oracle_sql(), "op8_warc_round_trip": warc.oracle_sql(), "op10_license_scan": licenses.oracle_sql()}
