@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from relaylens.session import checkpoint_dir, ship_package
 
 # The white space that separates words: space and the characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
+_STORED: dict[int, tuple[str, DataFrame]] = {}  # tables by the frame that reads them
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,7 +46,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(back)] = (path, back)
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    path = _STORED.pop(id(df), None)
+    if path:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path[0])
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs that nothing refers to: it does so as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

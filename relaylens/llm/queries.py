@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import prepare, table
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removed
+
+    prepare(spark)
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality
 
@@ -60,7 +67,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_rules, op5_top_k_search, op6_best_fit_packing, op7_quality_classifier, op8_warc_round_trip, op9_mix_sources, op10_license_scan)
+    f.__name__: f for f in (op3_repeated_passages, op4_quality_rules, op5_top_k_search, op6_best_fit_packing, op7_quality_classifier, op8_warc_round_trip, op9_mix_sources, op10_license_scan)
 }
 
 
