@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import prepare, table
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    prepare(spark)
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import removed
 
@@ -67,7 +74,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_repeated_passages, op4_quality_rules, op5_top_k_search, op6_best_fit_packing, op7_quality_classifier, op8_warc_round_trip, op9_mix_sources, op10_license_scan)
+    f.__name__: f for f in (op2_near_duplicates, op3_repeated_passages, op4_quality_rules, op5_top_k_search, op6_best_fit_packing, op7_quality_classifier, op8_warc_round_trip, op9_mix_sources, op10_license_scan)
 }
 
 

@@ -33,51 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, discard, release, stored
+from .hashing import PART, Part, mixed
 
 LENGTH = 200
 GRAM = 24
-PART = 1 << 20  # bytes hashed at once
 BATCH = 1_500_000
 CROWD = 4000
 
-_B = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        for name, base in (("up", _B), ("down", pow(_B, -1, 1 << 64))):
-            p = np.full(PART + 1, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Part:
-    """Bytes hashed so that any range's hash takes a few operations."""
-
-    def __init__(self, data: bytes):
-        self.raw = np.frombuffer(data, dtype=np.uint8)
-        self.up, self.down = _powers()
-        values = (self.raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(self.raw)]
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-
-    def hashes(self, start, end) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
-
-
 def snippets(part: Part, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """start, number of strings, anchor and hash of each snippet; ``ends`` are where the texts in the part end."""
     n = len(part.raw)
     if n < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64),) * 2
-    h = _mixed((part.sums[gram:] - part.sums[:-gram]) * part.down[: n - gram + 1])
+    h = mixed((part.sums[gram:] - part.sums[:-gram]) * part.down[: n - gram + 1])
     low = np.uint64(PART * 2 - 1)
     m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     width, have = length - gram + 1, 1
