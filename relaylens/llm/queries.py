@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import prepare, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scores
+
+    prepare(spark)
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import near_duplicates
 
@@ -74,7 +81,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_near_duplicates, op3_repeated_passages, op4_quality_rules, op5_top_k_search, op6_best_fit_packing, op7_quality_classifier, op8_warc_round_trip, op9_mix_sources, op10_license_scan)
+    f.__name__: f for f in (op1_lm_scoring, op2_near_duplicates, op3_repeated_passages, op4_quality_rules, op5_top_k_search, op6_best_fit_packing, op7_quality_classifier, op8_warc_round_trip, op9_mix_sources, op10_license_scan)
 }
 
 
