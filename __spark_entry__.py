@@ -11,6 +11,7 @@ library's real parser, lifecycle scan, classifier and query operators.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -34,10 +35,14 @@ from relaylens.sources.rules import default_rules  # noqa: E402
 from relaylens.sources.synth import synthetic_raw_lines  # noqa: E402
 
 
-try:  # the training-data operators are a subpackage of their own that may be absent
+# the training-data operators and their pipeline may be absent; if they are there, their import errors show
+if importlib.util.find_spec("relaylens.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
     from relaylens.llm import queries as LLM
-except ImportError:
-    LLM = None
+
+    LLM_QUERIES, LLM_ORACLES = LLM.QUERIES | {"pipeline": corpus_pipeline.run}, LLM.oracle_sql
+else:
+    LLM_QUERIES, LLM_ORACLES = {}, dict
 
 
 def _ms(s: str) -> int:
@@ -285,10 +290,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingested_log_files": _q_ingested,
         "json_rows": _q_json,
         "stream_deliveries": _q_stream,
-    } | (LLM.QUERIES if LLM else {})
+    } | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_entries import oracle_queries
 
-    return oracle_queries() | (LLM.oracle_sql() if LLM else {})
+    return oracle_queries() | LLM_ORACLES()
