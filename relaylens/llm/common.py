@@ -71,6 +71,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once.
+
+    Inside a lambda a column's expression would be computed again for every element, also where the optimiser
+    puts it there (as it moves a filter below a projection); a lambda's variable is not."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def bucket(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, unit_interval
+from .common import WORD, let, stored, unit_interval
 
 FANOUT = 256
 CAP = 3
@@ -65,12 +65,7 @@ def _meet(acc: Column, x: Column) -> Column:
     a2 = a.withField("p", a["p"] + moved / a["size"])
     b2 = b.withField("p", b["p"] - moved / b["size"])
     return F.when(a.isNull(), F.struct(acc["done"].alias("done"), b.alias("cur"))).otherwise(
-        _let(F.struct(a2.alias("a"), b2.alias("b")), lambda m: _settle(acc["done"], m["a"], m["b"])))
-
-
-def _let(value: Column, f) -> Column:
-    """f(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), f), 0)
+        let(F.struct(a2.alias("a"), b2.alias("b")), lambda m: _settle(acc["done"], m["a"], m["b"])))
 
 
 def _settle(done: Column, a: Column, b: Column) -> Column:

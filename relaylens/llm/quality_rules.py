@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import let, words
 
 BUCKETS = 8192
 SMOOTH = 1.0
@@ -40,11 +40,6 @@ def _cells(w: Column) -> Column:
     return F.concat(F.transform(w, lambda x: _cell(x)), ends, F.array_remove(pairs, -1))
 
 
-def _let(value: Column, f) -> Column:
-    """f(value) with the value computed once: inside a lambda an expression would be computed for every element."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def _windows(w: Column) -> Column:
     """64-bit hashes of a text's windows of 3 words; null if there is none."""
     n = F.size(w)
@@ -57,25 +52,24 @@ def _covered(h: Column) -> Column:
     found = lambda s: F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(
         F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
     placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    at = F.sort_array(F.transform(_let(placed, found), lambda x: x["i"]))
+    at = F.sort_array(F.transform(let(placed, found), lambda x: x["i"]))
     step = lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(3), i - a["at"])).cast("long").alias("n"))
     return F.aggregate(at, F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n")), step)["n"]
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds the word list and the counts that the base rules use."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _measures(text: Column, w: Column, ratios: Column) -> Column:
+    """All counts and the score of a text with the words w, as a struct."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn("words_", words(F.col("text"))).withColumn("lines_", lines)
-    out = out.withColumn("windows_", _windows(F.col("words_")))
-    distinct = F.size(F.array_distinct("windows_")) == F.size("windows_")
-    return out.withColumns({
-        "n_words": F.size("words_").cast("long"),
-        "word_chars": F.length(F.array_join("words_", "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
-        "n_repeat_words": F.when(F.col("windows_").isNull() | distinct, F.lit(0).cast("long")).otherwise(_covered(F.col("windows_"))),
-    }).drop("lines_", "windows_")
+    none = F.lit(0).cast("long")
+    repeats = let(_windows(w), lambda h: F.when(h.isNull() | (F.size(F.array_distinct(h)) == F.size(h)), none).otherwise(_covered(h)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.get(ratios, x))
+    return F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+        repeats.alias("n_repeat_words"),
+        let(_cells(w), lambda c: F.when(F.size(c) > 0, total(c) / F.size(c)).otherwise(F.lit(0.0))).alias("score"))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
@@ -84,7 +78,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     few = trusted.count() <= BROADCAST_ROWS
     d = docs.select("doc_id", words(F.col("text")).alias("w"))
     d = d.join(F.broadcast(trusted) if few else trusted, F.col("doc_id") == F.col("trusted_id"), "left")
-    n = d.select(F.col("trusted_id").isNotNull().alias("t"), F.explode(_let(F.col("w"), _cells)).alias("c"))
+    n = d.select(F.col("trusted_id").isNotNull().alias("t"), F.explode(let(F.col("w"), _cells)).alias("c"))
     n = n.groupBy("c").agg(F.count(F.lit(1)).alias("raw"), F.count_if("t").alias("target"))
     raw, target = [SMOOTH] * BUCKETS, [SMOOTH] * BUCKETS
     for r in n.collect():  # one row per cell
@@ -101,9 +95,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text, document (all columns of ``docs`` as a struct), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
     ratios = F.split(F.lit(",".join(repr(round(x, 9)) for x in log_ratios(docs, labels))), ",").cast("array<double>")
-    d = base_counts(docs.select("doc_id", "text", F.struct("*").alias("document")))
-    total = F.aggregate(F.col("cells_"), F.lit(0.0), lambda a, c: a + F.get(ratios, c))
-    d = d.withColumn("cells_", _cells(F.col("words_")))
-    d = d.withColumn("score", F.when(F.size("cells_") > 0, total / F.size("cells_")).otherwise(F.lit(0.0)))
+    measures = let(words(F.col("text")), lambda w: _measures(F.coalesce(F.col("text"), F.lit("")), w, ratios))
+    d = docs.select("doc_id", "text", F.struct("*").alias("document")).withColumn("m", measures).select("doc_id", "text", "document", "m.*")
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("words_", "cells_")
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
