@@ -98,7 +98,7 @@ class Trees:
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> Trees:
     share = float(y.mean()) if len(y) else 0.5
     none = Trees(0.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         none.base = 0.0 if not len(y) else (30.0 if share else -30.0)
         return none
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]

@@ -10,7 +10,8 @@ document, is dealt to the next level of a tree of buckets, until one per source
 
 Cases: a null text or one without words has size 0; the null source is a source like any other and
 sorts last; a document id may repeat or be null (such rows are dealt by row, not by id); an empty
-table gives no rows; other columns don't matter.  Random numbers are hashes of document ids.
+table gives no rows; other columns don't matter.  Random numbers are hashes of document ids
+(and of row numbers for ids that repeat), so reruns on a table agree.
 """
 
 from __future__ import annotations
