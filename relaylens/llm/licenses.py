@@ -23,6 +23,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 THRESHOLD = 0.8
 
 # Licence notices as they stand in files, by licence.
@@ -64,6 +66,12 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _grams(w: Column, low: int, high: int) -> Column:
+    """The bigrams of a unit's words; null if there are too few words, or too many different ones, for any template."""
+    pairs = F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+    return F.when((F.size(w) > low) & (F.size(F.array_distinct(w)) <= high + 1), F.array_distinct(pairs))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     sets = {k: bigrams_of(v) for k, v in (TEMPLATES if templates is None else templates).items()}
@@ -74,13 +82,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     low, high = math.ceil(min(sizes) * threshold / (2 - threshold) - 1e-9), math.floor(max(sizes) * (2 - threshold) / threshold + 1e-9)
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\x09-\x0D]*\n"), F.array(text))
-    units = docs.select("doc_id", F.explode(F.array_distinct(F.transform(parts, _normal))).alias("unit"))
-    # cheap bound first: n bigrams need at least 2 n + n + 1 characters
-    units = units.where(F.length("unit") >= 3 * low)
-    w = F.split("unit", " ")
-    units = units.withColumn("w", w).where(F.size("w") > low)
-    grams = F.array_distinct(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1))))
-    units = units.withColumn("grams", grams).where(F.size("grams").between(low, high)).select("doc_id", "unit", "grams")
+    units = docs.select("doc_id", F.explode(F.transform(F.array_distinct(F.transform(parts, _normal)), lambda u: F.struct(
+        u.alias("unit"), let(F.split(u, " "), lambda w: _grams(w, low, high)).alias("grams")))).alias("u")).select("doc_id", "u.*")
+    units = units.where(F.size("grams").between(low, high))
     near = units.withColumn("anchor", F.explode("grams")).join(F.broadcast(anchors), "anchor")
     n, m = F.size("grams"), F.size("template")
     near = near.where((n >= m * threshold / (2 - threshold) - 1e-9) & (n <= m * (2 - threshold) / threshold + 1e-9))
