@@ -9,11 +9,14 @@ file's own pattern and given to the file's own model.  All other words go throug
 from __future__ import annotations
 
 import json
+import struct
 
 import numpy as np
 
 DEFAULT = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
+CACHE_PIECES = 150_000
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LONGEST_CACHED = 64
 
 
@@ -44,31 +47,43 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
-    def _encode(self, word: str) -> bytes:
-        if self.plain.fullmatch(word) and not any(t in word for t in self.added):
-            ids = []
-            for piece in self.pattern.findall(word.lower()):
-                if not piece.isascii():
-                    piece = piece.encode().decode("latin-1").translate(self.signs)
-                ids += [t.id for t in self.model.tokenize(piece)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Words of the last ``CACHE_WORDS`` new ones or so are kept: memory is bounded."""
-        got = self.young.get(word)
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the pattern cuts, in lower case."""
+        got = self.pieces.get(piece) or self.old_pieces.get(piece)
         if got is None:
-            got = self.old.get(word)
-            if got is None:
-                got = self._encode(word)
-            if len(word) <= LONGEST_CACHED:
-                if len(self.young) >= CACHE_WORDS:
-                    self.old, self.young = self.young, {}
-                self.young[word] = got
+            signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
+            ids = [t.id for t in self.model.tokenize(signs)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONGEST_CACHED:
+            if len(self.pieces) >= CACHE_PIECES:
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = got
         return got
 
+    def _encode(self, word: str) -> bytes:
+        # letters with marks after them, the most frequent kind, need no pattern: the marks are one piece
+        core = word.rstrip(MARKS)
+        if core.isalpha() and (core.isascii() or self.plain.fullmatch(core)):
+            got = self._piece(core.lower())
+            return got if len(core) == len(word) else got + self._piece(word[len(core):])
+        if self.plain.fullmatch(word) and not any(t in word for t in self.added):
+            return b"".join(map(self._piece, self.pattern.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not in ``young``.  About the last ``CACHE_WORDS`` new ones are kept: memory is bounded."""
+        found, old, encode = {}, self.old, self._encode
+        for w in words:
+            got = old.get(w)
+            found[w] = encode(w) if got is None else got
+        if len(self.young) >= CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        self.young.update((w, i) for w, i in found.items() if len(w) <= LONGEST_CACHED)
+        return found
+
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text, each as four little-endian bytes."""
         if not text:
@@ -78,8 +93,8 @@ class WordEncoder:
         ws = text.replace("\n", " ").split(" ")
         got = list(map(self.young.get, ws))
         if None in got:
-            one = self._word
-            got = [one(w) if g is None else g for w, g in zip(ws, got)]
+            new = self._learn({w for w, g in zip(ws, got) if g is None})
+            got = [new[w] if g is None else g for w, g in zip(ws, got)]
         return b"".join(got)
 
 
