@@ -5,7 +5,7 @@
 ``oracle_sql()`` gives the DuckDB twin of each (same column names).
 
 Every query reads the driver's tables: the mail log is rendered from the
-whole ``events`` table (``relaylens.sources.synth``) and then goes through the
+whole ``events`` table (``stand_in_log``) and then goes through the
 library's real parser, lifecycle scan, classifier and query operators.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import importlib.util
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -27,12 +28,14 @@ from relaylens.operators import lifecycle as LC  # noqa: E402
 from relaylens.operators import query as QY  # noqa: E402
 from relaylens.operators import status as ST  # noqa: E402
 from relaylens.operators.parse import parse_lines, rejected_lines  # noqa: E402
-from relaylens.plans.pipeline import build_deliveries  # noqa: E402
-from relaylens.plans.sink import to_json_rows  # noqa: E402
+from relaylens.plans.index_job import run_index  # noqa: E402
+from relaylens.plans.pipeline import build_deliveries, distinct_records, to_delivery_rows  # noqa: E402
+from relaylens.plans.sink import read_deliveries, read_index, to_json_rows, write_deliveries  # noqa: E402
 from relaylens.session import checkpoint_dir, ship_package  # noqa: E402
 from relaylens.sources import logfiles as LF  # noqa: E402
 from relaylens.sources.rules import default_rules  # noqa: E402
-from relaylens.sources.synth import synthetic_raw_lines  # noqa: E402
+from relaylens.streaming.runner import land_chunks, run_landed_stream  # noqa: E402
+from stand_in_log import synthetic_raw_lines  # noqa: E402
 
 
 # the training-data operators and their pipeline may be absent; if they are there, their import errors show
@@ -130,18 +133,23 @@ def _q_deliveries(spark, sf_dir):
     return _deliveries(spark, sf_dir).select(*RECORD)
 
 
+def _classified(spark, sf_dir):
+    """The job's form: one classification of all records, rule ids kept, before the set."""
+    checkpoint_dir(spark)
+    records = LC.correlate(parse_lines(_raw(spark, sf_dir)), materialize="table").records
+    return CL.classify(records, default_rules(spark), keep_rule_id=True)
+
+
 def _q_rule_hits(spark, sf_dir):
-    rules = default_rules(spark)
-    with_ids = CL.classify(_deliveries(spark, sf_dir).withColumn(
-        "has_been_deferred", F.col("state") == 4).drop("state", "state_info"), rules, keep_rule_id=True)
-    return CL.bounce_rule_hits(with_ids, rules)
+    return CL.bounce_rule_hits(_classified(spark, sf_dir), default_rules(spark))
 
 
 def _q_reclassify(spark, sf_dir):
     rules = default_rules(spark)
-    d = _deliveries(spark, sf_dir)
-    hits = _q_rule_hits(spark, sf_dir).select("rule_id", "hits")
-    return CL.reclassify(d.select(*RECORD), rules, hits=hits)
+    classified = _classified(spark, sf_dir).checkpoint()
+    hits = CL.bounce_rule_hits(classified, rules).select("rule_id", "hits")
+    index = distinct_records(to_delivery_rows(classified))
+    return CL.reclassify(index.select(*RECORD), rules, hits=hits)
 
 
 def _q_listing(spark, sf_dir):
@@ -243,10 +251,74 @@ def _q_json(spark, sf_dir):
     return to_json_rows(d)
 
 
-def _q_stream(spark, sf_dir):
-    from relaylens.streaming.runner import run_stream_over_table
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
-    return run_stream_over_table(spark, _raw(spark, sf_dir), default_rules(spark)).select(*RECORD)
+def _q_newest_first(spark, sf_dir):
+    return QY.query_deliveries(_deliveries(spark, sf_dir), CLIENT, descending=True)
+
+
+def _q_slices_half_open(spark, sf_dir):
+    return QY.query_slices(_deliveries(spark, sf_dir), CLIENT, SLICES[0], SLICES[1], SLICES[2],
+                           boundary="half_open", group_by="msgId")
+
+
+def _q_written_index(spark, sf_dir):
+    """Write the index, read it back, write the same records again: nothing changes."""
+    path = _scratch(spark, "written")
+    write_deliveries(_deliveries(spark, sf_dir), path)
+    write_deliveries(read_deliveries(spark, path), path)
+    return read_deliveries(spark, path).select(*RECORD)
+
+
+def _land_files(spark, sf_dir, path):
+    """The stand-in log as rotated text files, one per day; every third is compressed."""
+    raw = _raw(spark, sf_dir).withColumn("gz", F.col("rotation") % 3 == 0)
+    days = [r.rotation for r in raw.select("rotation").distinct().collect()]
+    jvm = spark.sparkContext._jvm
+    for gz in (False, True):
+        part = raw.where(F.col("gz") == gz).select("rotation", "block_start", "line_seq", "line")
+        (part.repartition(max(1, len(days)), "rotation").sortWithinPartitions("rotation", "block_start", "line_seq")
+            .select("line", "rotation").write.partitionBy("rotation").option("compression", "gzip" if gz else "none").text(f"{path}/parts{gz}"))
+    for day in days:
+        gz = day % 3 == 0
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/parts{gz}/rotation={day}")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/logs"))
+        parts = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+        fs.rename(parts[0], jvm.org.apache.hadoop.fs.Path(f"{path}/logs/mail.log.{day}{'.gz' if gz else ''}"))
+    return f"{path}/logs"
+
+
+def _q_read_logs(spark, sf_dir):
+    logs = _land_files(spark, sf_dir, _scratch(spark, "files"))
+    files = LF.list_log_files(spark, logs)
+    raw = LF.read_mail_logs(spark, [r.path for r in files.select("path").collect()])
+    return LF.numbered_lines(raw).select(F.regexp_replace("file", r"\.gz$", "").alias("file"), "rotation", "line_no", "line")
+
+
+def _q_indexed_files(spark, sf_dir):
+    """The index job over the files in two runs, the older half first: continuation, ledger, commit, read-back."""
+    path = _scratch(spark, "job")
+    logs = _land_files(spark, sf_dir, path)
+    days = sorted(r.rotation for r in LF.list_log_files(spark, logs).select("rotation").collect())
+    later = "|".join(str(d) for d in days[len(days) // 2:])
+    run_index(spark, logs, f"{path}/index", pattern=rf"mail\.log\.({later})(?:\.gz)?")
+    run_index(spark, logs, f"{path}/index")
+    return read_index(spark, f"{path}/index").select(*RECORD)
+
+
+def _q_stream(spark, sf_dir):
+    """Landed chunks through the stream in at least three micro-batches, restarted once."""
+    ship_package(spark)
+    base = _scratch(spark, "stream")
+    raw, rules = _raw(spark, sf_dir), default_rules(spark)
+    cut = raw.agg(F.expr("percentile_approx(rotation, 0.5)")).head()[0]
+    land_chunks(raw.where(F.col("rotation") >= cut), f"{base}/landing", 4)
+    run_landed_stream(spark, base, rules, max_files_per_trigger=2)
+    land_chunks(raw.where(F.col("rotation") < cut), f"{base}/landing", 4)
+    return run_landed_stream(spark, base, rules, max_files_per_trigger=2).select(*RECORD)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -289,6 +361,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "skip_ingested": _q_skip,
         "ingested_log_files": _q_ingested,
         "json_rows": _q_json,
+        "newest_first": _q_newest_first,
+        "time_slices_half_open": _q_slices_half_open,
+        "written_index": _q_written_index,
+        "read_log_files": _q_read_logs,
+        "indexed_files": _q_indexed_files,
         "stream_deliveries": _q_stream,
     } | LLM_QUERIES
 

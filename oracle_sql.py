@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from relaylens.functions import patterns as P
 from relaylens.sources.default_rules import DEFAULT_RULES
-from relaylens.sources.synth import duckdb_raw_lines_sql
+from stand_in_log import duckdb_raw_lines_sql
 
 
 def q(s: str) -> str:
@@ -74,7 +74,7 @@ fields AS (
     CASE kind WHEN 'A' THEN {_x(A, 2)} WHEN 'M' THEN {_x(M, 1)} WHEN 'C' THEN {_x(C, 1)}
               WHEN 'E' THEN {_x(E, 2)} WHEN 'R' THEN {_x(R, 1)} END AS queue_id,
     epoch_ms(try_strptime(CASE kind WHEN 'A' THEN {_x(A, 1)} WHEN 'E' THEN {_x(E, 1)} END,
-                          '%Y %b %d %H:%M:%S.%g')) AS event_ms,
+                          ['%Y %b %d %H:%M:%S.%g', '%Y %B %d %H:%M:%S.%g'])) AS event_ms,
     CASE WHEN kind = 'A' THEN {_x(A, 3)} END AS rcpt_email,
     CASE WHEN kind = 'E' THEN {_x(E, 3)} END AS sender_email,
     CASE kind WHEN 'A' THEN {_x(A, 4)} WHEN 'E' THEN {_x(E, 4)} END AS status,

@@ -6,10 +6,13 @@
                              [--slice-ms N] [--include-ok] [--out path]
   python -m relaylens status --index-dir /data/mailidx recipient-counts|recipients|unknown-bounces|
                              index-age|client-ids|client-record-counts|
-                             diagnostics|ingest-stats|rule-hits|ingested-files [--out path]
+                             diagnostics|ingest-stats|rule-hits|ingested-files|skipped-files|
+                             rejected-lines|open-queues [--out path]
+  python -m relaylens stream --landing-dir /data/chunks --index-dir /data/mailidx [--once] [--ttl-ms N]
+  python -m relaylens reclassify --index-dir /data/mailidx --rules rules.xml --out /data/reclassified
 
 Results are JSON objects, one per row: written by Spark to ``--out`` or
-streamed to stdout partition by partition (``toLocalIterator``).
+streamed to stdout partition by partition (``toLocalIterator``); use ``--out`` for large results.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ import sys
 
 from .operators import query as QY
 from .operators import status as ST
+from .plans import index_job as IJ
+from .plans import sink as SK
 from .plans.sink import to_json_rows
+from .schema import INGESTED_FILES, OPEN_QUEUES, SKIPPED_FILES
 
 STATUS = {
     "recipient-counts": ST.recipient_counts,
@@ -33,8 +39,8 @@ STATUS = {
 
 
 # tables the index job appends per run
-RUN_TABLES = {"diagnostics": "diagnostics", "ingest-stats": "ingest_stats", "rule-hits": "rule_hits",
-              "ingested-files": "ingested_files"}
+RUN_TABLES = {"diagnostics": IJ.DIAGNOSTICS, "ingest-stats": IJ.STATS, "rule-hits": IJ.RULE_HITS, "ingested-files": INGESTED_FILES,
+              "skipped-files": SKIPPED_FILES, "rejected-lines": IJ.REJECTED}
 
 
 def _emit(df, out: str | None) -> None:
@@ -54,11 +60,25 @@ def main(argv=None) -> int:
     ix.add_argument("--log-dir", required=True)
     ix.add_argument("--index-dir", required=True)
     ix.add_argument("--rules")
-    ix.add_argument("--budget-mb", type=float, default=1000.0)
+    ix.add_argument("--budget-mb", type=float, help="read at most so much, newest files first; the others are listed in skipped-files")
     ix.add_argument("--time-zone", default="UTC")
     ix.add_argument("--include-live", action="store_true")
     ix.add_argument("--adaptive-rule-order", action="store_true")
 
+    sm = sub.add_parser("stream", help="index landed chunks of the live log, from the last run on")
+    sm.add_argument("--landing-dir", required=True)
+    sm.add_argument("--index-dir", required=True)
+    sm.add_argument("--rules")
+    sm.add_argument("--time-zone", default="UTC")
+    sm.add_argument("--max-files", type=int)
+    sm.add_argument("--ttl-ms", type=int)
+    sm.add_argument("--once", action="store_true", help="stop when no chunk is left")
+
+    rc = sub.add_parser("reclassify", help="the records under a changed rule list, as a new table")
+    rc.add_argument("--index-dir", required=True)
+    rc.add_argument("--rules", required=True)
+    rc.add_argument("--out", required=True)
+
     q = sub.add_parser("query", help="one client's delivery records")
     q.add_argument("--index-dir", required=True)
     q.add_argument("--client", required=True)
@@ -78,7 +98,7 @@ def main(argv=None) -> int:
 
     st = sub.add_parser("status", help="aggregates over all clients")
     st.add_argument("--index-dir", required=True)
-    st.add_argument("what", choices=sorted(STATUS) + sorted(RUN_TABLES))
+    st.add_argument("what", choices=[*sorted(STATUS), *sorted(RUN_TABLES), "open-queues"])
     st.add_argument("--out")
 
     a = ap.parse_args(argv)
@@ -93,9 +113,32 @@ def main(argv=None) -> int:
         sys.stdout.write(json.dumps({"indexed_files": res.files}) + "\n")
         return 0
     if a.cmd == "status" and a.what in RUN_TABLES:
-        _emit(spark.read.parquet(f"{a.index_dir}/{RUN_TABLES[a.what]}"), a.out)
+        _emit(SK.read_table(spark, a.index_dir, a.what.replace("-", "_"), RUN_TABLES[a.what]), a.out)
+        return 0
+    if a.cmd == "status" and a.what == "open-queues":
+        runs = SK.committed_runs(spark, a.index_dir)
+        found = SK.read_open_queues(spark, f"{a.index_dir}/open_queues", runs)
+        _emit(found if found is not None else spark.createDataFrame([], OPEN_QUEUES), a.out)
+        return 0
+    if a.cmd == "stream":
+        from .streaming.stream import start_index_stream, stream_mail_logs
+
+        rules, note = IJ.current_rules(spark, a.index_dir, a.rules)
+        if note:
+            sys.stderr.write(note + "\n")
+        q = start_index_stream(stream_mail_logs(spark, a.landing_dir, a.max_files), rules, a.index_dir, f"{a.index_dir}/stream-checkpoint",
+                               a.time_zone, a.ttl_ms, {"availableNow": True} if a.once else None)
+        q.awaitTermination()
+        return 0
+    idx = SK.read_index(spark, a.index_dir)
+    if a.cmd == "reclassify":
+        from .operators.classify import reclassify
+
+        rules, note = IJ.current_rules(spark, a.index_dir, a.rules)
+        if note:
+            sys.stderr.write(note + "\n")
+        SK.write_deliveries(reclassify(idx, rules), a.out)
         return 0
-    idx = spark.read.parquet(f"{a.index_dir}/deliveries")
     if a.cmd == "status":
         _emit(STATUS[a.what](idx), a.out)
         return 0

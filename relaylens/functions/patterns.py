@@ -26,8 +26,11 @@ REMOVED_RE = r"^.*?: ([a-zA-Z0-9]{15}): removed$"
 # the Java string hash of "cid".  msg_id becomes "98494.{id}.{rnd}".
 COMPOUND_MSG_ID_RE = r"^<(98494\..+)@(.+)>$"
 
-# Line date format (syslog template with milliseconds).
-LOG_DATE_FORMAT = "yyyy MMM d HH:mm:ss.SSS"
+# Line dates: year, English month name (short or full, any case), day, time with milliseconds.  Numbers
+# beyond their range run over into the next larger unit (day 31 of a month of 30 is the next month's first).
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
+          "November", "December")
+LOG_DATE_RE = r"^(\d{4}) ([a-zA-Z]+) (\d{1,2}) (\d{2}):(\d{2}):(\d{2})\.(\d{3})$"
 
 # --- FIXED VALUES: delivery record constants ---------------------------------
 SENDER_UNKNOWN = "unknown"
@@ -40,6 +43,6 @@ INFO_UNDECIDED = "unable to decide on type of bounce"
 # --- FIXED VALUES: log file selection ----------------------------------------
 ROTATED_FILE_PATTERN = r"mail\.log\.(\d{1,3}).*"
 LIVE_FILE_NAME = "mail.log"
-MAX_MB_TO_INDEX = 1000
+MAX_MB_TO_INDEX = 1000  # the original's default; here a budget applies only if it is asked for
 MIN_FILE_BYTES = 10
 COMPRESSED_SIZE_FACTOR = 10  # ".gz"/"tar" files count ten times their size

@@ -86,7 +86,7 @@ def bounce_rule_hits(classified: DataFrame, rules: DataFrame) -> DataFrame:
     tables."""
     counts = classified.where(F.col("rule_id").isNotNull()).groupBy("rule_id").agg(F.count("*").alias("n"))
     return (
-        F.broadcast(rules.select("rule_id", "type", "default_order", "category"))
+        rules.select("rule_id", "type", "default_order", "category")
         .join(counts, "rule_id", "left")
         .select("rule_id", "type", F.coalesce("n", F.lit(0)).cast("long").alias("hits"),
                 "default_order", "category")

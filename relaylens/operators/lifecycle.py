@@ -214,63 +214,66 @@ class Correlation(NamedTuple):
     records: DataFrame      # unclassified delivery records
     open_queues: DataFrame  # state to hand to the next run
     traced: DataFrame       # per-line state (diagnostics, counters)
+    table: tuple[str, str] | None = None  # name and path of the row table, if there is one
 
 
-def _bucketed_table(rows: DataFrame) -> DataFrame:
+BUCKET_BYTES = 256 << 20
+
+
+def _bucketed_table(rows: DataFrame, input_bytes: int) -> DataFrame:
     """Write rows as a Parquet table bucketed on the split key, in the shared
     checkpoint folder; its scan reports the hash layout, so neither consumer
-    shuffles the rows again, and the lineage is cut."""
+    shuffles the rows again, and the lineage is cut.  Buckets follow the size of the input."""
     import uuid
 
     from ..session import checkpoint_dir
 
     spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // BUCKET_BYTES)))
     name = f"relaylens_rows_{uuid.uuid4().hex[:16]}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-    (rows.write.format("parquet").bucketBy(n, *_CHUNK).option("path", path)
+    (rows.repartition(n, *_CHUNK).write.format("parquet").bucketBy(n, *_CHUNK).option("path", path)
         .mode("overwrite").saveAsTable(name))
-    return spark.table(name)
+    return spark.table(name), (name, path)
+
+
+def drop_rows(corr: Correlation) -> None:
+    """Drops the row table of a correlation whose results are written."""
+    if corr.table:
+        from .. import storage
 
+        spark = corr.traced.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {corr.table[0]}")
+        storage.delete(spark, corr.table[1])
 
-def _materialize(rows: DataFrame, how: str | None) -> DataFrame:
+
+def _materialize(rows: DataFrame, how: str | None, input_bytes: int):
     if how is None:
-        return rows
+        return rows, None
     if how == "table":
-        try:
-            return _bucketed_table(rows)
-        except Exception as exc:  # noqa: BLE001 - a session without a writable catalog
-            import warnings
-
-            warnings.warn(f"bucketed table unavailable ({exc.__class__.__name__}); using checkpoint()")
-            return rows.checkpoint(eager=True)
+        return _bucketed_table(rows, input_bytes)
     if how == "checkpoint":
-        return rows.checkpoint(eager=True)
-    if how == "persist":
-        from pyspark import StorageLevel
-
-        return rows.persist(StorageLevel.MEMORY_AND_DISK)
-    raise ValueError("materialize must be None, 'table', 'checkpoint' or 'persist'")
+        return rows.checkpoint(eager=True), None
+    raise ValueError("materialize must be None, 'table' or 'checkpoint'")
 
 
 def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
-              materialize: str | None = None) -> Correlation:
+              materialize: str | None = None, input_bytes: int = 0) -> Correlation:
     """LIFE-1 and LIFE-3: follow every queue; optionally continue from a seed.
 
     The windowed rows feed two consumers (the split summaries and the final
     per-line evaluation).  ``materialize='table'`` writes them once as a
     Parquet table bucketed on the split key in the shared checkpoint folder
-    (lineage cut, hash layout kept, so neither consumer shuffles them again);
-    ``'checkpoint'`` cuts lineage but loses the layout; ``'persist'`` caches
-    them; ``None`` leaves one lazy plan in which Spark recomputes the shared
-    part."""
-    rows = _materialize(_row_windows(parsed), materialize)
+    (lineage cut, hash layout kept, so neither consumer shuffles them again; ``drop_rows`` removes it);
+    ``'checkpoint'`` cuts lineage but loses the layout; ``None`` leaves one lazy plan in which Spark
+    recomputes the shared part."""
+    rows, table = _materialize(_row_windows(parsed), materialize, input_bytes)
     summ = _chunk_summaries(rows)
     if open_queues_seed is not None:
         summ = summ.unionByName(_seed_summaries(open_queues_seed))
     folded = _fold_summaries(summ)
     traced = _traced(rows, folded)
-    return Correlation(emitted_records(traced), _open_from_folded(folded), traced)
+    return Correlation(emitted_records(traced), _open_from_folded(folded), traced, table)
 
 
 def _entry_open_before() -> Column:

@@ -44,16 +44,22 @@ def _template(n: int) -> str:
 
 
 def parse_date_ms(date_text: Column, time_zone: str = "UTC") -> Column:
-    """Log date text -> epoch milliseconds in ``time_zone``; NULL if invalid.
-
-    The zone is appended to the text so the result does not depend on the
-    session time zone."""
-    return F.unix_millis(
-        F.try_to_timestamp(
-            F.concat(date_text, F.lit(" " + time_zone)),
-            F.lit(P.LOG_DATE_FORMAT + " VV"),
-        )
-    )
+    """Log date text -> epoch milliseconds in ``time_zone``; NULL if the month
+    is unknown or the text has another shape.  Days and times out of range run
+    over, as in a lenient calendar; the session time zone plays no part."""
+    def part(i):
+        return F.regexp_extract(date_text, P.LOG_DATE_RE, i)
+
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(P.MONTHS) for x in
+                            ([m.lower(), i + 1] if len(m) == 3 else [m.lower(), i + 1, m[:3].lower(), i + 1])])
+    month = F.when(date_text.rlike(P.LOG_DATE_RE), months[F.lower(part(2))])
+
+    def number(i):
+        return part(i).try_cast("long")
+
+    days = F.unix_date(F.make_date(number(1).cast("int"), month, F.lit(1))).cast("long") + number(3) - 1
+    local = (((days * 24 + number(4)) * 60 + number(5)) * 60 + number(6)) * 1000 + number(7)
+    return F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(local), time_zone))
 
 
 def _recognise(raw: DataFrame) -> DataFrame:
@@ -128,18 +134,31 @@ PARSED_COLUMNS = [
 ]
 
 
+def recognised_lines(raw_lines: DataFrame, time_zone: str = "UTC") -> DataFrame:
+    """All recognised lines with their fields, those with an unusable date (NULL ``event_ms``) included."""
+    return _typed(_recognise(raw_lines), time_zone)
+
+
+def _dated():
+    return ~F.col("kind").isin("A", "E") | F.col("event_ms").isNotNull()
+
+
+def usable(recognised: DataFrame) -> DataFrame:
+    return recognised.where(_dated()).select(*PARSED_COLUMNS)
+
+
+def rejected(recognised: DataFrame) -> DataFrame:
+    return recognised.where(~_dated()).select("file", "line_seq", "queue_id", F.lit("unparsable date").alias("reason"), "line")
+
+
 def parse_lines(raw_lines: DataFrame, time_zone: str = "UTC") -> DataFrame:
     """Recognise the five relevant line kinds; drop all other lines.
 
     Attempt/expired lines whose date does not parse are left out here and
-    reported by :func:`rejected_lines` (the job continues)."""
-    typed = _typed(_recognise(raw_lines), time_zone)
-    dated = ~F.col("kind").isin("A", "E") | F.col("event_ms").isNotNull()
-    return typed.where(dated).select(*PARSED_COLUMNS)
+    reported by :func:`rejected_lines` (the job continues and keeps them in a table)."""
+    return usable(recognised_lines(raw_lines, time_zone))
 
 
 def rejected_lines(raw_lines: DataFrame, time_zone: str = "UTC") -> DataFrame:
     """Recognised lines that cannot be used: attempt/expired with a bad date."""
-    typed = _typed(_recognise(raw_lines), time_zone)
-    return typed.where(F.col("kind").isin("A", "E") & F.col("event_ms").isNull()).select(
-        "file", "line_seq", "queue_id", F.lit("unparsable date").alias("reason"), "line")
+    return rejected(recognised_lines(raw_lines, time_zone))

@@ -1,12 +1,15 @@
 """The indexing job: log directory -> delivery index (one batch run).
 
-select files by budget -> skip files already ingested (first-line digest) ->
-read lines -> parse -> correlate, continuing the open queues of the last run
--> classify -> append to the index; then store the new open-queue generation,
-the rule hits, the lifecycle diagnostics, the per-file counters and the ledger
-rows.  The windowed lines are written once as a
-bucketed table in the shared checkpoint folder, so the outputs never re-read or re-parse the
-logs and a lost executor does not send the job back to the raw files.
+list files -> leave out what earlier runs took in -> read the lines that are new -> parse -> correlate,
+continuing the open queues of the last committed run -> classify -> write the run's part of every table, the
+ledger last: that write commits the run (see ``sink``).
+
+Nothing is lost silently.  There is no size budget unless the caller gives one, and files left out are written
+to ``skipped_files``; recognised lines that cannot be used go to ``rejected_lines``.  A file is known as unchanged
+by its first line's digest, size and last bytes.  A file that only shares the first line with an
+earlier one is read: lines whose numbers and texts an earlier run took in are left out, the
+others are new -- so the growing live file goes on where the last run stopped, also after rotation, and another
+file with the same first line is read whole.
 """
 
 from __future__ import annotations
@@ -16,80 +19,160 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import patterns as P
 from ..operators.classify import bounce_rule_hits, classify
-from ..operators.lifecycle import correlate, ingest_stats, lifecycle_diagnostics
-from ..operators.parse import parse_lines
-from ..schema import INGESTED_FILES
+from ..operators.lifecycle import correlate, drop_rows, ingest_stats, lifecycle_diagnostics
+from ..operators.parse import recognised_lines, rejected, usable
+from ..schema import INGESTED_FILES, SKIPPED_FILES
 from ..session import checkpoint_dir
-from ..sources.logfiles import (file_digests, list_log_files, one_file_per_digest, read_mail_logs,
-                                select_log_files, skip_ingested)
-from ..sources.rules import default_rules, load_bounce_rules
+from ..sources.logfiles import (file_digests, fingerprints, lines_known, list_log_files, numbered_lines, read_mail_logs,
+                                select_log_files)
+from ..sources.rules import InvalidRuleList, default_rules, load_bounce_rules
 from .pipeline import to_delivery_rows
-from .sink import read_open_queues, write_deliveries, write_open_queues
+from .sink import (LEDGER, committed_runs, next_run, read_open_queues, read_table, write_deliveries, write_open_queues,
+                   write_table)
+
+RULE_HITS = "rule_id int, hits long"
+DIAGNOSTICS = "file string, line_seq long, queue_id string, kind string, reason string, run_at timestamp"
+REJECTED = "file string, line_seq long, queue_id string, reason string, line string"
+STATS = "file string, message_id_lines long, client_id_lines long, attempts long, removed_lines long, last_line_ms long, run_at timestamp"
 
 
 class RunResult(NamedTuple):
     files: list[str]
     stats: DataFrame | None
+    run: int | None = None
 
 
 def read_ledger(spark: SparkSession, index_dir: str) -> DataFrame:
-    try:
-        return spark.read.schema(INGESTED_FILES).parquet(f"{index_dir}/ingested_files")
-    except Exception:  # noqa: BLE001 - first run: no ledger yet
-        return spark.createDataFrame([], INGESTED_FILES)
+    return read_table(spark, index_dir, LEDGER, INGESTED_FILES)
 
 
 def read_rule_hits(spark: SparkSession, index_dir: str) -> DataFrame | None:
-    """Hit counts of all earlier runs, per rule (CLS-3 feedback)."""
-    try:
-        hits = spark.read.parquet(f"{index_dir}/rule_hits")
-    except Exception:  # noqa: BLE001 - no run has recorded hits yet
+    """Hit counts of all committed runs, per rule (CLS-3 feedback)."""
+    if not committed_runs(spark, index_dir):
         return None
-    return hits.groupBy("rule_id").agg(F.sum("hits").alias("hits"))
+    return read_table(spark, index_dir, "rule_hits", RULE_HITS).groupBy("rule_id").agg(F.sum("hits").alias("hits"))
+
+
+def current_rules(spark: SparkSession, index_dir: str, rules_path: str | None) -> tuple[DataFrame, str | None]:
+    """The rule list and, if it is not the one asked for, why: an invalid list leaves the last valid one in force.
+
+    The last valid list is kept in ``index_dir/rules``."""
+    if not rules_path:
+        return default_rules(spark), None
+    kept = f"{index_dir}/rules"
+    try:
+        rules = load_bounce_rules(spark, rules_path)
+    except InvalidRuleList as e:
+        if not storage.runs(spark, kept, committed=True):
+            raise
+        last = storage.runs(spark, kept, committed=True)[-1]
+        return spark.read.parquet(f"{kept}/run={last}"), f"invalid rule list, the last valid one stays in force: {e}"
+    rules.write.mode("overwrite").parquet(f"{kept}/run={max([0, *storage.runs(spark, kept)]) + 1}")
+    return rules, None
+
+
+def process_lines(spark: SparkSession, raw: DataFrame, index_dir: str, run: int, rules: DataFrame, ledger_rows,
+                  time_zone: str = "UTC", hits: DataFrame | None = None, input_bytes: int = 0, notes=(),
+                  open_queues=None) -> DataFrame:
+    """All tables of one run from its lines; ``ledger_rows(per_file)`` gives the ledger, whose write commits.
+
+    ``open_queues(old, new)`` may change what is handed on."""
+    visible = committed_runs(spark, index_dir)
+    seed = read_open_queues(spark, f"{index_dir}/open_queues", visible)
+    # read once: recognised lines, usable or not
+    path = f"{checkpoint_dir(spark)}/recognised-{run}"
+    recognised = recognised_lines(raw, time_zone)
+    recognised.write.mode("overwrite").parquet(path)
+    recognised = spark.read.schema(recognised.schema).parquet(path)
+    corr = correlate(usable(recognised), seed, materialize="table", input_bytes=input_bytes)
+    try:
+        # staged once: the index and the rule hits both read it; hits count records before the set, as they come
+        classified = classify(corr.records, rules, hits, keep_rule_id=True).checkpoint(eager=True)
+        write_deliveries(to_delivery_rows(classified), f"{index_dir}/deliveries", staged=True, run=run, visible=visible)
+        write_table(bounce_rule_hits(classified, rules).select("rule_id", "hits"), index_dir, "rule_hits", run)
+        handed = corr.open_queues if open_queues is None else open_queues(seed, corr.open_queues)
+        write_open_queues(handed, f"{index_dir}/open_queues", run)
+        at = F.current_timestamp().alias("run_at")
+        found = lifecycle_diagnostics(corr.traced)
+        if notes:
+            none = F.lit(None)
+            found = found.unionByName(spark.createDataFrame([(n,) for n in notes], "reason string").select(
+                none.cast("string").alias("file"), none.cast("long").alias("line_seq"), none.cast("string").alias("queue_id"),
+                none.cast("string").alias("kind"), "reason"))
+        write_table(found.select("*", at), index_dir, "diagnostics", run)
+        write_table(rejected(recognised), index_dir, "rejected_lines", run)
+        # a file without a recognised line has counters, too
+        files = raw.groupBy("file").agg(F.count(F.lit(1)).alias("lines_read"))
+        stats = files.join(ingest_stats(corr.traced), "file", "left").na.fill(
+            0, ["message_id_lines", "client_id_lines", "attempts", "removed_lines"]).drop("lines_read")
+        write_table(stats.select("*", at), index_dir, "ingest_stats", run)
+        per_file = corr.traced.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+        write_table(ledger_rows(per_file), index_dir, LEDGER, run)
+    finally:
+        drop_rows(corr)
+        storage.delete(spark, path)
+    return read_table(spark, index_dir, "ingest_stats", STATS).where(F.col("run") == run).drop("run", "run_at")
 
 
 def run_index(spark: SparkSession, log_dir: str, index_dir: str, rules_path: str | None = None,
-              budget_mb: float = P.MAX_MB_TO_INDEX, pattern: str = P.ROTATED_FILE_PATTERN,
+              budget_mb: float | None = None, pattern: str = P.ROTATED_FILE_PATTERN,
               live_file: str = P.LIVE_FILE_NAME, time_zone: str = "UTC",
               include_live: bool = False, adaptive_rule_order: bool = False) -> RunResult:
-    """One indexing run.  With ``adaptive_rule_order`` the rules are tried in
-    the order of their hit counts over earlier runs (within soft, then hard),
+    """One indexing run.  ``budget_mb`` limits what is read, newest files first; without it everything is.  With
+    ``adaptive_rule_order`` the rules are tried in the order of their hit counts over earlier runs (within soft, then hard),
     like the original agent's self-prioritising list; by default the order is
     the document order, which keeps results independent of history."""
     checkpoint_dir(spark)
-    rules = load_bounce_rules(spark, rules_path) if rules_path else default_rules(spark)
+    run = next_run(spark, index_dir)
+    rules, note = current_rules(spark, index_dir, rules_path)
     hits = read_rule_hits(spark, index_dir) if adaptive_rule_order else None
     files = list_log_files(spark, log_dir, pattern, live_file)
-    chosen = select_log_files(files, budget_mb).where("selected")
+    chosen = select_log_files(files, budget_mb)
+    small = F.col("size_bytes") < P.MIN_FILE_BYTES
+    left_out = chosen.where(~F.col("selected")).select("file", "size_bytes", F.when(small, F.lit("under 10 bytes")).otherwise(
+        F.lit("over the size budget")).alias("reason"))
+    chosen = chosen.where("selected").drop("selected")
     if include_live:
-        chosen = chosen.unionByName(files.where("is_live").withColumn("selected", F.lit(True)))
-    todo = one_file_per_digest(skip_ingested(
-        file_digests(chosen).join(chosen.select("path", "size_bytes"), "path"), read_ledger(spark, index_dir)))
-    # the file list: one row per log file, never data
-    picked = todo.select("path", "file", "digest").collect()
-    if not picked:
+        chosen = chosen.unionByName(files.where("is_live"))
+    ledger = read_ledger(spark, index_dir)
+    heads = file_digests(chosen).join(chosen.select("path", "size_bytes"), "path")
+    left_out = left_out.unionByName(heads.where("digest is null").select("file", "size_bytes", F.lit("empty").alias("reason")))
+    same = [heads[c] == ledger[c] for c in ("digest", "size_bytes", "tail")]
+    # the files to read: one row per log file of the run, never data
+    todo = heads.where("digest is not null").join(ledger, same, "left_anti").orderBy("file").collect()
+    if not todo:
         return RunResult([], None)
-    raw = read_mail_logs(spark, [r.path for r in picked], pattern, live_file)
-    parsed = parse_lines(raw, time_zone)
-    corr = correlate(parsed, read_open_queues(spark, f"{index_dir}/open_queues"), materialize="table")
-    # staged once: the index append and the rule-hit counts both read it
-    classified = classify(corr.records, rules, hits, keep_rule_id=True).checkpoint(eager=True)
-    write_deliveries(to_delivery_rows(classified), f"{index_dir}/deliveries", staged=True)
-    (bounce_rule_hits(classified, rules).select("rule_id", "hits")
-        .write.mode("append").parquet(f"{index_dir}/rule_hits"))
-    write_open_queues(corr.open_queues, f"{index_dir}/open_queues")
-    # what the agent logged or mailed per run: diagnostics and counters
-    run_at = F.current_timestamp().alias("run_at")
-    lifecycle_diagnostics(corr.traced).select("*", run_at).write.mode("append").parquet(
-        f"{index_dir}/diagnostics")
-    stats = ingest_stats(corr.traced)
-    stats.select("*", run_at).write.mode("append").parquet(f"{index_dir}/ingest_stats")
-    per_file = corr.traced.groupBy("file").agg(F.count("*").alias("rows"))
-    ledger_rows = spark.createDataFrame([(r.file, r.digest) for r in picked], "file string, digest string")
-    (ledger_rows.join(per_file, "file", "left")
-        .select("file", "digest", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
-                F.current_timestamp().alias("ingested_at"))
-        .write.mode("append").parquet(f"{index_dir}/ingested_files"))
-    return RunResult([r.file for r in picked], stats)
+    raw = read_mail_logs(spark, [r.path for r in todo], pattern, live_file)
+    listed = spark.createDataFrame([(r.file, r.digest, r.size_bytes, r.tail) for r in todo], "file string, digest string, size_bytes long, tail string")
+    numbered = numbered_lines(raw)
+    # one more scan of the files to read, for what they hold; joined with rows per file, never with lines of others
+    seen = listed.join(fingerprints(numbered), "file").join(lines_known(numbered, listed, ledger), "file", "left")
+    seen = seen.withColumn("known", F.coalesce("known", F.lit(0))).checkpoint(eager=True)
+    # the same lines under two names in one run are read once
+    first = seen.groupBy("digest", "lines", "fingerprint").agg(F.min("file").alias("first"))
+    seen = seen.join(first, ["digest", "lines", "fingerprint"])
+    twin = F.col("file") != F.col("first")
+    skipped = seen.where(twin | (F.col("known") == F.col("lines"))).select("file", "size_bytes", F.when(
+        twin, F.concat(F.lit("the same lines as "), F.col("first"))).otherwise(F.lit("all lines known")).alias("reason"))
+    other = ledger.select("digest").distinct().join(seen.where(~twin & (F.col("known") == 0)), "digest").select(
+        "file", "size_bytes", F.lit("read: shares only its first line with an earlier file").alias("reason"))
+    write_table(left_out.unionByName(skipped).unionByName(other), index_dir, "skipped_files", run)
+    fresh = seen.where(~twin & (F.col("known") < F.col("lines"))).select("file", "known")
+    picked = sorted(r.file for r in fresh.select("file").collect())
+    lines = numbered.join(fresh, "file").where(F.col("line_no") >= F.col("known")).select(*raw.columns)
+
+    def ledger_rows(per_file: DataFrame) -> DataFrame:
+        return seen.join(per_file, "file", "left").select(
+            "file", "digest", "size_bytes", "tail", "lines", "fingerprint", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+            F.current_timestamp().alias("ingested_at"))
+
+    weight = sum(r.size_bytes * (P.COMPRESSED_SIZE_FACTOR if r.file.endswith("gz") else 1) for r in todo)
+    stats = process_lines(spark, lines, index_dir, run, rules, ledger_rows, time_zone, hits, weight, [note] if note else [])
+    return RunResult(picked, stats, run)
+
+
+def skipped_files(spark: SparkSession, index_dir: str) -> DataFrame:
+    return read_table(spark, index_dir, "skipped_files", SKIPPED_FILES)

@@ -1,111 +1,125 @@
 """Sinks (SNK-1..3): the delivery index, the open-queue snapshot, JSON rows.
 
-Layout of the index: Parquet partitioned by ``client_id`` and ``day``, rows
-sorted by ``date_ms`` inside each file so min/max statistics prune time
-ranges.  The write is range-partitioned on (client_id, day, date_ms): a client
-with a third of all records is spread over many tasks and files instead of
-one.  Appends are idempotent: records already stored (same ten fields) are
-anti-joined away, reading only the days the batch touches.
+Every table of an index holds one folder per run (``run=N``).  A run writes its folders in any order and the
+ledger (``ingested_files/run=N``) last: that one write commits it.  Readers take committed runs only, so a run
+that failed half-way leaves nothing that counts, and its rerun starts from the same state.
+
+Layout of the index: Parquet partitioned by ``run``, ``client_key`` and ``day``, rows sorted by ``date_ms``
+inside each file so min/max statistics prune time ranges.  ``client_key`` is the client id behind a letter and a
+dash: never empty, never a number or date, read with an explicit schema; ``client_id`` is taken from it, so
+filters on the client prune folders.  The write is range-partitioned on (client_id, date_ms): a client
+with a third of all records is spread over many tasks and files.  Records already stored (same ten
+fields) are anti-joined away, reading only the clients' days that the batch touches.
 """
 
 from __future__ import annotations
 
-import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import OPEN_QUEUES, RECORD_KEY
+from .. import storage
+from ..schema import DELIVERIES, DELIVERY_COLUMNS, OPEN_QUEUES, RECORD_KEY
 
+LEDGER = "ingested_files"
 
-def _exists(path: str) -> bool:
-    """A file-system check (no Spark listing of a possibly huge index)."""
-    import pyarrow.fs as pafs
 
-    fs, root = _fs(path)
-    if fs.get_file_info(root).type != pafs.FileType.Directory:
-        return False
-    return any(i.base_name.startswith("client_id=") for i in fs.get_file_info(pafs.FileSelector(root)))
+def committed_runs(spark: SparkSession, index_dir: str) -> list[int]:
+    return storage.runs(spark, f"{index_dir}/{LEDGER}", committed=True)
 
 
-def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None = None,
-                     staged: bool = False) -> int:
-    """SNK-1: add records to the index at ``path`` with set semantics.
+def next_run(spark: SparkSession, index_dir: str) -> int:
+    """A number above those of all runs, also of those that failed."""
+    seen = storage.runs(spark, f"{index_dir}/{LEDGER}") + storage.runs(spark, f"{index_dir}/deliveries")
+    return max([int(time.time() * 1000), *[r + 1 for r in seen]])
 
-    The batch is staged once in the shared checkpoint folder (so its day range
-    and its rows come from one evaluation); records already stored are
-    anti-joined away, null-safe, reading only the days the batch touches; the
-    range exchange on (client_id, date_ms) both lays the files out and
-    clusters duplicates, so de-duplication needs no shuffle of its own.
-    ``staged=True`` says the caller already materialized ``deliveries``.
-    Returns the number of rows offered."""
+
+def read_table(spark: SparkSession, index_dir: str, name: str, schema) -> DataFrame:
+    """A per-run table of an index, committed runs only, with its column ``run``."""
+    path, runs = f"{index_dir}/{name}", committed_runs(spark, index_dir)
+    full = f"{schema if isinstance(schema, str) else ', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, run long"
+    if not runs or not storage.exists(spark, path):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path).where(F.col("run").isin(runs))
+
+
+def write_table(df: DataFrame, index_dir: str, name: str, run: int) -> None:
+    """A run's part of a table; written again, it replaces what an earlier attempt left."""
+    df.write.mode("overwrite").parquet(f"{index_dir}/{name}/run={run}")
+
+
+def write_deliveries(deliveries: DataFrame, path: str, partitions: int | None = None, staged: bool = False,
+                     run: int | None = None, visible: list[int] | None = None) -> int:
+    """SNK-1: add records to the index table at ``path`` with set semantics, as run ``run``.
+
+    The batch is staged once in the shared checkpoint folder (``staged=True`` says the caller has done so); records
+    already stored by ``visible`` runs (all by default) are anti-joined away, null-safe, reading only the
+    (client, day) folders of the batch; the range exchange on (client_id, date_ms) both lays the files out and
+    clusters duplicates, so de-duplication needs no shuffle of its own.  Returns the number of rows offered."""
     from ..session import checkpoint_dir
     from .pipeline import distinct_records
 
     spark = deliveries.sparkSession
     checkpoint_dir(spark)
     batch = deliveries if staged else deliveries.checkpoint(eager=True)
-    span = batch.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count("*").alias("n")).first()
-    if not span.n:
+    offered = batch.count()
+    if not offered:
         return 0
+    seen = storage.runs(spark, path)
+    run = run if run is not None else max([int(time.time() * 1000), *[r + 1 for r in seen]])
     new = batch
-    if _exists(path):
-        stored = (spark.read.parquet(path)
-                  .where(F.col("day").between(F.lit(span.lo), F.lit(span.hi)))
-                  .select(*RECORD_KEY))
-        cond = [new[c].eqNullSafe(stored[c]) for c in RECORD_KEY]
-        new = new.join(stored, cond, "left_anti")
+    others = [r for r in (seen if visible is None else visible) if r != run]
+    if others and seen:
+        touched = batch.select(_client_key().alias("client_key"), "day").distinct()
+        stored = _stored(spark, path, others).join(touched, ["client_key", "day"], "left_semi").select(*RECORD_KEY)
+        new = new.join(stored, [new[c].eqNullSafe(stored[c]) for c in RECORD_KEY], "left_anti")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (distinct_records(new.repartitionByRange(n, "client_id", "date_ms"))
-        .sortWithinPartitions("client_id", "day", "date_ms")
-        .write.mode("append").partitionBy("client_id", "day").parquet(path))
-    return span.n
-
+        .withColumn("client_key", _client_key())
+        .sortWithinPartitions("client_key", "day", "date_ms").drop("client_id")
+        .write.mode("overwrite").partitionBy("client_key", "day").parquet(f"{path}/run={run}"))
+    return offered
 
-def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
 
+def _client_key():
+    return F.concat(F.lit("c-"), F.col("client_id"))
 
-def _fs(path: str):
-    import pyarrow.fs as pafs
 
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    local = path[len("file:"):] if path.startswith("file:") else path
-    return pafs.LocalFileSystem(), os.path.abspath(local)
+def _stored(spark: SparkSession, path: str, runs: list[int]) -> DataFrame:
+    df = spark.read.schema(DELIVERIES).parquet(path).where(F.col("run").isin(runs))
+    return df.withColumn("client_id", F.expr("substring(client_key, 3)"))
 
 
-def _generations(path: str) -> list[int]:
-    """Completed generations (``gen=N`` folders with ``_SUCCESS``) under ``path``."""
-    import pyarrow.fs as pafs
+def read_deliveries(spark: SparkSession, path: str, runs: list[int] | None = None) -> DataFrame:
+    """The index table at ``path``; all runs, or those given."""
+    runs = storage.runs(spark, path) if runs is None else runs
+    if not runs or not storage.exists(spark, path):
+        return spark.createDataFrame([], DELIVERIES).withColumn("client_id", F.lit(None).cast("string")).select(*DELIVERY_COLUMNS)
+    return _stored(spark, path, runs).select(*DELIVERY_COLUMNS)
 
-    fs, root = _fs(path)
-    if fs.get_file_info(root).type != pafs.FileType.Directory:
-        return []
-    out = []
-    for info in fs.get_file_info(pafs.FileSelector(root)):
-        name = info.base_name
-        if name.startswith("gen=") and fs.get_file_info(f"{info.path}/_SUCCESS").type == pafs.FileType.File:
-            out.append(int(name[4:]))
-    return sorted(out)
 
+def read_index(spark: SparkSession, index_dir: str) -> DataFrame:
+    """The delivery records of an index's committed runs."""
+    return read_deliveries(spark, f"{index_dir}/deliveries", committed_runs(spark, index_dir))
 
-def write_open_queues(open_queues: DataFrame, path: str) -> str:
-    """SNK-2: store the open-queue state as a new generation under ``path``.
 
-    A run reads generation N and writes N+1, so a failed run never damages
-    the state the next attempt starts from."""
-    gens = _generations(path)
-    target = f"{path}/gen={(gens[-1] + 1) if gens else 1}"
+def write_open_queues(open_queues: DataFrame, path: str, run: int | None = None) -> str:
+    """SNK-2: store the open-queue state as the snapshot of run ``run`` (the next one by default)."""
+    spark = open_queues.sparkSession
+    run = run if run is not None else max([0, *storage.runs(spark, path)]) + 1
+    target = f"{path}/run={run}"
+    if "since" not in open_queues.columns:
+        open_queues = open_queues.withColumn("since", F.current_timestamp())
     open_queues.select(*OPEN_QUEUES.fieldNames()).write.mode("overwrite").parquet(target)
     return target
 
 
-def read_open_queues(spark: SparkSession, path: str) -> DataFrame | None:
-    gens = _generations(path)
-    if not gens:
-        return None
-    return spark.read.schema(OPEN_QUEUES).parquet(f"{path}/gen={gens[-1]}")
+def read_open_queues(spark: SparkSession, path: str, runs: list[int] | None = None) -> DataFrame | None:
+    """The last snapshot; with ``runs`` the last of those."""
+    have = storage.runs(spark, path, committed=True)
+    have = have if runs is None else [r for r in have if r in set(runs)]
+    return spark.read.schema(OPEN_QUEUES).parquet(f"{path}/run={have[-1]}") if have else None
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

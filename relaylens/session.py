@@ -62,11 +62,13 @@ def get_spark(app: str = "relaylens", master: str | None = None, shuffle_partiti
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it (it is a static setting); only when it is unset --
-    local tests -- a scratch folder is created and registered."""
+    A cluster names it (it is a static setting); only when it is unset
+    and the master is local -- tests -- a scratch folder is created and registered."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="relaylens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

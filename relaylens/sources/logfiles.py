@@ -2,8 +2,10 @@
 
 * listing uses the ``binaryFile`` source without its ``content`` column, so
   only file metadata is read;
-* the first line of each file (its digest) is read inside tasks with Arrow's
-  file system layer -- one short read per file, distributed over executors;
+* the first line of each file (its digest) and its last bytes are read inside tasks with Arrow's
+  file system layer -- two short reads per file, distributed over executors; for schemes that only Hadoop
+  knows the driver makes them through Hadoop's;
+* a first line alone never decides that a file is left out: see ``numbered_lines`` and ``fingerprints``;
 * lines are read with the text source (gzip by suffix, one task per ``.gz``;
   plain files split).  Line order within a file is
   ``(_metadata.file_block_start, monotonically_increasing_id())``: a split is
@@ -12,16 +14,19 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from urllib.parse import urlparse
+import zlib
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import patterns as P
 
+BLOCK_LINES = 200_000
+
 def _name(col: str = "path"):
     return F.regexp_extract(F.col(col), r"([^/]+)$", 1)
 
@@ -50,9 +55,9 @@ def weighted_size(file_col="file", size_col="size_bytes"):
     return F.col(size_col) * factor
 
 
-def select_log_files(files: DataFrame, budget_mb: float = P.MAX_MB_TO_INDEX,
+def select_log_files(files: DataFrame, budget_mb: float | None = None,
                      live_size_bytes: int | None = None) -> DataFrame:
-    """SRC-4: which rotated files fit the size budget.
+    """SRC-4: which rotated files fit the size budget; all of them without one.
 
     Walk newest to oldest (rotation ascending); files under 10 bytes are
     skipped; compressed files count ten times; a file is taken while the
@@ -68,6 +73,8 @@ def select_log_files(files: DataFrame, budget_mb: float = P.MAX_MB_TO_INDEX,
         live_size = F.sum(F.when(is_live, F.col("size_bytes")).otherwise(F.lit(0))).over(everything)
     else:
         live_size = F.lit(int(live_size_bytes))
+    if budget_mb is None:
+        return files.where(~is_live).select(*files.columns, (F.col("size_bytes") >= P.MIN_FILE_BYTES).alias("selected"))
     budget = F.lit(float(budget_mb) * 1024 * 1024) - live_size
     counted = F.when(~is_live & (F.col("size_bytes") >= P.MIN_FILE_BYTES), weighted_size()).otherwise(F.lit(0))
     w = Window.partitionBy(F.lit(1)).orderBy("rotation", "file").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,45 +83,98 @@ def select_log_files(files: DataFrame, budget_mb: float = P.MAX_MB_TO_INDEX,
     return out.select(*files.columns, selected.alias("selected"))
 
 
-def _local(path: str) -> str:
-    u = urlparse(path)
-    return u.path if u.scheme in ("", "file") else path
+TAIL_BYTES = 65_536
+_ARROW_SCHEMES = ("", "file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss")
+
+
+def _first_line(read, size: int, gz: bool) -> str | None:
+    """The first line of a file of which ``read(offset, n)`` reads a part; None if the file holds nothing."""
+    unzip = zlib.decompressobj(31) if gz else None
+    buf, at = b"", 0
+    while at < size:
+        chunk = read(at, min(8192, size - at))
+        at += len(chunk)
+        buf += unzip.decompress(chunk) if gz else chunk
+        cut = [i for i in (buf.find(b"\n"), buf.find(b"\r")) if i >= 0]
+        if cut:
+            return buf[:min(cut)].decode("utf-8", errors="replace")
+        if not chunk:
+            break
+    return buf.decode("utf-8", errors="replace") if buf else None
+
 
+def _head(path: str, read, size: int) -> tuple[str | None, str]:
+    line = _first_line(read, size, path.endswith(".gz"))
+    tail = read(max(0, size - TAIL_BYTES), min(size, TAIL_BYTES)) if size else b""
+    return (None if line is None else hashlib.md5(line.encode("utf-8")).hexdigest()), hashlib.md5(tail).hexdigest()
 
-def _first_line(path: str) -> str | None:
+
+def _arrow_head(path: str) -> tuple[str | None, str]:
     import pyarrow.fs as pafs
 
-    p = _local(path)
-    fs, inner = pafs.FileSystem.from_uri(p if "://" in p else "file://" + p)
-    with fs.open_input_stream(inner, compression=None) as raw:
-        stream = gzip.GzipFile(fileobj=raw) if p.endswith(".gz") else raw
-        buf = b""
-        while True:
-            chunk = stream.read(8192)
-            if not chunk:
-                break
-            buf += chunk
-            cut = [i for i in (buf.find(b"\n"), buf.find(b"\r")) if i >= 0]
-            if cut:
-                buf = buf[:min(cut)]
-                break
-    if not buf:
-        return None
-    return buf.decode("utf-8", errors="replace")
+    u = urlparse(path)
+    fs, inner = (pafs.LocalFileSystem(), unquote(u.path)) if u.scheme in ("", "file") else pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(inner) as f:
+        def read(offset, n):
+            f.seek(offset)
+            return f.read(n)
+
+        return _head(path, read, f.size())
 
 
 def file_digests(files: DataFrame) -> DataFrame:
-    """SRC-5: md5 hex of each file's first line: (path, file, digest).
+    """SRC-5: (path, file, digest, tail): md5 of each file's first line, of its last bytes.
+
+    Runs in tasks (``mapInPandas``).  An empty file has no digest; a blank first line has that of ''."""
+    spark = files.sparkSession
+    schema = "path string, file string, digest string, tail string"
+    schemes = [r[0] or "" for r in files.select(F.regexp_extract("path", r"^([a-zA-Z0-9+.-]+):", 1).alias("s")).distinct().collect()]
+    if not set(schemes) <= set(_ARROW_SCHEMES):
+        # one row per file, never data
+        rows = [(r.path, r.file, *_head(r.path, lambda o, n, p=r.path: storage.read_bytes(spark, p, o, n), r.size_bytes))
+                for r in files.select("path", "file", "size_bytes").collect()]
+        return spark.createDataFrame(rows, schema)
 
-    Runs in tasks (``mapInPandas``): each reads only the head of its files."""
     def heads(batches):
         for pdf in batches:
-            lines = [_first_line(p) for p in pdf["path"]]
-            yield pd.DataFrame({
-                "path": pdf["path"], "file": pdf["file"],
-                "digest": [hashlib.md5(x.encode("utf-8")).hexdigest() if x is not None else None for x in lines],
-            })
-    return files.select("path", "file").mapInPandas(heads, "path string, file string, digest string")
+            got = [_arrow_head(p) for p in pdf["path"]]
+            yield pd.DataFrame({"path": pdf["path"], "file": pdf["file"], "digest": [g[0] for g in got], "tail": [g[1] for g in got]})
+    return files.select("path", "file").mapInPandas(heads, schema)
+
+
+def numbered_lines(raw_lines: DataFrame) -> DataFrame:
+    """``raw_lines`` with ``line_no``, the line's number in its file from 0.
+
+    Numbers run on inside a block (one task reads it); blocks are counted, and their first numbers come from a
+    running sum over a file's blocks -- rows per file and block, never lines."""
+    blocks = raw_lines.groupBy("file", "block_start").agg(F.count(F.lit(1)).alias("n"), F.min("line_seq").alias("first_seq"))
+    before = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block_start", "first_seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_no"))
+    return raw_lines.join(blocks, ["file", "block_start"]).withColumn(
+        "line_no", F.col("first_no") + F.col("line_seq") - F.col("first_seq")).drop("first_no", "first_seq")
+
+
+def line_sum():
+    """A sum that tells two sequences of numbered lines apart."""
+    return F.sum(F.xxhash64("line_no", "line").cast("decimal(38,0)")).cast("string")
+
+
+def fingerprints(numbered: DataFrame) -> DataFrame:
+    """(file, lines, fingerprint) of files' lines."""
+    return numbered.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), line_sum().alias("fingerprint"))
+
+
+def lines_known(numbered: DataFrame, files: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(file, known): how many of a file's first lines earlier runs took in.
+
+    ``files``: file, digest.  A ledger entry with the same first line counts if the file's first lines have the
+    entry's fingerprint; of several the longest.  A file that only shares its first line has none."""
+    entries = ledger.select("digest", F.col("lines").alias("n"), F.col("fingerprint").alias("f")).distinct()
+    asked = files.join(entries, "digest").select("file", "n", "f")
+    # a file's entries differ in their number of lines; each is summed over the lines below it
+    sums = numbered.join(asked, "file").where(F.col("line_no") < F.col("n")).groupBy("file", "n", "f").agg(
+        F.count(F.lit(1)).alias("have"), line_sum().alias("sum"))
+    return sums.where((F.col("have") == F.col("n")) & (F.col("sum") == F.col("f"))).groupBy("file").agg(F.max("n").alias("known"))
 
 
 def digests_from_lines(raw_lines: DataFrame) -> DataFrame:
@@ -131,16 +191,6 @@ def skip_ingested(files_with_digest: DataFrame, ledger: DataFrame) -> DataFrame:
     return files_with_digest.join(ledger.select("digest").distinct(), "digest", "left_anti")
 
 
-def one_file_per_digest(files_with_digest: DataFrame) -> DataFrame:
-    """Two names with the same first line (``mail.log.2`` next to
-    ``mail.log.2.gz``) are one file: keep the first name (a per-digest
-    aggregate over the file listing)."""
-    cols = files_with_digest.columns
-    picked = files_with_digest.groupBy("digest").agg(
-        F.min_by(F.struct(*[c for c in cols if c != "digest"]), F.col("file")).alias("_f"))
-    return picked.select("digest", "_f.*").select(*cols)
-
-
 def ingested_log_files(files_with_digest: DataFrame, ledger: DataFrame) -> DataFrame:
     """SRC-6: present files (>= 10 bytes) already ingested, sorted by name."""
     present = files_with_digest
@@ -161,7 +211,8 @@ def read_mail_logs(spark: SparkSession, paths: list[str], pattern: str = P.ROTAT
     full = f"^(?:{pattern})$"
     df = spark.read.text(paths).select(
         F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
+        # a split of many lines, such as a .gz, counts as several blocks: each is a bounded unit of the lifecycle scan
+        (F.col("_metadata.file_block_start") + F.floor(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)) / BLOCK_LINES)).alias("block_start"),
         F.monotonically_increasing_id().alias("line_seq"),
         F.col("value").alias("line"),
     )

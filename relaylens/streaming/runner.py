@@ -1,9 +1,8 @@
 """Run the streaming job to completion over lines that are already known.
 
-Used by the tests and by the registered stream query: the lines are landed as
-text chunks (names sort in line order) in the shared checkpoint folder, the
-stream runs with ``availableNow`` into a Parquet sink, and the sink is read
-back.  Restarting with the same checkpoint continues where it stopped.
+Used by the tests and by the registered stream queries: the lines are landed as text chunks (names sort in
+line order), the stream runs with ``availableNow`` into an index, and the index is read.  Restarting with the same
+checkpoint continues where it stopped.
 """
 
 from __future__ import annotations
@@ -13,36 +12,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from .stream import stream_deliveries, stream_mail_logs
+from .. import storage
+from ..plans.sink import read_index
+from .stream import start_index_stream, stream_mail_logs
 
 
 def land_chunks(raw_lines: DataFrame, landing_dir: str, chunks: int | None = None) -> None:
-    """Write ``raw_lines`` as text chunks whose names sort in line order."""
+    """Write ``raw_lines`` as text chunks whose names and modification times follow the line order.
+
+    They are written side by side and then moved into ``landing_dir`` one after the other, as a shipper would land them."""
     spark = raw_lines.sparkSession
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [(-F.col("rotation")).alias("_r"), "file", "block_start", "line_seq"]
     ordered = raw_lines.select(*order, "line")
+    aside = f"{landing_dir.rstrip('/')}-{uuid.uuid4().hex}"
     (ordered.repartitionByRange(n, "_r", "file", "block_start", "line_seq")
         .sortWithinPartitions("_r", "file", "block_start", "line_seq")
-        .select("line").write.mode("overwrite").text(landing_dir))
-
-
-def run_stream_over_table(spark: SparkSession, raw_lines: DataFrame, rules: DataFrame,
-                          work_dir: str | None = None) -> DataFrame:
-    base = work_dir or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    land_chunks(raw_lines, f"{base}/landing")
-    return run_landed_stream(spark, base, rules)
-
-
-def run_landed_stream(spark: SparkSession, base: str, rules: DataFrame) -> DataFrame:
-    """Run the stream over ``base/landing`` until no input is left."""
-    out = stream_deliveries(stream_mail_logs(spark, f"{base}/landing"), rules)
-    q = (out.writeStream.format("parquet")
-         .option("checkpointLocation", f"{base}/checkpoint")
-         .option("path", f"{base}/deliveries")
-         .trigger(availableNow=True).start())
+        .select("line").write.text(aside))
+    have = len(storage.names(spark, landing_dir))
+    parts = [x for x in storage.names(spark, aside) if x.startswith("part-")]
+    for k, part in enumerate(parts, start=have):
+        storage.move(spark, f"{aside}/{part}", f"{landing_dir}/chunk-{k:06d}", 1_700_000_000_000 + 1000 * k)
+    storage.delete(spark, aside)
+
+
+def run_landed_stream(spark: SparkSession, base: str, rules: DataFrame, max_files_per_trigger: int | None = None,
+                      ttl_ms: int | None = None) -> DataFrame:
+    """Run the stream over ``base/landing`` into ``base/index`` until no input is left."""
+    q = start_index_stream(stream_mail_logs(spark, f"{base}/landing", max_files_per_trigger), rules, f"{base}/index",
+                           f"{base}/checkpoint", ttl_ms=ttl_ms, trigger={"availableNow": True})
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/deliveries").dropDuplicates(
-        ["client_id", "date_ms", "queue_id", "msg_id", "rcpt_email", "sender_email", "status", "info",
-         "state", "state_info"])
+    return read_index(spark, f"{base}/index")

@@ -1,145 +1,105 @@
-"""Structured Streaming (STR-1..5): live log chunks -> classified deliveries.
-
-A log shipper lands immutable chunks of the live log in a directory, named so
-that their names sort in writing order.  Each chunk is read whole
-(``wholetext``) and split into numbered lines, which gives an exact line order
-inside a micro-batch (``monotonically_increasing_id`` is not allowed on
-streams).  Per queue id the automaton keeps a small keyed state
-(``applyInPandasWithState``); rows of one queue are sorted by (file, line)
-inside the call.  Classification is the same code-generated expression as in
-batch, applied to the state operator's output.
-
-State lives until the queue's ``removed`` line, as in the original agent; an
-optional processing-time TTL drops queues that never finish.
+"""Structured Streaming (STR-1..5): landed log chunks -> the delivery index.
+
+A log shipper lands immutable chunks of the live log in a directory, named so that their names sort in writing
+order.  Each micro-batch is one run of the index (``foreachBatch``): its lines go through the same plans as a
+batch run -- parse, the split-wise lifecycle scan, classification, set semantics -- seeded with the open queues of the
+last committed run, so no Python walks lines and a queue with a third of them spreads over many tasks.  The run's
+number follows the epoch: a replayed micro-batch writes the same run again, or finds it committed.  The
+open queues are the state; backfill and stream share them, the ledger and the index.
+
+Lines keep their order: by chunk name, split and position.  The file source picks chunks by modification time; a chunk whose name
+sorts before one of an earlier micro-batch is still taken in and reported in the diagnostics.
+
+A queue stays open until its ``removed`` line, as in the original agent; ``ttl_ms`` hands on no queue that has not
+changed for so long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import patterns as P
-from ..operators.classify import classify
-from ..operators.parse import parse_lines
-from ..plans.pipeline import to_delivery_rows
-from ..schema import OPEN_QUEUES
+from .. import storage
+from ..plans.index_job import process_lines
+from ..plans.sink import committed_runs, next_run
+from ..sources.logfiles import BLOCK_LINES, fingerprints, numbered_lines
 
-RECORD_SCHEMA = (
-    "client_id string, date_ms long, queue_id string, msg_id string, rcpt_email string, "
-    "sender_email string, status string, info string, has_been_deferred boolean, source_file string"
-)
-STATE_SCHEMA = "msg_id string, client_id string, rcpt_email string, has_been_deferred boolean"
-_RECORD_NAMES = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
 
 
 def stream_mail_logs(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """STR-1: streaming ``raw_lines`` from landed chunks of the live log."""
-    reader = spark.readStream.format("text").option("wholetext", "true")
+    """STR-1: streaming lines of landed chunks with their place."""
+    reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    chunks = reader.load(landing_dir).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = chunks.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_seq", "line"))
-    return lines.select("file", F.lit(0).alias("rotation"), F.lit(0).cast("long").alias("block_start"),
-                        F.col("line_seq").cast("long"), "line")
-
-
-def seed_stream(spark: SparkSession, seed_dir: str) -> DataFrame:
-    """STR-5: open queues of the batch backfill, landed as Parquet, as a stream
-    of seed rows (kind ``S``) ordered before every log line."""
-    seeds = spark.readStream.schema(OPEN_QUEUES).parquet(seed_dir)
-    return seeds.select(
-        F.lit("").alias("file"), F.lit(-1).cast("long").alias("line_seq"), F.lit("S").alias("kind"),
-        "queue_id", F.lit(None).cast("long").alias("event_ms"), "rcpt_email",
-        F.lit(None).cast("string").alias("sender_email"),
-        F.when(F.col("has_been_deferred"), F.lit("deferred")).alias("status"),
-        F.lit(None).cast("string").alias("info"), "msg_id", "client_id",
-    )
-
-
-def _automaton(ttl_ms: int | None):
-    """The per-queue state machine over one micro-batch of one queue."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = list(batches)
-        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        if len(rows) > 1:
-            rows = rows.sort_values(["file", "line_seq"], kind="stable")
-        qid = key[0]
-        cur = state.get if state.exists else None  # (msg_id, client_id, rcpt, deferred)
-        out = []
-        cols = [rows[c].tolist() for c in ("kind", "event_ms", "rcpt_email", "sender_email", "status", "info",
-                                           "msg_id", "client_id", "file")]
-        for k, ms, rcpt_l, sender, status, info, msg_l, cid_l, file in zip(*cols):
-            if k == "S":
-                cur = (msg_l, cid_l, rcpt_l, status == "deferred")
-            elif k == "M":
-                cur = (msg_l, cid_l if isinstance(cid_l, str) else None, None, False)
-            elif k == "C":
-                if cur is not None and cur[1] is None:
-                    cur = (cur[0], cid_l, cur[2], cur[3])
-            elif k == "A" or k == "E":
-                if cur is None:
-                    continue
-                if cur[1] is None:
-                    cur = None
-                    continue
-                msg, cid, rcpt, deferred = cur
-                if k == "A":
-                    if status == "deferred" and (rcpt is None or not deferred):
-                        cur = (msg, cid, rcpt_l, True)
-                    out.append((cid, int(ms), qid, msg, rcpt_l, P.SENDER_UNKNOWN, status, info, bool(deferred), file))
-                elif deferred and rcpt is not None:
-                    out.append((cid, int(ms), qid, msg, rcpt, sender, status, info, True, file))
-            elif k == "R":
-                cur = None
-        if cur is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(cur)
-            if ttl_ms:
-                state.setTimeoutDuration(ttl_ms)
-        if out:
-            yield pd.DataFrame(out, columns=_RECORD_NAMES)
-
-    return step
-
-
-def stream_deliveries(lines: DataFrame, rules: DataFrame, seeds: DataFrame | None = None,
-                      time_zone: str = "UTC", ttl_ms: int | None = None) -> DataFrame:
-    """STR-2..4: streaming classified delivery records from streaming lines."""
-    parsed = parse_lines(lines, time_zone).select(
-        "file", "line_seq", "kind", "queue_id", "event_ms", "rcpt_email", "sender_email",
-        "status", "info", "msg_id", "client_id")
-    if seeds is not None:
-        parsed = parsed.unionByName(seeds)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    records = parsed.groupBy("queue_id").applyInPandasWithState(
-        _automaton(ttl_ms), RECORD_SCHEMA, STATE_SCHEMA, "append", timeout)
-    return to_delivery_rows(classify(records, rules))
+    return reader.load(landing_dir).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), F.col("value").alias("line"))
+
+
+def batch_lines(batch: DataFrame) -> DataFrame:
+    """A micro-batch as ``raw_lines``: all chunks have rotation 0, so their names give the order."""
+    place = F.monotonically_increasing_id()
+    return batch.select("file", F.lit(0).alias("rotation"),
+                        (F.col("block_start") + F.floor(F.pmod(place, F.lit(1 << 33)) / BLOCK_LINES)).alias("block_start"),
+                        place.alias("line_seq"), "line")
+
+
+def _expire(ttl_ms: int | None):
+    """Open queues to hand on: with the time since which each is as it is, and without those too old."""
+    def run(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        now = F.current_timestamp()
+        if old is None:
+            return new.withColumn("since", now)
+        fields = ["queue_id", "msg_id", "client_id", "rcpt_email", "has_been_deferred"]
+        was = old.select(*[F.col(c).alias(f"o_{c}") for c in fields], F.col("since").alias("o_since"))
+        # one row per open queue on either side
+        same = [new[c].eqNullSafe(was[f"o_{c}"]) for c in fields]
+        out = new.join(was, same, "left").select(*[new[c] for c in fields], F.coalesce("o_since", now).alias("since"))
+        return out if ttl_ms is None else out.where(F.unix_millis("since") + ttl_ms > F.unix_millis(now))
+
+    return run
 
 
 def start_index_stream(lines: DataFrame, rules: DataFrame, index_dir: str, checkpoint_location: str,
-                       seeds: DataFrame | None = None, time_zone: str = "UTC", ttl_ms: int | None = None,
-                       trigger: dict | None = None):
-    """Run the live path into the same index the batch job writes.
-
-    Each micro-batch goes through :func:`write_deliveries` (``foreachBatch``):
-    its set semantics make a replayed batch a no-op, so the index stays exact
-    across restarts, and batch and stream share one table layout."""
-    from ..plans.sink import write_deliveries
-
-    def commit(batch: DataFrame, epoch_id: int) -> None:
-        write_deliveries(batch, f"{index_dir}/deliveries")
-
-    out = stream_deliveries(lines, rules, seeds, time_zone, ttl_ms)
-    writer = out.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint_location)
-    writer = writer.trigger(**(trigger or {"processingTime": "10 seconds"}))
-    return writer.start()
+                       time_zone: str = "UTC", ttl_ms: int | None = None, trigger: dict | None = None):
+    """Run the live path into the index that the batch job writes, from its last committed run on (STR-5).
+
+    The first micro-batch's run number is kept next to the stream's checkpoint; later ones count on from it."""
+    spark = lines.sparkSession
+    start_at = f"{checkpoint_location.rstrip('/')}-first-run"
+    if storage.exists(spark, f"{start_at}/_SUCCESS"):
+        first = spark.read.schema("run long").parquet(start_at).head().run
+    else:
+        first = next_run(spark, index_dir)
+        spark.createDataFrame([(first,)], "run long").coalesce(1).write.mode("overwrite").parquet(start_at)
+
+    def commit(batch: DataFrame, epoch: int) -> None:
+        run = first + epoch
+        done = committed_runs(spark, index_dir)
+        if run in done or batch.isEmpty():
+            return
+        raw = batch_lines(batch)
+        earlier = [c for (c,) in _last_chunk(spark, index_dir, done)]
+        names = raw.agg(F.min("file"), F.max("file")).head()
+        notes = [f"chunk {names[0]} came after {earlier[0]}"] if earlier and names[0] < earlier[0] else []
+
+        def ledger_rows(per_file: DataFrame) -> DataFrame:
+            # a chunk's first line, size and last bytes are not looked at: chunks are known by the stream's checkpoint
+            none = F.lit(None).cast("string")
+            return fingerprints(numbered_lines(raw)).join(per_file, "file", "left").select(
+                "file", none.alias("digest"), F.lit(None).cast("long").alias("size_bytes"), none.alias("tail"), "lines", "fingerprint",
+                F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), F.current_timestamp().alias("ingested_at"))
+
+        process_lines(spark, raw, index_dir, run, rules, ledger_rows, time_zone, notes=notes, open_queues=_expire(ttl_ms))
+
+    return (lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint_location)
+            .trigger(**(trigger or {"processingTime": "10 seconds"})).start())
+
+
+def _last_chunk(spark: SparkSession, index_dir: str, done: list[int]):
+    """The greatest chunk name of the stream's runs so far."""
+    from ..plans.index_job import read_ledger
+
+    if not done:
+        return []
+    top = read_ledger(spark, index_dir).where("digest is null").agg(F.max("file")).head()[0]
+    return [(top,)] if top is not None else []

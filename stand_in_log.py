@@ -14,12 +14,12 @@ Rendering (one or two lines per event, in event order):
   compound and event_id % 4 = 0
 * ``purchase`` -> sent attempt, plus ``removed`` when event_id % 5 = 0
 * ``view``     -> deferred attempt, plus a "queue active" noise line when
-  event_id % 7 = 0
+  event_id % 7 = 0, else the same line again when event_id % 17 = 0
 * ``click``    -> expired (event_id % 4 = 0), removed (= 1), else deferred
 * ``error``    -> bounced attempt, plus a client-id line when event_id % 11 = 0,
   else an empty line when event_id % 13 = 0
 * line date = event time minus (event_id % 3) seconds, so time may go back;
-  every 97th event writes the month in full, which does not parse;
+  every 97th event writes, by turns, the month in full or an unknown month, which does not parse;
   one file per day ``mail.log.<days before 2025-01-01>``; a simulated input
   split every 2,000 events; ``line_seq = 2 * event_id + sub-line``.
 
@@ -57,7 +57,8 @@ REPLY_TEXTS = [
 ]
 N_TEXTS = len(REPLY_TEXTS)
 EVENTS_PER_SPLIT = 2000
-BAD_DATE_EVERY = 97  # full month name: the line still has its shape, its date does not parse
+ODD_DATE_EVERY = 97  # by turns a full month name and one that no calendar has: its date does not parse
+REPEAT_EVERY = 17  # attempts written twice, as by a doubled log stream
 
 
 def _s(c) -> Column:
@@ -77,7 +78,8 @@ def raw_lines_from_events(events: DataFrame) -> DataFrame:
     week = F.floor(F.unix_date(day) / 7).cast("long")
     qid = _cat("Q", F.lpad(_s(uid), 6, "0"), "W", F.lpad(_s(week), 7, "0"))
     shifted = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (eid % 3).cast("decimal(8,6)"))
-    stamp = F.when(eid % BAD_DATE_EVERY == 0, F.date_format(shifted, "yyyy MMMM d HH:mm:ss.SSS")) \
+    stamp = F.when(eid % (2 * ODD_DATE_EVERY) == 0, F.date_format(shifted, "yyyy MMMM d HH:mm:ss.SSS")) \
+        .when(eid % ODD_DATE_EVERY == 0, F.date_format(shifted, "yyyy 'Brumaire' d HH:mm:ss.SSS")) \
         .otherwise(F.date_format(shifted, "yyyy MMM d HH:mm:ss.SSS"))
     client = _cat("client-", _s(uid % 5))
     rcpt = _cat("user", _s(uid), "-", _s(eid % 3), "@example.com")
@@ -116,6 +118,7 @@ def raw_lines_from_events(events: DataFrame) -> DataFrame:
               .when((et == "signup") & compound & (eid % 4 == 0), c_line)
               .when((et == "purchase") & (eid % 5 == 0), r_line)
               .when((et == "view") & (eid % 7 == 0), noise)
+              .when((et == "view") & (eid % REPEAT_EVERY == 0), attempt("deferred", reply))
               .when((et == "error") & (eid % 11 == 0), c_line)
               .when((et == "error") & (eid % 13 == 0), F.lit("")))
     rotation = F.datediff(F.lit("2025-01-01").cast("date"), day).cast("int")
@@ -157,8 +160,10 @@ raw_lines AS (
     SELECT event_id AS eid, user_id AS uid, event_type AS et, ts,
       'Q' || lpad(CAST(user_id AS VARCHAR), 6, '0') || 'W'
           || lpad(CAST(CAST(floor((CAST(ts AS DATE) - DATE '1970-01-01') / 7) AS BIGINT) AS VARCHAR), 7, '0') AS qid,
-      CASE WHEN event_id % {BAD_DATE_EVERY} = 0
+      CASE WHEN event_id % {2 * ODD_DATE_EVERY} = 0
            THEN strftime(ts - to_seconds(CAST(event_id % 3 AS BIGINT)), '%Y %B %-d %H:%M:%S.%g')
+           WHEN event_id % {ODD_DATE_EVERY} = 0
+           THEN strftime(ts - to_seconds(CAST(event_id % 3 AS BIGINT)), '%Y Brumaire %-d %H:%M:%S.%g')
            ELSE strftime(ts - to_seconds(CAST(event_id % 3 AS BIGINT)), '%Y %b %-d %H:%M:%S.%g') END AS stamp,
       'client-' || CAST(user_id % 5 AS VARCHAR) AS client,
       'user' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 3 AS VARCHAR) || '@example.com' AS rcpt,
@@ -201,6 +206,7 @@ raw_lines AS (
            WHEN et = 'signup' AND compound AND eid % 4 = 0 THEN c_line
            WHEN et = 'purchase' AND eid % 5 = 0 THEN r_line
            WHEN et = 'view' AND eid % 7 = 0 THEN noise
+           WHEN et = 'view' AND eid % {REPEAT_EVERY} = 0 THEN a_head || '4.0.0, status=deferred (' || reply || ')'
            WHEN et = 'error' AND eid % 11 = 0 THEN c_line
            WHEN et = 'error' AND eid % 13 = 0 THEN ''
       END AS line1

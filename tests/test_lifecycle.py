@@ -7,6 +7,7 @@ from relaylens.operators.parse import parse_lines
 from relaylens.plans.pipeline import build_deliveries
 from relaylens.sources.rules import default_rules
 from tests import automaton, fixture_log
+from tests import fixture_log as F
 
 PARSED_SCHEMA = ("file string, rotation int, block_start long, line_seq long, kind string, queue_id string, "
                  "event_ms long, rcpt_email string, sender_email string, status string, info string, "
@@ -24,30 +25,30 @@ def test_single_client_fixture(spark, split_every):
     raw = fixture_log.raw_lines_df(spark, split_every=split_every)
     idx = build_deliveries(raw, default_rules(spark))
     rows = idx.deliveries.collect()
-    assert len(rows) == 16
-    assert {r.client_id for r in rows} == {"test-mail-module"}
+    assert len(rows) == 11
+    assert {r.client_id for r in rows} == {fixture_log.CLIENT}
     assert all(v is not None for r in rows for v in r)  # no null field in any record
     by_q = {}
     for r in rows:
         by_q.setdefault(r.queue_id, []).append(r)
     assert sorted((q, len(v)) for q, v in by_q.items()) == sorted(
-        [("3bZLDk1V50z37Dv", 1), ("3bYk6B34Hkz37Dv", 1), ("3bYscs22wBz37Dv", 7), ("3bYsfs23wBzs7Dv", 7)])
-    assert [(r.state, r.state_info) for r in by_q["3bZLDk1V50z37Dv"]] == [(3, "OK")]
-    assert [(r.state, r.state_info) for r in by_q["3bYk6B34Hkz37Dv"]] == [(0, "bad domain: host/domain not found")]
-    q3 = sorted(by_q["3bYscs22wBz37Dv"], key=lambda r: r.date_ms)
-    assert [(r.status, r.state, r.state_info) for r in q3[:6]] == [
-        ("deferred", 0, "bad domain: host/domain not found")] * 6
-    expired = q3[6]
+        [(F.Q_OK, 1), (F.Q_BOUNCED, 1), (F.Q_EXPIRED, 5), (F.Q_LATE, 4)])
+    assert [(r.state, r.state_info) for r in by_q[F.Q_OK]] == [(3, "OK")]
+    assert [(r.state, r.state_info) for r in by_q[F.Q_BOUNCED]] == [(1, "spam detection and blacklisting")]
+    q3 = sorted(by_q[F.Q_EXPIRED], key=lambda r: r.date_ms)
+    assert [(r.status, r.state, r.state_info) for r in q3[:4]] == [
+        ("deferred", 0, "bad domain: connection timeout")] * 4
+    expired = q3[4]
     assert (expired.status, expired.state, expired.state_info) == ("expired", 0, "expired, returned to sender")
-    assert (expired.rcpt_email, expired.sender_email) == ("azv-test@example.com", "noreply@example.org")
-    q4 = sorted(by_q["3bYsfs23wBzs7Dv"], key=lambda r: r.date_ms)
+    assert (expired.rcpt_email, expired.sender_email) == ("third@example.net", "bills@example.org")
+    q4 = sorted(by_q[F.Q_LATE], key=lambda r: r.date_ms)
     assert [(r.state, r.state_info) for r in q4[-1:]] == [(4, "finally OK")]
-    assert {r.msg_id for r in q4} == {"msgId-3bYsfs23wBzs7Dv"}
+    assert {r.msg_id for r in q4} == {"msgId-web-55"}
     assert {r.sender_email for r in rows if r.status != "expired"} == {"unknown"}
-    assert {r.msg_id for r in rows} == {"98494.123.456", "98494.456.789", "98494.321.654", "msgId-3bYsfs23wBzs7Dv"}
+    assert {r.msg_id for r in rows} == {"98494.7001.11", "98494.7002.22", "98494.7003.33", "msgId-web-55"}
     opened = idx.open_queues.collect()
     assert [(o.queue_id, o.client_id, o.has_been_deferred, o.rcpt_email) for o in opened] == [
-        ("3bYsfs23wBzs7Dv", "test-mail-module", True, "azv@cedefop.eu")]
+        (F.Q_LATE, F.CLIENT, True, "fourth@example.net")]
 
 
 def _random_trace(rng, n_queues=12, n_lines=400):
@@ -91,7 +92,7 @@ def test_random_traces_match_sequential_automaton(spark, seed):
     rng = random.Random(seed)
     rows = _random_trace(rng)
     expected, still_open = automaton.run(rows)
-    corr = correlate(_to_df(spark, rows), materialize=[None, "table", "checkpoint", "persist"][seed % 4])
+    corr = correlate(_to_df(spark, rows), materialize=[None, "table", "checkpoint", "table"][seed % 4])
     got = _records(corr.records)
     assert got == sorted(expected)
     opened = {o.queue_id: (o.msg_id, o.client_id, o.rcpt_email, o.has_been_deferred)
@@ -127,10 +128,10 @@ def test_one_hot_queue_spread_over_many_splits(spark):
 
 def test_open_queues_function_and_counters(spark):
     parsed = parse_lines(fixture_log.raw_lines_df(spark))
-    assert [r.queue_id for r in open_queues(parsed).collect()] == ["3bYsfs23wBzs7Dv"]
+    assert [r.queue_id for r in open_queues(parsed).collect()] == [F.Q_LATE]
     traced = correlate(parsed).traced
     st = ingest_stats(traced).collect()[0]
-    assert (st.message_id_lines, st.client_id_lines, st.attempts, st.removed_lines) == (4, 1, 16, 3)
+    assert (st.message_id_lines, st.client_id_lines, st.attempts, st.removed_lines) == (4, 1, 11, 3)
     assert lifecycle_diagnostics(traced).count() == 0
 
 

@@ -15,10 +15,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from relaylens.operators import query as QY  # noqa: E402
 from relaylens.operators import status as ST  # noqa: E402
 from relaylens.plans.pipeline import build_deliveries  # noqa: E402
-from relaylens.plans.sink import write_deliveries  # noqa: E402
+from relaylens.plans.sink import read_deliveries, write_deliveries  # noqa: E402
 from relaylens.session import get_spark  # noqa: E402
 from relaylens.sources.rules import default_rules  # noqa: E402
-from relaylens.sources.synth import synthetic_raw_lines  # noqa: E402
+from stand_in_log import synthetic_raw_lines  # noqa: E402
 
 KEEP = re.compile(r"(Exchange|Join|Aggregate|Window |Sort \[|Scan|Generate|TakeOrdered|BroadcastExchange|"
                   r"ReusedExchange|AQEShuffleRead|Union|Expand|Filter|InMemory|QueryStage)")
@@ -55,7 +55,7 @@ def main():
     print("```\n" + condensed(d) + "\n```\n")
     path = f"{scratch}/index"
     write_deliveries(build_deliveries(raw, rules, materialize="table", dedup=False).deliveries, path)
-    idx = spark.read.parquet(path)
+    idx = read_deliveries(spark, path)
     shapes = [
         ("Client listing in a time range (partition pruning + pushed filters)",
          QY.query_deliveries(idx, "client-1", from_ms=1704672000000, to_ms=1705276800000)),
