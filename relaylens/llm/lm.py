@@ -3,11 +3,12 @@
 The model.  A token's probability is a mixture of ``CLASSES`` distributions over the vocabulary; one layer
 of causal self-attention over the ids before it gives the mixture's weights.  Class k's distribution after an id is
 that of the ids that follow it (pairs of the ``PAIRED`` most frequent ids, smoothed by overall shares), bent
-towards the ids that follow ids of class k and divided by its sum, so that it stays a distribution.  Counts come from all training
-tokens; classes from k-means over the successors of the ``CLASSED`` most frequent ids.  The attention's weights are
-fitted by gradient descent: each task fits the common weights on its share of the training documents (of every
-``SLICE_EVERY`` characters of every document the first ``SLICE``, so it grows with the corpus), and the
-tasks' weights are averaged in a tree, ``ROUNDS`` times.
+towards the ids that stand ``LAG`` places behind ids of class k and divided by its sum, so that it stays a
+distribution.  Counts come from all training tokens; classes, which come out as languages and styles, from k-means over what stands
+``LAG`` places behind the ``CLASSED`` most frequent ids.  The attention starts as a vote of the classes of the ids before.  The attention's weights are
+fitted by gradient descent: each task fits the common weights on its share of the training documents (a window out of
+every ``SLICE_EVERY`` ids of every document, so it grows with the corpus; half of the documents in each round), and the
+tasks' weights are averaged in a tree, ``ROUNDS`` times.  Texts are encoded once; ids are stored.
 
 Scoring.  A document's ids and one end id run through windows of ``WINDOW`` ids that overlap; each window
 scores the ids that no window before it has scored.
@@ -25,6 +26,7 @@ counts are 0; an empty table gives no rows; other columns don't matter.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import discard, release, stored
 
-CLASSES = 64
+CLASSES = 32
 CLASSED = 4096
 PAIRED = 2048
 OWN_ROWS = 3840  # ids with input vectors of their own; the others share SHARED_ROWS
@@ -42,13 +44,16 @@ SHARED_ROWS = 256
 DIM = 16
 WINDOW = 32
 STRIDE = 24
-SLICE, SLICE_EVERY, ROUNDS = 240, 4800, 2
+LAG = 4
+VOTE = 4.0
+SLICE_EVERY, ROUNDS = 1920, 2
 TOP_WORDS = 1 << 18
-FLUSH_WORDS = 300_000
-FLUSH_IDS = 3_000_000
+FLUSH_WORDS = 200_000
+FLUSH_IDS = 2_000_000
 SMOOTH = 20.0
-BATCH = 192  # windows at once
-RATE = 0.02
+BATCH = 128  # windows at once
+FIT_BATCH = 48
+RATE = 0.01
 MOD, REST = 7, 2
 
 _A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -59,6 +64,26 @@ def text_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_A_TO_Z).split() if isinstance(text, str) else []
 
 
+def _mask(first: int, width: int) -> np.ndarray:
+    """Places do not attend to later ones."""
+    key = (first, width)
+    if key not in _MASKS:
+        _MASKS[key] = np.where(np.arange(width)[None, :] > np.arange(first, width)[:, None], np.float32(-1e9), np.float32(0))
+    return _MASKS[key]
+
+
+_MASKS: dict[tuple[int, int], np.ndarray] = {}
+
+
+TOP_LOGIT = np.float32(60)
+
+
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """Exponentials up to a factor for each row, in place."""
+    logits -= logits.max(axis=2, keepdims=True)
+    return np.exp(logits, out=logits)
+
+
 class Attention:
     """The weights, as one vector of floats with views into it."""
 
@@ -76,10 +101,18 @@ class Attention:
             at += a * b
 
     @classmethod
-    def start(cls) -> Attention:
-        m = cls()
-        m.V[:], m.O[:], m.Q[:], m.K[:] = (np.eye(DIM, dtype=np.float32),) * 4
-        m.B[:] = 4 * np.eye(CLASSES, dtype=np.float32)
+    def start(cls, row: np.ndarray, kind: np.ndarray) -> Attention:
+        """Ids have vectors of their classes; attention to all places alike; a class has the logit of its share of them."""
+        m, rng = cls(), np.random.default_rng(3)
+        m.flat *= 0.3
+        wide = max(CLASSES, DIM)
+        of_class = np.linalg.qr(rng.normal(size=(wide, wide)))[0][:CLASSES, :DIM]
+        of_class /= np.linalg.norm(of_class, axis=1, keepdims=True)
+        own = np.flatnonzero(row < OWN_ROWS)
+        m.E[row[own]] += of_class[kind[own]].astype(np.float32)
+        m.V[:] = m.O[:] = np.eye(DIM, dtype=np.float32)
+        m.U[:] = VOTE * of_class.T
+        m.B[:] = 0
         return m
 
     def forward(self, rows: np.ndarray, classes: np.ndarray, first: int = 0):
@@ -89,19 +122,44 @@ class Attention:
         q, k, v = x @ self.Q, x @ self.K, x @ self.V
         s = q[:, first:] @ k.transpose(0, 2, 1)
         s *= np.float32(DIM ** -0.5)
-        s += np.where(np.arange(w)[None, :] > np.arange(first, w)[:, None], np.float32(-1e9), np.float32(0))
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
+        s += _mask(first, w)
+        _exp(s)
         s /= s.sum(axis=2, keepdims=True)
         c = s @ v
         h = x[:, first:] + c @ self.O
         z = h @ self.U
         z += self.B[classes[:, first:]]
-        z -= z.max(axis=2, keepdims=True)
-        np.exp(z, out=z)
+        _exp(z)
         z /= z.sum(axis=2, keepdims=True)
         return z, (x, q, k, v, s, c, h)
 
+    def tables(self, row: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What ``mixture`` looks up: queries, keys and values of input rows and places, the last with a one behind
+        them; logits that an id alone gives; the map from attended values to logits."""
+        one = np.ones((len(self.E), 1), np.float32)
+        scale = np.float32(DIM ** -0.5)
+        by_row = np.concatenate([self.E @ self.Q * scale, self.E @ self.K, self.E @ self.V, one], axis=1)
+        by_place = np.concatenate([self.P @ self.Q * scale, self.P @ self.K, self.P @ self.V, np.zeros((WINDOW, 1), np.float32)], axis=1)
+        return by_row, by_place, (self.E @ self.U)[row] + self.B[kind], self.P @ self.U, self.O @ self.U
+
+    @staticmethod
+    def mixture(tables, rows: np.ndarray, ids: np.ndarray, first: int) -> np.ndarray:
+        """``forward`` for scoring: the mixture's weights of places ``first`` on, but for a factor at each place.
+
+        Logits beyond ``TOP_LOGIT`` count as that, which keeps sums finite and above 0 without a search for the largest."""
+        by_row, by_place, logits, logits_by_place, attended = tables
+        t = by_row[rows]
+        t += by_place
+        s = t[:, first:, :DIM] @ t[:, :, DIM:2 * DIM].transpose(0, 2, 1)
+        np.clip(s, -TOP_LOGIT, TOP_LOGIT, out=s)
+        s += _mask(first, WINDOW)
+        np.exp(s, out=s)
+        c = s @ t[:, :, 2 * DIM:]
+        z = ((c[:, :, :DIM] / c[:, :, DIM:]).reshape(-1, DIM) @ attended).reshape(*c.shape[:2], CLASSES)
+        z += logits[ids[:, first:]]
+        z += logits_by_place[first:]
+        return np.exp(np.clip(z, -TOP_LOGIT, TOP_LOGIT, out=z), out=z)
+
     def gradient(self, rows, classes, theta, weight):
         """Gradient of the mean negative log probability; theta (n, w, classes): the classes' probabilities of the targets."""
         pi, (x, q, k, v, a, c, h) = self.forward(rows, classes)
@@ -161,6 +219,8 @@ class Model:
         before = np.concatenate([[end], ids[:-1]])
         before[(np.cumsum(lengths) - lengths)] = end
         start, scored, long, doc = self.windows(ids, lengths)
+        tables = self.attention.tables(self.row, self.kind)
+        ones = np.ones(CLASSES, np.float32)
         out = np.zeros(len(lengths))
         for kind in (0, WINDOW - STRIDE):  # first windows score all their places
             mine = np.flatnonzero(scored == kind)
@@ -170,30 +230,25 @@ class Model:
                 inside = np.arange(WINDOW)[None, :] < long[w][:, None]
                 place = np.where(inside, place, start[w][:, None])
                 x = before[place]
-                pi, _ = self.attention.forward(self.row[x], self.kind[x], kind)
+                weights = Attention.mixture(tables, self.row[x], x, kind)
                 by_class, factor = self.given(x[:, kind:], ids[place[:, kind:]])
-                pi *= by_class
-                lp = np.log10(pi.sum(axis=2, dtype=np.float32) * factor)
+                lp = np.log10(np.einsum("nwk,nwk->nw", weights, by_class) / (weights @ ones) * factor)
                 out += np.bincount(doc[w], (lp * inside[:, kind:]).sum(axis=1, dtype=np.float64), minlength=len(out))
         return out
 
 
-def fit_share(model: Model, pieces: list[np.ndarray], end: int, seed: int) -> None:
-    """Gradient descent (Adam) over the windows of some documents' pieces, in place."""
-    rows = []
-    for ids in pieces:
-        before = np.concatenate([[end], ids[:-1]])
-        for s in range(0, len(ids) - WINDOW + 1 if len(ids) > WINDOW else 1, WINDOW):
-            w, t = before[s:s + WINDOW], ids[s:s + WINDOW]
-            rows.append((np.pad(w, (0, WINDOW - len(w))), np.pad(t, (0, WINDOW - len(t))), len(w)))
-    if not rows:
+def fit_share(model: Model, pieces: list[tuple[int, np.ndarray]], seed: int) -> None:
+    """Gradient descent (Adam) over windows (the id before, and at most ``WINDOW`` ids), in place."""
+    if not pieces:
         return
-    x, t, n = np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows]), np.array([r[2] for r in rows])
+    n = np.array([len(ids) for _, ids in pieces])
+    t = np.stack([np.pad(ids, (0, WINDOW - len(ids))) for _, ids in pieces])
+    x = np.concatenate([np.array([[first] for first, _ in pieces]), t[:, :-1]], axis=1)
     order = np.random.default_rng(seed).permutation(len(x))
     a = model.attention
     m, v, steps = np.zeros_like(a.flat), np.zeros_like(a.flat), 0
-    for s in range(0, len(order), BATCH):
-        w = order[s:s + BATCH]
+    for s in range(0, len(order), FIT_BATCH):
+        w = order[s:s + FIT_BATCH]
         weight = (np.arange(WINDOW)[None, :] < n[w][:, None]).astype(np.float32)
         g, _ = a.gradient(model.row[x[w]], model.kind[x[w]], model.given(x[w], t[w])[0], weight)
         steps += 1
@@ -202,77 +257,90 @@ def fit_share(model: Model, pieces: list[np.ndarray], end: int, seed: int) -> No
         a.flat -= RATE * (m / (1 - 0.9 ** steps)) / (np.sqrt(v / (1 - 0.99 ** steps)) + 1e-6)
 
 
-def slices(text: str, part: int) -> list[tuple[str, bool]]:
-    """A text's training slices of one round, cut at spaces; and whether a slice ends the text."""
-    out = []
-    for i, s in enumerate(range(0, max(1, len(text)), SLICE_EVERY)):
-        if i % ROUNDS != part and len(text) > SLICE_EVERY:
-            continue
-        a, b = s, min(len(text), s + SLICE)
-        if a:
-            a = text.find(" ", a, b) + 1 or a
-        if b < len(text):
-            b = max(text.rfind(" ", a, b), a)
-        out.append((text[a:b], b == len(text)))
-    return out
-
-
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(MOD)) == REST, F.lit(False))
 
 
-def _counts(path: str, vocabulary: int, end: int):
-    """Word counts (the end as an empty word) and counts of pairs of neighbouring ids."""
+def _encoded(path: str, end: int):
+    """Every document's ids and its end, as 16- or 32-bit numbers: encoded once, read by all later passes."""
     def run(batches):
-        enc, words, ids, size = tokens.encoder(path), Counter(), [], 0
+        enc, last = tokens.encoder(path), np.array([end], "<u4").tobytes()
+        for b in batches:
+            ids = [np.frombuffer(enc.encode(t if isinstance(t, str) else None) + last, "<u4").astype(_narrow(end)).tobytes() for t in b["text"]]
+            yield b.drop(columns="text").assign(ids=ids)
+
+    return run
+
+
+def _narrow(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+def _word_counts(batches):
+    """Word counts, the end as an empty word."""
+    tokens.forget()
+    words = Counter()
 
-        def words_out():
-            out = pd.DataFrame({"word": list(words), "pair": pd.array([None] * len(words), dtype="Int64"), "n": list(words.values())})
-            words.clear()
-            return out
+    def out():
+        got = pd.DataFrame({"word": list(words), "n": list(words.values())})
+        words.clear()
+        return got
 
-        def pairs_out():
+    for b in batches:
+        for text in b["text"]:
+            words.update(text_words(text))
+            words[b""] += 1
+            if len(words) >= FLUSH_WORDS:
+                yield out()
+    if words:
+        yield out()
+
+
+def _pair_counts(vocabulary: int, end: int):
+    """Counts of pairs of an id and the one before (lag 1) or ``LAG`` places before; before a text stand ends."""
+    def run(batches):
+        tokens.forget()
+        ids, size = [], 0
+
+        def out():
             t = np.concatenate(ids).astype(np.int64)
+            for lag in (1, LAG):
+                before = np.concatenate([np.concatenate([np.full(lag, end, t.dtype), x])[: len(x)] for x in ids])
+                p, n = np.unique(before * vocabulary + t, return_counts=True)
+                yield pd.DataFrame({"lag": lag, "pair": p, "n": n})
             ids.clear()
-            p, n = np.unique(np.concatenate([[end], t[:-1]]) * vocabulary + t, return_counts=True)
-            return pd.DataFrame({"word": None, "pair": pd.array(p, dtype="Int64"), "n": n})
 
         for b in batches:
-            for text in b["text"]:
-                words.update(text_words(text))
-                words[b""] += 1
-                ids.append(np.frombuffer(enc.encode(text if isinstance(text, str) else None) + np.array([end], "<u4").tobytes(), "<u4"))
+            for x in b["ids"]:
+                ids.append(np.frombuffer(x, _narrow(end)))
                 size += len(ids[-1])
-                if len(words) >= FLUSH_WORDS:
-                    yield words_out()
                 if size >= FLUSH_IDS:
-                    yield pairs_out()
+                    yield from out()
                     size = 0
-        if words:
-            yield words_out()
         if ids:
-            yield pairs_out()
+            yield from out()
 
     return run
 
 
-def _fit(path: str, end: int, row, kind, tables, flat: np.ndarray, part: int):
+def _fit(shared, end: int, flat: np.ndarray, part: int):
     def run(batches):
-        enc = tokens.encoder(path)
-        model, seen, pieces = Model(row, kind, tables, Attention(flat.copy())), 0, []
+        model, seen, pieces = Model(*shared.value, Attention(flat.copy())), 0, []
         for b in batches:
-            for text in b["text"]:
-                for piece, last in slices(text if isinstance(text, str) else "", part):
-                    ids = np.frombuffer(enc.encode(piece), "<u4").astype(np.int64)
-                    ids = np.append(ids, end) if last else ids
-                    if len(ids):
-                        pieces.append(ids)
-                        seen += len(ids)
-                if len(pieces) >= 20_000:
-                    fit_share(model, pieces, end, seen)
-                    pieces = []
-        fit_share(model, pieces, end, seen)
+            for key, x in zip(b["k1"], b["ids"]):
+                if key % ROUNDS != part:
+                    continue
+                ids = np.frombuffer(x, _narrow(end))
+                for s in range(0, len(ids), SLICE_EVERY):
+                    # a place in this stretch that depends on the document alone
+                    s += (key >> 8) % max(1, min(SLICE_EVERY, len(ids) - s) - WINDOW + 1)
+                    pieces.append((int(ids[s - 1]) if s else end, ids[s:s + WINDOW].astype(np.int64)))
+                    seen += len(pieces[-1][1])
+            if len(pieces) > 50_000:
+                fit_share(model, pieces, seen)
+                pieces = []
         if seen:
+            fit_share(model, pieces, seen)
             yield pd.DataFrame({"weight": [float(seen)], "flat": [model.attention.flat.tobytes()]})
 
     return run
@@ -301,9 +369,10 @@ def _averaged(fitted: DataFrame, start: np.ndarray) -> np.ndarray:
 
 
 def id_classes(pairs: DataFrame, vocabulary: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Input row and class of every id, from counts of pairs: k-means over square roots of successor shares."""
+    """Input row and class of every id, from counts of pairs: k-means over square roots of shares of ids behind."""
+    next_to, behind = pairs.where("lag = 1"), pairs.where(F.col("lag") == LAG)
     prev = F.floor(F.col("pair") / vocabulary)
-    order = pairs.groupBy(F.pmod("pair", F.lit(vocabulary)).alias("id")).agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    order = next_to.groupBy(F.pmod("pair", F.lit(vocabulary)).alias("id")).agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
     top = order["id"].to_numpy()  # at most a row per id of the vocabulary
     row = OWN_ROWS + np.arange(vocabulary) % SHARED_ROWS
     row[top[:OWN_ROWS]] = np.arange(min(OWN_ROWS, len(top)))
@@ -312,7 +381,7 @@ def id_classes(pairs: DataFrame, vocabulary: int, seed: int = 5) -> tuple[np.nda
     rank[top[:CLASSED]] = np.arange(min(CLASSED, len(top)))
     spark = pairs.sparkSession
     ranks = spark.createDataFrame(pd.DataFrame({"prev": top[:CLASSED], "r": np.arange(min(CLASSED, len(top)))}), "prev long, r int")
-    cells = pairs.select(prev.alias("prev"), F.pmod(F.col("pair") % vocabulary, F.lit(256)).alias("c"), "n").join(F.broadcast(ranks), "prev")
+    cells = behind.select(prev.alias("prev"), F.pmod(F.col("pair") % vocabulary, F.lit(256)).alias("c"), "n").join(F.broadcast(ranks), "prev")
     cells = cells.groupBy("r", "c").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSED * 256 numbers
     x = np.zeros((CLASSED, 256))
     x[cells["r"], cells["c"]] = np.sqrt(cells["n"])
@@ -337,59 +406,77 @@ def id_classes(pairs: DataFrame, vocabulary: int, seed: int = 5) -> tuple[np.nda
 def class_probabilities(pairs: DataFrame, kind: np.ndarray, row: np.ndarray, vocabulary: int) -> tuple[np.ndarray, ...]:
     """The model's count tables.
 
-    theta (id, class): shares of ids after ids of a class; overall: of all ids; place: an id's place among the
+    theta (id, class): shares of ids ``LAG`` places behind ids of a class; overall: of all ids; place: an id's place among the
     ``PAIRED`` most frequent ones, the last place for all others; after (place, place): shares of pairs; spare: what is
     left of an id's successors for the overall shares; sums (place, class): one by the sum of the bent distribution."""
     spark = pairs.sparkSession
     kinds = spark.createDataFrame(pd.DataFrame({"prev": np.arange(vocabulary), "k": kind}), "prev long, k int")
-    split = pairs.select(F.floor(F.col("pair") / vocabulary).alias("prev"), F.pmod("pair", F.lit(vocabulary)).alias("id"), "n")
+    split = pairs.select("lag", F.floor(F.col("pair") / vocabulary).alias("prev"), F.pmod("pair", F.lit(vocabulary)).alias("id"), "n")
     # vocabulary * CLASSES numbers at most
-    got = split.join(F.broadcast(kinds), "prev").groupBy("k", "id").agg(F.sum("n").cast("double").alias("n")).toPandas()
-    c = np.zeros((vocabulary, CLASSES))
+    got = split.where(F.col("lag") == LAG).join(F.broadcast(kinds), "prev").groupBy("k", "id").agg(F.sum("n").cast("double").alias("n")).toPandas()
+    c = np.zeros((vocabulary, CLASSES), np.float32)  # exact up to 2**24, then to seven digits
     c[got["id"], got["k"]] = got["n"]
-    overall = c.sum(axis=1) + 0.05
+    overall = c.sum(axis=1, dtype=np.float64) + 0.05
     overall /= overall.sum()
-    theta = (c + SMOOTH * overall[:, None]) / (c.sum(axis=0) + SMOOTH)[None, :]
+    after_class = (c.sum(axis=0, dtype=np.float64) + SMOOTH).astype(np.float32)
+    c += (SMOOTH * overall[:, None]).astype(np.float32)
+    c /= after_class
+    theta = c
     place = np.where(row < PAIRED, row, PAIRED)
     frequent = spark.createDataFrame(pd.DataFrame({"id": np.flatnonzero(place < PAIRED)}), "id long")
     # PAIRED * PAIRED numbers at most
-    got = split.join(F.broadcast(frequent), "id").join(F.broadcast(frequent.withColumnRenamed("id", "prev")), "prev").toPandas()
-    n = np.zeros((PAIRED + 1, PAIRED + 1))
+    got = split.where("lag = 1").join(F.broadcast(frequent), "id").join(F.broadcast(frequent.withColumnRenamed("id", "prev")), "prev").toPandas()
+    n = np.zeros((PAIRED + 1, PAIRED + 1), np.float32)
     n[place[got["prev"]], place[got["id"]]] = got["n"]
     kinds_after = np.maximum(1, (n > 0).sum(axis=1))  # as much for unseen pairs as there are different ones
-    total = n.sum(axis=1) + kinds_after
-    bent = theta / overall[:, None]
-    by_place = np.zeros((PAIRED + 1, CLASSES))
+    total = n.sum(axis=1, dtype=np.float64) + kinds_after
+    by_place = np.zeros((PAIRED + 1, CLASSES), np.float32)
     own = np.flatnonzero(place < PAIRED)
-    by_place[place[own]] = bent[own]
+    by_place[place[own]] = theta[own] / overall[own, None]
     sums = (n @ by_place + kinds_after[:, None]) / total[:, None]
-    return tuple(x.astype(np.float32) for x in (theta, overall)) + (place,) + tuple(
-        x.astype(np.float32) for x in (n / total[:, None], kinds_after / total, 1 / sums))
+    n /= total[:, None].astype(np.float32)
+    return theta, overall.astype(np.float32), place, n, (kinds_after / total).astype(np.float32), (1 / sums).astype(np.float32)
 
 
-def _score(path: str, end: int, model: Model, top: dict[bytes, int]):
+def _score(shared, flat: np.ndarray, end: int):
     def run(batches):
-        enc = tokens.encoder(path)
+        tokens.forget()
+        model = Model(*shared.value, Attention(flat))
         for b in batches:
-            texts = [t if isinstance(t, str) else None for t in b["text"]]
-            at = 0
-            while at < len(texts):
+            ids = [np.frombuffer(x, _narrow(end)) for x in b["ids"]]
+            out, at = [], 0
+            while at < len(ids):
                 take, size = at, 0
-                while take < len(texts) and (take == at or size < 300_000):
-                    size += len(texts[take] or "")
+                while take < len(ids) and (take == at or size < 100_000):
+                    size += len(ids[take])
                     take += 1
-                ids = [np.frombuffer(enc.encode(t) + np.array([end], "<u4").tobytes(), "<u4") for t in texts[at:take]]
-                score = model.score(np.concatenate(ids).astype(np.int64), np.array([len(x) for x in ids]), end)
-                out = []
-                for t in texts[at:take]:
-                    ws = text_words(t)
-                    got = list(map(top.get, ws))
-                    n = np.array([1 if g is None else g + 1 for g in got] or [1], dtype=np.float64)[: len(ws)]
-                    rare = Counter(w for w, g in zip(ws, got) if g is None) if None in got else {}
-                    out.append((len(ws) + 1, len(ws) - sum(rare.values()), float(np.log10(n).sum()), [{"word": w, "n": c} for w, c in rare.items()]))
-                part = pd.DataFrame(out, columns=["n_tokens", "top_known", "top_log", "rare"])
-                yield pd.concat([b[["doc_id", "held_out"]].iloc[at:take].reset_index(drop=True), part], axis=1).assign(score=score).astype({"doc_id": "Int64"})
+                out.append(model.score(np.concatenate(ids[at:take]).astype(np.int64), np.array([len(x) for x in ids[at:take]]), end))
                 at = take
+            yield b.drop(columns="ids").assign(score=np.concatenate(out) if out else [])
+
+    return run
+
+
+_TOP: dict = {}  # one table of frequent words per Python worker: log10 of their counts and one, never 0
+
+
+def _base(shared):
+    """Of each document the words among the most frequent ones, summed, and the others with their numbers."""
+    def run(batches):
+        if _TOP.get("of") is not shared.value:
+            words, counts = shared.value
+            _TOP.update({"of": shared.value, "counts": dict(zip(words.split(b" ") if words else [], np.log10(counts + 1.0).tolist()))})
+        top = _TOP["counts"]
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                ws = text_words(t)
+                got = list(map(top.get, ws, repeat(0.0)))
+                other = got.count(0.0)
+                rare = Counter(filterfalse(top.__contains__, ws)) if other else {}
+                out.append((len(ws) + 1, len(ws) - other, float(sum(got)), [{"word": w, "n": c} for w, c in rare.items()]))
+            part = pd.DataFrame(out, columns=["n_tokens", "top_known", "top_log", "rare"])
+            yield pd.concat([b.drop(columns="text").reset_index(drop=True), part], axis=1).astype({"doc_id": "Int64"})
 
     return run
 
@@ -402,35 +489,44 @@ def scores(docs: DataFrame, path: str | None = None, top_words: int = TOP_WORDS)
 
     vocabulary = Tokenizer.from_file(path).get_vocab_size()
     end = vocabulary - 1  # the vocabulary's own end-of-text id
-    d = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    train = d.where("not held_out").select("text")
-    raw = stored(train.mapInPandas(_counts(path, vocabulary, end), "word binary, pair long, n long"), "counts")
-    pairs = stored(raw.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    words = stored(raw.where("pair is null").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    discard(raw)
+    # rows that repeat a document have its keys, and its results
+    d = docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(3), "text", "doc_id").alias("k2"),
+                    F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    encoded = stored(d.select("k1", "k2", "held_out", "text").mapInPandas(
+        _encoded(path, end), "k1 long, k2 long, held_out boolean, ids binary"), "ids")
+    train = encoded.where("not held_out").select("k1", "ids")
+    pairs = stored(train.select("ids").mapInPandas(_pair_counts(vocabulary, end), "lag int, pair long, n long").groupBy("lag", "pair").agg(F.sum("n").alias("n")), "pairs")
     release(spark)
-    n, v, ends = words.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.octet_length("word") == 0, F.col("c")))).head()
-    n, v, ends = n or 0, v or 0, ends or 0
     row, kind = id_classes(pairs, vocabulary)
-    tables = class_probabilities(pairs, kind, row, vocabulary)
+    shared = spark.sparkContext.broadcast((row, kind, class_probabilities(pairs, kind, row, vocabulary)))
     discard(pairs)
-    flat = Attention.start().flat
+    flat = Attention.start(row, kind).flat
     for part in range(ROUNDS):
-        flat = _averaged(train.mapInPandas(_fit(path, end, row, kind, tables, flat, part), "weight double, flat binary"), flat)
-    # a fixed number of words
-    common = words.where(F.octet_length("word") > 0).orderBy(F.col("c").desc(), "word").limit(top_words).toPandas()
-    top = {bytes(w): int(c) for w, c in zip(common["word"], common["c"])}
-    model = Model(row, kind, tables, Attention(flat))
-    rows = d.mapInPandas(_score(path, end, model, top), "doc_id long, held_out boolean, n_tokens long, top_known long, top_log double, "
-                         "rare array<struct<word: binary, n: long>>, score double")
-    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "scored")
+        flat = _averaged(train.mapInPandas(_fit(shared, end, flat, part), "weight double, flat binary"), flat)
+    scored = encoded.select("k1", "k2", "ids").mapInPandas(_score(shared, flat, end), "k1 long, k2 long, score double")
+    scored = stored(scored.dropDuplicates(["k1", "k2"]), "scores")
+    shared.destroy()
+    discard(encoded)
     release(spark)
+
+    words = d.where("not held_out").select("text").mapInPandas(_word_counts, "word binary, n long")
+    words = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    release(spark)
+    n, v, ends = words.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.octet_length("word") == 0, F.col("c")))).head()
+    n, v, ends = n or 0, v or 0, ends or 0
+    # a fixed number of words; they hold no spaces
+    common = words.where(F.octet_length("word") > 0).orderBy(F.col("c").desc(), "word").limit(top_words).toPandas()
+    frequent = spark.sparkContext.broadcast((b" ".join(map(bytes, common["word"])), common["c"].to_numpy(dtype=np.int64)))
+    del common
+    rows = d.mapInPandas(_base(frequent), "k1 long, k2 long, doc_id long, held_out boolean, n_tokens long, top_known long, top_log double, "
+                         "rare array<struct<word: binary, n: long>>")
+    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "base")
     rare = rows.select("rid", F.explode("rare").alias("x")).select("rid", "x.word", F.col("x.n").alias("m"))
     # words that are not so frequent: no key has more than 1 in top_words of all tokens
-    met = rare.join(words.where("c > 0"), "word").groupBy("rid").agg(
+    met = rare.join(words, "word").groupBy("rid").agg(
         F.sum("m").alias("more_known"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("more_log"))
     zero = F.lit(0)
-    out = rows.drop("rare").join(met, "rid", "left")
+    out = rows.drop("rare").join(met, "rid", "left").join(scored, ["k1", "k2"])
     total = F.log10(F.lit(float(n + v + 1)))
     base = F.col("top_log") + F.coalesce("more_log", F.lit(0.0)) + F.log10(F.lit(float(ends + 1))) - F.col("n_tokens") * total
     return out.select("doc_id", "held_out", "n_tokens", (F.col("top_known") + F.coalesce("more_known", zero) + int(ends > 0)).cast("long").alias("n_known"),

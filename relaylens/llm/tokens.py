@@ -113,3 +113,8 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Frees the encoders of this Python worker: workers live on, and later stages need their memory."""
+    _ENCODERS.clear()

@@ -305,7 +305,7 @@ def test_classifier(docs_of, clash, spark):
 
 def test_gradient():
     rng = np.random.default_rng(11)
-    a = lm.Attention.start()
+    a = lm.Attention()
     a.flat[:] = a.flat + rng.normal(0, 0.2, len(a.flat)).astype(np.float32)
     x, c = rng.integers(0, 50, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
     theta, w = rng.random((3, lm.WINDOW, lm.CLASSES)).astype(np.float32), np.ones((3, lm.WINDOW), np.float32)
@@ -322,7 +322,7 @@ def test_gradient():
 
 def test_attention_is_causal_and_windows_score_once():
     rng = np.random.default_rng(12)
-    a = lm.Attention.start()
+    a = lm.Attention()
     x, c = rng.integers(0, 99, (2, lm.WINDOW)), rng.integers(0, lm.CLASSES, (2, lm.WINDOW))
     before = a.forward(x, c)[0][:, :20]
     x[:, 20:], c[:, 20:] = 1, 1
@@ -363,10 +363,10 @@ def test_probabilities_add_up(docs_of):
     from pyspark.sql import functions as F
 
     v = 49408
-    pairs = d.select("text").mapInPandas(lm._counts(tokens.default_path(), v, v - 1), "word binary, pair long, n long")
-    pairs = pairs.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).cache()
+    ids = d.select("text").mapInPandas(lm._encoded(tokens.default_path(), v - 1), "ids binary")
+    pairs = ids.mapInPandas(lm._pair_counts(v, v - 1), "lag int, pair long, n long").groupBy("lag", "pair").agg(F.sum("n").alias("n")).cache()
     row, kind = lm.id_classes(pairs, v)
-    model = lm.Model(row, kind, lm.class_probabilities(pairs, kind, row, v), lm.Attention.start())
+    model = lm.Model(row, kind, lm.class_probabilities(pairs, kind, row, v), lm.Attention.start(row, kind))
     for x in (v - 1, int(pairs.head()["pair"] // v), 17):
         by_class, factor = model.given(np.full(v, x), np.arange(v))
         assert np.allclose((by_class * factor[:, None]).sum(axis=0, dtype=float), 1, atol=2e-3)
