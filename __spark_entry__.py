@@ -315,9 +315,9 @@ def _q_stream(spark, sf_dir):
     base = _scratch(spark, "stream")
     raw, rules = _raw(spark, sf_dir), default_rules(spark)
     cut = raw.agg(F.expr("percentile_approx(rotation, 0.5)")).head()[0]
-    land_chunks(raw.where(F.col("rotation") >= cut), f"{base}/landing", 4)
-    run_landed_stream(spark, base, rules, max_files_per_trigger=2)
-    land_chunks(raw.where(F.col("rotation") < cut), f"{base}/landing", 4)
+    land_chunks(raw.where(F.col("rotation") >= cut), f"{base}/landing", 2)
+    run_landed_stream(spark, base, rules, max_files_per_trigger=1)
+    land_chunks(raw.where(F.col("rotation") < cut), f"{base}/landing", 2)
     return run_landed_stream(spark, base, rules, max_files_per_trigger=2).select(*RECORD)
 
 
