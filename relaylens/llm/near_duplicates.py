@@ -157,7 +157,7 @@ def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
     df = np.bincount(at, minlength=len(every))
     place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
     place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
-    out = np.full((len(left), len(right)), float((df == len(sets)).sum()), dtype=np.float32)  # in all of them
+    out = np.full((len(left), len(right)), (df == len(sets)).sum(), dtype=np.int32)  # in all of them
     some = (df > 1) & (df < len(sets))
     dense = np.flatnonzero(some & (df > DENSE))
     column = np.full(len(every), -1)
@@ -170,7 +170,7 @@ def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
         i, j = np.searchsorted(ce, [s, s + 1024])
         m = np.zeros((len(sets), min(1024, len(dense) - s)), dtype=np.float32)
         m[re[i:j], ce[i:j] - s] = 1
-        out += m[left] @ m[right].T
+        np.add(out, m[left] @ m[right].T, out=out, casting="unsafe")  # whole numbers up to 1024
     rare = np.flatnonzero(some[at] & (df[at] <= DENSE))
     if len(rare):
         rare = rare[np.argsort(at[rare], kind="stable")]
@@ -185,6 +185,17 @@ def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
     return out
 
 
+def linked(common: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs have the threshold or more, from the runs they share and the sizes of their sets, in slabs of rows.
+
+    In float64: the slack covers its rounding, far below the step from one number of shared runs to the next."""
+    out = np.empty(common.shape, dtype=bool)
+    for s in range(0, len(left), 256):
+        both = left[s:s + 256, None].astype(np.float64) + right[None, :]
+        out[s:s + 256] = common[s:s + 256].astype(np.float64) * (1 + threshold) >= threshold * both - 1e-6
+    return out
+
+
 def _verify(threshold: float):
     def solve(rows):
         (_, i, j), sets = rows[0][:3], [np.frombuffer(r[5], np.uint64) for r in rows]
@@ -193,8 +204,7 @@ def _verify(threshold: float):
         left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
         if not len(left) or not len(right):
             return
-        link = shared(sets, left, right)
-        link = link * (1 + threshold) >= threshold * (size[left][:, None] + size[right][None, :]) - 1e-6
+        link = linked(shared(sets, left, right), size[left], size[right], threshold)
         if i == j:
             np.fill_diagonal(link, False)
             counts = link.sum(axis=1)

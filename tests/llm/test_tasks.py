@@ -73,6 +73,24 @@ def test_near_duplicates_brute_force(docs_of, clash, block):
     assert {tuple(r) for r in out.select("doc_id", "class_id", "n_links", "n_copies").collect()} == brute_classes(texts)
 
 
+def test_links_at_the_threshold(docs_of):
+    texts = {}
+    for k, (words, more) in enumerate(((16, 3), (28, 6), (48, 11), (92, 22), (48, 12))):  # 12 of 15, 24 of 30, 44 of 55, 88 of 110; 44 of 56
+        w = [f"w{k}x{i}" for i in range(words + more)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(w[:words]), " ".join(w)
+    out = near_duplicates.near_duplicates(docs_of(list(texts.items())))
+    found = {tuple(r) for r in out.select("doc_id", "class_id", "n_links", "n_copies").collect()}
+    assert found == brute_classes(texts) and {r[2] for r in found if r[0] < 8} == {1} and {r[2] for r in found if r[0] >= 8} == {0}
+
+
+def test_linked_is_exact():
+    n = np.arange(4, 200_000, 4)
+    one = np.array([0.0])
+    for less, links in ((0, True), (1, False)):  # n shared of 5 n / 4, or one less shared
+        got = [near_duplicates.linked(np.array([[k - less]], np.int32), one + k, one + k * 5 // 4, 0.8)[0, 0] for k in n[::97]]
+        assert got == [links] * len(got)
+
+
 def test_one_of_each(docs_of, clash):
     rng = random.Random(4)
     a, b = prose(rng, 90), prose(rng, 90)
