@@ -6,9 +6,9 @@ that of the ids that follow it (pairs of the ``PAIRED`` most frequent ids, smoot
 towards the ids that stand ``LAG`` places behind ids of class k and divided by its sum, so that it stays a
 distribution.  Counts come from all training tokens; classes, which come out as languages and styles, from k-means over what stands
 ``LAG`` places behind the ``CLASSED`` most frequent ids.  The attention starts as a vote of the classes of the ids before.  The attention's weights are
-fitted by gradient descent: each task fits the common weights on its share of the training documents (a window out of
-every ``SLICE_EVERY`` ids of every document, so it grows with the corpus; half of the documents in each round), and the
-tasks' weights are averaged in a tree, ``ROUNDS`` times.  Texts are encoded once; ids are stored.
+fitted by gradient descent: each task fits the common weights on its share of the training documents, all their ids in
+windows side by side, and the tasks' weights are averaged in a tree, ``ROUNDS`` times.  Each document has its round, so
+the rounds together are one pass over all training text.  Texts are encoded once; ids are stored.
 
 Scoring.  A document's ids and one end id run through windows of ``WINDOW`` ids that overlap; each window
 scores the ids that no window before it has scored.
@@ -46,7 +46,8 @@ WINDOW = 32
 STRIDE = 24
 LAG = 4
 VOTE = 4.0
-SLICE_EVERY, ROUNDS = 1920, 2
+ROUNDS = 2
+SHARE = 50_000  # windows that are shuffled and fitted together
 TOP_WORDS = 1 << 18
 FLUSH_WORDS = 200_000
 FLUSH_IDS = 2_000_000
@@ -237,20 +238,25 @@ class Model:
         return out
 
 
-def fit_share(model: Model, pieces: list[tuple[int, np.ndarray]], seed: int) -> None:
-    """Gradient descent (Adam) over windows (the id before, and at most ``WINDOW`` ids), in place."""
-    if not pieces:
-        return
-    n = np.array([len(ids) for _, ids in pieces])
-    t = np.stack([np.pad(ids, (0, WINDOW - len(ids))) for _, ids in pieces])
-    x = np.concatenate([np.array([[first] for first, _ in pieces]), t[:, :-1]], axis=1)
+def fit_windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a document in windows side by side: the ids before, the ids, and each window's number of them."""
+    n = -(-len(ids) // WINDOW)
+    t = np.pad(ids, (0, n * WINDOW - len(ids)))
+    x = np.concatenate([np.array([end], t.dtype), t[:-1]])
+    return x.reshape(n, WINDOW), t.reshape(n, WINDOW), np.minimum(WINDOW, len(ids) - WINDOW * np.arange(n))
+
+
+def fit_share(model: Model, windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int) -> None:
+    """Gradient descent (Adam) over windows (``fit_windows`` of each document), in place."""
+    x, t, n = (np.concatenate(c) for c in zip(*windows))
     order = np.random.default_rng(seed).permutation(len(x))
     a = model.attention
     m, v, steps = np.zeros_like(a.flat), np.zeros_like(a.flat), 0
     for s in range(0, len(order), FIT_BATCH):
         w = order[s:s + FIT_BATCH]
         weight = (np.arange(WINDOW)[None, :] < n[w][:, None]).astype(np.float32)
-        g, _ = a.gradient(model.row[x[w]], model.kind[x[w]], model.given(x[w], t[w])[0], weight)
+        before = x[w].astype(np.int64)
+        g, _ = a.gradient(model.row[before], model.kind[before], model.given(before, t[w].astype(np.int64))[0], weight)
         steps += 1
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
@@ -325,22 +331,20 @@ def _pair_counts(vocabulary: int, end: int):
 
 def _fit(shared, end: int, flat: np.ndarray, part: int):
     def run(batches):
-        model, seen, pieces = Model(*shared.value, Attention(flat.copy())), 0, []
+        model, seen, windows, size = Model(*shared.value, Attention(flat.copy())), 0, [], 0
         for b in batches:
             for key, x in zip(b["k1"], b["ids"]):
                 if key % ROUNDS != part:
                     continue
-                ids = np.frombuffer(x, _narrow(end))
-                for s in range(0, len(ids), SLICE_EVERY):
-                    # a place in this stretch that depends on the document alone
-                    s += (key >> 8) % max(1, min(SLICE_EVERY, len(ids) - s) - WINDOW + 1)
-                    pieces.append((int(ids[s - 1]) if s else end, ids[s:s + WINDOW].astype(np.int64)))
-                    seen += len(pieces[-1][1])
-            if len(pieces) > 50_000:
-                fit_share(model, pieces, seen)
-                pieces = []
+                windows.append(fit_windows(np.frombuffer(x, _narrow(end)), end))
+                seen += int(windows[-1][2].sum())
+                size += len(windows[-1][2])
+                if size >= SHARE:
+                    fit_share(model, windows, seen)
+                    windows, size = [], 0
+        if windows:
+            fit_share(model, windows, seen)
         if seen:
-            fit_share(model, pieces, seen)
             yield pd.DataFrame({"weight": [float(seen)], "flat": [model.attention.flat.tobytes()]})
 
     return run

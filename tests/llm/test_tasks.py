@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from relaylens.llm import classifier, lm, near_duplicates, packing, repeats, tokens, topk, warc
@@ -388,3 +389,22 @@ def test_probabilities_add_up(docs_of):
     for x in (v - 1, int(pairs.head()["pair"] // v), 17):
         by_class, factor = model.given(np.full(v, x), np.arange(v))
         assert np.allclose((by_class * factor[:, None]).sum(axis=0, dtype=float), 1, atol=2e-3)
+
+
+def test_fit_takes_all_training_ids(monkeypatch):
+    rng, end = np.random.default_rng(15), 999
+    docs = [np.append(rng.integers(0, end, n), end).astype("<u2") for n in (0, 1, 31, 32, 400, 5000)]
+    took = Counter()
+
+    def record(model, windows, seed):
+        for x, t, n in windows:
+            inside = np.arange(lm.WINDOW)[None, :] < n[:, None]
+            took.update(zip(x[inside].tolist(), t[inside].tolist()))
+
+    monkeypatch.setattr(lm, "fit_share", record)
+    monkeypatch.setattr(lm, "SHARE", 7)
+    monkeypatch.setattr(lm, "Model", lambda attention: type("M", (), {"attention": attention}))
+    batch = pd.DataFrame({"k1": range(len(docs)), "ids": [d.tobytes() for d in docs]})
+    weights = [r["weight"][0] for part in range(lm.ROUNDS) for r in lm._fit(type("S", (), {"value": ()}), end, lm.Attention().flat, part)([batch])]
+    assert took == Counter(p for d in docs for p in zip([end, *d[:-1].tolist()], d.tolist()))
+    assert sum(weights) == sum(map(len, docs))
