@@ -2,7 +2,7 @@
 
 The model.  A token's probability is a mixture of ``CLASSES`` distributions over the vocabulary; one layer
 of causal self-attention over the ids before it gives the mixture's weights.  Class k's distribution after an id is
-that of the ids that follow it (pairs of the ``PAIRED`` most frequent ids, smoothed by overall shares), bent
+that of the ids that follow it (all pairs, smoothed by overall shares), bent
 towards the ids that stand ``LAG`` places behind ids of class k and divided by its sum, so that it stays a
 distribution.  Counts come from all training tokens; classes, which come out as languages and styles, from k-means over what stands
 ``LAG`` places behind the ``CLASSED`` most frequent ids.  The attention starts as a vote of the classes of the ids before.  The attention's weights are
@@ -10,6 +10,9 @@ fitted by gradient descent: each task fits the common weights on its share of th
 windows side by side, and the tasks' weights are averaged in a tree, ``ROUNDS`` times.  Each document has its round, so
 the rounds together are one pass over all training text.  Texts are encoded once; ids are stored.
 
+Counts of pairs of the ``PAIRED`` most frequent ids travel to the tasks (a fixed number).  Documents are scored in
+chunks of about ``CHUNK_IDS`` ids; all other pairs of a chunk, each once, meet their counts in a join.
+
 Scoring.  A document's ids and one end id run through windows of ``WINDOW`` ids that overlap; each window
 scores the ids that no window before it has scored.
 
@@ -30,11 +33,12 @@ from itertools import filterfalse, repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import discard, release, stored
+from .common import bucket, discard, release, stored
 
 CLASSES = 32
 CLASSED = 4096
@@ -51,6 +55,7 @@ SHARE = 50_000  # windows that are shuffled and fitted together
 TOP_WORDS = 1 << 18
 FLUSH_WORDS = 200_000
 FLUSH_IDS = 2_000_000
+CHUNK_IDS = 1 << 16
 SMOOTH = 20.0
 BATCH = 128  # windows at once
 FIT_BATCH = 48
@@ -190,19 +195,29 @@ class Attention:
         return g.flat, -float((np.log(p[:, :, 0]) * weight).sum())
 
 
+def ids_before(ids: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """The id before each id of a stream of documents."""
+    before = np.concatenate([[end], ids[:-1]])
+    before[np.cumsum(lengths) - lengths] = end
+    return before
+
+
 class Model:
     """Attention and the counts: input row and class by id; ``tables`` as ``class_probabilities`` makes them."""
 
     def __init__(self, row, kind, tables, attention):
         self.row, self.kind, self.attention = row, kind, attention
-        self.theta, self.overall, self.place, self.after, self.spare, self.sums = tables
+        self.theta, self.overall, self.place, self.after, self.spare, self.sums, self.one = tables
 
-    def given(self, x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of t after x by class, but for a factor (the second) that all classes share."""
-        px, pt = self.place[x], self.place[t]
-        pair = self.after[px, pt] + self.spare[px] * self.overall[t]
+    def given(self, x: np.ndarray, t: np.ndarray, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of t after x by class, but for a factor (the second) that all classes share.
+
+        rare: counts of the pairs that ``after`` has not; the first result does without."""
+        pair = self.after[self.place[x], self.place[t]] + self.spare[x] * self.overall[t]
+        if rare is not None:
+            pair += rare * self.one[x]
         by_class = self.theta[t]
-        by_class *= self.sums[px]
+        by_class *= self.sums[x]
         return by_class, pair / self.overall[t]
 
     def windows(self, ids: np.ndarray, lengths: np.ndarray):
@@ -215,10 +230,9 @@ class Model:
         start = begin[doc] + at * STRIDE
         return start, np.where(at > 0, WINDOW - STRIDE, 0), np.minimum(WINDOW, ends[doc] - start), doc
 
-    def score(self, ids: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
-        """log10 probability of each document in the stream."""
-        before = np.concatenate([[end], ids[:-1]])
-        before[(np.cumsum(lengths) - lengths)] = end
+    def score(self, ids: np.ndarray, lengths: np.ndarray, end: int, rare: np.ndarray) -> np.ndarray:
+        """log10 probability of each document in the stream; rare: for each id ``given``'s count of it and the one before."""
+        before = ids_before(ids, lengths, end)
         start, scored, long, doc = self.windows(ids, lengths)
         tables = self.attention.tables(self.row, self.kind)
         ones = np.ones(CLASSES, np.float32)
@@ -232,7 +246,7 @@ class Model:
                 place = np.where(inside, place, start[w][:, None])
                 x = before[place]
                 weights = Attention.mixture(tables, self.row[x], x, kind)
-                by_class, factor = self.given(x[:, kind:], ids[place[:, kind:]])
+                by_class, factor = self.given(x[:, kind:], ids[place[:, kind:]], rare[place[:, kind:]])
                 lp = np.log10(np.einsum("nwk,nwk->nw", weights, by_class) / (weights @ ones) * factor)
                 out += np.bincount(doc[w], (lp * inside[:, kind:]).sum(axis=1, dtype=np.float64), minlength=len(out))
         return out
@@ -411,8 +425,9 @@ def class_probabilities(pairs: DataFrame, kind: np.ndarray, row: np.ndarray, voc
     """The model's count tables.
 
     theta (id, class): shares of ids ``LAG`` places behind ids of a class; overall: of all ids; place: an id's place among the
-    ``PAIRED`` most frequent ones, the last place for all others; after (place, place): shares of pairs; spare: what is
-    left of an id's successors for the overall shares; sums (place, class): one by the sum of the bent distribution."""
+    ``PAIRED`` most frequent ones, the last place for all others; after (place, place): shares of pairs of these; spare: what
+    is left of an id's successors for the overall shares; sums (id, class): one by the sum of the bent distribution;
+    one (id): the share that a single successor has."""
     spark = pairs.sparkSession
     kinds = spark.createDataFrame(pd.DataFrame({"prev": np.arange(vocabulary), "k": kind}), "prev long, k int")
     split = pairs.select("lag", F.floor(F.col("pair") / vocabulary).alias("prev"), F.pmod("pair", F.lit(vocabulary)).alias("id"), "n")
@@ -427,36 +442,127 @@ def class_probabilities(pairs: DataFrame, kind: np.ndarray, row: np.ndarray, voc
     c /= after_class
     theta = c
     place = np.where(row < PAIRED, row, PAIRED)
-    frequent = spark.createDataFrame(pd.DataFrame({"id": np.flatnonzero(place < PAIRED)}), "id long")
-    # PAIRED * PAIRED numbers at most
-    got = split.where("lag = 1").join(F.broadcast(frequent), "id").join(F.broadcast(frequent.withColumnRenamed("id", "prev")), "prev").toPandas()
-    n = np.zeros((PAIRED + 1, PAIRED + 1), np.float32)
-    n[place[got["prev"]], place[got["id"]]] = got["n"]
-    kinds_after = np.maximum(1, (n > 0).sum(axis=1))  # as much for unseen pairs as there are different ones
-    total = n.sum(axis=1, dtype=np.float64) + kinds_after
-    by_place = np.zeros((PAIRED + 1, CLASSES), np.float32)
-    own = np.flatnonzero(place < PAIRED)
-    by_place[place[own]] = theta[own] / overall[own, None]
-    sums = (n @ by_place + kinds_after[:, None]) / total[:, None]
-    n /= total[:, None].astype(np.float32)
-    return theta, overall.astype(np.float32), place, n, (kinds_after / total).astype(np.float32), (1 / sums).astype(np.float32)
+    shared = spark.sparkContext.broadcast(((theta / overall[:, None]).astype(np.float32), place))
+    # an id has no more rows than the vocabulary has ids, and one row in the end
+    got = split.where("lag = 1").select("prev", "id", "n").repartition("prev").mapInPandas(
+        _successors(shared), "prev long, total double, kinds long, bent binary, block binary").collect()
+    shared.destroy()
+    total, kinds_after = np.zeros(vocabulary), np.ones(vocabulary)  # as much for unseen pairs as there are different ones
+    sums, after = np.zeros((vocabulary, CLASSES), np.float32), np.zeros((PAIRED + 1, PAIRED + 1), np.float32)
+    for prev, n, different, bent, block in got:
+        total[prev], kinds_after[prev], sums[prev] = n, different, np.frombuffer(bent, np.float32)
+        if block is not None:
+            after[place[prev]] = np.frombuffer(block, np.float32) / (n + different)
+    total += kinds_after
+    sums += kinds_after[:, None].astype(np.float32)
+    sums /= total[:, None].astype(np.float32)
+    return (theta, overall.astype(np.float32), place, after, (kinds_after / total).astype(np.float32), 1 / sums, (1 / total).astype(np.float32))
+
+
+def _successors(shared):
+    """Of each id before: all its pairs, the number of different ones, their sum bent by class, and its row of ``after`` in counts."""
+    def run(batches):
+        ratio, place = shared.value
+        total, kinds, bent, blocks = np.zeros(len(ratio)), np.zeros(len(ratio), np.int64), np.zeros(ratio.shape), {}
+        for b in batches:
+            b = b.sort_values("prev", kind="stable")
+            prev, t, n = (b[c].to_numpy() for c in ("prev", "id", "n"))
+            if not len(prev):
+                continue
+            edge = np.flatnonzero(np.concatenate([[True], prev[1:] != prev[:-1]]))
+            p = prev[edge]
+            total[p] += np.add.reduceat(n, edge)
+            kinds[p] += np.diff(np.append(edge, len(prev)))
+            bent[p] += np.add.reduceat(ratio[t] * n[:, None].astype(np.float64), edge)
+            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(prev)]):
+                if place[prev[i]] < PAIRED:
+                    to = place[t[i:j]]
+                    blocks.setdefault(int(prev[i]), np.zeros(PAIRED + 1, np.float32))[to[to < PAIRED]] = n[i:j][to < PAIRED]
+        found = np.flatnonzero(kinds)
+        for s in range(0, len(found), 1024):
+            p = found[s:s + 1024]
+            yield pd.DataFrame({"prev": p, "total": total[p], "kinds": kinds[p], "bent": [x.tobytes() for x in bent[p].astype(np.float32)],
+                                "block": [blocks[x].tobytes() if x in blocks else None for x in p.tolist()]})
+
+    return run
+
+
+def _chunks(end: int):
+    """Documents put together until they have ``CHUNK_IDS`` ids; a chunk's number is its task's and a running one."""
+    def run(batches):
+        tokens.forget()
+        at, rows, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out():
+            nonlocal at, size
+            k1, k2, ids = zip(*rows)
+            lengths = np.array([len(x) for x in ids]) // np.dtype(_narrow(end)).itemsize
+            part = pd.DataFrame({"chunk": [at], "k1": [np.array(k1, np.int64).tobytes()], "k2": [np.array(k2, np.int64).tobytes()],
+                                 "lengths": [lengths.astype(np.int64).tobytes()], "ids": [b"".join(ids)]})
+            at, size = at + 1, 0
+            rows.clear()
+            return part
+
+        for b in batches:
+            for r in b[["k1", "k2", "ids"]].itertuples(index=False, name=None):
+                rows.append(r)
+                size += len(r[2]) // np.dtype(_narrow(end)).itemsize
+                if size >= CHUNK_IDS:
+                    yield out()
+        if rows:
+            yield out()
+
+    return run
+
+
+def _stream(lengths: bytes, ids: bytes, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's lengths, ids, and pairs as numbers."""
+    lengths, ids = np.frombuffer(lengths, np.int64), np.frombuffer(ids, _narrow(end)).astype(np.int64)
+    return lengths, ids, ids_before(ids, lengths, end) * (end + 1) + ids
+
+
+def _wanted(shared, end: int):
+    """A chunk's different pairs that ``after`` has not."""
+    def run(batches):
+        place = shared.value[2][2]
+        for b in batches:
+            for chunk, lengths, ids in b[["chunk", "lengths", "ids"]].itertuples(index=False, name=None):
+                pair = np.unique(_stream(lengths, ids, end)[2])
+                pair = pair[(place[pair // (end + 1)] == PAIRED) | (place[pair % (end + 1)] == PAIRED)]
+                if len(pair):
+                    yield pd.DataFrame({"chunk": chunk, "pair": pair})
+
+    return run
 
 
 def _score(shared, flat: np.ndarray, end: int):
+    """Scores from sorted rows: a chunk's own (pair -1), then its counts of pairs."""
     def run(batches):
         tokens.forget()
         model = Model(*shared.value, Attention(flat))
+        head, pairs, counts = None, [], []
+
+        def out():
+            k1, k2, lengths, ids = head
+            lengths, ids, key = _stream(lengths, ids, end)
+            known, n = np.concatenate([*pairs, [1 << 62]]), np.concatenate([*counts, [0]])
+            at = np.searchsorted(known, key)
+            rare = np.where(known[at] == key, n[at], 0).astype(np.float32)
+            return pd.DataFrame({"k1": np.frombuffer(k1, np.int64), "k2": np.frombuffer(k2, np.int64), "score": model.score(ids, lengths, end, rare)})
+
         for b in batches:
-            ids = [np.frombuffer(x, _narrow(end)) for x in b["ids"]]
-            out, at = [], 0
-            while at < len(ids):
-                take, size = at, 0
-                while take < len(ids) and (take == at or size < 100_000):
-                    size += len(ids[take])
-                    take += 1
-                out.append(model.score(np.concatenate(ids[at:take]).astype(np.int64), np.array([len(x) for x in ids[at:take]]), end))
-                at = take
-            yield b.drop(columns="ids").assign(score=np.concatenate(out) if out else [])
+            pair, n = b["pair"].to_numpy(), b["n"].to_numpy()
+            heads = np.flatnonzero(pair < 0).tolist()
+            for i, j in zip([-1, *heads], [*heads, len(b)]):
+                if i >= 0:
+                    if head is not None:
+                        yield out()
+                    head, pairs, counts = tuple(b[c].iloc[i] for c in ("k1", "k2", "lengths", "ids")), [], []
+                if j > i + 1:
+                    pairs.append(pair[i + 1:j])
+                    counts.append(n[i + 1:j])
+        if head is not None:
+            yield out()
 
     return run
 
@@ -503,14 +609,21 @@ def scores(docs: DataFrame, path: str | None = None, top_words: int = TOP_WORDS)
     release(spark)
     row, kind = id_classes(pairs, vocabulary)
     shared = spark.sparkContext.broadcast((row, kind, class_probabilities(pairs, kind, row, vocabulary)))
-    discard(pairs)
     flat = Attention.start(row, kind).flat
     for part in range(ROUNDS):
         flat = _averaged(train.mapInPandas(_fit(shared, end, flat, part), "weight double, flat binary"), flat)
-    scored = encoded.select("k1", "k2", "ids").mapInPandas(_score(shared, flat, end), "k1 long, k2 long, score double")
+    chunks = stored(encoded.select("k1", "k2", "ids").mapInPandas(_chunks(end), "chunk long, k1 binary, k2 binary, lengths binary, ids binary"), "chunks")
+    discard(encoded)
+    # counts beyond those in the broadcast; no chunk asks for a pair twice
+    asked = chunks.select("chunk", "lengths", "ids").mapInPandas(_wanted(shared, end), "chunk long, pair long")
+    counts = asked.join(pairs.where("lag = 1").select("pair", "n"), "pair").select("chunk", "pair", "n")
+    met = chunks.withColumns({"pair": F.lit(-1).cast("long"), "n": F.lit(0).cast("long")}).unionByName(counts, allowMissingColumns=True)
+    met = met.repartition(bucket(spark), "chunk").sortWithinPartitions("chunk", "pair")
+    scored = met.mapInPandas(_score(shared, flat, end), "k1 long, k2 long, score double")
     scored = stored(scored.dropDuplicates(["k1", "k2"]), "scores")
     shared.destroy()
-    discard(encoded)
+    discard(chunks)
+    discard(pairs)
     release(spark)
 
     words = d.where("not held_out").select("text").mapInPandas(_word_counts, "word binary, n long")

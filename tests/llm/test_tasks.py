@@ -408,3 +408,13 @@ def test_fit_takes_all_training_ids(monkeypatch):
     weights = [r["weight"][0] for part in range(lm.ROUNDS) for r in lm._fit(type("S", (), {"value": ()}), end, lm.Attention().flat, part)([batch])]
     assert took == Counter(p for d in docs for p in zip([end, *d[:-1].tolist()], d.tolist()))
     assert sum(weights) == sum(map(len, docs))
+
+
+def test_scores_know_pairs_beyond_the_broadcast(docs_of, monkeypatch):
+    rng = random.Random(16)
+    d = docs_of([(i, prose(rng, 60, 200)) for i in range(40)] + [(40, None)])
+    every = {r["doc_id"]: r["score"] for r in lm.scores(d).collect()}
+    monkeypatch.setattr(lm, "PAIRED", 8)
+    monkeypatch.setattr(lm, "CHUNK_IDS", 500)
+    for r in lm.scores(d).collect():
+        assert abs(r["score"] - every[r["doc_id"]]) < 1e-2 * abs(every[r["doc_id"]])
