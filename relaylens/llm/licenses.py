@@ -1,6 +1,7 @@
 """Operator 10: license scans by the Dice coefficient over word bigrams (DataFrame functions only).
 
-Units of a text are its lines, its paragraphs (parted by empty lines) and the whole text.  A unit is
+Units of a text are its lines, its paragraphs (parted by empty lines), its sentences (each ends at . ! or ? before white
+space and an upper-case letter, so a notice inside a long line is one) and the whole text.  A unit is
 lower-cased, everything but letters and digits becomes one space, and its set of word bigrams is held
 against those of the templates: dice = 2 * shared / (bigrams of the unit + bigrams of the template).
 
@@ -10,7 +11,7 @@ and (2 - t) / t times as many bigrams as the template's.  Anchors: it also needs
 longest are taken, as they are the rarest.  Candidates then get their exact coefficient.
 
 Result: a row per document id and template found, with the highest coefficient and the number of
-distinct units that match.  Cases: null and empty texts and units under two words hold no bigram and
+distinct units that match; sentences count where no other unit matches.  Cases: null and empty texts and units under two words hold no bigram and
 match nothing; whole texts are scanned however long; repeated rows of a document count once; of several
 templates that match a unit the nearest is reported, all of them if they tie; empty tables give no rows; other columns don't matter.
 """
@@ -52,6 +53,27 @@ TEMPLATES = {
 }
 
 
+SENTENCE = r"(?<=[.!?])[\x20\x09-\x0D]+(?=\p{Lu})"
+
+_MIT_END = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_TERMS = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+# Whole licence texts, without title and copyright line.
+TEMPLATES |= {
+    "MIT-text": f"{TEMPLATES['MIT-grant']}\n\n{_MIT_END}",
+    "ISC-text": f"{TEMPLATES['ISC-grant']}\n\n{_ISC_END}",
+    "BSD-2-Clause-text": f"{TEMPLATES['BSD-grant']}\n\n{_BSD_TERMS}\n\n{_BSD_END}",
+    "BSD-3-Clause-text": f"{TEMPLATES['BSD-grant']}\n\n{_BSD_TERMS}\n\n{_BSD_NAMES}\n\n{_BSD_END}",
+}
+
+
 def bigrams_of(text: str) -> list[str]:
     w = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
@@ -82,8 +104,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     low, high = math.ceil(min(sizes) * threshold / (2 - threshold) - 1e-9), math.floor(max(sizes) * (2 - threshold) / threshold + 1e-9)
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\x09-\x0D]*\n"), F.array(text))
-    units = docs.select("doc_id", F.explode(F.transform(F.array_distinct(F.transform(parts, _normal)), lambda u: F.struct(
-        u.alias("unit"), let(F.split(u, " "), lambda w: _grams(w, low, high)).alias("grams")))).alias("u")).select("doc_id", "u.*")
+    sentences = F.array_except(F.transform(F.split(text, SENTENCE), _normal), F.transform(parts, _normal))
+
+    def sized(us: Column, sentence: bool) -> Column:
+        return F.transform(us, lambda u: F.struct(u.alias("unit"), F.lit(sentence).alias("sentence"),
+                                                  let(F.split(u, " "), lambda w: _grams(w, low, high)).alias("grams")))
+
+    every = F.concat(sized(F.array_distinct(F.transform(parts, _normal)), False), sized(sentences, True))
+    units = docs.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.*")
     units = units.where(F.size("grams").between(low, high))
     near = units.withColumn("anchor", F.explode("grams")).join(F.broadcast(anchors), "anchor")
     n, m = F.size("grams"), F.size("template")
@@ -91,10 +119,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     near = near.withColumn("dice", 2.0 * F.size(F.array_intersect("grams", "template")) / (n + m))
     hits = near.where(F.col("dice") >= threshold)
     # the rows of a unit that hit through several anchors, or of a text's copies, fold before the shuffle
-    hits = hits.groupBy("doc_id", "unit", "license").agg(F.max("dice").alias("dice"))
+    hits = hits.groupBy("doc_id", "unit", "license").agg(F.max("dice").alias("dice"), F.min("sentence").alias("sentence"))
     best = F.max("dice").over(Window.partitionBy("doc_id", "unit"))
     hits = hits.withColumn("best", best).where("dice = best")
-    return hits.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
+    other = ~F.col("sentence")
+    return hits.groupBy("doc_id", "license").agg(
+        F.coalesce(F.max(F.when(other, F.col("dice"))), F.max("dice")).alias("dice"),
+        F.when(F.count_if(other) > 0, F.count_if(other)).otherwise(F.count(F.lit(1))).alias("n_units"))
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:

@@ -139,3 +139,13 @@ def test_licenses_brute_force(docs_of, clash):
     got = {(r["doc_id"], r["license"], round(r["dice"], 9), r["n_units"]) for r in scan(clash(d)).collect()}
     assert got == e and any(k == "MIT-grant" for _, k, _, _ in got)
     assert scan(docs_of([])).count() == 0
+
+
+def test_licenses_inside_long_lines(docs_of):
+    flat = {k: " ".join(v.split()) for k, v in TEMPLATES.items() if k.endswith("-text")}
+    texts = [f"MIT License Copyright (c) 2020 A. Person {flat['MIT-text']}", f"{PROSE}. {TEMPLATES['MIT-notice']} Then {PROSE}", *flat.values()]
+    found = {}
+    for r in scan(docs_of(list(enumerate(texts)))).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    assert "MIT-text" in found[0] and found[1] == {"MIT-notice"}
+    assert len(flat) == 4 and all(k in found[i + 2] for i, k in enumerate(flat))
