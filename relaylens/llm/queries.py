@@ -80,6 +80,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    prepare(spark)
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import variants
 
@@ -96,12 +103,13 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_near_duplicates, op3_repeated_passages, op4_quality_rules, op5_top_k_search, op6_best_fit_packing, op7_quality_classifier, op8_warc_round_trip, op9_mix_sources, op10_license_scan,
-                              op12_spelling_variants, op13_url_filters)
+                              op11_collocations, op12_spelling_variants, op13_url_filters)
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, topk, url_filters, warc
+    from . import collocations, licenses, spelling, topk, url_filters, warc
 
     return {"op5_top_k_search": topk.oracle_sql(), "op8_warc_round_trip": warc.oracle_sql(), "op10_license_scan": licenses.oracle_sql(),
+            "op11_collocations": collocations.oracle_sql(), "op12_spelling_variants": spelling.oracle_sql(),
             "op13_url_filters": url_filters.oracle_sql()}

@@ -244,3 +244,37 @@ def variants(docs: DataFrame, rare: int = RARE, shortest: int = SHORTEST, least:
                             F.when(found, F.col("best.word")).alias("form"), F.when(found, -F.col("best.less")).alias("form_n")), "forms")
     chain = roots(out.where("form IS NOT NULL"))
     return out.join(chain, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+
+
+def oracle_sql(rare: int = RARE, shortest: int = SHORTEST, least: int = LEAST, ratio: int = RATIO) -> str:
+    """Near words found by the words they become when each code point is left out in turn."""
+    bytes_ = ("flatten(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN unicode(s[i]) < 128 THEN [CAST(unicode(s[i]) AS BIGINT)] "
+              "ELSE [CAST(192 + unicode(s[i]) // 64 AS BIGINT), CAST(128 + unicode(s[i]) % 64 AS BIGINT)] END))")
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295)"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) AS t(i) UNION ALL SELECT i, k + 1, {step} FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS steps FROM bits WHERE k = 8),
+found AS (
+  SELECT COALESCE(CAST(doc_id AS VARCHAR), 'null') AS id, unnest(regexp_extract_all(
+    translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT id, run, count(*) AS n, id || ':' || run AS s FROM found WHERE length(run) >= {shortest} GROUP BY ALL),
+hashed AS (
+  SELECT run, n, {crc} AS h
+  FROM each, crc_table),
+altered AS (
+  SELECT CASE WHEN h % {rare} = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE length(word) >= {shortest} GROUP BY word HAVING sum(n) >= {least}),
+without AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, 100000) AS t(i) WHERE i <= length(word)),
+near AS MATERIALIZED (
+  SELECT DISTINCT a.word AS a, a.n AS a_n, b.word AS b, b.n AS b_n FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, a.n, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+  UNION SELECT DISTINCT b.word, b.n, a.word, a.n FROM without a JOIN words b ON a.rest = b.word),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-b_n, b)) AS b, max(b_n) AS b_n FROM near GROUP BY a),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, COALESCE(n_near, 0) AS n_near, CASE WHEN b_n >= {ratio} * w.n THEN b END AS form, CASE WHEN b_n >= {ratio} * w.n THEN b_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain(word, tip, next) AS (
+  SELECT word, word, form FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT f.word, f.form, c.tip AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL"""
