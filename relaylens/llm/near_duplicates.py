@@ -2,12 +2,12 @@
 
 1. A text's set are the hashes of its runs of ``WORDS`` words (one run of all its words if it has fewer).  Equal texts are
    one node.  Each of ``TREES`` trees holds every node under a signature of ``DEPTH`` least hashes.
-2. Tries over the signatures: nodes are candidates of each other if their signatures in some tree share a
-   prefix.  The prefix is shortened from ``DEPTH`` on until pairs at the threshold are found with ``RECALL``
-   at least, 1 - (1 - threshold ** depth) ** trees.  Members of a trie node are tied to its least member, which is
-   linear in its size; ties make candidate groups.
-3. Exact verification: all pairs within a candidate group, none listed.  Groups are cut into blocks of ``BLOCK``
-   nodes; each pair of blocks is a row key of its own, and one task counts the shared runs of its nodes
+2. Tries over the signatures, climbed from the longest prefixes up: nodes are candidates of each other if their signatures in
+   some tree share a prefix.  Members of a trie node are tied to its least member, which alone goes up to the next
+   shorter prefix, so a trie node meets one row of each child.  Prefixes are shortened until pairs at the
+   threshold are found with ``RECALL`` at least, 1 - (1 - threshold ** depth) ** trees; ties make candidate groups.
+3. Exact verification: all pairs within a candidate group, none listed.  Groups are cut into blocks of about ``BLOCK``
+   nodes and ``BLOCK_BYTES`` of text; each pair of blocks is a row key of its own, and one task counts the shared runs of its nodes
    by matrix products.  It returns a row per node: its number of links, and a node that it is tied to through links.
 4. Links of a node add up over its pairs of blocks; ties make the classes.
 
@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, discard, release, stored
-from .components import components
+from .components import components, join_unique
 from .hashing import PART, Part, mixed
+from .tokens import forget
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 16
 DEPTH = 6
 RECALL = 0.999
-BLOCK = 4096
+BLOCK = 2048
+BLOCK_BYTES = 4 << 20  # of text
 DENSE = 32  # runs in more nodes of a block than this are counted by matrix products
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -121,6 +123,7 @@ def _texts(column) -> list[bytes]:
 
 def _prefixes(words: int, trees: int, depth: int, matched: int):
     def run(batches):
+        forget()
         a, b = _functions(trees * depth)
         for batch in batches:
             keys = []
@@ -132,15 +135,36 @@ def _prefixes(words: int, trees: int, depth: int, matched: int):
                 for i in range(0, len(s), 4096):
                     least = np.minimum(least, (s[i:i + 4096, None] * a[None, :] + b[None, :]).min(axis=0))
                 m = mixed(least).reshape(trees, depth)
-                k = np.arange(trees, dtype=np.uint64)
-                for d in range(matched):
+                k, levels = np.arange(trees, dtype=np.uint64), []
+                for d in range(depth):
                     k = mixed(k * np.uint64(31) + m[:, d])
-                keys.append(k.view(np.int64).tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": batch["node"], "prefixes": keys})
+                    if d + 1 >= matched:
+                        levels.append(k.view(np.int64))
+                keys.append(np.stack(levels, axis=1).tolist())
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": batch["node"], "bytes": batch["bytes"], "prefixes": keys})
 
     return run
 
 
+def _ties(signed: DataFrame, levels: int) -> DataFrame:
+    """Pairs u, v of nodes under one trie node, from the longest prefixes up; of a child only its least node goes on."""
+    rows = signed.where("prefixes IS NOT NULL").groupBy("node").agg(F.first("prefixes").alias("prefixes"))
+    rows = rows.select("node", F.explode("prefixes").alias("p"))
+    rows = rows.select("node", *[F.get("p", i).alias(f"p{i}") for i in range(levels)])
+    ties = []
+    for i in reversed(range(levels)):
+        rows = stored(rows, "trie")
+        above = [F.first(f"p{k}").alias(f"p{k}") for k in range(i)]  # the same for all under a prefix
+        tries = rows.groupBy(f"p{i}").agg(F.min("node").alias("least"), F.max("node").alias("most"), *above)
+        shared = tries.where("least <> most").select(f"p{i}", "least")
+        ties.append(join_unique(rows, shared, f"p{i}", rows.count()).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+        rows = tries.select(F.col("least").alias("node"), *[f"p{k}" for k in range(i)])
+    out = ties[0]
+    for t in ties[1:]:
+        out = out.unionByName(t)
+    return out.distinct()
+
+
 def _sets(words: int):
     def run(batches):
         for b in batches:
@@ -214,14 +238,16 @@ def _verify(threshold: float):
         if not counts.any():
             return
         # least index reached through links
-        label, n = np.arange(len(nodes)), len(left)
-        far = len(nodes)
+        label, n = np.arange(len(nodes), dtype=np.int32), len(left)
+        far = np.int32(len(nodes))
         while True:
-            to_left = np.where(link, (label if i == j else label[n:])[None, :], far).min(axis=1)
             new = label.copy()
-            new[:n] = np.minimum(new[:n], to_left)
-            if i != j:
-                new[n:] = np.minimum(new[n:], np.where(link, new[:n][:, None], far).min(axis=0))
+            for s in range(0, n, 256):  # slabs of rows
+                slab = link[s:s + 256]
+                to_left = np.where(slab, (label if i == j else label[n:])[None, :], far).min(axis=1)
+                new[s:s + len(slab)] = np.minimum(new[s:s + len(slab)], to_left)
+                if i != j:
+                    new[n:] = np.minimum(new[n:], np.where(slab, new[s:s + len(slab)][:, None], far).min(axis=0))
             new = np.minimum(new, new[new])
             if (new == label).all():
                 break
@@ -256,15 +282,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     node = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     d = docs.select(F.col("doc_id").cast("long"), node.alias("node"), "text")
     matched = matched_depth(trees, depth, threshold, recall)
-    signed = stored(d.mapInPandas(_prefixes(words, trees, depth, matched), "doc_id long, node binary, prefixes array<long>"), "prefixes")
-    members = signed.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    tries = members.groupBy("tree", "prefix").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    ties = members.join(tries.drop("most"), ["tree", "prefix"]).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    groups = stored(components(ties.distinct()), "groups")
+    signed = stored(d.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).mapInPandas(
+        _prefixes(words, trees, depth, matched), "doc_id long, node binary, bytes long, prefixes array<array<long>>"), "prefixes")
+    groups = stored(components(_ties(signed, depth - matched + 1)), "groups")
     release(spark)
-    copies = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    mine = groups.join(sizes, "component").join(copies.drop("n_copies"), "node")
+    copies = stored(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("bytes").alias("bytes")), "copies")
+    groups = stored(groups.join(copies.drop("n_copies"), "node"), "groups")
+    n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = groups.groupBy("component").agg(n_blocks.alias("blocks"))
+    mine = join_unique(groups, sizes, "component", groups.count())
     mine = mine.select("node", F.col("component").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "first")
     texts = d.join(mine.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first")))
     sets = stored(texts.select("node", "grp", "blocks", "block", "text").mapInPandas(
@@ -279,9 +305,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     found = components(links.select(F.col("node").alias("u"), F.col("tied").alias("v")))
     n = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     nodes = copies.join(n, "node", "left").join(found, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+    nodes = stored(nodes.drop("bytes"), "nodes")
     least = nodes.groupBy("grp").agg(F.min("first").alias("class_id"))
-    nodes = nodes.join(least, "grp").select("node", "grp", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return signed.select("doc_id", "node").join(nodes, "node")
+    nodes = join_unique(nodes, least, "grp", nodes.count())
+    nodes = stored(nodes.select("node", "grp", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "nodes")
+    return join_unique(signed.select("doc_id", "node"), nodes, "node", signed.count())
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -78,6 +78,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 def _pack_round(capacity: int):
     def run(batches):
+        tokens.forget()  # the texts are encoded
         got = [b for b in batches if len(b)]
         if not got:
             return

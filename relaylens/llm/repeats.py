@@ -15,7 +15,8 @@ A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts an
 4. The repeated strings go back to all places of their snippets, and from each document its covered bytes are removed.
 
 An anchor with more than ``CROWD`` different snippets (a frequent phrase in ever new surroundings) would be too
-large for a batch: its strings are counted by two 64-bit hashes instead, as rows that fold before they are shuffled.
+large for a batch: its snippets are cut into pieces of ``SPLIT`` strings, dealt by the bytes that all of these strings
+cover, folded if equal, and go the same way as other snippets; equal strings meet there, too.
 
 Cases: null and empty texts have no bytes, nothing is removed; texts are UTF-8 bytes, and a removal may cut a
 character (the operator's text drops its rest; counts and hash are of bytes); very long texts are cut into overlapping
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import bucket, discard, release, stored
 from .hashing import PART, Part, mixed
+from .tokens import forget
 
 LENGTH = 200
 GRAM = 24
 BATCH = 1_500_000
 CROWD = 4000
+SPLIT = 16
 
 def snippets(part: Part, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """start, number of strings, anchor and hash of each snippet; ``ends`` are where the texts in the part end."""
@@ -86,6 +89,7 @@ def _parts(texts: list[bytes], length: int):
 
 def _places(length: int, gram: int):
     def run(batches):
+        forget()
         for b in batches:
             texts = [t.encode() if isinstance(t, str) else b"" for t in b["text"]]
             k1, k2 = b["k1"].to_numpy(), b["k2"].to_numpy()
@@ -123,10 +127,11 @@ def _texts(length: int):
     return run
 
 
-def suffix_order(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, left: np.ndarray, settle: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks.  ``text``: characters from 1, 0 after each string; ``left``: characters to that 0.
 
-    Every 0 is a character of its own, so suffixes are compared up to it, then by place."""
+    Every 0 is a character of its own, so suffixes are compared up to it, then by place.  With ``settle`` their
+    first ``settle`` characters are enough: suffixes that share them stand together in any order and have one rank."""
     n, step = len(text), 7
     padded = np.concatenate([text.astype(np.int64), np.zeros(step, np.int64)])
     packed = np.zeros(n, np.int64)
@@ -141,7 +146,7 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
     while True:
         single = new & np.append(new[1:], True)
         at = np.flatnonzero(~single)  # places in the order that are not settled
-        if not len(at):
+        if not len(at) or (settle is not None and step >= settle):
             return order, rank
         own = order[at]
         key = (rank[own] << 32) | rank[own + step]
@@ -154,9 +159,12 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
         step *= 2
 
 
-def long_prefixes(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array, and for each place whether a boundary of a value below ``length`` parts it from the place before."""
-    order, rank = suffix_order(text, left)
+def long_prefixes(text: np.ndarray, left: np.ndarray, length: int, settle: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array, and for each place whether a boundary of a value below ``length`` parts it from the place before.
+
+    ``settle`` as in ``suffix_order``, ``length`` at least: a rank is then the first place of its group, and no
+    boundary below ``length`` lies inside a group."""
+    order, rank = suffix_order(text, left, settle)
     n = len(order)
     before = np.where(order > 0, text[order - 1], 0)  # the transform
     back = np.where(before > 0, rank[order - 1], -1)  # where the suffix longer by that character stands
@@ -165,7 +173,8 @@ def long_prefixes(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.n
     # places whose suffixes' tails are neighbours follow their tails; the others wait for any boundary between the tails
     tail = np.where(first > 0, rank[np.minimum(order + 1, n - 1)], 0)
     open_ = np.flatnonzero(~found)
-    apart = tail[open_ - 1] + 1 != tail[open_]
+    exact = order[tail] == order + 1  # not just the tail's group
+    apart = (tail[open_ - 1] + 1 != tail[open_]) | ~exact[open_ - 1] | ~exact[open_]
     wait = open_[apart]
     lo, hi = tail[wait - 1], tail[wait]
     same = np.concatenate([[False], (before[1:] == before[:-1]) & (before[1:] > 0)])
@@ -201,7 +210,7 @@ def _repeated(length: int):
         text = data.astype(np.int16) + 1
         text[ends] = 0
         left = np.repeat(ends, size + 1) - np.arange(len(text))
-        order, parted = long_prefixes(text, left, length)
+        order, parted = long_prefixes(text, left, length, length)
         group = np.cumsum(parted) - 1
         row = np.searchsorted(ends, order)
         strings = np.array([r[2] for r in rows])
@@ -237,24 +246,47 @@ def _repeated(length: int):
     return run
 
 
-def _strings(length: int):
-    """Two hashes of every string of a crowded anchor's snippets."""
+def _anchor_at(data: bytes, anchor: int, gram: int) -> int:
+    """The place in a snippet of the gram that all its strings have as their anchor."""
+    p = Part(data)
+    i = np.arange(len(data) - gram + 1)
+    return int(np.argmax(mixed((p.sums[i + gram] - p.sums[i]) * p.down[i]).view(np.int64) == anchor))
+
+
+def _pieces(length: int, gram: int):
+    """Pieces of crowded anchors' snippets, at most ``SPLIT`` strings each, under an anchor of their own.
+
+    Equal strings have their anchor at the same place: those that have it at neighbouring places, a block, also
+    have all bytes in common that every string of the block covers.  These bytes name the new anchor."""
     def run(batches):
         for b in batches:
+            out = []
             for r in b.itertuples(index=False):
-                p = Part(r.bytes)
-                i = np.arange(r.strings)
-                other = Part(bytes(255 - x for x in r.bytes))
-                yield pd.DataFrame({"h1": p.hashes(i, i + length).view(np.int64), "h2": other.hashes(i, i + length).view(np.int64),
-                                    "anchor": r.anchor, "snippet": r.snippet, "first": i, "n": r.n})
+                at = _anchor_at(r.bytes, r.anchor, gram)
+                last = -1
+                for block in range(at // SPLIT, -1, -1):
+                    # strings that start SPLIT * block to SPLIT * block + SPLIT - 1 before the anchor
+                    first, stop = max(last + 1, 0), min(at - SPLIT * block, r.strings - 1)
+                    if stop < first:
+                        continue
+                    last = stop
+                    core = r.bytes[at - SPLIT * block: at - SPLIT * block - SPLIT + 1 + length]
+                    piece = r.bytes[first: stop + length]
+                    key, name = hashlib.blake2b(core, digest_size=8, salt=block.to_bytes(16, "little"), key=(r.anchor & (1 << 64) - 1).to_bytes(8, "little")), hashlib.blake2b(piece, digest_size=8)
+                    out.append((r.anchor, r.snippet, first, r.n, *(int.from_bytes(x.digest(), "little", signed=True) for x in (key, name)), stop - first + 1, piece))
+            yield pd.DataFrame(out, columns=["anchor", "snippet", "first", "n", "key", "piece", "strings", "bytes"])
 
     return run
 
 
-def _runs(batches):
+def _joined(batches):
+    """Runs of a snippet from those of its pieces."""
     for b in batches:
-        yield pd.DataFrame({"anchor": b["anchor"], "snippet": b["snippet"],
-                            "runs": [np.array([(i, 1) for i in sorted(x)], "<i4").tobytes() for x in b["firsts"]]})
+        runs = []
+        for pieces in b["pieces"]:
+            each = [np.frombuffer(p["runs"], "<i4").reshape(-1, 2) + np.array([p["first"], 0], "<i4") for p in pieces]
+            runs.append(np.concatenate(each).astype("<i4").tobytes())
+        yield pd.DataFrame({"anchor": b["anchor"], "snippet": b["snippet"], "runs": runs})
 
 
 def _cut(text: str | None, found, length: int) -> tuple[bytes, bytes, int]:
@@ -319,10 +351,14 @@ def find_repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     sorted_ = texts.join(crowds, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor", "snippet")
     runs = sorted_.mapInPandas(_repeated(length), "anchor long, snippet long, runs binary")
     crowd = texts.join(crowds, "anchor", "left_semi").dropDuplicates(["anchor", "snippet"]).mapInPandas(
-        _strings(length), "h1 long, h2 long, anchor long, snippet long, first int, n long")
-    twice = crowd.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    crowd = crowd.join(twice, ["h1", "h2"]).groupBy("anchor", "snippet").agg(F.collect_list("first").alias("firsts")).mapInPandas(
-        _runs, "anchor long, snippet long, runs binary")
+        _pieces(length, gram), "anchor long, snippet long, first int, n long, key long, piece long, strings int, bytes binary")
+    crowd = stored(crowd, "pieces")
+    folded = crowd.groupBy(F.col("key").alias("anchor"), F.col("piece").alias("snippet")).agg(
+        F.first("strings").alias("strings"), F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
+    folded = folded.select("anchor", "snippet", "strings", "n", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "snippet")
+    again = folded.mapInPandas(_repeated(length), "anchor long, snippet long, runs binary").toDF("key", "piece", "runs")
+    crowd = crowd.select("anchor", "snippet", "first", "key", "piece").join(again, ["key", "piece"]).groupBy("anchor", "snippet").agg(
+        F.collect_list(F.struct("first", "runs")).alias("pieces")).mapInPandas(_joined, "anchor long, snippet long, runs binary")
     runs = stored(runs.unionByName(crowd), "runs")
     release(spark)
     # a snippet in two places or more repeats as a whole, whatever the others have
