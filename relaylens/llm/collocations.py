@@ -7,7 +7,7 @@ as nodes and word triples as edges between the two pairs that overlap in them.
    task once, together with the ends of pieces (a pair, or a word, that no further word follows).
 2. Shorter counts follow from the flow through nodes: a pair occurs as often as its outgoing edges and the pieces
    that end in it say; a word as often as the pairs that begin with it and the pieces that end in it say.  Rows
-   are dealt by first word, so that all levels are summed at one place.  Those of very common words (fewer than 2000,
+   are dealt by first word, so that all levels are summed at one place.  Those of very common words (fewer than 200,000,
    found in a first pass) are dealt by the second word as well, and by the third if the second is as
    common; such words and pairs are summed in parts first.
 3. What remains is the graph of frequent pairs and triples.  A pair with one edge in and one out, both as
@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,12 @@ LEAST = 10  # occurrences of a candidate
 COVERED = 50  # percent of a phrase's occurrences inside a longer one that drop it
 KEEP = 2000  # phrases of a language
 MILLION = 1_000_000
-HELD = 2_000_000  # words of a graph that a task builds at once
-COMMON = 2000  # a word with more than a 2000th of all words is very common
+HELD = 1_000_000  # words of a graph that a task builds at once
+COMMON = 2000  # a word with more than a 2000th of all words is very common,
+ROWS = 50_000_000  # and so is one with more places than this,
+MOST = 200_000  # if it has a 200,000th of all words: there are fewer than that
 PARTS = 64  # of the rows of a very common word
-DEALT = 3_000_000  # words whose rows one task sums up
+DEALT = 1_000_000  # words whose rows one task sums up
 SEND = 100_000  # rows
 _END = b"\xff"  # stands in no UTF-8 text
 
@@ -79,15 +82,13 @@ class Graph:
         self.tokens.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
         self.size += len(words)
 
-    def _names(self) -> pa.Array:
-        return pa.array(self.ids, pa.binary())
-
     def counts(self) -> tuple[pa.Array, np.ndarray]:
         """Words and their number, separators apart."""
-        return self._names()[1:], np.bincount(np.concatenate(self.tokens), minlength=len(self.ids))[1:]
+        return pa.array(self.ids, pa.binary())[1:], np.bincount(np.concatenate(self.tokens), minlength=len(self.ids))[1:]
 
-    def rows(self, common: frozenset) -> dict[str, pa.Array]:
-        """A row for each place: its word and the two that follow in the piece, null beyond its end; how often.
+    def rows(self, common: frozenset) -> pa.Table:
+        """Each place's word with the two that follow in the piece (nothing beyond its end) and how often: w1, and a line each
+        of w2, w3 and number in ``after``.
 
         part: 0, or 1 to 64 if the first word is very common, or 65 to 128 if the second is so, too."""
         t = np.concatenate([*self.tokens, np.zeros(2, np.int64)])
@@ -99,13 +100,24 @@ class Graph:
             pairs, pair = np.unique(pair, return_inverse=True)
         edge, k = np.unique((pair << bits) | c[at], return_counts=True)
         pair = edge >> bits if pairs is None else pairs[edge >> bits]
-        w = [pair >> bits, pair & mask, edge & mask]
+        w1, w2, w3 = pair >> bits, pair & mask, edge & mask
         flags = np.array([x in common for x in self.ids], bool)
-        dealt = np.array([zlib.crc32(x) % PARTS for x in self.ids], np.int32)
-        part = np.where(flags[w[0]], np.where(flags[w[1]], 1 + PARTS + (dealt[w[1]] + dealt[w[2]]) % PARTS, 1 + dealt[w[1]]), 0)
-        names = self._names()
-        names = [names.take(pa.array(x, mask=x == 0)).cast(pa.string()) for x in w]
-        return {"w1": names[0], "w2": names[1], "w3": names[2], "k": pa.array(k), "part": pa.array(part.astype(np.int32))}
+        if flags.any():
+            dealt = np.array([zlib.crc32(x) % PARTS for x in self.ids], np.int64)
+            part = np.where(flags[w1], np.where(flags[w2], 1 + PARTS + (dealt[w2] + dealt[w3]) % PARTS, 1 + dealt[w2]), 0)
+            order = np.lexsort((part, w1))
+            w1, w2, w3, k, part = w1[order], w2[order], w3[order], k[order], part[order]
+        else:
+            part = np.zeros(len(w1), np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (part[1:] != part[:-1])])) if len(w1) else np.zeros(0, np.int64)
+        names = pa.array([b"", *list(self.ids)[1:]], pa.large_binary())
+        line = pc.binary_join_element_wise(names.take(pa.array(w2)), names.take(pa.array(w3)), pc.cast(pa.array(k), pa.string()).cast(pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+        line = pc.binary_join_element_wise(line, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+        # lines stand one after the other: those of a group are one string
+        ends = np.frombuffer(line.buffers()[1], np.int64, len(line) + 1, line.offset * 8) if len(line) else np.zeros(1, np.int64)
+        after = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(np.append(ends[new], ends[-1]).astype(np.int64)), line.buffers()[2]])
+        return pa.table({"w1": names.take(pa.array(w1[new])).cast(pa.large_string()).cast(pa.string()), "part": pa.array(part[new], pa.int32()),
+                         "after": after.cast(pa.binary())})
 
 
 def _graphs(batches, held: int):
@@ -126,58 +138,71 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def word_totals(docs: DataFrame, held: int = HELD) -> tuple[DataFrame, int, frozenset]:
-    """lang and n, the number of words; their sum; and the very common words of any language, fewer than 2000.
+    """lang and n, the number of words; their sum; and the very common words of any language, fewer than 200,000.
 
-    A word with a 2000th of all words has as large a share of some graph, so each graph names those only."""
+    A word with a certain share of all words has as large a share of some graph, so each graph names those only."""
     def count(batches):
         for lang, graph in _graphs(batches, held):
             names, k = graph.counts()
             total = int(k.sum())
-            often = np.flatnonzero(k * COMMON > total)
+            often = np.flatnonzero(k * MOST > total)
             found = [""] + [names[i].as_py().decode() for i in often.tolist()]
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "word": found, "k": [total] + k[often].tolist()})
 
     found = stored(_texts(docs).mapInArrow(count, "lang string, word string, k long").groupBy("lang", "word").agg(F.sum("k").alias("k")), "words")
     totals = found.where("word = ''").select("lang", F.col("k").alias("n"))
     everything = totals.agg(F.sum("n")).head()[0] or 0
-    common = found.where("word <> ''").groupBy("word").agg(F.sum("k").alias("k")).where(F.col("k") * COMMON > everything)
+    share = min(MOST, max(COMMON, everything // ROWS))
+    common = found.where("word <> ''").groupBy("word").agg(F.sum("k").alias("k")).where(F.col("k") * share > everything)
     return totals, int(everything), frozenset(r.word.encode() for r in common.collect())
 
 
 def frequent_flows(docs: DataFrame, total: int, common: frozenset, least: int = LEAST, held: int = HELD) -> DataFrame:
     """lang, w1, w2, w3, a: words (w2 and w3 null), pairs (w3 null) and triples that occur often enough."""
     spark = docs.sparkSession
-    keys = ["lang", "w1", "w2", "w3"]
 
     def edges(batches):
         for lang, graph in _graphs(batches, held):
             made = graph.rows(common)
-            made["lang"] = pa.array([lang] * len(made["k"]), pa.string())
-            yield from pa.table(made).select([*keys, "k", "part"]).to_batches(max_chunksize=SEND)
+            yield from made.add_column(0, "lang", pa.array([lang] * len(made), pa.string())).to_batches(max_chunksize=SEND)
 
     def flows(batches):
         found = list(batches)
         if found:
-            yield from _sums(pa.Table.from_batches(found), least)
+            yield from _sums(pa.Table.from_batches(found), common, least)
 
     parts = max(bucket(spark), total // DEALT)
-    dealt = _texts(docs).mapInArrow(edges, "lang string, w1 string, w2 string, w3 string, k long, part int").repartition(parts, "lang", "w1", "part")
-    found = dealt.mapInArrow(flows, "lang string, w1 string, w2 string, w3 string, k long")
+    dealt = _texts(docs).mapInArrow(edges, "lang string, w1 string, part int, after binary").repartition(parts, "lang", "w1", "part")
+    found = dealt.mapInArrow(flows, "lang string, w1 string, w2 string, w3 string, k long, c1 boolean, c2 boolean, c3 boolean")
     # very common words and pairs of them come in parts
-    return found.groupBy(*keys).agg(F.sum("k").alias("a")).where(F.col("a") >= least)
+    return found.groupBy("lang", "w1", "w2", "w3", "c1", "c2", "c3").agg(F.sum("k").alias("a")).where(F.col("a") >= least)
 
 
-def _sums(table: pa.Table, least: int):
-    """Flows through the words and pairs whose rows these are, and the triples: those often enough or in parts."""
-    import pyarrow.compute as pc
+def _places(table: pa.Table) -> pa.Table:
+    """Rows lang, w1, part, after as lang, w1, part, w2, w3 (empty beyond the end of a piece), k."""
+    lines = pc.split_pattern(table["after"].combine_chunks().cast(pa.string()), "\n")
+    of, lines = pc.list_parent_indices(lines), pc.list_flatten(lines)
+    some = pc.not_equal(lines, "")  # a line ends each group
+    of, lines = of.filter(some), lines.filter(some)
+    words = pc.list_flatten(pc.split_pattern(lines, " "))
+    at = np.arange(len(lines)) * 3
+    columns = {c: table[c].combine_chunks().take(of) for c in ("lang", "w1", "part")}
+    w2, w3, k = (words.take(pa.array(at + i)) for i in range(3))
+    return pa.table(columns | {"w2": w2, "w3": w3, "k": k.cast(pa.int64())})
 
+
+def _sums(table: pa.Table, common: frozenset, least: int):
+    """Flows through the words and pairs whose rows these are, and the triples: those often enough or in parts."""
+    places = _places(table)
+    very = pa.array(sorted(w.decode() for w in common), pa.string())
     for size, whole in ((3, 2 * PARTS), (2, PARTS), (1, 0)):
         keys = ["lang", "w1", "w2", "w3"][:size + 1]
-        some = table.filter(pc.is_valid(table[keys[-1]]))
+        some = places.filter(pc.not_equal(places[keys[-1]], ""))
         out = some.group_by([*keys, "part"], use_threads=False).aggregate([("k", "sum")])
         out = out.filter(pc.or_(pc.greater_equal(out["k_sum"], least), pc.greater(out["part"], whole)))
         none = pa.nulls(out.num_rows, pa.string())
         cols = {c: out[c] if c in keys else none for c in ("lang", "w1", "w2", "w3")} | {"k": out["k_sum"]}
+        cols |= {f"c{i}": pc.is_in(cols[f"w{i}"], value_set=very) for i in (1, 2, 3)}
         yield from pa.table(cols).to_batches(max_chunksize=SEND)
 
 
@@ -255,9 +280,7 @@ def best_of_each(found: DataFrame, key: str, order: list, keep: int) -> DataFram
 def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, keep: int = KEEP, held: int = HELD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score, path_words of each language's best phrases of two and three words."""
     totals, total, common = word_totals(docs, held)
-    found = frequent_flows(docs, total, common, least, held)
-    very = [w.decode() for w in sorted(common)]
-    flows = stored(found.withColumns({f"c{i}": F.coalesce(F.col(f"w{i}").isin(very), F.lit(False)) for i in (1, 2, 3)}), "flows")
+    flows = stored(frequent_flows(docs, total, common, least, held), "flows")
     words, pairs = flows.where("w2 IS NULL"), flows.where("w2 IS NOT NULL AND w3 IS NULL")
     triples = flows.where("w3 IS NOT NULL")
     for table, names, name in ((pairs, ("w1", "w2"), "before"), (pairs, ("w2", "w3"), "after"), (words, ("w1",), "f1"), (words, ("w3",), "f3")):
