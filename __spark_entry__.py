@@ -28,12 +28,15 @@ from relaylens.operators import lifecycle as LC  # noqa: E402
 from relaylens.operators import query as QY  # noqa: E402
 from relaylens.operators import status as ST  # noqa: E402
 from relaylens.operators.parse import parse_lines, rejected_lines  # noqa: E402
-from relaylens.plans.index_job import run_index  # noqa: E402
+from relaylens import storage  # noqa: E402
+from relaylens.plans.compact import merge_runs, vacuum  # noqa: E402
+from relaylens.plans.index_job import read_rule_hits, recipient_estimates, run_index  # noqa: E402
 from relaylens.plans.pipeline import build_deliveries, distinct_records, to_delivery_rows  # noqa: E402
-from relaylens.plans.sink import read_deliveries, read_index, to_json_rows, write_deliveries  # noqa: E402
+from relaylens.plans.sink import committed_runs, read_deliveries, read_index, to_json_rows, write_deliveries  # noqa: E402
 from relaylens.session import checkpoint_dir, ship_package  # noqa: E402
 from relaylens.sources import logfiles as LF  # noqa: E402
-from relaylens.sources.rules import default_rules  # noqa: E402
+from relaylens.sources.default_rules import DEFAULT_RULES  # noqa: E402
+from relaylens.sources.rules import default_rules, load_bounce_rules, write_rules_xml  # noqa: E402
 from relaylens.streaming.runner import land_chunks, run_landed_stream  # noqa: E402
 from stand_in_log import synthetic_raw_lines  # noqa: E402
 
@@ -61,6 +64,7 @@ RANGE = (_ms("2024-01-08 00:00"), _ms("2024-01-15 00:00"))
 SLICES = (_ms("2024-01-03 10:00"), _ms("2024-01-10 10:00"), 86_400_000)
 BUDGET_MB = 1.0
 LEDGER_MIN_ROTATION = 350
+TTL_MS = 43_200_000  # half a day
 
 RECORD = QY.RECORD_FIELDS
 
@@ -273,16 +277,18 @@ def _q_written_index(spark, sf_dir):
 
 
 def _land_files(spark, sf_dir, path):
-    """The stand-in log as rotated text files, one per day; every third is compressed."""
-    raw = _raw(spark, sf_dir).withColumn("gz", F.col("rotation") % 3 == 0)
+    """The stand-in log as rotated text files, one per day; every third is compressed, the newest is not."""
+    raw = _raw(spark, sf_dir)
     days = [r.rotation for r in raw.select("rotation").distinct().collect()]
+    newest = min(days, default=0)
+    raw = raw.withColumn("gz", (F.col("rotation") % 3 == 0) & (F.col("rotation") != newest))
     jvm = spark.sparkContext._jvm
     for gz in (False, True):
         part = raw.where(F.col("gz") == gz).select("rotation", "block_start", "line_seq", "line")
         (part.repartition(max(1, len(days)), "rotation").sortWithinPartitions("rotation", "block_start", "line_seq")
             .select("line", "rotation").write.partitionBy("rotation").option("compression", "gzip" if gz else "none").text(f"{path}/parts{gz}"))
     for day in days:
-        gz = day % 3 == 0
+        gz = day % 3 == 0 and day != newest
         folder = jvm.org.apache.hadoop.fs.Path(f"{path}/parts{gz}/rotation={day}")
         fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/logs"))
@@ -309,6 +315,105 @@ def _q_indexed_files(spark, sf_dir):
     return read_index(spark, f"{path}/index").select(*RECORD)
 
 
+def _copy_start(spark, source, target, share):
+    """A live file as a reader finds it while it is written: the first part of ``source``, cut inside a line."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = src.getFileSystem(conf)
+    n = int(fs.getFileStatus(src).getLen() * share)
+    while storage.read_bytes(spark, source, n - 1, 1) in (b"\n", b"\r"):
+        n -= 1
+    a, b = fs.open(src), fs.create(dst, True)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(a, b, n, True)
+
+
+def _live_growth(spark, sf_dir):
+    """An index whose newest file was live: read twice in the middle of a line, then whole after its rotation."""
+    path = _scratch(spark, "live")
+    logs = _land_files(spark, sf_dir, path)
+    newest = min(storage.names(spark, logs), key=lambda n: int(n.split(".")[2]))
+    aside = f"{path}/{newest}"
+    storage.move(spark, f"{logs}/{newest}", aside, 1_700_000_000_000)
+    for share in (0.4, 0.75):
+        _copy_start(spark, aside, f"{logs}/mail.log", share)
+        run_index(spark, logs, f"{path}/index", include_live=True)
+    storage.delete(spark, f"{logs}/mail.log")
+    storage.move(spark, aside, f"{logs}/{newest}", 1_700_000_100_000)
+    run_index(spark, logs, f"{path}/index", include_live=True)
+    return f"{path}/index"
+
+
+def _q_live_growth(spark, sf_dir):
+    return read_index(spark, _live_growth(spark, sf_dir)).select(*RECORD)
+
+
+def _q_live_hits(spark, sf_dir):
+    return read_rule_hits(spark, _live_growth(spark, sf_dir))
+
+
+def _three_runs(spark, sf_dir, name):
+    """An index of three runs, the files dealt to them by age."""
+    path = _scratch(spark, name)
+    logs = _land_files(spark, sf_dir, path)
+    days = sorted((r.rotation for r in LF.list_log_files(spark, logs).select("rotation").collect()), reverse=True)
+    for upto in (len(days) // 3, 2 * len(days) // 3, len(days)):
+        chosen = "|".join(map(str, days[:upto]))
+        run_index(spark, logs, f"{path}/index", pattern=rf"mail\.log\.({chosen})(?:\.gz)?")
+    return f"{path}/index"
+
+
+def _q_compacted(spark, sf_dir):
+    """Three runs merged into one, what they left deleted."""
+    index = _three_runs(spark, sf_dir, "compacted")
+    merge_runs(spark, index, committed_runs(spark, index))
+    vacuum(spark, index)
+    return read_index(spark, index).select(*RECORD)
+
+
+def _q_estimates(spark, sf_dir):
+    """Distinct recipients from the sketches of three runs, of which two are merged."""
+    index = _three_runs(spark, sf_dir, "sketches")
+    merge_runs(spark, index, committed_runs(spark, index)[:2])
+    return recipient_estimates(spark, index)
+
+
+def _q_expired_batch(spark, sf_dir):
+    path = _scratch(spark, "ttl")
+    run_index(spark, _land_files(spark, sf_dir, path), f"{path}/index", ttl_ms=TTL_MS)
+    return read_index(spark, f"{path}/index").select(*RECORD)
+
+
+def _q_expired_stream(spark, sf_dir):
+    """The same through the stream, in four micro-batches."""
+    ship_package(spark)
+    base = _scratch(spark, "ttl-stream")
+    land_chunks(_raw(spark, sf_dir), f"{base}/landing", 4)
+    return run_landed_stream(spark, base, default_rules(spark), max_files_per_trigger=1, ttl_ms=TTL_MS).select(*RECORD)
+
+
+def _q_backfill(spark, sf_dir):
+    """The older half of the files by the index job, the newer half through the stream into the same index."""
+    ship_package(spark)
+    base = _scratch(spark, "backfill")
+    logs = _land_files(spark, sf_dir, base)
+    days = sorted(r.rotation for r in LF.list_log_files(spark, logs).select("rotation").collect())
+    later = days[len(days) // 2:]
+    run_index(spark, logs, f"{base}/index", pattern=rf"mail\.log\.({'|'.join(map(str, later))})(?:\.gz)?")
+    land_chunks(_raw(spark, sf_dir).where(F.col("rotation") < later[0]), f"{base}/landing", 2)
+    return run_landed_stream(spark, base, default_rules(spark), max_files_per_trigger=1).select(*RECORD)
+
+
+def _q_rules_xml(spark, sf_dir):
+    """The rule list written as XML, read and validated, and the records classified by it."""
+    path = _scratch(spark, "rules")
+    write_rules_xml(f"{path}/rules.xml", [(t, c, p) for t, c, p in DEFAULT_RULES], spark)
+    checkpoint_dir(spark)
+    rules = load_bounce_rules(spark, f"{path}/rules.xml")
+    records = LC.correlate(parse_lines(_raw(spark, sf_dir)), materialize="table").records
+    return CL.bounce_rule_hits(CL.classify(records, rules, keep_rule_id=True), rules)
+
+
 def _q_stream(spark, sf_dir):
     """Landed chunks through the stream in at least three micro-batches, restarted once."""
     ship_package(spark)
@@ -367,6 +472,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_log_files": _q_read_logs,
         "indexed_files": _q_indexed_files,
         "stream_deliveries": _q_stream,
+        "live_growth": _q_live_growth,
+        "live_growth_rule_hits": _q_live_hits,
+        "compacted_index": _q_compacted,
+        "recipient_estimates": _q_estimates,
+        "expired_queues_batch": _q_expired_batch,
+        "expired_queues_stream": _q_expired_stream,
+        "backfill_then_live": _q_backfill,
+        "changed_rules_xml": _q_rules_xml,
     } | LLM_QUERIES
 
 

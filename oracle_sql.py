@@ -58,8 +58,33 @@ def _x(rx: str, g: int) -> str:
 ORDER = "rotation DESC, file, block_start, line_seq"
 
 
-def base_ctes(hits=None) -> str:
+def _with_expiry(parsed: str, ttl_ms: int) -> str:
+    """``parsed`` with a removal before each line at which its queue has expired by log time."""
+    cols = "file, rotation, block_start, line_seq, kind, queue_id, event_ms, rcpt_email, sender_email, status, info, msg_id_raw, msg_id, client_id"
+    none = ", ".join(["NULL"] * 8)
+    own = (f"CASE WHEN kind IN ('A', 'E') THEN event_ms ELSE epoch_ms(try_strptime(regexp_extract(line, {q(P.LINE_DATE_RE)}, 1), "
+           "['%Y %b %d %H:%M:%S.%g', '%Y %B %d %H:%M:%S.%g'])) END")
+    return f"""{parsed.replace('parsed AS (', 'parsed0 AS (').replace('    msg_id_raw,', f'    {own} AS own_ms, msg_id_raw,', 1)},
+timed AS (SELECT *, max(own_ms) OVER (ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING) AS log_ms FROM parsed0),
+late AS (
+  SELECT *, log_ms - last_value(COALESCE(own_ms, log_ms) IGNORE NULLS) OVER (
+    PARTITION BY queue_id ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {ttl_ms} AS late FROM timed),
+parsed AS (
+  SELECT {cols} FROM late
+  UNION ALL SELECT file, rotation, block_start, line_seq - 0.5, 'R', queue_id, {none} FROM late WHERE late),
+"""
+
+
+def base_ctes(hits=None, ttl_ms: int | None = None) -> str:
     """raw_lines -> parsed -> traced -> rec -> cls -> deliveries (set)."""
+    whole = _base_ctes(hits)
+    if ttl_ms is None:
+        return whole
+    a, b = whole.index("parsed AS ("), whole.index("lived AS (")
+    return whole[:a] + _with_expiry(whole[a:b].rstrip().rstrip(","), ttl_ms) + whole[b:]
+
+
+def _base_ctes(hits=None) -> str:
     A, M, C, E, R = P.ATTEMPT_RE, P.MESSAGE_ID_RE, P.CLIENT_ID_RE, P.EXPIRED_RE, P.REMOVED_RE
     cm = q(P.COMPOUND_MSG_ID_RE)
     rows = priority(_rules_in_priority(), hits)

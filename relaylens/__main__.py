@@ -7,8 +7,9 @@
   python -m relaylens status --index-dir /data/mailidx recipient-counts|recipients|unknown-bounces|
                              index-age|client-ids|client-record-counts|
                              diagnostics|ingest-stats|rule-hits|ingested-files|skipped-files|
-                             rejected-lines|open-queues [--out path]
+                             rejected-lines|open-queues|recipient-estimates [--out path]
   python -m relaylens stream --landing-dir /data/chunks --index-dir /data/mailidx [--once] [--ttl-ms N]
+  python -m relaylens compact --index-dir /data/mailidx
   python -m relaylens reclassify --index-dir /data/mailidx --rules rules.xml --out /data/reclassified
 
 Results are JSON objects, one per row: written by Spark to ``--out`` or
@@ -64,6 +65,7 @@ def main(argv=None) -> int:
     ix.add_argument("--time-zone", default="UTC")
     ix.add_argument("--include-live", action="store_true")
     ix.add_argument("--adaptive-rule-order", action="store_true")
+    ix.add_argument("--ttl-ms", type=int, help="queues expire when the log time is so far past their last line")
 
     sm = sub.add_parser("stream", help="index landed chunks of the live log, from the last run on")
     sm.add_argument("--landing-dir", required=True)
@@ -74,6 +76,9 @@ def main(argv=None) -> int:
     sm.add_argument("--ttl-ms", type=int)
     sm.add_argument("--once", action="store_true", help="stop when no chunk is left")
 
+    cp = sub.add_parser("compact", help="merge the folders of many runs into few")
+    cp.add_argument("--index-dir", required=True)
+
     rc = sub.add_parser("reclassify", help="the records under a changed rule list, as a new table")
     rc.add_argument("--index-dir", required=True)
     rc.add_argument("--rules", required=True)
@@ -98,7 +103,7 @@ def main(argv=None) -> int:
 
     st = sub.add_parser("status", help="aggregates over all clients")
     st.add_argument("--index-dir", required=True)
-    st.add_argument("what", choices=[*sorted(STATUS), *sorted(RUN_TABLES), "open-queues"])
+    st.add_argument("what", choices=[*sorted(STATUS), *sorted(RUN_TABLES), "open-queues", "recipient-estimates"])
     st.add_argument("--out")
 
     a = ap.parse_args(argv)
@@ -109,15 +114,22 @@ def main(argv=None) -> int:
         from .plans.index_job import run_index
 
         res = run_index(spark, a.log_dir, a.index_dir, a.rules, a.budget_mb, time_zone=a.time_zone,
-                        include_live=a.include_live, adaptive_rule_order=a.adaptive_rule_order)
+                        include_live=a.include_live, adaptive_rule_order=a.adaptive_rule_order, ttl_ms=a.ttl_ms)
         sys.stdout.write(json.dumps({"indexed_files": res.files}) + "\n")
         return 0
     if a.cmd == "status" and a.what in RUN_TABLES:
         _emit(SK.read_table(spark, a.index_dir, a.what.replace("-", "_"), RUN_TABLES[a.what]), a.out)
         return 0
+    if a.cmd == "compact":
+        from .plans.compact import compact_index
+
+        sys.stdout.write(json.dumps({"merged_runs": compact_index(spark, a.index_dir)}) + "\n")
+        return 0
+    if a.cmd == "status" and a.what == "recipient-estimates":
+        _emit(IJ.recipient_estimates(spark, a.index_dir), a.out)
+        return 0
     if a.cmd == "status" and a.what == "open-queues":
-        runs = SK.committed_runs(spark, a.index_dir)
-        found = SK.read_open_queues(spark, f"{a.index_dir}/open_queues", runs)
+        found = SK.read_open_queues(spark, f"{a.index_dir}/open_queues")
         _emit(found if found is not None else spark.createDataFrame([], OPEN_QUEUES), a.out)
         return 0
     if a.cmd == "stream":

@@ -32,6 +32,8 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
           "November", "December")
 LOG_DATE_RE = r"^(\d{4}) ([a-zA-Z]+) (\d{1,2}) (\d{2}):(\d{2}):(\d{2})\.(\d{3})$"
 
+LINE_DATE_RE = r"^(\d{4} [a-zA-Z]+ \d{1,2} \d{2}:\d{2}:\d{2}\.\d{3})"  # at the start of any line
+
 # --- FIXED VALUES: delivery record constants ---------------------------------
 SENDER_UNKNOWN = "unknown"
 STATE_SOFT, STATE_HARD, STATE_UNKNOWN, STATE_OK, STATE_FINALLY_OK = 0, 1, 2, 3, 4

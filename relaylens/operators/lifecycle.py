@@ -21,6 +21,11 @@ share of all lines:
 
 Line order is ``(rotation desc, file, block_start, line_seq)``; timestamps are
 never used for ordering (they go backwards in real logs).
+
+A time to live (``ttl_ms``) drops an entry before a line at which the log time, the
+latest date of any line so far in file order, is that much past the date of the queue's
+line before.  Both depend on the lines and their order only, so a replay, a backfill and a stream in
+any micro-batches expire the same queues at the same lines.
 """
 
 from __future__ import annotations
@@ -45,14 +50,32 @@ def _first_by_seq(value: Column, cond: Column) -> Column:
     return F.min(F.when(cond & value.isNotNull(), F.struct(F.col("line_seq").alias("s"), value.alias("v")))).getField("v")
 
 
-def _row_windows(parsed: DataFrame) -> DataFrame:
+def with_log_time(parsed: DataFrame, start_ms: int | None = None) -> DataFrame:
+    """``parsed`` (with ``line_ms``) and ``log_ms``, the latest date of all lines up to each; ``start_ms`` is that of earlier runs.
+
+    Latest dates of blocks are carried on in file order -- a row per input split -- and followed by line inside a block."""
+    place = ["file", "block_start"]
+    blocks = parsed.groupBy("rotation", *place).agg(F.max("line_ms").alias("top"))
+    earlier = Window.orderBy(F.col("rotation").desc(), *place).rowsBetween(_UNB, -1)
+    start = F.lit(start_ms).cast("long")
+    blocks = blocks.select(*place, F.greatest(F.max("top").over(earlier), start).alias("before"))
+    inside = Window.partitionBy(*place).orderBy("line_seq").rowsBetween(_UNB, 0)
+    out = parsed.join(blocks, place)
+    out = out.withColumn("log_ms", F.greatest("before", F.max("line_ms").over(inside))).drop("before")
+    return out.withColumn("line_ms", F.coalesce("line_ms", "log_ms"))
+
+
+def _row_windows(parsed: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     k = F.col("kind")
+    if "line_ms" not in parsed.columns:
+        parsed = parsed.withColumn("line_ms", F.lit(None).cast("long"))
+    timed = ["log_ms"] if ttl_ms is not None else []
     # hash layout on the split key (spark.sql.shuffle.partitions buckets, which
     # AQE may pack into fewer tasks for small inputs): the windows, the split
     # summaries and the bucketed row table all follow it
     rows = parsed.select(
         "queue_id", "file", "rotation", "block_start", "line_seq", "kind", "event_ms",
-        "rcpt_email", "sender_email", "status", "info", "msg_id", "client_id",
+        "rcpt_email", "sender_email", "status", "info", "msg_id", "client_id", "line_ms", *timed,
     ).where(F.col("queue_id").isNotNull()).repartition(*_CHUNK)
     rows = rows.select(
         "*",
@@ -69,6 +92,10 @@ def _row_windows(parsed: DataFrame) -> DataFrame:
         F.sum(F.col("is_m").cast("int")).over(w_chunk.rowsBetween(_UNB, 0)).alias("local_life"),
         F.sum(F.col("is_m").cast("int")).over(w_chunk.rowsBetween(_UNB, _UNF)).alias("chunk_m"),
     )
+    if ttl_ms is not None:
+        late = F.col("log_ms") - F.last("line_ms", ignorenulls=True).over(w_chunk.rowsBetween(_UNB, -1)) > ttl_ms
+        rows = rows.select("*", F.coalesce(late, F.lit(False)).alias("late"),
+                           F.min("log_ms").over(w_chunk.rowsBetween(_UNB, _UNF)).alias("chunk_log_ms"))
     w_seg = Window.partitionBy(*_CHUNK, "local_life").orderBy("line_seq")
     before = w_seg.rowsBetween(_UNB, -1)
     rows = rows.select(
@@ -82,14 +109,21 @@ def _row_windows(parsed: DataFrame) -> DataFrame:
         F.coalesce(F.max("is_r").over(before), F.lit(False)).alias("loc_r_before"),
     )
     dead_nocid = F.col("is_r") | (F.col("is_ae") & F.col("loc_cid_at").isNull())
-    return rows.withColumn(
+    rows = rows.withColumn(
         "loc_deadnc_before", F.coalesce(F.max(dead_nocid).over(before), F.lit(False)))
+    if ttl_ms is not None:
+        # an entry that expires before this line or one before it is gone; a message-id line opens a new one
+        expired = F.max(F.col("late") & ~F.col("is_m")).over(w_seg.rowsBetween(_UNB, 0))
+        rows = rows.withColumns({"loc_r_before": F.col("loc_r_before") | expired, "loc_deadnc_before": F.col("loc_deadnc_before") | expired,
+                                 "expires": F.col("late") & ~F.col("is_m")})
+    return rows
 
 
 def _chunk_summaries(rows: DataFrame) -> DataFrame:
     """One row per (queue, chunk): what the chunk's last segment hands on."""
     last = rows.where(F.col("local_life") == F.col("chunk_m"))
     seq = F.col("line_seq")
+    timed = "expires" in rows.columns
     summ = last.groupBy(*_CHUNK).agg(
         F.first("rotation").alias("rotation"),
         F.max("chunk_m").alias("chunk_m"),
@@ -98,15 +132,17 @@ def _chunk_summaries(rows: DataFrame) -> DataFrame:
         F.min(F.when(F.col("cid_val").isNotNull(), seq)).alias("s_cid_seq"),
         F.max("is_def").alias("s_def"),
         _first_by_seq(F.col("rcpt_email"), F.col("is_def")).alias("s_drcpt"),
-        F.max("is_r").alias("s_any_r"),
+        F.max(F.col("is_r") | F.col("expires") if timed else F.col("is_r")).alias("s_any_r"),
         F.min(F.when(F.col("is_ae"), seq)).alias("s_ae_seq"),
+        F.max_by("line_ms", F.when(F.col("line_ms").isNotNull(), seq)).alias("last_ms"),
+        (F.first("chunk_log_ms") if timed else F.first(F.lit(None).cast("long"))).alias("first_log_ms"),
     )
     ae_first = F.col("s_ae_seq").isNotNull() & (
         F.col("s_cid_seq").isNull() | (F.col("s_ae_seq") < F.col("s_cid_seq")))
     return summ.select(
         *_CHUNK, (-F.col("rotation").cast("long")).alias("neg_rot"),
         (F.col("chunk_m") > 0).alias("has_m"),
-        "s_msg_id", "s_cid", "s_def", "s_drcpt", "s_any_r", ae_first.alias("s_ae_first"),
+        "s_msg_id", "s_cid", "s_def", "s_drcpt", "s_any_r", ae_first.alias("s_ae_first"), "last_ms", "first_log_ms",
     )
 
 
@@ -119,10 +155,12 @@ def _seed_summaries(open_queues: DataFrame) -> DataFrame:
         F.coalesce(F.col("has_been_deferred"), F.lit(False)).alias("s_def"),
         F.col("rcpt_email").alias("s_drcpt"), F.lit(False).alias("s_any_r"),
         F.lit(False).alias("s_ae_first"),
+        (F.col("last_ms") if "last_ms" in open_queues.columns else F.lit(None).cast("long")).alias("last_ms"),
+        F.lit(None).cast("long").alias("first_log_ms"),
     )
 
 
-def _fold_summaries(summ: DataFrame) -> DataFrame:
+def _fold_summaries(summ: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """End state after each chunk and the state carried into it."""
     order = ["neg_rot", "file", "block_start"]
     w_q = Window.partitionBy("queue_id").orderBy(*order)
@@ -137,11 +175,20 @@ def _fold_summaries(summ: DataFrame) -> DataFrame:
         F.first("s_cid", ignorenulls=True).over(w_s.rowsBetween(_UNB, -1)).alias("cid_before"),
         F.max("s_def").over(upto).alias("e_def"),
         F.first("s_drcpt", ignorenulls=True).over(upto).alias("e_drcpt"),
+        F.last("last_ms", ignorenulls=True).over(w_q.rowsBetween(_UNB, 0)).alias("e_last_ms"),
+        F.last("last_ms", ignorenulls=True).over(w_q.rowsBetween(_UNB, -1)).alias("last_ms_before"),
     )
     dead_val = F.col("s_any_r") | (F.col("cid_before").isNull() & F.col("s_ae_first"))
+    expired = F.lit(False)
+    if ttl_ms is not None:
+        # what is carried into the chunk has expired before its first line
+        expired = F.coalesce(F.col("first_log_ms") - F.col("last_ms_before") > ttl_ms, F.lit(False))
+        dead_val = dead_val | (expired & ~F.col("has_m"))
     summ = summ.withColumn("e_dead", F.max(dead_val).over(upto))
-    return summ.select(
-        "*", *[F.lag(f"e_{c}").over(w_q).alias(f"c_{c}") for c in _CARRY])
+    carried = {c: F.lag(f"e_{c}").over(w_q) for c in _CARRY}
+    if ttl_ms is not None:
+        carried["dead"] = carried["dead"] | expired
+    return summ.select("*", *[v.alias(f"c_{c}") for c, v in carried.items()])
 
 
 def _traced(rows: DataFrame, folded: DataFrame) -> DataFrame:
@@ -197,16 +244,17 @@ def open_queues(parsed: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     return _open_from_folded(_fold_summaries(summ))
 
 
-def _open_from_folded(folded: DataFrame) -> DataFrame:
+def _open_from_folded(folded: DataFrame, timed: bool = False) -> DataFrame:
     order = F.struct("neg_rot", "file", "block_start")
     last = folded.groupBy("queue_id").agg(
-        F.max_by(F.struct("e_exists", "e_dead", "e_msg_id", "e_cid", "e_drcpt", "e_def"), order).alias("s"))
+        F.max_by(F.struct("e_exists", "e_dead", "e_msg_id", "e_cid", "e_drcpt", "e_def", "e_last_ms"), order).alias("s"))
     return last.where(F.col("s.e_exists") & ~F.col("s.e_dead")).select(
         "queue_id",
         F.col("s.e_msg_id").alias("msg_id"),
         F.col("s.e_cid").alias("client_id"),
         F.col("s.e_drcpt").alias("rcpt_email"),
         F.col("s.e_def").alias("has_been_deferred"),
+        *([F.col("s.e_last_ms").alias("last_ms")] if timed else []),
     )
 
 
@@ -258,7 +306,7 @@ def _materialize(rows: DataFrame, how: str | None, input_bytes: int):
 
 
 def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
-              materialize: str | None = None, input_bytes: int = 0) -> Correlation:
+              materialize: str | None = None, input_bytes: int = 0, ttl_ms: int | None = None) -> Correlation:
     """LIFE-1 and LIFE-3: follow every queue; optionally continue from a seed.
 
     The windowed rows feed two consumers (the split summaries and the final
@@ -266,22 +314,26 @@ def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
     Parquet table bucketed on the split key in the shared checkpoint folder
     (lineage cut, hash layout kept, so neither consumer shuffles them again; ``drop_rows`` removes it);
     ``'checkpoint'`` cuts lineage but loses the layout; ``None`` leaves one lazy plan in which Spark
-    recomputes the shared part."""
-    rows, table = _materialize(_row_windows(parsed), materialize, input_bytes)
+    recomputes the shared part.
+
+    ``parsed`` with ``line_ms`` gives open queues with ``last_ms``, the date of their last line; ``ttl_ms`` needs ``log_ms``, too
+    (``with_log_time``)."""
+    rows, table = _materialize(_row_windows(parsed, ttl_ms), materialize, input_bytes)
     summ = _chunk_summaries(rows)
     if open_queues_seed is not None:
         summ = summ.unionByName(_seed_summaries(open_queues_seed))
-    folded = _fold_summaries(summ)
+    folded = _fold_summaries(summ, ttl_ms)
     traced = _traced(rows, folded)
-    return Correlation(emitted_records(traced), _open_from_folded(folded), traced, table)
+    return Correlation(emitted_records(traced), _open_from_folded(folded, "line_ms" in parsed.columns), traced, table)
 
 
-def _entry_open_before() -> Column:
-    """Whether the queue had a live entry just before this line."""
+def _entry_open_before(timed: bool = False) -> Column:
+    """Whether the queue had a live entry just before this line; with ``timed`` one that had not expired."""
     w = Window.partitionBy(*_CHUNK).orderBy("line_seq")
     dead_row = F.col("is_r") | (F.col("is_ae") & F.col("cid_at").isNull())
     carried_alive = F.coalesce(F.col("c_exists"), F.lit(False)) & ~F.coalesce(F.col("c_dead"), F.lit(False))
-    return F.coalesce(F.lag(F.col("alive") & ~dead_row).over(w), carried_alive)
+    open_before = F.coalesce(F.lag(F.col("alive") & ~dead_row).over(w), carried_alive)
+    return open_before & ~F.col("late") if timed else open_before
 
 
 def lifecycle_diagnostics(traced: DataFrame) -> DataFrame:
@@ -289,7 +341,7 @@ def lifecycle_diagnostics(traced: DataFrame) -> DataFrame:
     k = F.col("kind")
     cid_ok = F.col("alive") & F.col("cid_at").isNotNull()
     reason = (
-        F.when((k == "M") & _entry_open_before(), F.lit("duplicate message-id"))
+        F.when((k == "M") & _entry_open_before("late" in traced.columns), F.lit("duplicate message-id"))
         .when((k == "C") & ~F.col("alive"), F.lit("client-id without queue"))
         .when((k == "E") & cid_ok & ~F.col("def_before"), F.lit("expired, never deferred"))
         .when((k == "E") & cid_ok & F.col("drcpt_before").isNull(), F.lit("expired without recipient"))
@@ -303,7 +355,7 @@ def ingest_stats(traced: DataFrame) -> DataFrame:
     k = F.col("kind")
     t = traced.select(
         "file", "event_ms", "kind", "emit",
-        ((k == "M") & ~_entry_open_before()).alias("new_mid"),
+        ((k == "M") & ~_entry_open_before("late" in traced.columns)).alias("new_mid"),
         ((k == "C") & F.col("alive") & F.col("cid_before").isNull()).alias("cid_set"),
     )
     return t.groupBy("file").agg(

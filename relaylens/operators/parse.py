@@ -62,6 +62,14 @@ def parse_date_ms(date_text: Column, time_zone: str = "UTC") -> Column:
     return F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(local), time_zone))
 
 
+def may_matter(line: Column) -> Column:
+    """Whether a line holds the substrings of some kind; no other line can be recognised."""
+    found = F.lit(False)
+    for _, _, _, needles, suffix in _KINDS:
+        found = found | _prefilter(line, needles, suffix)
+    return found
+
+
 def _recognise(raw: DataFrame) -> DataFrame:
     line = F.col("line")
     clean = ~line.contains(_SEP)
@@ -134,9 +142,16 @@ PARSED_COLUMNS = [
 ]
 
 
-def recognised_lines(raw_lines: DataFrame, time_zone: str = "UTC") -> DataFrame:
-    """All recognised lines with their fields, those with an unusable date (NULL ``event_ms``) included."""
-    return _typed(_recognise(raw_lines), time_zone)
+def recognised_lines(raw_lines: DataFrame, time_zone: str = "UTC", log_dates: bool = False) -> DataFrame:
+    """All recognised lines with their fields, those with an unusable date (NULL ``event_ms``) included.
+
+    With ``log_dates`` also ``line_ms``, the date at the start of a line of any kind."""
+    out = _typed(_recognise(raw_lines), time_zone)
+    if not log_dates:
+        return out
+    own = parse_date_ms(F.regexp_extract("line", P.LINE_DATE_RE, 1), time_zone)
+    # from a generator, so that no later filter runs it again
+    return out.select("*", F.inline(F.array(F.struct(F.when(F.col("kind").isin("A", "E"), F.col("event_ms")).otherwise(own).alias("line_ms")))))
 
 
 def _dated():
@@ -144,7 +159,7 @@ def _dated():
 
 
 def usable(recognised: DataFrame) -> DataFrame:
-    return recognised.where(_dated()).select(*PARSED_COLUMNS)
+    return recognised.where(_dated()).select(*PARSED_COLUMNS, *[c for c in ("line_ms",) if c in recognised.columns])
 
 
 def rejected(recognised: DataFrame) -> DataFrame:

@@ -152,7 +152,10 @@ def query_slices(df: DataFrame, client_id: str, from_ms: int, to_ms: int | None,
         in_slice = in_slice & (F.col("date_ms") <= hi)
     else:
         in_slice = in_slice & ((F.col("date_ms") < hi) | ((F.col("_c") == n - 1) & (F.col("date_ms") == to)))
-    tagged = (q.withColumn("_c", F.explode(F.array(k - 1, k)))
+    # only a record on an inner border, or on the end of the last slice, can be in the slice before, too
+    on_border = (F.col("date_ms") - frm) % step == 0
+    last_end = F.col("date_ms") == to
+    tagged = (q.withColumn("_c", F.explode(F.when(on_border | last_end, F.array(k - 1, k)).otherwise(F.array(k))))
               .where(in_slice).withColumnRenamed("_c", "slice_id"))
     shaped = _shape(tagged, keys, last, False, sort=False, extra=["slice_id"])
     # slices are numbered by the driver's parameters; bounds are arithmetic,

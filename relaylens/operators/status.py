@@ -19,6 +19,31 @@ def recipient_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     return df.groupBy("client_id").agg(cnt.cast("long").alias("recipients"))
 
 
+# distinct recipients as HyperLogLog sketches, a row per run, client and day
+SKETCHES = "client_id string, day date, recipients binary"
+SKETCH_BITS = 12  # 4096 registers: a standard error of 1.04 / sqrt(4096), 1.6 %
+
+
+def recipient_sketches(df: DataFrame) -> DataFrame:
+    """Sketches of the recipients of records, by client and day; they merge without the records."""
+    return df.groupBy("client_id", "day").agg(F.hll_sketch_agg("rcpt_email", F.lit(SKETCH_BITS)).alias("recipients"))
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    return sketches.groupBy("client_id", "day").agg(F.hll_union_agg("recipients").alias("recipients"))
+
+
+def estimated_recipients(sketches: DataFrame, from_day=None, to_day=None) -> DataFrame:
+    """AGG-1 from sketches, for days from ``from_day`` to ``to_day`` (both included): no record is read.
+
+    Exact up to some hundred recipients, else within the sketch's error; a client without recipients has 0."""
+    if from_day is not None:
+        sketches = sketches.where(F.col("day") >= F.lit(from_day).cast("date"))
+    if to_day is not None:
+        sketches = sketches.where(F.col("day") <= F.lit(to_day).cast("date"))
+    return sketches.groupBy("client_id").agg(F.hll_sketch_estimate(F.hll_union_agg("recipients")).alias("recipients"))
+
+
 def recipients(df: DataFrame) -> DataFrame:
     """AGG-2: the distinct recipients of every client."""
     return df.select("client_id", "rcpt_email").distinct()
@@ -67,6 +92,6 @@ def client_record_counts(df: DataFrame, from_ms=None, to_ms=None) -> DataFrame:
 
 
 __all__ = [
-    "recipient_counts", "recipients", "unknown_bounces", "index_age", "client_ids",
+    "recipient_counts", "recipient_sketches", "merged_sketches", "estimated_recipients", "recipients", "unknown_bounces", "index_age", "client_ids",
     "records_by_client", "client_record_counts", "tie_break",
 ]

@@ -11,7 +11,7 @@ RAW_LINES = T.StructType([
 
 OPEN_QUEUES = T.StructType([
     T.StructField("queue_id", S), T.StructField("msg_id", S), T.StructField("client_id", S),
-    T.StructField("rcpt_email", S), T.StructField("has_been_deferred", B), T.StructField("since", T.TimestampType()),
+    T.StructField("rcpt_email", S), T.StructField("has_been_deferred", B), T.StructField("last_ms", L),
 ])
 
 DELIVERY_COLUMNS = [
@@ -37,11 +37,13 @@ DEDUP_ORDER = [
 DELIVERIES = ("date_ms long, date timestamp, queue_id string, msg_id string, rcpt_email string, sender_email string, "
               "status string, info string, state int, state_info string, source_file string, run long, client_key string, day date")
 
-# what a run took in: of each file the first line's md5, the size and the last bytes' md5 (to know an unchanged
-# file without reading it), the number of lines taken and their fingerprint (to know what a changed one holds)
+# what a run looked at: of each file the first line's md5, size, the last bytes' md5 and the time of its last change (to know
+# an unchanged file without reading it), whether its last line was held back, the number of lines taken in by this or
+# an earlier run and their fingerprint, and how many of them this run took
 INGESTED_FILES = T.StructType([
     T.StructField("file", S), T.StructField("digest", S), T.StructField("size_bytes", L), T.StructField("tail", S),
-    T.StructField("lines", L), T.StructField("fingerprint", S), T.StructField("rows", L),
+    T.StructField("modified", T.TimestampType()), T.StructField("held", B),
+    T.StructField("lines", L), T.StructField("fingerprint", S), T.StructField("taken", L), T.StructField("rows", L),
     T.StructField("ingested_at", T.TimestampType()),
 ])
 

@@ -5,7 +5,7 @@
 * the first line of each file (its digest) and its last bytes are read inside tasks with Arrow's
   file system layer -- two short reads per file, distributed over executors; for schemes that only Hadoop
   knows the driver makes them through Hadoop's;
-* a first line alone never decides that a file is left out: see ``numbered_lines`` and ``fingerprints``;
+* a first line alone never decides that a file is left out: see ``prefixes``;
 * lines are read with the text source (gzip by suffix, one task per ``.gz``;
   plain files split).  Line order within a file is
   ``(_metadata.file_block_start, monotonically_increasing_id())``: a split is
@@ -33,19 +33,19 @@ def _name(col: str = "path"):
 
 def list_log_files(spark: SparkSession, log_dir: str, pattern: str = P.ROTATED_FILE_PATTERN,
                    live_file: str = P.LIVE_FILE_NAME) -> DataFrame:
-    """Files of ``log_dir``: (path, file, size_bytes, rotation, is_live).
+    """Files of ``log_dir``: (path, file, size_bytes, rotation, is_live, modified).
 
     Rotated files are those whose *whole* name matches ``pattern``; group 1 is
     the rotation number.  The live file gets rotation 0 (newest)."""
     listing = (spark.read.format("binaryFile").load(log_dir)
-               .select("path", F.col("length").alias("size_bytes")))
+               .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")))
     full = f"^(?:{pattern})$"
     named = listing.withColumn("file", _name())
     rotated = F.col("file").rlike(full)
     return named.where(rotated | (F.col("file") == live_file)).select(
         "path", "file", "size_bytes",
         F.when(rotated, F.regexp_extract("file", full, 1).cast("int")).otherwise(F.lit(0)).alias("rotation"),
-        (F.col("file") == live_file).alias("is_live"),
+        (F.col("file") == live_file).alias("is_live"), "modified",
     )
 
 
@@ -103,13 +103,14 @@ def _first_line(read, size: int, gz: bool) -> str | None:
     return buf.decode("utf-8", errors="replace") if buf else None
 
 
-def _head(path: str, read, size: int) -> tuple[str | None, str]:
+def _head(path: str, read, size: int) -> tuple[str | None, str, bool]:
     line = _first_line(read, size, path.endswith(".gz"))
     tail = read(max(0, size - TAIL_BYTES), min(size, TAIL_BYTES)) if size else b""
-    return (None if line is None else hashlib.md5(line.encode("utf-8")).hexdigest()), hashlib.md5(tail).hexdigest()
+    ended = path.endswith(".gz") or tail[-1:] in (b"\n", b"\r", b"")
+    return (None if line is None else hashlib.md5(line.encode("utf-8")).hexdigest()), hashlib.md5(tail).hexdigest(), ended
 
 
-def _arrow_head(path: str) -> tuple[str | None, str]:
+def _arrow_head(path: str) -> tuple[str | None, str, bool]:
     import pyarrow.fs as pafs
 
     u = urlparse(path)
@@ -123,11 +124,11 @@ def _arrow_head(path: str) -> tuple[str | None, str]:
 
 
 def file_digests(files: DataFrame) -> DataFrame:
-    """SRC-5: (path, file, digest, tail): md5 of each file's first line, of its last bytes.
+    """SRC-5: (path, file, digest, tail, ended): md5 of each file's first line, of its last bytes; whether its last line has ended.
 
     Runs in tasks (``mapInPandas``).  An empty file has no digest; a blank first line has that of ''."""
     spark = files.sparkSession
-    schema = "path string, file string, digest string, tail string"
+    schema = "path string, file string, digest string, tail string, ended boolean"
     schemes = [r[0] or "" for r in files.select(F.regexp_extract("path", r"^([a-zA-Z0-9+.-]+):", 1).alias("s")).distinct().collect()]
     if not set(schemes) <= set(_ARROW_SCHEMES):
         # one row per file, never data
@@ -138,7 +139,7 @@ def file_digests(files: DataFrame) -> DataFrame:
     def heads(batches):
         for pdf in batches:
             got = [_arrow_head(p) for p in pdf["path"]]
-            yield pd.DataFrame({"path": pdf["path"], "file": pdf["file"], "digest": [g[0] for g in got], "tail": [g[1] for g in got]})
+            yield pd.DataFrame({"path": pdf["path"], "file": pdf["file"], "digest": [g[0] for g in got], "tail": [g[1] for g in got], "ended": [g[2] for g in got]})
     return files.select("path", "file").mapInPandas(heads, schema)
 
 
@@ -154,29 +155,6 @@ def numbered_lines(raw_lines: DataFrame) -> DataFrame:
         "line_no", F.col("first_no") + F.col("line_seq") - F.col("first_seq")).drop("first_no", "first_seq")
 
 
-def line_sum():
-    """A sum that tells two sequences of numbered lines apart."""
-    return F.sum(F.xxhash64("line_no", "line").cast("decimal(38,0)")).cast("string")
-
-
-def fingerprints(numbered: DataFrame) -> DataFrame:
-    """(file, lines, fingerprint) of files' lines."""
-    return numbered.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), line_sum().alias("fingerprint"))
-
-
-def lines_known(numbered: DataFrame, files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(file, known): how many of a file's first lines earlier runs took in.
-
-    ``files``: file, digest.  A ledger entry with the same first line counts if the file's first lines have the
-    entry's fingerprint; of several the longest.  A file that only shares its first line has none."""
-    entries = ledger.select("digest", F.col("lines").alias("n"), F.col("fingerprint").alias("f")).distinct()
-    asked = files.join(entries, "digest").select("file", "n", "f")
-    # a file's entries differ in their number of lines; each is summed over the lines below it
-    sums = numbered.join(asked, "file").where(F.col("line_no") < F.col("n")).groupBy("file", "n", "f").agg(
-        F.count(F.lit(1)).alias("have"), line_sum().alias("sum"))
-    return sums.where((F.col("have") == F.col("n")) & (F.col("sum") == F.col("f"))).groupBy("file").agg(F.max("n").alias("known"))
-
-
 def digests_from_lines(raw_lines: DataFrame) -> DataFrame:
     """SRC-5 over lines already read: md5 of the first line of each file.
 
@@ -199,17 +177,10 @@ def ingested_log_files(files_with_digest: DataFrame, ledger: DataFrame) -> DataF
     return present.join(ledger.select("digest").distinct(), "digest", "left_semi").orderBy("file")
 
 
-def read_mail_logs(spark: SparkSession, paths: list[str], pattern: str = P.ROTATED_FILE_PATTERN,
-                   live_file: str = P.LIVE_FILE_NAME) -> DataFrame:
-    """SRC-1..3: lines of the given files as ``raw_lines``.
-
-    ``paths`` is the (short) list of selected files; decompression follows the
-    suffix."""
-    if not paths:
-        from ..schema import RAW_LINES
-        return spark.createDataFrame([], RAW_LINES)
+def _placed(df: DataFrame, pattern: str, live_file: str) -> DataFrame:
+    """Lines of the text source with their place, as ``raw_lines``."""
     full = f"^(?:{pattern})$"
-    df = spark.read.text(paths).select(
+    df = df.select(
         F.col("_metadata.file_name").alias("file"),
         # a split of many lines, such as a .gz, counts as several blocks: each is a bounded unit of the lifecycle scan
         (F.col("_metadata.file_block_start") + F.floor(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)) / BLOCK_LINES)).alias("block_start"),
@@ -219,3 +190,37 @@ def read_mail_logs(spark: SparkSession, paths: list[str], pattern: str = P.ROTAT
     rotation = F.when(F.col("file").rlike(full), F.regexp_extract("file", full, 1).cast("int")) \
         .when(F.col("file") == live_file, F.lit(0))
     return df.select("file", rotation.alias("rotation"), "block_start", "line_seq", "line")
+
+
+def read_mail_logs(spark: SparkSession, paths: list[str], pattern: str = P.ROTATED_FILE_PATTERN,
+                   live_file: str = P.LIVE_FILE_NAME) -> DataFrame:
+    """SRC-1..3: lines of the given files as ``raw_lines``.
+
+    ``paths`` is the (short) list of selected files; decompression follows the
+    suffix."""
+    if not paths:
+        from ..schema import RAW_LINES
+        return spark.createDataFrame([], RAW_LINES)
+    return _placed(spark.read.text(paths), pattern, live_file)
+
+
+NAMED_FILES = 1000  # so many files to read are named in the filter, one by one
+
+
+def read_listed_logs(log_dir: str, files: DataFrame, pattern: str = P.ROTATED_FILE_PATTERN,
+                     live_file: str = P.LIVE_FILE_NAME) -> DataFrame:
+    """SRC-1..3: lines of the files of ``log_dir`` that ``files`` (file, modified) lists, as ``raw_lines``.
+
+    The directory is read as one table: filters on the files' names and times prune the files that are
+    opened, a semi-join keeps those listed.  No list of files goes through the driver, but for up to ``NAMED_FILES`` names,
+    which then prune exactly."""
+    spark = files.sparkSession
+    text = spark.read.text(log_dir)
+    name = F.col("_metadata.file_name")
+    names = [r.file for r in files.select("file").limit(NAMED_FILES + 1).collect()]
+    if len(names) <= NAMED_FILES:
+        return _placed(text.where(name.isin(names)), pattern, live_file)
+    oldest = files.agg(F.min("modified")).head()[0]
+    likely = name.rlike(f"^(?:{pattern})$") | (name == live_file)
+    lines = _placed(text.where(likely & (F.col("_metadata.file_modification_time") >= F.lit(oldest))), pattern, live_file)
+    return lines.join(files.select("file"), "file", "left_semi")

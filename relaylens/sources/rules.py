@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from xml.sax.saxutils import escape, quoteattr
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import storage
 from .default_rules import DEFAULT_RULES
 
 RULES_SCHEMA = T.StructType([
@@ -52,16 +54,20 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return rules_from_list(spark, DEFAULT_RULES)
 
 
-def write_rules_xml(path: str, rules=DEFAULT_RULES) -> None:
-    """Write a rule list file (local path) in the agent's XML format."""
+def write_rules_xml(path: str, rules=DEFAULT_RULES, spark: SparkSession | None = None) -> None:
+    """Write a rule list file in the agent's XML format: a local path, or with ``spark`` any that Spark reads."""
     out = ["<bounces>"]
     for t, c, pats in rules:
         out.append(f"    <regex type={quoteattr(t)} category={quoteattr(c)}>")
         out.extend(f"        <or>{escape(p)}</or>" for p in pats)
         out.append("    </regex>")
     out.append("</bounces>")
+    text = "\n".join(out) + "\n"
+    if spark is not None:  # any file system that Spark reads
+        storage.write_text(spark, path, text)
+        return
     with open(path, "w", encoding="utf-8") as fh:
-        fh.write("\n".join(out) + "\n")
+        fh.write(text)
 
 
 def _read_rows(spark: SparkSession, path: str) -> list:
@@ -90,16 +96,14 @@ def validate_bounce_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _check_compiles(spark: SparkSession, patterns: list[str]) -> list[str]:
-    try:  # one job for the whole list; per pattern only to name the culprits
-        spark.range(1).select(*[F.lit("").rlike(p) for p in patterns]).collect()
-        return []
-    except Exception:  # noqa: BLE001
-        pass
-    bad = []
+    """Patterns that Java's regular expressions refuse; no job runs, so a lost cluster is not taken for a bad rule."""
+    jvm, bad = spark.sparkContext._jvm, []
     for p in patterns:
         try:
-            spark.range(1).select(F.lit("").rlike(p)).collect()
-        except Exception:  # noqa: BLE001 - any compile error marks the pattern invalid
+            jvm.java.util.regex.Pattern.compile(p)
+        except Py4JJavaError as e:
+            if "PatternSyntaxException" not in e.java_exception.getClass().getName():
+                raise
             bad.append(p)
     return bad
 

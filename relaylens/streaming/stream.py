@@ -10,8 +10,8 @@ open queues are the state; backfill and stream share them, the ledger and the in
 Lines keep their order: by chunk name, split and position.  The file source picks chunks by modification time; a chunk whose name
 sorts before one of an earlier micro-batch is still taken in and reported in the diagnostics.
 
-A queue stays open until its ``removed`` line, as in the original agent; ``ttl_ms`` hands on no queue that has not
-changed for so long.
+A queue stays open until its ``removed`` line, as in the original agent; with ``ttl_ms`` it expires when the log time, carried
+on from run to run, is that much past its last line (``operators.lifecycle``).  ``on_batch`` gets each run's counters.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..plans.commits import read_log
 from ..plans.index_job import process_lines
-from ..plans.sink import committed_runs, next_run
-from ..sources.logfiles import BLOCK_LINES, fingerprints, numbered_lines
-
+from ..plans.sink import next_run
+from ..sources.logfiles import BLOCK_LINES
+from ..sources.prefixes import staged
 
 
 def stream_mail_logs(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -43,24 +44,8 @@ def batch_lines(batch: DataFrame) -> DataFrame:
                         place.alias("line_seq"), "line")
 
 
-def _expire(ttl_ms: int | None):
-    """Open queues to hand on: with the time since which each is as it is, and without those too old."""
-    def run(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        now = F.current_timestamp()
-        if old is None:
-            return new.withColumn("since", now)
-        fields = ["queue_id", "msg_id", "client_id", "rcpt_email", "has_been_deferred"]
-        was = old.select(*[F.col(c).alias(f"o_{c}") for c in fields], F.col("since").alias("o_since"))
-        # one row per open queue on either side
-        same = [new[c].eqNullSafe(was[f"o_{c}"]) for c in fields]
-        out = new.join(was, same, "left").select(*[new[c] for c in fields], F.coalesce("o_since", now).alias("since"))
-        return out if ttl_ms is None else out.where(F.unix_millis("since") + ttl_ms > F.unix_millis(now))
-
-    return run
-
-
 def start_index_stream(lines: DataFrame, rules: DataFrame, index_dir: str, checkpoint_location: str,
-                       time_zone: str = "UTC", ttl_ms: int | None = None, trigger: dict | None = None):
+                       time_zone: str = "UTC", ttl_ms: int | None = None, trigger: dict | None = None, on_batch=None):
     """Run the live path into the index that the batch job writes, from its last committed run on (STR-5).
 
     The first micro-batch's run number is kept next to the stream's checkpoint; later ones count on from it."""
@@ -72,34 +57,33 @@ def start_index_stream(lines: DataFrame, rules: DataFrame, index_dir: str, check
         first = next_run(spark, index_dir)
         spark.createDataFrame([(first,)], "run long").coalesce(1).write.mode("overwrite").parquet(start_at)
 
-    def commit(batch: DataFrame, epoch: int) -> None:
+    def take_in(batch: DataFrame, epoch: int) -> None:
         run = first + epoch
-        done = committed_runs(spark, index_dir)
-        if run in done or batch.isEmpty():
+        log = read_log(spark, index_dir)
+        if log.knows(run) or batch.isEmpty():
             return
-        raw = batch_lines(batch)
-        earlier = [c for (c,) in _last_chunk(spark, index_dir, done)]
-        names = raw.agg(F.min("file"), F.max("file")).head()
-        notes = [f"chunk {names[0]} came after {earlier[0]}"] if earlier and names[0] < earlier[0] else []
-
-        def ledger_rows(per_file: DataFrame) -> DataFrame:
+        with storage.Scratch(spark) as scratch:
+            # the chunks are read once
+            kept = scratch.keep(staged(batch_lines(batch)))
+            mark = F.xxhash64("block_start", "line_seq", "line_hash").cast("decimal(38,0)")
+            chunks = scratch.keep(kept.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.sum(mark).cast("string").alias("fingerprint")))
+            names = chunks.agg(F.min("file"), F.max("file")).head()
+            earlier = _last_chunk(spark, index_dir)
+            notes = [f"chunk {names[0]} came after {earlier}"] if earlier is not None and names[0] < earlier else []
             # a chunk's first line, size and last bytes are not looked at: chunks are known by the stream's checkpoint
-            none = F.lit(None).cast("string")
-            return fingerprints(numbered_lines(raw)).join(per_file, "file", "left").select(
-                "file", none.alias("digest"), F.lit(None).cast("long").alias("size_bytes"), none.alias("tail"), "lines", "fingerprint",
-                F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), F.current_timestamp().alias("ingested_at"))
-
-        process_lines(spark, raw, index_dir, run, rules, ledger_rows, time_zone, notes=notes, open_queues=_expire(ttl_ms))
-
-    return (lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint_location)
+            none = {"digest": "string", "size_bytes": "long", "tail": "string", "modified": "timestamp"}
+            ledger = chunks.select("file", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.lit(False).alias("held"),
+                                   "lines", "fingerprint", F.col("lines").alias("taken"))
+            counters = process_lines(spark, kept, index_dir, run, rules, ledger, time_zone, notes=notes, ttl_ms=ttl_ms)
+        if on_batch:
+            on_batch(run, counters)
+
+    return (lines.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint_location)
             .trigger(**(trigger or {"processingTime": "10 seconds"})).start())
 
 
-def _last_chunk(spark: SparkSession, index_dir: str, done: list[int]):
+def _last_chunk(spark: SparkSession, index_dir: str) -> str | None:
     """The greatest chunk name of the stream's runs so far."""
     from ..plans.index_job import read_ledger
 
-    if not done:
-        return []
-    top = read_ledger(spark, index_dir).where("digest is null").agg(F.max("file")).head()[0]
-    return [(top,)] if top is not None else []
+    return read_ledger(spark, index_dir).where("digest is null").agg(F.max("file")).head()[0]
