@@ -176,6 +176,7 @@ def long_prefixes(text: np.ndarray, left: np.ndarray, length: int, settle: int |
     exact = order[tail] == order + 1  # not just the tail's group
     apart = (tail[open_ - 1] + 1 != tail[open_]) | ~exact[open_ - 1] | ~exact[open_]
     wait = open_[apart]
+    wait = wait[tail[wait] > tail[wait - 1]]  # inside a group of settled suffixes there is no boundary
     lo, hi = tail[wait - 1], tail[wait]
     same = np.concatenate([[False], (before[1:] == before[:-1]) & (before[1:] > 0)])
     frontier = np.flatnonzero(found)
