@@ -133,12 +133,16 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
     t = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in bigrams_of(v))) for k, v in TEMPLATES.items())
     return f"""
 WITH templates(license, grams) AS (VALUES {t}),
-units AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS unit FROM (
-    SELECT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n')), [text])) AS u
-    FROM documents WHERE text IS NOT NULL)),
-sized AS (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM units WHERE length(unit) > 2),
-grams AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
-    FROM sized WHERE len(w) BETWEEN 2 AND 1000),
-dice AS (SELECT doc_id, unit, license, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
+parts AS (SELECT doc_id, false AS sentence, unnest(list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[\\x20\\x09-\\x0D]*\\n')), [text])) AS u
+    FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, true, unnest(string_split(regexp_replace(text, '([.!?])[\\x20\\x09-\\x0D]+(\\p{{Lu}})', '\\1' || chr(1) || chr(2) || '\\2', 'g'), chr(1) || chr(2)))
+    FROM documents WHERE text IS NOT NULL),
+units AS (SELECT doc_id, trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS unit, bool_and(sentence) AS sentence FROM parts GROUP BY 1, 2),
+sized AS (SELECT doc_id, unit, sentence, string_split(unit, ' ') AS w FROM units WHERE length(unit) > 2),
+grams AS (SELECT doc_id, unit, sentence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+    FROM sized WHERE len(w) >= 2),
+dice AS (SELECT doc_id, unit, sentence, license, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
     FROM grams g JOIN templates t ON len(g.grams) BETWEEN len(t.grams) * {threshold} / (2 - {threshold}) - 1e-9 AND len(t.grams) * (2 - {threshold}) / {threshold} + 1e-9)
-SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, unit) AS best FROM dice) WHERE dice >= {threshold} AND dice = best GROUP BY doc_id, license"""
+SELECT doc_id, license, COALESCE(max(dice) FILTER (NOT sentence), max(dice)) AS dice,
+       CASE WHEN count(*) FILTER (NOT sentence) > 0 THEN count(*) FILTER (NOT sentence) ELSE count(*) END AS n_units
+FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, unit) AS best FROM dice) WHERE dice >= {threshold} AND dice = best GROUP BY doc_id, license"""

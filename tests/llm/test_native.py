@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from relaylens.llm import licenses
 from relaylens.llm.licenses import TEMPLATES, bigrams_of, scan
 from relaylens.llm.mixing import document_sizes, mix, mixed_documents, source_targets
 from relaylens.llm.quality_rules import quality
@@ -149,3 +150,18 @@ def test_licenses_inside_long_lines(docs_of):
         found.setdefault(r["doc_id"], set()).add(r["license"])
     assert "MIT-text" in found[0] and found[1] == {"MIT-notice"}
     assert len(flat) == 4 and all(k in found[i + 2] for i, k in enumerate(flat))
+
+
+def test_license_twin_agrees_on_long_lines(spark, docs_of):
+    import duckdb
+    import pandas as pd
+
+    notice = licenses.TEMPLATES["MIT-notice"]
+    texts = [f"Some words here. {notice} More of them follow", " ".join([notice] * 400), f"{notice}\n{notice}", licenses.TEMPLATES["MIT-text"], "nothing", None, "",
+             f"Ein Satz! {notice} Über etwas. Licensed under CC BY 4.0. Ende", licenses.TEMPLATES["BSD-grant"].replace("\n", " ") + " " + "word " * 1500]
+    docs = docs_of(list(enumerate(texts)))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = sorted((r[0], r[1], round(r[2], 9), r[3]) for r in con.sql(licenses.oracle_sql()).fetchall())
+    got = sorted((r.doc_id, r.license, round(r.dice, 9), r.n_units) for r in licenses.scan(docs).collect())
+    assert got == want and {r[0] for r in got} >= {0, 1, 2, 3, 7}
