@@ -17,6 +17,7 @@ import sys
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+from xml.sax.saxutils import escape, quoteattr
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -36,7 +37,7 @@ from relaylens.plans.sink import committed_runs, read_deliveries, read_index, to
 from relaylens.session import checkpoint_dir, ship_package  # noqa: E402
 from relaylens.sources import logfiles as LF  # noqa: E402
 from relaylens.sources.default_rules import DEFAULT_RULES  # noqa: E402
-from relaylens.sources.rules import default_rules, load_bounce_rules, write_rules_xml  # noqa: E402
+from relaylens.sources.rules import default_rules, load_bounce_rules, validate_bounce_rules, write_rules_xml  # noqa: E402
 from relaylens.streaming.runner import land_chunks, run_landed_stream  # noqa: E402
 from stand_in_log import synthetic_raw_lines  # noqa: E402
 
@@ -414,6 +415,20 @@ def _q_rules_xml(spark, sf_dir):
     return CL.bounce_rule_hits(CL.classify(records, rules, keep_rule_id=True), rules)
 
 
+def _q_rule_violations(spark, sf_dir):
+    """A rule per supplier, some without category, alternative or text, written as XML and validated."""
+    path = _scratch(spark, "violations")
+    out = ["<bounces>"]
+    key = F.col("s_suppkey")
+    rules = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_name", (key % 7 == 0).alias("unnamed"), (key % 11 == 0).alias("bare"), (key % 13 == 0).alias("empty"), key)
+    for r in rules.orderBy(key).collect():  # a rule list
+        name = "" if r.unnamed else f" category={quoteattr(r.s_name)}"
+        alternatives = "" if r.bare else f"<or>{escape(r.s_name)}</or>" + ("<or></or>" if r.empty else "")
+        out.append(f'<regex type="soft"{name}>{alternatives}</regex>')
+    storage.write_text(spark, f"{path}/rules.xml", "\n".join([*out, "</bounces>"]))
+    return validate_bounce_rules(spark, f"{path}/rules.xml")
+
+
 def _q_stream(spark, sf_dir):
     """Landed chunks through the stream in at least three micro-batches, restarted once."""
     ship_package(spark)
@@ -480,6 +495,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "expired_queues_stream": _q_expired_stream,
         "backfill_then_live": _q_backfill,
         "changed_rules_xml": _q_rules_xml,
+        "rule_violations": _q_rule_violations,
     } | LLM_QUERIES
 
 

@@ -39,6 +39,7 @@ RULE_HITS = "rule_id int, hits long"
 DIAGNOSTICS = "file string, line_seq long, queue_id string, kind string, reason string, run_at timestamp"
 REJECTED = "file string, line_seq long, queue_id string, reason string, line string"
 STATS = "file string, message_id_lines long, client_id_lines long, attempts long, removed_lines long, last_line_ms long, run_at timestamp"
+UNCHANGED = "unchanged since an earlier run"
 COUNTERS = ("message_id_lines", "client_id_lines", "attempts", "removed_lines")
 
 
@@ -185,23 +186,19 @@ def run_index(spark: SparkSession, log_dir: str, index_dir: str, rules_path: str
         chosen = chosen.unionByName(files.where("is_live"))
     with storage.Scratch(spark) as scratch:
         ledger = read_ledger(spark, index_dir)
-        heads = scratch.keep(file_digests(chosen).join(chosen.drop("file"), "path"))
-        left_out = left_out.unionByName(heads.where("digest is null").select("file", "size_bytes", F.lit("empty").alias("reason")))
-        heads = heads.where("digest is not null")
-        # a last line held back while the file was live is looked for when it no longer is
-        before = ledger.select("digest", "size_bytes", "tail", "modified", F.col("held").alias("was_held")).distinct()
+        # what an earlier run saw of a file; a last line held back while it was live is looked for when it no longer is
         same = ["digest", "size_bytes", "tail", "modified"]
-        known = heads.join(before, same, "left_semi") if trust_times else heads.limit(0)
-        known = known.join(before.where("was_held"), same, "left_anti").unionByName(
-            known.where("is_live").join(before.where("was_held"), same, "left_semi")) if trust_times else known
-        known = scratch.keep(known.select("path", "file", "size_bytes").distinct())
-        left_out = left_out.unionByName(known.select("file", "size_bytes", F.lit("unchanged since an earlier run").alias("reason")))
-        todo = scratch.keep(heads.join(known.select("path"), "path", "left_anti"))
+        before = ledger.groupBy(*same).agg(F.min("held").alias("was_held"))
+        heads = file_digests(chosen).join(chosen.drop("file"), "path").join(before, same, "left")
+        unchanged = F.col("was_held").isNotNull() & (~F.col("was_held") | F.col("is_live")) if trust_times else F.lit(False)
+        heads = scratch.keep(heads.withColumn("unchanged", unchanged).drop("was_held"))
+        kept_out = F.when(F.col("digest").isNull(), F.lit("empty")).when(F.col("unchanged"), F.lit(UNCHANGED))
+        left_out = left_out.unionByName(heads.select("file", "size_bytes", kept_out.alias("reason")).where("reason IS NOT NULL"))
+        todo = heads.where("digest IS NOT NULL AND NOT unchanged").drop("unchanged")
         weight = F.when(F.col("file").endswith("gz"), F.lit(P.COMPRESSED_SIZE_FACTOR)).otherwise(F.lit(1)) * F.col("size_bytes")
         input_bytes = todo.agg(F.sum(weight)).head()[0]
-        left_out = scratch.keep(left_out)
         if input_bytes is None:
-            if notes or not left_out.where("reason <> 'unchanged since an earlier run'").isEmpty():
+            if notes or not left_out.where(F.col("reason") != UNCHANGED).isEmpty():
                 write_table(left_out, index_dir, "skipped_files", run)
                 write_table(_notes(spark, notes).withColumn("run_at", F.current_timestamp()), index_dir, "diagnostics", run)
                 commit(spark, index_dir, read_log(spark, index_dir), run)

@@ -129,8 +129,9 @@ def file_digests(files: DataFrame) -> DataFrame:
     Runs in tasks (``mapInPandas``).  An empty file has no digest; a blank first line has that of ''."""
     spark = files.sparkSession
     schema = "path string, file string, digest string, tail string, ended boolean"
-    schemes = [r[0] or "" for r in files.select(F.regexp_extract("path", r"^([a-zA-Z0-9+.-]+):", 1).alias("s")).distinct().collect()]
-    if not set(schemes) <= set(_ARROW_SCHEMES):
+    # the files of one directory
+    one = files.select(F.regexp_extract("path", r"^([a-zA-Z0-9+.-]+):", 1).alias("s")).first()
+    if one and (one.s or "") not in _ARROW_SCHEMES:
         # one row per file, never data
         rows = [(r.path, r.file, *_head(r.path, lambda o, n, p=r.path: storage.read_bytes(spark, p, o, n), r.size_bytes))
                 for r in files.select("path", "file", "size_bytes").collect()]

@@ -152,3 +152,15 @@ def test_slices_match_brute_force(spark):
         assert {r.slice_id for r in out} == set(range(n))
 
     check()
+
+
+def test_slices_scan_their_input_once(spark, scratch):
+    df = spark.range(1000).selectExpr(
+        "concat('c', id % 3) AS client_id", "id * 1000 AS date_ms", "concat('q', id % 7) AS queue_id", "'m' AS msg_id", "concat('r', id % 5) AS rcpt_email",
+        "'s' AS sender_email", "'sent' AS status", "'i' AS info", "cast(id % 3 AS int) AS state", "'x' AS state_info", "date'1970-01-01' AS day")
+    df.write.parquet(f"{scratch}/t")
+    for kw, rows in (({}, 346), ({"group_by": "queueId", "last": True}, 80), ({"last": False}, 20)):
+        out = QY.query_slices(spark.read.parquet(f"{scratch}/t"), "c1", 0, 2_000_000, 100_000, **kw)
+        assert len(out.collect()) == rows
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+        assert plan.count("Scan parquet") == 1 and "ReusedExchange" in plan

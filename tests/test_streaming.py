@@ -141,3 +141,19 @@ def test_stream_on_random_traces(spark, scratch):
         parsed = [r.asDict() for r in parse_lines(raw).orderBy("line_seq").collect()]
         expected, _ = automaton.run(parsed)
         assert got == {e[:8] for e in expected}
+
+
+def test_counters_come_with_the_batches(spark, scratch):
+    from pyspark.sql import functions as F
+    from relaylens.plans.index_job import COUNTERS, STATS
+    from relaylens.plans.sink import read_table
+    from relaylens.streaming.stream import start_index_stream, stream_mail_logs
+
+    lines, seen, index = fixture_log.lines(), {}, f"{scratch}/index"
+    _land(os.path.join(scratch, "landing"), lines[:12], ["no mail line"], lines[12:])
+    q = start_index_stream(stream_mail_logs(spark, os.path.join(scratch, "landing"), 1), default_rules(spark), index, f"{scratch}/checkpoint",
+                           trigger={"availableNow": True}, on_batch=lambda run, counters: seen.update({run: counters}))
+    q.awaitTermination()
+    stats = read_table(spark, index, "ingest_stats", STATS).groupBy("run").agg(*[F.sum(c).alias(c) for c in COUNTERS], F.max("last_line_ms").alias("last_line_ms"))
+    assert seen == {r.run: {c: r[c] for c in (*COUNTERS, "last_line_ms")} for r in stats.collect()}
+    assert len(seen) == 3 and sum(c["attempts"] for c in seen.values()) == 11
