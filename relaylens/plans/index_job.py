@@ -127,17 +127,20 @@ def process_lines(spark: SparkSession, lines: DataFrame, index_dir: str, run: in
             write_deliveries(to_delivery_rows(classified), f"{index_dir}/deliveries", staged=True, run=run, visible=log.live)
             write_table(bounce_rule_hits(classified, rules).select("rule_id", "hits"), index_dir, "rule_hits", run)
             write_table(recipient_sketches(to_delivery_rows(classified)), index_dir, "recipient_sketches", run)
+            latest = max([x for x in (log.watermark, watermark) if x is not None], default=None)
+            stays = F.lit(True)
+            if ttl_ms is not None and latest is not None:
+                # the others have expired: no later line can find them open
+                stays = F.col("last_ms").isNull() | (F.lit(latest) - F.col("last_ms") <= ttl_ms)
+            others = None if state is None else state.join(touched, "queue_id", "left_anti")
             snapshot = len(log.state) % FOLD == 0
             if snapshot:
-                handed = corr.open_queues
-                if state is not None:
-                    handed = handed.unionByName(state.join(touched, "queue_id", "left_anti"))
-                latest = max([x for x in (log.watermark, watermark) if x is not None], default=None)
-                if ttl_ms is not None and latest is not None:
-                    # no later line can find them open
-                    handed = handed.where(F.col("last_ms").isNull() | (F.lit(latest) - F.col("last_ms") <= ttl_ms))
+                handed = corr.open_queues if others is None else corr.open_queues.unionByName(others)
+                handed = handed.where(stays)
             else:
-                handed = open_queue_changes(seed, corr.open_queues)
+                handed = open_queue_changes(seed, corr.open_queues.where(stays))
+                if ttl_ms is not None:
+                    handed = handed.unionByName(others.where(~stays).withColumn("closed", F.lit(True)))
             write_open_queues(handed, f"{index_dir}/open_queues", run)
             at = F.current_timestamp().alias("run_at")
             found = lifecycle_diagnostics(corr.traced)
