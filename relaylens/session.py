@@ -14,7 +14,7 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``relaylens`` importable in Python workers (``addPyFile``).
 
-    Needed where Python runs in tasks (streaming state, first-line digests)
+    Needed where Python runs in tasks (first-line digests)
     and the package is not installed on the executors.  Once per context."""
     sc = spark.sparkContext
     key = sc.applicationId
@@ -44,9 +44,6 @@ def get_spark(app: str = "relaylens", master: str | None = None, shuffle_partiti
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # streaming keyed state (open queues) can be large: keep it in RocksDB
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
