@@ -43,25 +43,31 @@ def _template(n: int) -> str:
     return "".join(f"{_SEP}${i}" for i in range(1, n + 1))
 
 
-def parse_date_ms(date_text: Column, time_zone: str = "UTC") -> Column:
-    """Log date text -> epoch milliseconds in ``time_zone``; NULL if the month
-    is unknown or the text has another shape.  Days and times out of range run
-    over, as in a lenient calendar; the session time zone plays no part."""
-    def part(i):
-        return F.regexp_extract(date_text, P.LOG_DATE_RE, i)
+def _date_parts(date_text: Column) -> Column:
+    """Year, month, day, hour, minute, second and milliseconds as text; NULL if the text has another shape."""
+    return F.when(date_text.rlike(P.LOG_DATE_RE), F.split(date_text, r"[ :.]"))
 
+
+def _parts_ms(parts: Column, time_zone: str) -> Column:
     months = F.create_map(*[F.lit(x) for i, m in enumerate(P.MONTHS) for x in
                             ([m.lower(), i + 1] if len(m) == 3 else [m.lower(), i + 1, m[:3].lower(), i + 1])])
-    month = F.when(date_text.rlike(P.LOG_DATE_RE), months[F.lower(part(2))])
+    month = months[F.lower(parts.getItem(1))]
 
     def number(i):
-        return part(i).try_cast("long")
+        return parts.getItem(i).try_cast("long")
 
-    days = F.unix_date(F.make_date(number(1).cast("int"), month, F.lit(1))).cast("long") + number(3) - 1
-    local = (((days * 24 + number(4)) * 60 + number(5)) * 60 + number(6)) * 1000 + number(7)
+    days = F.unix_date(F.make_date(number(0).cast("int"), month, F.lit(1))).cast("long") + number(2) - 1
+    local = (((days * 24 + number(3)) * 60 + number(4)) * 60 + number(5)) * 1000 + number(6)
     return F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(local), time_zone))
 
 
+def parse_date_ms(date_text: Column, time_zone: str = "UTC") -> Column:
+    """Log date text -> epoch milliseconds in ``time_zone``; NULL if the month
+    is unknown or the text has another shape.  Days and times out of range run
+    over, as in a lenient calendar; the session time zone plays no part."""
+    return _parts_ms(_date_parts(date_text), time_zone)
+
+
 def may_matter(line: Column) -> Column:
     """Whether a line holds the substrings of some kind; no other line can be recognised."""
     found = F.lit(False)
@@ -70,61 +76,66 @@ def may_matter(line: Column) -> Column:
     return found
 
 
+def _once(**columns: Column) -> Column:
+    """Columns out of a generator: no later filter or projection can be merged with them and run them again."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def _recognise(raw: DataFrame) -> DataFrame:
+    """Recognised lines with ``kind`` and ``_g``, the capture groups of its pattern from index 1 on.
+
+    Every step is a small operator: the JVM runs a generated method of more than 8000 bytes uncompiled."""
     line = F.col("line")
     clean = ~line.contains(_SEP)
-    # 1) one regex evaluation per kind whose substrings are present.  The
-    #    results come out of a generator, so the later filter on ``kind``
-    #    cannot be pushed below them and re-run the regexes.
-    rewrites = F.struct(*[
-        F.when(_prefilter(line, needles, suffix) & clean,
-               F.regexp_replace(line, rx, _template(n))).alias(f"_r{kind}")
-        for kind, rx, n, needles, suffix in _KINDS
-    ])
-    staged = raw.select(*raw.columns, F.inline(F.array(rewrites)))
-    # 2) match flags and capture-group arrays from the rewrites (cheap); the
-    #    exact regexp path only for lines containing the separator
-    cols = [F.col(c) for c in raw.columns]
-    for kind, rx, n, needles, suffix in _KINDS:
-        r = F.col(f"_r{kind}")
-        matched = F.when(clean, F.coalesce(r.startswith(_SEP), F.lit(False))).otherwise(
-            _prefilter(line, needles, suffix) & line.rlike(rx))
-        groups = F.when(clean, F.split(r, _SEP, -1)).otherwise(
-            F.array(F.lit(""), *[F.regexp_extract(line, rx, i) for i in range(1, n + 1)]))
-        cols += [matched.alias(f"_m{kind}"), F.when(matched, groups).alias(f"_g{kind}")]
-    flagged = staged.select(*cols)
-    kind_col = None
-    for kind, *_ in _KINDS:
-        cond = F.col(f"_m{kind}")
-        kind_col = F.when(cond, F.lit(kind)) if kind_col is None else kind_col.when(cond, F.lit(kind))
-    return flagged.withColumn("kind", kind_col).where(F.col("kind").isNotNull())
+    # 1) one regex evaluation per kind whose substrings are present
+    staged = raw.select(*raw.columns, _once(**{
+        f"_r{kind}": F.when(_prefilter(line, needles, suffix) & clean, F.regexp_replace(line, rx, _template(n)))
+        for kind, rx, n, needles, suffix in _KINDS}))
+    # 2) the first kind that matches; only lines containing the separator take the exact regexp path
+    kind, hit = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, rx, _, needles, suffix in reversed(_KINDS):
+        found = F.col(f"_r{k}").startswith(_SEP)
+        kind = F.when(F.when(clean, found).otherwise(_prefilter(line, needles, suffix) & line.rlike(rx)), F.lit(k)).otherwise(kind)
+        hit = F.when(found, F.col(f"_r{k}")).otherwise(hit)
+    found = staged.select(*raw.columns, _once(kind=kind, _hit=hit)).where(F.col("kind").isNotNull())
+    # 3) the capture groups; past a pattern's last group, that one again
+    rx = F.element_at(F.create_map(*[F.lit(x) for k in _KINDS for x in k[:2]]), F.col("kind"))
+    last = F.element_at(F.create_map(*[F.lit(x) for k in _KINDS for x in (k[0], k[2])]), F.col("kind"))
+    exact = found.select("*", _once(_rx=F.when(F.col("_hit").isNull(), rx), _n=last))
+    groups = F.when(F.col("_hit").isNotNull(), F.split("_hit", _SEP, -1)).otherwise(
+        F.array(F.lit(""), *[F.call_function("regexp_extract", line, F.col("_rx"), F.least(F.lit(i), F.col("_n"))) for i in range(1, 6)]))
+    return exact.select(*raw.columns, "kind", _once(_g=groups))
 
 
 def _field(spec: dict[str, int]) -> Column:
     """Pick capture group ``spec[kind]`` of the row's kind (NULL if absent)."""
     out = None
     for kind, i in spec.items():
-        g = F.col(f"_g{kind}").getItem(i)
+        g = F.col("_g").getItem(i)
         out = F.when(F.col("kind") == kind, g) if out is None else out.when(F.col("kind") == kind, g)
     return out
 
 
-def _typed(recognised: DataFrame, time_zone: str) -> DataFrame:
+def _typed(recognised: DataFrame, time_zone: str, log_dates: bool) -> DataFrame:
     kind = F.col("kind")
     msg_raw = _field({"M": 2})
     date_text = _field({"A": 1, "E": 1})
+    if log_dates:
+        date_text = F.coalesce(date_text, F.regexp_extract("line", P.LINE_DATE_RE, 1))
+    recognised = recognised.select("*", _once(_date=_date_parts(date_text)))
+    recognised = recognised.select("*", _once(line_ms=_parts_ms(F.col("_date"), time_zone)))
+    dates = ["line_ms"] if log_dates else []
     out = recognised.select(
         "file", "rotation", "block_start", "line_seq", "kind",
         _field({"A": 2, "M": 1, "C": 1, "E": 2, "R": 1}).alias("queue_id"),
-        # from a generator, so the date filter below cannot re-run the parse
-        F.inline(F.array(F.struct(parse_date_ms(date_text, time_zone).alias("event_ms")))),
+        F.when(kind.isin("A", "E"), F.col("line_ms")).alias("event_ms"),
         _field({"A": 3}).alias("rcpt_email"),
         _field({"E": 3}).alias("sender_email"),
         _field({"A": 4, "E": 4}).alias("status"),
         _field({"A": 5, "E": 5}).alias("info"),
         msg_raw.alias("msg_id_raw"),
         F.when(kind == "C", _field({"C": 2})).alias("_cid_line"),
-        "line",
+        "line", *dates,
     )
     compound = F.col("msg_id_raw").rlike(P.COMPOUND_MSG_ID_RE)
     return (
@@ -146,12 +157,8 @@ def recognised_lines(raw_lines: DataFrame, time_zone: str = "UTC", log_dates: bo
     """All recognised lines with their fields, those with an unusable date (NULL ``event_ms``) included.
 
     With ``log_dates`` also ``line_ms``, the date at the start of a line of any kind."""
-    out = _typed(_recognise(raw_lines), time_zone)
-    if not log_dates:
-        return out
-    own = parse_date_ms(F.regexp_extract("line", P.LINE_DATE_RE, 1), time_zone)
-    # from a generator, so that no later filter runs it again
-    return out.select("*", F.inline(F.array(F.struct(F.when(F.col("kind").isin("A", "E"), F.col("event_ms")).otherwise(own).alias("line_ms")))))
+    out = _typed(_recognise(raw_lines), time_zone, log_dates)
+    return out.select(*[c for c in out.columns if c != "line_ms"], *(["line_ms"] if log_dates else []))
 
 
 def _dated():

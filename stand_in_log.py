@@ -57,6 +57,7 @@ REPLY_TEXTS = [
 ]
 N_TEXTS = len(REPLY_TEXTS)
 EVENTS_PER_SPLIT = 2000
+EVENTS_PER_TASK = 50_000
 ODD_DATE_EVERY = 97  # by turns a full month name and one that no calendar has: its date does not parse
 REPEAT_EVERY = 17  # attempts written twice, as by a doubled log stream
 
@@ -77,74 +78,62 @@ def raw_lines_from_events(events: DataFrame) -> DataFrame:
     day = F.to_date("ts")
     week = F.floor(F.unix_date(day) / 7).cast("long")
     qid = _cat("Q", F.lpad(_s(uid), 6, "0"), "W", F.lpad(_s(week), 7, "0"))
-    shifted = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (eid % 3).cast("decimal(8,6)"))
+    shifted = F.col("ts") - F.expr("INTERVAL '1' SECOND") * (eid % 3)
     stamp = F.when(eid % (2 * ODD_DATE_EVERY) == 0, F.date_format(shifted, "yyyy MMMM d HH:mm:ss.SSS")) \
         .when(eid % ODD_DATE_EVERY == 0, F.date_format(shifted, "yyyy 'Brumaire' d HH:mm:ss.SSS")) \
         .otherwise(F.date_format(shifted, "yyyy MMM d HH:mm:ss.SSS"))
     client = _cat("client-", _s(uid % 5))
     rcpt = _cat("user", _s(uid), "-", _s(eid % 3), "@example.com")
     compound = (uid % 3) == 0
-    msgid = F.when(compound, _cat("<98494.", _s(eid), ".", _s(eid % 1000), "@", client, ">")) \
+    msgid = F.when(compound, _cat("<98494.", _s(eid), ".", _s(eid % 1000), "@", F.col("client"), ">")) \
         .otherwise(_cat("msgId-", _s(eid)))
     reply = F.element_at(F.array(*[F.lit(t) for t in REPLY_TEXTS]), (eid % N_TEXTS + 1).cast("int"))
-    pid = _s(eid % 30000 + 1000)
-
-    def head(proc):
-        return _cat(stamp, " mx1 postfix/", proc, "[", pid, "]: ", qid, ": ")
-
-    def attempt(status, info):
-        return _cat(head("smtp"), "to=<", rcpt, ">, relay=mx.example.com[192.0.2.1]:25, delay=1.5, ",
-                    "delays=0.1/0/0.4/1, dsn=", F.when(F.lit(status) == "sent", "2.0.0").otherwise("4.0.0"),
-                    ", status=", status, " (", info, ")")
-
-    m_line = _cat(head("cleanup"), "message-id=", msgid)
-    c_line = _cat(head("cleanup"), "info: header client-id: ", client,
-                  " from localhost[127.0.0.1]; from=<noreply@", client, ".example> to=<", rcpt,
-                  "> proto=ESMTP helo=<app>")
-    e_line = _cat(head("qmgr"), "from=<noreply@", client, ".example>, status=expired, returned to sender")
-    r_line = _cat(head("qmgr"), "removed")
-    noise = _cat(head("qmgr"), "from=<noreply@", client, ".example>, size=", _s(eid % 9000 + 500),
-                 ", nrcpt=1 (queue active)")
-    sent = attempt("sent", _cat("250 2.0.0 Ok: queued as Q", _s(eid)))
-
-    first = (F.when(et == "signup", m_line)
-             .when(et == "purchase", sent)
-             .when(et == "view", attempt("deferred", reply))
-             .when((et == "click") & (eid % 4 == 0), e_line)
-             .when((et == "click") & (eid % 4 == 1), r_line)
-             .when(et == "click", attempt("deferred", reply))
-             .when(et == "error", attempt("bounced", reply)))
-    second = (F.when((et == "signup") & ~compound & (uid % 10 != 9), c_line)
-              .when((et == "signup") & compound & (eid % 4 == 0), c_line)
-              .when((et == "purchase") & (eid % 5 == 0), r_line)
-              .when((et == "view") & (eid % 7 == 0), noise)
-              .when((et == "view") & (eid % REPEAT_EVERY == 0), attempt("deferred", reply))
-              .when((et == "error") & (eid % 11 == 0), c_line)
-              .when((et == "error") & (eid % 13 == 0), F.lit("")))
+    first = (F.when(et == "signup", "M").when(et == "purchase", "sent").when(et == "view", "deferred")
+             .when((et == "click") & (eid % 4 == 0), "E").when((et == "click") & (eid % 4 == 1), "R")
+             .when(et == "click", "deferred").when(et == "error", "bounced"))
+    second = (F.when((et == "signup") & ~compound & (uid % 10 != 9), "C")
+              .when((et == "signup") & compound & (eid % 4 == 0), "C")
+              .when((et == "purchase") & (eid % 5 == 0), "R")
+              .when((et == "view") & (eid % 7 == 0), "noise")
+              .when((et == "view") & (eid % REPEAT_EVERY == 0), "deferred")
+              .when((et == "error") & (eid % 11 == 0), "C")
+              .when((et == "error") & (eid % 13 == 0), "empty"))
     rotation = F.datediff(F.lit("2025-01-01").cast("date"), day).cast("int")
-    lines = events.select(
+    # the parts of a line are made once an event, below the generator, and the text once a line, above it: written
+    # out for each kind, the code grows past what the JVM compiles
+    parts = events.select(
+        "event_id", "user_id", "event_type",
         F.concat(F.lit("mail.log."), rotation.cast("string")).alias("file"),
         rotation.alias("rotation"),
         (F.floor(eid / EVENTS_PER_SPLIT) * 1000000).cast("long").alias("block_start"),
-        eid.alias("_eid"),
-        F.array(
-            F.struct(F.lit(0).alias("sub"), first.alias("line")),
-            F.struct(F.lit(1).alias("sub"), second.alias("line")),
-        ).alias("_ls"),
-    )
-    out = lines.select("file", "rotation", "block_start", "_eid", F.inline("_ls"))
-    return out.where(F.col("line").isNotNull()).select(
-        "file", "rotation", "block_start", (F.col("_eid") * 2 + F.col("sub")).cast("long").alias("line_seq"), "line")
+        stamp.alias("stamp"), qid.alias("qid"), client.alias("client"), rcpt.alias("rcpt"))
+    lines = parts.select("*", F.inline(F.array(F.struct(F.lit(0).alias("sub"), first.alias("kind")),
+                                               F.struct(F.lit(1).alias("sub"), second.alias("kind")))))
+    # a line without a date or a queue is none
+    lines = lines.where((F.col("kind") == "empty") | (F.col("kind").isNotNull() & F.col("stamp").isNotNull() & F.col("qid").isNotNull()))
+    kind, client, rcpt = F.col("kind"), F.col("client"), F.col("rcpt")
+    attempt = kind.isin("sent", "deferred", "bounced")
+    proc = F.when(attempt, "smtp").when(kind.isin("M", "C"), "cleanup").otherwise("qmgr")
+    info = F.when(kind == "sent", _cat("250 2.0.0 Ok: queued as Q", _s(eid))).otherwise(reply)
+    body = (F.when(attempt, _cat("to=<", rcpt, ">, relay=mx.example.com[192.0.2.1]:25, delay=1.5, ", "delays=0.1/0/0.4/1, dsn=",
+                                 F.when(kind == "sent", "2.0.0").otherwise("4.0.0"), ", status=", kind, " (", info, ")"))
+            .when(kind == "M", _cat("message-id=", msgid))
+            .when(kind == "C", _cat("info: header client-id: ", client, " from localhost[127.0.0.1]; from=<noreply@", client,
+                                    ".example> to=<", rcpt, "> proto=ESMTP helo=<app>"))
+            .when(kind == "E", _cat("from=<noreply@", client, ".example>, status=expired, returned to sender"))
+            .when(kind == "noise", _cat("from=<noreply@", client, ".example>, size=", _s(eid % 9000 + 500), ", nrcpt=1 (queue active)"))
+            .otherwise("removed"))
+    line = F.when(kind == "empty", "").otherwise(
+        _cat(F.col("stamp"), " mx1 postfix/", proc, "[", _s(eid % 30000 + 1000), "]: ", F.col("qid"), ": ", body))
+    return lines.select("file", "rotation", "block_start", (eid * 2 + F.col("sub")).cast("long").alias("line_seq"), line.alias("line"))
 
 
 def synthetic_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    # A small table arrives as one split; spread it over the cores (order is
-    # carried by columns, never by partitions).  Large inputs are left as read.
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        events = events.repartition(cores)
-    return raw_lines_from_events(events)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    # Splits of the file say nothing about rows: one row group is one task's, whatever its size, and a row is
+    # rendered and parsed in its task.  So rows are dealt evenly (order is carried by columns, never by partitions).
+    n = max(spark.sparkContext.defaultParallelism, -(-events.count() // EVENTS_PER_TASK))
+    return raw_lines_from_events(events.repartition(n, "event_id", "user_id", "ts"))
 
 
 def _sql_lit(s: str) -> str:
