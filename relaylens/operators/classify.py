@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.columns import once
 
 
 def rule_order(rules: DataFrame, hits: DataFrame | None = None) -> list[dict]:
@@ -47,14 +48,14 @@ def classify(records: DataFrame, rules: DataFrame, hits: DataFrame | None = None
              keep_rule_id: bool = False) -> DataFrame:
     """CLS-1/2: add ``state`` and ``state_info`` (and optionally ``rule_id``)."""
     ordered = rule_order(rules, hits)
-    # lower(info) once per row, not once per rule tried
-    staged = records.withColumn("_info_lc", F.lower(F.col("info"))).withColumn(
-        "_rule_id",
-        F.when(~F.col("status").isin("sent", "expired"), _rule_index("_info_lc", ordered)),
-    ).drop("_info_lc")
+    # The rules are tried once per row, whatever a query filters by: a condition on the state, pushed below its
+    # CASE, would hold the whole list of rules once for each of its branches, and the JVM runs so large a method uncompiled.
+    rule = F.when(~F.col("status").isin("sent", "expired"), _rule_index("_info_lc", ordered))
+    staged = records.withColumn("_info_lc", F.lower(F.col("info"))).select("*", once(_rule_id=rule)).drop("_info_lc")
     # state/state_info read the rule id computed once above
     state, state_info = _classification_from_id(ordered)
-    out = staged.withColumn("state", state).withColumn("state_info", state_info)
+    out = staged.select("*", once(_state=state, _state_info=state_info)).withColumns(
+        {"state": F.col("_state"), "state_info": F.col("_state_info")}).drop("_state", "_state_info")
     if keep_rule_id:
         return out.withColumnRenamed("_rule_id", "rule_id")
     return out.drop("_rule_id")

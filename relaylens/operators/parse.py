@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.columns import once as _once
 
 _SEP = "\u0001"
 
@@ -76,11 +77,6 @@ def may_matter(line: Column) -> Column:
     return found
 
 
-def _once(**columns: Column) -> Column:
-    """Columns out of a generator: no later filter or projection can be merged with them and run them again."""
-    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
-
-
 def _recognise(raw: DataFrame) -> DataFrame:
     """Recognised lines with ``kind`` and ``_g``, the capture groups of its pattern from index 1 on.
 
