@@ -306,7 +306,7 @@ def _materialize(rows: DataFrame, how: str | None, input_bytes: int):
 
 
 def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
-              materialize: str | None = None, input_bytes: int = 0, ttl_ms: int | None = None) -> Correlation:
+              materialize: str | None = None, input_bytes: int = 0, ttl_ms: int | None = None, keep=None) -> Correlation:
     """LIFE-1 and LIFE-3: follow every queue; optionally continue from a seed.
 
     The windowed rows feed two consumers (the split summaries and the final
@@ -316,6 +316,9 @@ def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
     ``'checkpoint'`` cuts lineage but loses the layout; ``None`` leaves one lazy plan in which Spark
     recomputes the shared part.
 
+    ``keep`` (``Scratch.keep``, say) stores the folded summaries, at most a row per queue and split, for callers that read more than
+    one of the results: every one of them is made from the fold, which is else summed up and sorted again for each.
+
     ``parsed`` with ``line_ms`` gives open queues with ``last_ms``, the date of their last line; ``ttl_ms`` needs ``log_ms``, too
     (``with_log_time``)."""
     rows, table = _materialize(_row_windows(parsed, ttl_ms), materialize, input_bytes)
@@ -323,6 +326,8 @@ def correlate(parsed: DataFrame, open_queues_seed: DataFrame | None = None,
     if open_queues_seed is not None:
         summ = summ.unionByName(_seed_summaries(open_queues_seed))
     folded = _fold_summaries(summ, ttl_ms)
+    if keep is not None:
+        folded = keep(folded)
     traced = _traced(rows, folded)
     return Correlation(emitted_records(traced), _open_from_folded(folded, "line_ms" in parsed.columns), traced, table)
 

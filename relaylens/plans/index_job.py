@@ -121,7 +121,7 @@ def process_lines(spark: SparkSession, lines: DataFrame, index_dir: str, run: in
             state = read_open_queues(spark, f"{index_dir}/open_queues", log=log)
             touched = rows.select("queue_id").distinct()
             seed = None if state is None else scratch.keep(state.join(touched, "queue_id", "left_semi"))
-            corr = correlate(rows, seed, materialize="table", input_bytes=input_bytes, ttl_ms=ttl_ms)
+            corr = correlate(rows, seed, materialize="table", input_bytes=input_bytes, ttl_ms=ttl_ms, keep=scratch.keep)
             # staged once: the index and the rule hits both read it; hits count records before the set, as they come
             classified = scratch.keep(classify(corr.records, rules, hits, keep_rule_id=True))
             write_deliveries(to_delivery_rows(classified), f"{index_dir}/deliveries", staged=True, run=run, visible=log.live)
