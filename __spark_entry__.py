@@ -285,8 +285,13 @@ def _land_files(spark, sf_dir, path):
     raw = raw.withColumn("gz", (F.col("rotation") % 3 == 0) & (F.col("rotation") != newest))
     jvm = spark.sparkContext._jvm
     for gz in (False, True):
+        # a task per file: hashes of days would put several files into one task and none into others
+        mine = [day for day in days if (day % 3 == 0 and day != newest) == gz]
+        if not mine:
+            continue
         part = raw.where(F.col("gz") == gz).select("rotation", "block_start", "line_seq", "line")
-        (part.repartition(max(1, len(days)), "rotation").sortWithinPartitions("rotation", "block_start", "line_seq")
+        place = F.array_position(F.lit(mine), F.col("rotation")).cast("int") - 1
+        (part.repartitionById(len(mine), place).sortWithinPartitions("rotation", "block_start", "line_seq")
             .select("line", "rotation").write.partitionBy("rotation").option("compression", "gzip" if gz else "none").text(f"{path}/parts{gz}"))
     for day in days:
         gz = day % 3 == 0 and day != newest
