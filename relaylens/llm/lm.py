@@ -17,12 +17,12 @@ Scoring.  A document's ids and one end id run through windows of ``WINDOW`` ids
 scores the ids that no window before it has scored.
 
 The base is a unigram model over words with one added to all counts.  Word counts are made by a shuffle; the
-``TOP_WORDS`` most frequent words' counts travel to the tasks (a fixed number), all other words of a document
+most frequent words' counts travel to the tasks (at most ``TOP_WORDS``), all other words of a document
 meet their counts in a join.
 
 Cases: null and empty texts are the end alone; very long texts are scored whole, in windows; repeated rows
-are rows of their own, in training too; a null id is no held-out id (its remainder is null); words with equal counts
-around the ``TOP_WORDS`` limit may go either way, with the same result; without training documents the weights stay as they start and all
+are rows of their own, in training too; a null id is no held-out id (its remainder is null); words with counts
+around the ``TOP_WORDS`` limit meet them in the join, with the same result; without training documents the weights stay as they start and all
 counts are 0; an empty table gives no rows; other columns don't matter.
 """
 
@@ -170,7 +170,10 @@ class Attention:
         """Gradient of the mean negative log probability; theta (n, w, classes): the classes' probabilities of the targets."""
         pi, (x, q, k, v, a, c, h) = self.forward(rows, classes)
         p = (pi * theta).sum(axis=2, keepdims=True)
-        dz = pi * (1 - theta / p) * (weight / max(1.0, float(weight.sum())))[:, :, None]
+        dz = theta / p
+        np.subtract(1, dz, out=dz)
+        dz *= pi
+        dz *= (weight / max(1.0, float(weight.sum())))[:, :, None]
         g = Attention(np.zeros_like(self.flat))
         flat = lambda t: t.reshape(-1, t.shape[-1])
         g.U[:] = flat(h).T @ flat(dz)
@@ -183,7 +186,10 @@ class Attention:
         dc = dh @ self.O.T
         dv = a.transpose(0, 2, 1) @ dc
         da = dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(DIM ** -0.5)
+        da -= (da * a).sum(axis=2, keepdims=True)
+        da *= a
+        da *= np.float32(DIM ** -0.5)
+        ds = da
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         g.Q[:], g.K[:], g.V[:] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
         dx = dh + dq @ self.Q.T + dk @ self.K.T + dv @ self.V.T
@@ -216,9 +222,13 @@ class Model:
         pair = self.after[self.place[x], self.place[t]] + self.spare[x] * self.overall[t]
         if rare is not None:
             pair += rare * self.one[x]
-        by_class = self.theta[t]
-        by_class *= self.sums[x]
-        return by_class, pair / self.overall[t]
+        return self.by_class(x, t), pair / self.overall[t]
+
+    def by_class(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The first result of ``given`` alone: all that fitting needs."""
+        out = self.theta[t]
+        out *= self.sums[x]
+        return out
 
     def windows(self, ids: np.ndarray, lengths: np.ndarray):
         """Window starts in the stream of documents, and for each how many of its first places are scored already, and its length."""
@@ -266,15 +276,27 @@ def fit_share(model: Model, windows: list[tuple[np.ndarray, np.ndarray, np.ndarr
     order = np.random.default_rng(seed).permutation(len(x))
     a = model.attention
     m, v, steps = np.zeros_like(a.flat), np.zeros_like(a.flat), 0
+    step, size = np.empty_like(a.flat), np.empty_like(a.flat)
     for s in range(0, len(order), FIT_BATCH):
         w = order[s:s + FIT_BATCH]
         weight = (np.arange(WINDOW)[None, :] < n[w][:, None]).astype(np.float32)
         before = x[w].astype(np.int64)
-        g, _ = a.gradient(model.row[before], model.kind[before], model.given(before, t[w].astype(np.int64))[0], weight)
+        g, _ = a.gradient(model.row[before], model.kind[before], model.by_class(before, t[w].astype(np.int64)), weight)
         steps += 1
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        a.flat -= RATE * (m / (1 - 0.9 ** steps)) / (np.sqrt(v / (1 - 0.99 ** steps)) + 1e-6)
+        np.subtract(g, m, out=step)
+        step *= 0.1
+        m += step
+        g *= g
+        g -= v
+        g *= 0.01
+        v += g
+        np.divide(m, 1 - 0.9 ** steps, out=step)
+        step *= RATE
+        np.divide(v, 1 - 0.99 ** steps, out=size)
+        np.sqrt(size, out=size)
+        size += 1e-6
+        step /= size
+        a.flat -= step
 
 
 def held_out(doc_id):
@@ -386,12 +408,36 @@ def _averaged(fitted: DataFrame, start: np.ndarray) -> np.ndarray:
     return start if not rows else sum(np.frombuffer(r["flat"], np.float32) * (r["weight"] / total) for r in rows).astype(np.float32)
 
 
+def _row(**arrays: np.ndarray) -> pd.DataFrame:
+    """One row of arrays as bytes: a row for each number would take the driver a hundred times their size."""
+    return pd.DataFrame({name: [a.tobytes()] for name, a in arrays.items()})
+
+
+def _cells(width: int, kind):
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield _row(at=(b["i"].to_numpy() * width + b["j"].to_numpy()).astype(np.int32), n=b["n"].to_numpy().astype(kind))
+
+    return run
+
+
+def _gathered(counts: DataFrame, shape: tuple[int, int], kind) -> np.ndarray:
+    """A table of fixed size from its cells (row, column, number), packed where they are counted."""
+    out = np.zeros(shape, kind)
+    cells = counts.select(*[F.col(c).cast("long").alias(name) for c, name in zip(counts.columns, "ijn")])
+    for r in cells.mapInPandas(_cells(shape[1], kind), "at binary, n binary").collect():
+        out.reshape(-1)[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], kind)
+    return out
+
+
 def id_classes(pairs: DataFrame, vocabulary: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Input row and class of every id, from counts of pairs: k-means over square roots of shares of ids behind."""
     next_to, behind = pairs.where("lag = 1"), pairs.where(F.col("lag") == LAG)
     prev = F.floor(F.col("pair") / vocabulary)
-    order = next_to.groupBy(F.pmod("pair", F.lit(vocabulary)).alias("id")).agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
-    top = order["id"].to_numpy()  # at most a row per id of the vocabulary
+    n = _gathered(next_to.groupBy(F.pmod("pair", F.lit(vocabulary)).alias("id"), F.lit(0).alias("c")).agg(F.sum("n").alias("n")), (vocabulary, 1), np.int64)[:, 0]
+    found = np.flatnonzero(n)
+    top = found[np.lexsort((found, -n[found]))]
     row = OWN_ROWS + np.arange(vocabulary) % SHARED_ROWS
     row[top[:OWN_ROWS]] = np.arange(min(OWN_ROWS, len(top)))
     kind = np.full(vocabulary, CLASSES - 1)
@@ -400,9 +446,7 @@ def id_classes(pairs: DataFrame, vocabulary: int, seed: int = 5) -> tuple[np.nda
     spark = pairs.sparkSession
     ranks = spark.createDataFrame(pd.DataFrame({"prev": top[:CLASSED], "r": np.arange(min(CLASSED, len(top)))}), "prev long, r int")
     cells = behind.select(prev.alias("prev"), F.pmod(F.col("pair") % vocabulary, F.lit(256)).alias("c"), "n").join(F.broadcast(ranks), "prev")
-    cells = cells.groupBy("r", "c").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSED * 256 numbers
-    x = np.zeros((CLASSED, 256))
-    x[cells["r"], cells["c"]] = np.sqrt(cells["n"])
+    x = np.sqrt(_gathered(cells.groupBy("r", "c").agg(F.sum("n").alias("n")), (CLASSED, 256), np.float64))
     mass = np.square(x).sum(axis=1)
     x /= np.sqrt(np.maximum(mass, 1e-9))[:, None]
     live = np.flatnonzero(mass > 0)
@@ -431,10 +475,8 @@ def class_probabilities(pairs: DataFrame, kind: np.ndarray, row: np.ndarray, voc
     spark = pairs.sparkSession
     kinds = spark.createDataFrame(pd.DataFrame({"prev": np.arange(vocabulary), "k": kind}), "prev long, k int")
     split = pairs.select("lag", F.floor(F.col("pair") / vocabulary).alias("prev"), F.pmod("pair", F.lit(vocabulary)).alias("id"), "n")
-    # vocabulary * CLASSES numbers at most
-    got = split.where(F.col("lag") == LAG).join(F.broadcast(kinds), "prev").groupBy("k", "id").agg(F.sum("n").cast("double").alias("n")).toPandas()
-    c = np.zeros((vocabulary, CLASSES), np.float32)  # exact up to 2**24, then to seven digits
-    c[got["id"], got["k"]] = got["n"]
+    counts = split.where(F.col("lag") == LAG).join(F.broadcast(kinds), "prev").groupBy("id", "k").agg(F.sum("n").alias("n"))
+    c = _gathered(counts, (vocabulary, CLASSES), np.float32)  # exact up to 2**24, then to seven digits
     overall = c.sum(axis=1, dtype=np.float64) + 0.05
     overall /= overall.sum()
     after_class = (c.sum(axis=0, dtype=np.float64) + SMOOTH).astype(np.float32)
@@ -443,16 +485,18 @@ def class_probabilities(pairs: DataFrame, kind: np.ndarray, row: np.ndarray, voc
     theta = c
     place = np.where(row < PAIRED, row, PAIRED)
     shared = spark.sparkContext.broadcast(((theta / overall[:, None]).astype(np.float32), place))
-    # an id has no more rows than the vocabulary has ids, and one row in the end
-    got = split.where("lag = 1").select("prev", "id", "n").repartition("prev").mapInPandas(
-        _successors(shared), "prev long, total double, kinds long, bent binary, block binary").collect()
-    shared.destroy()
+    # an id has no more rows than the vocabulary has ids, and is one of a packed row in the end
+    found = split.where("lag = 1").select("prev", "id", "n").repartition("prev").mapInPandas(
+        _successors(shared), "prev binary, total binary, kinds binary, bent binary, blocked binary, block binary")
     total, kinds_after = np.zeros(vocabulary), np.ones(vocabulary)  # as much for unseen pairs as there are different ones
     sums, after = np.zeros((vocabulary, CLASSES), np.float32), np.zeros((PAIRED + 1, PAIRED + 1), np.float32)
-    for prev, n, different, bent, block in got:
-        total[prev], kinds_after[prev], sums[prev] = n, different, np.frombuffer(bent, np.float32)
-        if block is not None:
-            after[place[prev]] = np.frombuffer(block, np.float32) / (n + different)
+    for r in found.collect():
+        prev, blocked = np.frombuffer(r["prev"], np.int64), np.frombuffer(r["blocked"], np.int64)
+        total[prev], kinds_after[prev] = np.frombuffer(r["total"], np.float64), np.frombuffer(r["kinds"], np.int64)
+        sums[prev] = np.frombuffer(r["bent"], np.float32).reshape(-1, CLASSES)
+        after[place[blocked]] = np.frombuffer(r["block"], np.float32).reshape(-1, PAIRED + 1)
+        after[place[blocked]] /= (total[blocked] + kinds_after[blocked])[:, None].astype(np.float32)
+    shared.destroy()
     total += kinds_after
     sums += kinds_after[:, None].astype(np.float32)
     sums /= total[:, None].astype(np.float32)
@@ -480,9 +524,10 @@ def _successors(shared):
                     blocks.setdefault(int(prev[i]), np.zeros(PAIRED + 1, np.float32))[to[to < PAIRED]] = n[i:j][to < PAIRED]
         found = np.flatnonzero(kinds)
         for s in range(0, len(found), 1024):
-            p = found[s:s + 1024]
-            yield pd.DataFrame({"prev": p, "total": total[p], "kinds": kinds[p], "bent": [x.tobytes() for x in bent[p].astype(np.float32)],
-                                "block": [blocks[x].tobytes() if x in blocks else None for x in p.tolist()]})
+            p = found[s:s + 1024].astype(np.int64)
+            blocked = [x for x in p.tolist() if x in blocks]
+            yield _row(prev=p, total=total[p], kinds=kinds[p], bent=bent[p].astype(np.float32), blocked=np.array(blocked, np.int64),
+                       block=np.array([blocks[x] for x in blocked], np.float32))
 
     return run
 
@@ -567,6 +612,29 @@ def _score(shared, flat: np.ndarray, end: int):
     return run
 
 
+def _joined(batches):
+    for b in batches:
+        if len(b):
+            yield pd.DataFrame({"words": [b" ".join(map(bytes, b["word"]))], "c": [b["c"].to_numpy().astype(np.int64).tobytes()]})
+
+
+def _frequent(words: DataFrame, limit: int) -> tuple[bytes, np.ndarray]:
+    """At most ``limit`` words, the most frequent ones, joined by spaces (they hold none), and their counts.
+
+    Counts fall into a fixed number of bins; whole bins are taken, so no task and not the driver sorts words."""
+    binned = words.where(F.octet_length("word") > 0).withColumn("b", F.floor(16 * F.log2("c")).cast("int"))
+    least, taken = None, 0
+    for r in sorted(binned.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        taken += r["n"]
+        if taken > limit:
+            break
+        least = r["b"]
+    if least is None:
+        return b"", np.zeros(0, np.int64)
+    got = binned.where(F.col("b") >= least).select("word", "c").mapInPandas(_joined, "words binary, c binary").collect()
+    return b" ".join(bytes(r["words"]) for r in got), np.concatenate([np.frombuffer(r["c"], np.int64) for r in got])
+
+
 _TOP: dict = {}  # one table of frequent words per Python worker: log10 of their counts and one, never 0
 
 
@@ -631,10 +699,7 @@ def scores(docs: DataFrame, path: str | None = None, top_words: int = TOP_WORDS)
     release(spark)
     n, v, ends = words.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.octet_length("word") == 0, F.col("c")))).head()
     n, v, ends = n or 0, v or 0, ends or 0
-    # a fixed number of words; they hold no spaces
-    common = words.where(F.octet_length("word") > 0).orderBy(F.col("c").desc(), "word").limit(top_words).toPandas()
-    frequent = spark.sparkContext.broadcast((b" ".join(map(bytes, common["word"])), common["c"].to_numpy(dtype=np.int64)))
-    del common
+    frequent = spark.sparkContext.broadcast(_frequent(words, top_words))
     rows = d.mapInPandas(_base(frequent), "k1 long, k2 long, doc_id long, held_out boolean, n_tokens long, top_known long, top_log double, "
                          "rare array<struct<word: binary, n: long>>")
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "base")

@@ -418,3 +418,30 @@ def test_scores_know_pairs_beyond_the_broadcast(docs_of, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK_IDS", 500)
     for r in lm.scores(d).collect():
         assert abs(r["score"] - every[r["doc_id"]]) < 1e-2 * abs(every[r["doc_id"]])
+
+
+def test_the_driver_gathers_packed_rows(spark, monkeypatch):
+    words = [(b"w%d" % i, 1 + i % 90) for i in range(3000)] + [(b"", 5000)]
+    df = spark.createDataFrame(words, "word binary, c long").repartition(3)
+    for limit in (0, 10, 500, 10_000):
+        got, counts = lm._frequent(df, limit)
+        found = dict(zip(got.split(b" ") if got else [], counts.tolist()))
+        assert len(found) == len(counts) <= limit and found.items() <= dict(words).items()
+        assert all(c <= min(found.values(), default=91) for w, c in words if w and w not in found)
+    assert len(counts) == 3000
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    fetched, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda d: fetched.append(collect(d)) or fetched[-1])
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    pairs = spark.range(40_000).selectExpr("cast(if(id < 20000, 1, 4) as int) lag", "id * 7919 % (1000 * 1000) pair", "id % 5 + 1 n").repartition(2)
+    row, kind = lm.id_classes(pairs, 1000)
+    theta, overall, place, after, spare, sums, one = lm.class_probabilities(pairs, kind, row, 1000)
+    assert max(map(len, fetched)) < 100  # rows, not one for each number
+    every = [(p // 1000, p % 1000, n) for lag, p, n in collect(pairs) if lag == 1]
+    n = Counter()
+    for x, _, k in every:
+        n[x] += k
+    different = Counter(x for x, _ in {(x, t) for x, t, _ in every})
+    for x, t, k in every[:200]:
+        assert abs(after[place[x], place[t]] - k / (n[x] + different[x])) < 1e-6 and abs(one[x] - 1 / (n[x] + different[x])) < 1e-6
