@@ -45,11 +45,6 @@ _UNF = Window.unboundedFollowing
 _CARRY = ["exists", "msg_id", "cid", "def", "drcpt", "dead"]
 
 
-def _first_by_seq(value: Column, cond: Column) -> Column:
-    """Value of the earliest row (by line_seq) where ``cond`` holds and value is set."""
-    return F.min(F.when(cond & value.isNotNull(), F.struct(F.col("line_seq").alias("s"), value.alias("v")))).getField("v")
-
-
 def with_log_time(parsed: DataFrame, start_ms: int | None = None) -> DataFrame:
     """``parsed`` (with ``line_ms``) and ``log_ms``, the latest date of all lines up to each; ``start_ms`` is that of earlier runs.
 
@@ -67,7 +62,8 @@ def with_log_time(parsed: DataFrame, start_ms: int | None = None) -> DataFrame:
 
 def _row_windows(parsed: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     k = F.col("kind")
-    if "line_ms" not in parsed.columns:
+    dated = "line_ms" in parsed.columns
+    if not dated:
         parsed = parsed.withColumn("line_ms", F.lit(None).cast("long"))
     timed = ["log_ms"] if ttl_ms is not None else []
     # hash layout on the split key (spark.sql.shuffle.partitions buckets, which
@@ -86,63 +82,77 @@ def _row_windows(parsed: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         ((k == "A") & (F.col("status") == "deferred")).alias("is_def"),
         F.when(k.isin("M", "C"), F.col("client_id")).alias("cid_val"),
     )
+    # Every window has one partition and one order, so a split is sorted once.  A segment (a message-id line and what
+    # follows it) is no partition of its own: what a line knows of its segment carries the segment's number, ``life``, and
+    # the greatest pair of a segment and a place counted backwards is the segment's first.
     w_chunk = Window.partitionBy(*_CHUNK).orderBy("line_seq")
+    upto, before = w_chunk.rowsBetween(_UNB, 0), w_chunk.rowsBetween(_UNB, -1)
     rows = rows.select(
         "*",
-        F.sum(F.col("is_m").cast("int")).over(w_chunk.rowsBetween(_UNB, 0)).alias("local_life"),
-        F.sum(F.col("is_m").cast("int")).over(w_chunk.rowsBetween(_UNB, _UNF)).alias("chunk_m"),
+        F.sum(F.col("is_m").cast("int")).over(upto).alias("local_life"),
+        F.row_number().over(w_chunk).alias("place"),
+        F.lead(F.lit(True)).over(w_chunk).isNull().alias("is_last"),
     )
     if ttl_ms is not None:
-        late = F.col("log_ms") - F.last("line_ms", ignorenulls=True).over(w_chunk.rowsBetween(_UNB, -1)) > ttl_ms
+        late = F.col("log_ms") - F.last("line_ms", ignorenulls=True).over(before) > ttl_ms
         rows = rows.select("*", F.coalesce(late, F.lit(False)).alias("late"),
                            F.min("log_ms").over(w_chunk.rowsBetween(_UNB, _UNF)).alias("chunk_log_ms"))
-    w_seg = Window.partitionBy(*_CHUNK, "local_life").orderBy("line_seq")
-    before = w_seg.rowsBetween(_UNB, -1)
+    life = F.col("local_life")
+
+    def first(value: Column) -> Column:
+        return F.max(F.when(value.isNotNull(), F.struct(life.alias("life"), (-F.col("place")).alias("back"), value.alias("v")))).over(before)
+
+    def last_life(cond: Column) -> Column:
+        return F.max(F.when(cond, life))
+
+    def mine(found: str) -> Column:
+        return F.when(F.col(f"{found}.life") == life, F.col(f"{found}.v"))
+
     rows = rows.select(
         "*",
-        F.first(F.when(F.col("is_m"), F.col("msg_id")), ignorenulls=True)
-        .over(w_seg.rowsBetween(_UNB, _UNF)).alias("seg_msg_id"),
-        F.first("cid_val", ignorenulls=True).over(w_seg.rowsBetween(_UNB, 0)).alias("loc_cid_at"),
-        F.first("cid_val", ignorenulls=True).over(before).alias("loc_cid_before"),
-        F.coalesce(F.max("is_def").over(before), F.lit(False)).alias("loc_def_before"),
-        F.first(F.when(F.col("is_def"), F.col("rcpt_email")), ignorenulls=True).over(before).alias("loc_drcpt_before"),
-        F.coalesce(F.max("is_r").over(before), F.lit(False)).alias("loc_r_before"),
+        F.max(F.when(F.col("is_m"), F.struct(life.alias("life"), F.col("msg_id").alias("v")))).over(upto).alias("_msg"),
+        first(F.col("cid_val")).alias("_cid"),
+        first(F.when(F.col("is_def"), F.col("rcpt_email"))).alias("_drcpt"),
+        last_life(F.col("is_def")).over(before).alias("_def"),
+        last_life(F.col("is_r")).over(before).alias("_r"),
+        # an entry that expires before this line or one before it is gone; a message-id line opens a new one
+        *([last_life(F.col("late") & ~F.col("is_m")).over(upto).alias("_expired")] if ttl_ms is not None else []),
+        (F.max(F.when(F.col("line_ms").isNotNull(), F.struct(life.alias("life"), F.col("place").alias("back"), F.col("line_ms").alias("v"))))
+         .over(upto) if dated else F.lit(None).cast("struct<life: bigint, back: int, v: bigint>")).alias("_ms"),
     )
+    rows = rows.withColumns({
+        "seg_msg_id": mine("_msg"),
+        "loc_cid_before": mine("_cid"),
+        "loc_cid_at": F.coalesce(mine("_cid"), F.col("cid_val")),
+        "loc_def_before": F.coalesce(F.col("_def") == life, F.lit(False)),
+        "loc_drcpt_before": mine("_drcpt"),
+        "loc_r_before": F.coalesce(F.col("_r") == life, F.lit(False)),
+        "seg_last_ms": mine("_ms"),
+    })
     dead_nocid = F.col("is_r") | (F.col("is_ae") & F.col("loc_cid_at").isNull())
-    rows = rows.withColumn(
-        "loc_deadnc_before", F.coalesce(F.max(dead_nocid).over(before), F.lit(False)))
+    rows = rows.withColumn("loc_deadnc_before", F.coalesce(last_life(dead_nocid).over(before) == life, F.lit(False)))
     if ttl_ms is not None:
-        # an entry that expires before this line or one before it is gone; a message-id line opens a new one
-        expired = F.max(F.col("late") & ~F.col("is_m")).over(w_seg.rowsBetween(_UNB, 0))
+        expired = F.coalesce(F.col("_expired") == life, F.lit(False))
         rows = rows.withColumns({"loc_r_before": F.col("loc_r_before") | expired, "loc_deadnc_before": F.col("loc_deadnc_before") | expired,
                                  "expires": F.col("late") & ~F.col("is_m")})
-    return rows
+    return rows.drop("_msg", "_cid", "_drcpt", "_def", "_r", "_expired", "_ms", "place")
 
 
 def _chunk_summaries(rows: DataFrame) -> DataFrame:
-    """One row per (queue, chunk): what the chunk's last segment hands on."""
-    last = rows.where(F.col("local_life") == F.col("chunk_m"))
-    seq = F.col("line_seq")
-    timed = "expires" in rows.columns
-    summ = last.groupBy(*_CHUNK).agg(
-        F.first("rotation").alias("rotation"),
-        F.max("chunk_m").alias("chunk_m"),
-        _first_by_seq(F.col("msg_id"), F.col("is_m")).alias("s_msg_id"),
-        _first_by_seq(F.col("cid_val"), F.lit(True)).alias("s_cid"),
-        F.min(F.when(F.col("cid_val").isNotNull(), seq)).alias("s_cid_seq"),
-        F.max("is_def").alias("s_def"),
-        _first_by_seq(F.col("rcpt_email"), F.col("is_def")).alias("s_drcpt"),
-        F.max(F.col("is_r") | F.col("expires") if timed else F.col("is_r")).alias("s_any_r"),
-        F.min(F.when(F.col("is_ae"), seq)).alias("s_ae_seq"),
-        F.max_by("line_ms", F.when(F.col("line_ms").isNotNull(), seq)).alias("last_ms"),
-        (F.first("chunk_log_ms") if timed else F.first(F.lit(None).cast("long"))).alias("first_log_ms"),
-    )
-    ae_first = F.col("s_ae_seq").isNotNull() & (
-        F.col("s_cid_seq").isNull() | (F.col("s_ae_seq") < F.col("s_cid_seq")))
-    return summ.select(
+    """One row per (queue, chunk): what the chunk's last segment hands on, as its last line knows it."""
+    ae_first = F.col("is_ae") & F.col("loc_cid_at").isNull()
+    return rows.where("is_last").select(
         *_CHUNK, (-F.col("rotation").cast("long")).alias("neg_rot"),
-        (F.col("chunk_m") > 0).alias("has_m"),
-        "s_msg_id", "s_cid", "s_def", "s_drcpt", "s_any_r", ae_first.alias("s_ae_first"), "last_ms", "first_log_ms",
+        (F.col("local_life") > 0).alias("has_m"),
+        F.col("seg_msg_id").alias("s_msg_id"),
+        F.col("loc_cid_at").alias("s_cid"),
+        (F.col("loc_def_before") | F.coalesce(F.col("is_def"), F.lit(False))).alias("s_def"),
+        F.coalesce("loc_drcpt_before", F.when(F.col("is_def"), F.col("rcpt_email"))).alias("s_drcpt"),
+        (F.col("loc_r_before") | F.col("is_r")).alias("s_any_r"),
+        # whether an attempt without a client ended the entry; counts only where nothing else did (``s_any_r``)
+        (F.col("loc_deadnc_before") | ae_first).alias("s_ae_first"),
+        F.col("seg_last_ms").alias("last_ms"),
+        (F.col("chunk_log_ms") if "chunk_log_ms" in rows.columns else F.lit(None).cast("long")).alias("first_log_ms"),
     )
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from relaylens.operators import lifecycle as LC
 from relaylens.operators.lifecycle import correlate, ingest_stats, lifecycle_diagnostics, open_queues
 from relaylens.operators.parse import parse_lines
 from relaylens.plans.pipeline import build_deliveries
@@ -149,3 +150,13 @@ def test_diagnostics(spark):
     reasons = sorted((r.queue_id, r.reason) for r in lifecycle_diagnostics(traced).collect())
     assert reasons == [("Q00000000000001", "duplicate message-id"), ("Q00000000000002", "client-id without queue"),
                        ("Q00000000000003", "expired, never deferred")]
+
+
+def test_splits_are_sorted_once_and_summarised_by_their_last_line(spark):
+    parsed = parse_lines(spark.createDataFrame([], "file string, rotation int, block_start long, line_seq long, line string"))
+    rows = LC._row_windows(parsed)
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") > 1
+    executed = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert executed.count("Sort [") == 1
+    assert "Aggregate" not in LC._chunk_summaries(rows)._jdf.queryExecution().optimizedPlan().toString()
