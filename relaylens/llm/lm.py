@@ -33,12 +33,13 @@ from itertools import filterfalse, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import bucket, discard, release, stored
+from .common import batches_of, bucket, discard, release, stored
 
 CLASSES = 32
 CLASSED = 4096
@@ -56,6 +57,8 @@ TOP_WORDS = 1 << 18
 FLUSH_WORDS = 200_000
 FLUSH_IDS = 2_000_000
 CHUNK_IDS = 1 << 16
+BATCH_BYTES = 4 << 20  # of a table that reach Python at once
+PAIRS_OUT = 100_000  # pairs that leave Python at once
 SMOOTH = 20.0
 BATCH = 128  # windows at once
 FIT_BATCH = 48
@@ -86,7 +89,10 @@ TOP_LOGIT = np.float32(60)
 
 def _exp(logits: np.ndarray) -> np.ndarray:
     """Exponentials up to a factor for each row, in place."""
-    logits -= logits.max(axis=2, keepdims=True)
+    most = logits
+    while (n := most.shape[2]) > 1:  # halves against each other: numpy's own maximum of short rows takes four times as long
+        most = np.maximum(most[:, :, :n // 2], most[:, :, n - n // 2:]) if n % 2 == 0 else most.max(axis=2, keepdims=True)
+    logits -= most
     return np.exp(logits, out=logits)
 
 
@@ -177,7 +183,7 @@ class Attention:
         g = Attention(np.zeros_like(self.flat))
         flat = lambda t: t.reshape(-1, t.shape[-1])
         g.U[:] = flat(h).T @ flat(dz)
-        order = np.argsort(classes, axis=None, kind="stable")
+        order = np.argsort(classes.astype(np.int16), axis=None, kind="stable")  # small numbers are sorted by their digits
         cs = classes.ravel()[order]
         edge = np.flatnonzero(np.concatenate([[True], cs[1:] != cs[:-1]]))
         g.B[cs[edge]] = np.add.reduceat(flat(dz)[order], edge, axis=0)
@@ -194,7 +200,7 @@ class Attention:
         g.Q[:], g.K[:], g.V[:] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
         dx = dh + dq @ self.Q.T + dk @ self.K.T + dv @ self.V.T
         g.P[: rows.shape[1]] = dx.sum(axis=0)
-        order = np.argsort(rows, axis=None, kind="stable")
+        order = np.argsort(rows.astype(np.int16), axis=None, kind="stable")
         rs = rows.ravel()[order]
         edge = np.flatnonzero(np.concatenate([[True], rs[1:] != rs[:-1]]))
         g.E[rs[edge]] = np.add.reduceat(flat(dx)[order], edge, axis=0)
@@ -226,8 +232,8 @@ class Model:
 
     def by_class(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
         """The first result of ``given`` alone: all that fitting needs."""
-        out = self.theta[t]
-        out *= self.sums[x]
+        out = self.theta.take(t, axis=0)
+        out *= self.sums.take(x, axis=0)
         return out
 
     def windows(self, ids: np.ndarray, lengths: np.ndarray):
@@ -347,9 +353,14 @@ def _pair_counts(vocabulary: int, end: int):
         def out():
             t = np.concatenate(ids).astype(np.int64)
             for lag in (1, LAG):
-                before = np.concatenate([np.concatenate([np.full(lag, end, t.dtype), x])[: len(x)] for x in ids])
-                p, n = np.unique(before * vocabulary + t, return_counts=True)
-                yield pd.DataFrame({"lag": lag, "pair": p, "n": n})
+                first = np.full(lag, end, _narrow(end))
+                before = np.concatenate([np.concatenate([first, x])[: len(x)] for x in ids]).astype(np.int64)
+                before *= vocabulary
+                before += t
+                p, n = np.unique(before, return_counts=True)
+                del before
+                for s in range(0, len(p), PAIRS_OUT):
+                    yield pd.DataFrame({"lag": lag, "pair": p[s:s + PAIRS_OUT], "n": n[s:s + PAIRS_OUT]})
             ids.clear()
 
         for b in batches:
@@ -444,7 +455,7 @@ def id_classes(pairs: DataFrame, vocabulary: int, seed: int = 5) -> tuple[np.nda
     rank = np.full(vocabulary, -1)
     rank[top[:CLASSED]] = np.arange(min(CLASSED, len(top)))
     spark = pairs.sparkSession
-    ranks = spark.createDataFrame(pd.DataFrame({"prev": top[:CLASSED], "r": np.arange(min(CLASSED, len(top)))}), "prev long, r int")
+    ranks = spark.createDataFrame(pa.table({"prev": top[:CLASSED], "r": np.arange(min(CLASSED, len(top)), dtype=np.int32)}))  # Arrow tables take no Python workers
     cells = behind.select(prev.alias("prev"), F.pmod(F.col("pair") % vocabulary, F.lit(256)).alias("c"), "n").join(F.broadcast(ranks), "prev")
     x = np.sqrt(_gathered(cells.groupBy("r", "c").agg(F.sum("n").alias("n")), (CLASSED, 256), np.float64))
     mass = np.square(x).sum(axis=1)
@@ -473,7 +484,7 @@ def class_probabilities(pairs: DataFrame, kind: np.ndarray, row: np.ndarray, voc
     is left of an id's successors for the overall shares; sums (id, class): one by the sum of the bent distribution;
     one (id): the share that a single successor has."""
     spark = pairs.sparkSession
-    kinds = spark.createDataFrame(pd.DataFrame({"prev": np.arange(vocabulary), "k": kind}), "prev long, k int")
+    kinds = spark.createDataFrame(pa.table({"prev": np.arange(vocabulary), "k": kind.astype(np.int32)}))
     split = pairs.select("lag", F.floor(F.col("pair") / vocabulary).alias("prev"), F.pmod("pair", F.lit(vocabulary)).alias("id"), "n")
     counts = split.where(F.col("lag") == LAG).join(F.broadcast(kinds), "prev").groupBy("id", "k").agg(F.sum("n").alias("n"))
     c = _gathered(counts, (vocabulary, CLASSES), np.float32)  # exact up to 2**24, then to seven digits
@@ -661,6 +672,11 @@ def _base(shared):
 
 def scores(docs: DataFrame, path: str | None = None, top_words: int = TOP_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    with batches_of(docs.sparkSession, BATCH_BYTES):  # whatever Python makes is stored here
+        return _scores(docs, path, top_words)
+
+
+def _scores(docs: DataFrame, path: str | None, top_words: int) -> DataFrame:
     spark = docs.sparkSession
     path = path or tokens.default_path()
     from tokenizers import Tokenizer
@@ -679,7 +695,8 @@ def scores(docs: DataFrame, path: str | None = None, top_words: int = TOP_WORDS)
     shared = spark.sparkContext.broadcast((row, kind, class_probabilities(pairs, kind, row, vocabulary)))
     flat = Attention.start(row, kind).flat
     for part in range(ROUNDS):
-        flat = _averaged(train.mapInPandas(_fit(shared, end, flat, part), "weight double, flat binary"), flat)
+        mine = train.where(F.pmod("k1", F.lit(ROUNDS)) == part)  # the others need not reach Python
+        flat = _averaged(mine.mapInPandas(_fit(shared, end, flat, part), "weight double, flat binary"), flat)
     chunks = stored(encoded.select("k1", "k2", "ids").mapInPandas(_chunks(end), "chunk long, k1 binary, k2 binary, lengths binary, ids binary"), "chunks")
     discard(encoded)
     # counts beyond those in the broadcast; no chunk asks for a pair twice

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import os
 import random
 import re
 import zipfile
@@ -445,3 +446,34 @@ def test_the_driver_gathers_packed_rows(spark, monkeypatch):
     different = Counter(x for x, _ in {(x, t) for x, t, _ in every})
     for x, t, k in every[:200]:
         assert abs(after[place[x], place[t]] - k / (n[x] + different[x])) < 1e-6 and abs(one[x] - 1 / (n[x] + different[x])) < 1e-6
+
+
+def test_counts_and_texts_pass_in_bounded_batches(spark, docs_of, monkeypatch):
+    rng, end = np.random.default_rng(17), 49_407
+    ids = [np.append(rng.integers(0, end, n), end).astype("<u2") for n in (0, 3, 150_000, 200_000)]
+    out = list(lm._pair_counts(end + 1, end)([pd.DataFrame({"ids": [x.tobytes() for x in ids]})]))
+    assert max(map(len, out)) <= 100_000
+    got = {(lag, p): n for f in out for lag, p, n in f.itertuples(index=False, name=None)}
+    want = Counter((lag, int(a) * (end + 1) + int(b)) for x in ids for lag in (1, lm.LAG) for a, b in zip([end] * lag + x.tolist(), x.tolist()))
+    assert got == want
+
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", scratch_path(spark, "most")
+    before, encoded = spark.conf.get(name), lm._encoded
+
+    def watched(path, end):
+        run = encoded(path, end)
+
+        def watch(batches):
+            for b in run(batches):
+                size = int(b["ids"].map(len).sum())
+                os.makedirs(most.removeprefix("file:"), exist_ok=True)
+                open(f"{most.removeprefix('file:')}/{size}", "w").close()
+                yield b
+
+        return watch
+
+    monkeypatch.setattr(lm, "_encoded", watched)
+    d = docs_of([(i, "word " * 1000) for i in range(8000)]).coalesce(1)
+    assert lm.scores(d).count() == 8000
+    assert max(map(int, os.listdir(most.removeprefix("file:")))) < 4_000_000  # 16 million bytes in one batch otherwise
+    assert spark.conf.get(name) == before
